@@ -1,0 +1,7 @@
+"""Streaming surface: none.
+
+The modelled product is a batch analytics layer (raw tables -> curated surfaces -> governed
+metrics); it declares streaming out of scope and has no stream, watermark, window or stateful
+operator. Every surface here is a pure function of its input DataFrames, so a caller can feed a
+micro-batch (``foreachBatch``) through them unchanged, but no streaming operator is provided.
+"""
