@@ -118,9 +118,9 @@ def yyyymmdd(d) -> Column:
 
 
 def attention_state(n_signals) -> Column:
-    """FN26: >=2 high attention, 1 watch, 0 healthy."""
+    """FN26: two or more co-occurring signals, one signal, none."""
     n = _c(n_signals)
-    return band([(n >= 2, "High attention"), (n == 1, "Watch")], "Healthy")
+    return band([(n >= 2, "High Risk"), (n == 1, "Watchlist")], "Healthy")
 
 
 def kpi_band(value, good: float, warn: float) -> Column:

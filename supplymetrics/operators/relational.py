@@ -33,11 +33,15 @@ def preaggregate_then_join(fact: DataFrame, bridge: DataFrame, key: str | Sequen
     return fact.join(bridge.groupBy(*keys).agg(*aggs), keys, how)
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None) -> DataFrame:
-    """Child rows whose foreign key has no parent (JN7), as a left-anti join."""
-    pk = parent_key or child_key
-    p = parent.select(F.col(pk).alias("_pk")).distinct() if pk == child_key else parent.select(F.col(pk).alias("_pk"))
-    return child.join(p, child[child_key] == p["_pk"], "left_anti")
+def orphans(child: DataFrame, parent: DataFrame, child_key: str | Sequence[str],
+            parent_key: str | Sequence[str] | None = None) -> DataFrame:
+    """Child rows whose (possibly composite) foreign key has no parent (JN7): a left-anti
+    join, so no parent row is ever materialised next to its children."""
+    ck = [child_key] if isinstance(child_key, str) else list(child_key)
+    pk = ck if parent_key is None else ([parent_key] if isinstance(parent_key, str) else list(parent_key))
+    p = parent.select(*[F.col(k).alias(f"_pk{i}") for i, k in enumerate(pk)])
+    cond = [child[c] == p[f"_pk{i}"] for i, c in enumerate(ck)]
+    return child.join(p, cond, "left_anti")
 
 
 def reconcile(curated: DataFrame, raw: DataFrame, key: str, column: str,

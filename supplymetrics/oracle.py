@@ -331,4 +331,8 @@ def with_ctes(final: str, *needs: str) -> str:
     if not order:
         return final.strip()
     parts = [f"{n} AS (\n{CTE[n][1].strip()}\n)" for n in order]
-    return "WITH " + ",\n".join(parts) + "\n" + final.strip()
+    body = final.strip()
+    if body[:5].upper() == "WITH ":
+        # the statement has its own CTEs: continue the same WITH list
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + body
