@@ -78,16 +78,17 @@ def posture(t: Tables, risk: DataFrame | None = None) -> DataFrame:
 
 
 def posture_table(t: Tables, risk: DataFrame | None = None) -> DataFrame:
-    """DSH7 — products per attention state with share of scope; all three states listed."""
-    r = SUR.risk_signals(t) if risk is None else risk
-    counts = r.groupBy(X.attention_state("risk_signal_count").alias("attention_state")).agg(
-        F.count(F.lit(1)).alias("product_count"))
-    total = r.select(F.count_distinct("product_id")).scalar()
-    states = t.spark.createDataFrame(POSTURE_STATES, "attention_state string, display_order int")
-    return (F.broadcast(states).join(counts, "attention_state", "left")
-            .select("attention_state", "display_order",
-                    F.coalesce("product_count", F.lit(0)).alias("product_count"))
-            .withColumn("share", F.round(F.col("product_count") / F.greatest(total, F.lit(1)), 9))
+    """DSH7 — products per attention state with share of scope; all three states listed.
+
+    One pass: the posture counts and the product total come from a single aggregate, which
+    is then reshaped to one row per state (so a state with no products still shows 0)."""
+    p = posture(t, risk)
+    total = F.greatest(F.col("monitored_count"), F.lit(1))
+    rows = [F.struct(F.lit(label).alias("attention_state"), F.lit(order).alias("display_order"),
+                     F.col(col).alias("product_count"),
+                     F.round(F.col(col) / total, 9).alias("share"))
+            for (label, order), col in zip(POSTURE_STATES, ["high_risk_count", "watchlist_count", "healthy_count"])]
+    return (p.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
             .orderBy("display_order"))
 
 

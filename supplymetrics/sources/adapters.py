@@ -30,6 +30,7 @@ CARRIERS = [
 ]
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+_INSTANCES: dict[tuple[int, str], "Tables"] = {}
 
 
 def line_key() -> Column:
@@ -45,15 +46,47 @@ def product_key(brand, ptype) -> Column:
 class Tables:
     """Entity tables over one driver directory (``sf_dir``)."""
 
+    # Sources whose scans feed the fact tables, with the key they join on; see ``_parallel_scan``.
+    FACT_SOURCES = {"lineitem": "l_orderkey"}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._scans: dict[str, DataFrame] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
+        """Shared instance per (session, directory): the lazy entity plans, file listings and
+        Parquet footers are resolved once and reused by every query."""
+        key = (id(spark), sf_dir.rstrip("/"))
+        t = _INSTANCES.get(key)
+        if t is None or t.spark is not spark:
+            t = _INSTANCES[key] = cls(spark, sf_dir)
+        return t
 
     # --- driver scans ------------------------------------------------------------------
     def read(self, name: str, *cols: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self._scans.get(name)
+        if df is None:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in self.FACT_SOURCES:
+                df = self._parallel_scan(df, self.FACT_SOURCES[name])
+            self._scans[name] = df
         return df.select(*cols) if cols else df
 
+    def _parallel_scan(self, df: DataFrame, key: str) -> DataFrame:
+        """Scan-parallelism guard. Parquet splits only at row-group boundaries, so a source
+        stored as a few large row groups scans in a few tasks and everything pipelined after
+        the scan (broadcast joins, projections, partial aggregation) runs in those tasks. When
+        the scan yields fewer partitions than the session's shuffle parallelism, hash-spread
+        it on its join key (deterministic on retry, and already co-partitioned for a
+        sort-merge join on that key); on large inputs (more splits than cores) it is a no-op."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            return df.repartition(max(n, 1), key)
+        return df
+
     def _lines(self, orders=False, part=False, supplier=False) -> DataFrame:
         """lineitem with derived columns and only the requested parents joined."""
         li = self.read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
