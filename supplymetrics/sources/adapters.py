@@ -386,3 +386,23 @@ class Tables:
         if name not in self.ENTITIES:
             raise KeyError(f"unknown entity table {name!r}")
         return getattr(self, name)
+
+
+class FrameTables(Tables):
+    """Entity tables supplied directly as DataFrames — a persisted raw layer read back, or a
+    hand-built fixture. Only the given entities exist; the rest raise when used."""
+
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame], watched_part=None):
+        super().__init__(spark, "<frames>")
+        for name, df in frames.items():
+            if name not in self.ENTITIES:
+                raise KeyError(f"unknown entity table {name!r}")
+            self.__dict__[name] = conform(df, name)
+        if watched_part is not None:
+            self.__dict__["watched_part"] = watched_part if isinstance(watched_part, Column) \
+                else F.lit(watched_part)
+        if "date_dim" not in frames:
+            self.__dict__.pop("date_dim", None)
+
+    def read(self, name: str, *cols: str) -> DataFrame:
+        raise KeyError(f"FrameTables has no driver table {name!r}; supply the entity frames")
