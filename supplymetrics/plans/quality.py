@@ -247,3 +247,12 @@ def exposed_products(t: Tables) -> DataFrame:
     prd = SUR.production_performance(t).filter(F.col("watched_part_exposure_flag"))
     return prd.select("plant_id", "product_id", "product_name", "critical_part_count", "critical_parts",
                       "watched_part_exposure_flag", "watched_part_qty_per_product").distinct()
+
+
+def order_cohort(t: Tables, id_prefix: str) -> DataFrame:
+    """PRJ8 — evidence listing of the order lines whose id starts with a prefix (e.g. all
+    lines of one order: ``"<order key>-"``); the prefix predicate is pushed to the scan."""
+    return (t.order_line.filter(F.col("order_line_id").startswith(id_prefix))
+            .select("order_line_id", "customer_id", "product_id", "plant_id", "promised_date",
+                    "ordered_quantity", "fulfilled_quantity", "order_status")
+            .orderBy("order_line_id"))

@@ -53,7 +53,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         import tempfile
         path = tempfile.mkdtemp(prefix="supplymetrics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 — remote sessions manage checkpoints server-side
+        return path
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

@@ -81,8 +81,12 @@ class Tables:
         the scan yields fewer partitions than the session's shuffle parallelism, hash-spread
         it on its join key (deterministic on retry, and already co-partitioned for a
         sort-merge join on that key); on large inputs (more splits than cores) it is a no-op."""
-        cores = self.spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
+        try:
+            cores = self.spark.sparkContext.defaultParallelism
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 — no RDD view (e.g. a remote session): leave the scan as is
+            return df
+        if splits < cores:
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             return df.repartition(max(n, 1), key)
         return df

@@ -72,3 +72,18 @@ def test_raw_layer_round_trip(spark, small):
     assert os.path.isdir(os.path.join(root, "raw", "inventory"))
     IO.append(small.product.limit(1), os.path.join(root, "raw", "product"))
     assert IO.table(spark, root, "raw", "product").count() == small.product.count() + 1
+
+
+def test_order_cohort_prefix(small):
+    from supplymetrics.plans.quality import order_cohort
+    one = small.order_line.select("order_id").limit(1).collect()[0].order_id
+    rows = order_cohort(small, f"{one}-").collect()
+    assert rows and all(r.order_line_id.startswith(f"{one}-") for r in rows)
+    assert len(rows) == small.order_line.filter(f"order_id = {one}").count()
+
+
+def test_run_batch_records_outcomes(small):
+    from supplymetrics.plans.verified import run_batch
+    out = {r.query_id: r for r in run_batch(small, ["vq01_fulfillment_by_segment", "vq14_exposed_and_constrained"]).collect()}
+    assert out["vq01_fulfillment_by_segment"].status == "SUCCESS" and out["vq01_fulfillment_by_segment"].row_count == 5
+    assert out["vq14_exposed_and_constrained"].status in ("SUCCESS", "NO_ROWS")

@@ -52,3 +52,24 @@ def test_bounded_dimensions_broadcast(spark):
 def test_surrogate_key_uses_range_partitioning(spark):
     p = plan(E.queries()["bld3_surrogate_key"](spark, SMALL))
     assert "CartesianProduct" not in p
+
+
+def test_part_list_only_built_when_selected(spark):
+    for name in ("vq06_constrained_exposed", "vq13_multi_signal_products", "met07_exposed_days_by_plant"):
+        assert "collect_list" not in plan(E.queries()[name](spark, SMALL)), name
+    assert "collect_list" in plan(E.queries()["sur3_production_performance"](spark, SMALL))
+
+
+def test_supplier_surface_joins_share_partitioning(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(E.queries()["sur1_supplier_performance"](spark, SMALL), "simple")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    import re
+    assert len([line for line in p.splitlines() if "LeftOuter" in line]) == 3
+    # one exchange per pre-aggregate on the composite key, none re-shuffling the join chain
+    keyed = re.findall(r"Exchange hashpartitioning\(supplier_id#\d+L, part_id#\d+L", p)
+    assert len(keyed) == 3, p
