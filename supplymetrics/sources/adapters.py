@@ -46,8 +46,11 @@ def product_key(brand, ptype) -> Column:
 class Tables:
     """Entity tables over one driver directory (``sf_dir``)."""
 
-    # Sources whose scans feed the fact tables, with the key they join on; see ``_parallel_scan``.
-    FACT_SOURCES = {"lineitem": "l_orderkey"}
+    # Sources whose scans feed the fact tables, with the key they are spread on; see
+    # ``_parallel_scan``. The full line key (not the order key alone) keeps a hot order from
+    # landing in one partition, and is a subset of the PO-line grouping keys, so that
+    # aggregation needs no further shuffle.
+    FACT_SOURCES = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey")}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -74,13 +77,13 @@ class Tables:
             self._scans[name] = df
         return df.select(*cols) if cols else df
 
-    def _parallel_scan(self, df: DataFrame, key: str) -> DataFrame:
+    def _parallel_scan(self, df: DataFrame, key: tuple[str, ...]) -> DataFrame:
         """Scan-parallelism guard. Parquet splits only at row-group boundaries, so a source
         stored as a few large row groups scans in a few tasks and everything pipelined after
         the scan (broadcast joins, projections, partial aggregation) runs in those tasks. When
-        the scan yields fewer partitions than the session's shuffle parallelism, hash-spread
-        it on its join key (deterministic on retry, and already co-partitioned for a
-        sort-merge join on that key); on large inputs (more splits than cores) it is a no-op."""
+        the scan yields fewer partitions than the session has cores, hash-spread it on its
+        row key (deterministic on retry, no sort needed); on large inputs (more splits than
+        cores) it is a no-op."""
         try:
             cores = self.spark.sparkContext.defaultParallelism
             splits = df.rdd.getNumPartitions()
@@ -88,7 +91,7 @@ class Tables:
             return df
         if splits < cores:
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            return df.repartition(max(n, 1), key)
+            return df.repartition(max(n, 1), *key)
         return df
 
     def _lines(self, orders=False, part=False, supplier=False) -> DataFrame:
