@@ -102,10 +102,6 @@ class Tables:
         li = li.withColumns({"q": F.col("l_quantity"),
                              "ship_date": F.to_date("l_shipdate"),
                              "line_id": line_key()})
-        if orders:
-            o = self.read("orders", "o_orderkey", "o_custkey", "o_orderdate")
-            li = (li.join(o, li.l_orderkey == o.o_orderkey)
-                  .withColumn("order_date", F.to_date("o_orderdate")))
         if part:
             p = self.read("part", "p_partkey", "p_brand", "p_type", "p_size")
             li = (li.join(p, li.l_partkey == p.p_partkey)
@@ -113,6 +109,12 @@ class Tables:
         if supplier:
             s = self.read("supplier", "s_suppkey", "s_nationkey")
             li = li.join(s, li.l_suppkey == s.s_suppkey).withColumn("plant_id", F.col("s_nationkey"))
+        # orders last: at scale this is the sort-merge join, and its output stays
+        # hash-partitioned by order key for the PO-line aggregation that follows
+        if orders:
+            o = self.read("orders", "o_orderkey", "o_custkey", "o_orderdate")
+            li = (li.join(o, li.l_orderkey == o.o_orderkey)
+                  .withColumn("order_date", F.to_date("o_orderdate")))
         return li
 
     @cached_property
