@@ -18,6 +18,22 @@ from pyspark.sql import functions as F
 RATIO_DIGITS = 9
 
 
+def dec_scale(digits: int) -> int:
+    """Decimal scale a double is fixed to before rounding: enough places to absorb binary
+    representation error (2.385 is stored as 2.38499999...), few enough to stay inside a
+    double's 15-16 significant digits."""
+    return 10 if digits <= 2 else 12
+
+
+def dround(x, digits: int = 0) -> Column:
+    """Round the decimal value of ``x`` half-up (exact NUMBER semantics), returned as double.
+
+    Rounding the binary double directly can turn a decimal tie (2.385 -> 2.39) into 2.38; fixing
+    the value to ``dec_scale`` decimals first makes the tie exact."""
+    d = F.round(_c(x).cast(f"decimal(38,{dec_scale(digits)})"), digits)
+    return d.cast("double")
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -36,7 +52,7 @@ def gap(a, b) -> Column:
 
 def pct(a, b, digits: int = 2) -> Column:
     """round(100 * a / nullif(b, 0), digits) in double."""
-    return F.round(F.lit(100.0) * _c(a).cast("double") / nullif_zero(_c(b).cast("double")), digits)
+    return dround(F.lit(100.0) * _c(a).cast("double") / nullif_zero(_c(b).cast("double")), digits)
 
 
 def fdiv(a, b) -> Column:
@@ -47,7 +63,7 @@ def fdiv(a, b) -> Column:
 def ratio(num, den, digits: int | None = RATIO_DIGITS) -> Column:
     """Ratio of (already aggregated) values with a NULL-safe denominator (AGG11/AGG12)."""
     r = fdiv(num, den)
-    return F.round(r, digits) if digits is not None else r
+    return dround(r, digits) if digits is not None else r
 
 
 def floor_d(x) -> Column:
@@ -176,7 +192,7 @@ def count_ratio(num_pred: Column, den_pred: Column, digits: int | None = RATIO_D
 
 def kpi_pct(ratio_col, digits: int = 1) -> Column:
     """round(100 * ratio, 1) for headline KPIs."""
-    return F.round(F.lit(100.0) * _c(ratio_col), digits)
+    return dround(F.lit(100.0) * _c(ratio_col), digits)
 
 
 def days_between(start, end) -> Column:

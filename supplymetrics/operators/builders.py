@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from supplymetrics.functions import exprs as X
 from pyspark.sql import types as T
 
 from supplymetrics.sources.schemas import conform
@@ -49,7 +51,7 @@ def apply_rate(df: DataFrame, rates: DataFrame, key: str, qty: str, rate: str =
     ``rates`` is a lookup keyed by ``key``; rows without a rate keep their quantity. The join
     is left to the planner (AQE broadcasts it when the measured lookup is small)."""
     r = rates.select(key, F.col(rate).alias("_rate"))
-    adjusted = F.greatest(F.lit(0.0), F.round(F.col(qty) * (F.lit(1.0) - F.coalesce("_rate", F.lit(0.0)))))
+    adjusted = F.greatest(F.lit(0.0), X.dround(F.col(qty) * (F.lit(1.0) - F.coalesce("_rate", F.lit(0.0))), 0))
     return df.join(r, key, "left").withColumn(out, adjusted).drop("_rate")
 
 

@@ -315,6 +315,44 @@ LEFT JOIN p ON pu.product_id = p.product_id""",
     ("customer_fulfillment", "shipment_performance", "production_performance"))
 
 
+def _dec_scale(digits: int) -> int:
+    # same rule as functions.exprs.dec_scale
+    return 10 if digits <= 2 else 12
+
+
+def decimal_rounding(sql: str) -> str:
+    """Every ``round(x, d)`` in these statements rounds the *decimal* value of x half-up (the
+    modelled product's NUMBER semantics): x is fixed to a few extra decimals first, so a tie
+    such as 2.385 (stored as 2.38499999...) rounds to 2.39 as the DataFrame side does."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 1, j + 6, None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner_end = k - 1
+        expr = sql[j + 6:comma if comma is not None else inner_end]
+        digits = int(sql[comma + 1:inner_end].strip()) if comma is not None else 0
+        out.append(sql[i:j])
+        out.append(f"CAST(round(CAST(({decimal_rounding(expr)}) AS DECIMAL(38,{_dec_scale(digits)})), "
+                   f"{digits}) AS DOUBLE)")
+        i = k
+
+
 def with_ctes(final: str, *needs: str) -> str:
     """Prefix ``final`` with the CTEs it needs (transitively, dependencies first)."""
     order: list[str] = []
@@ -329,10 +367,10 @@ def with_ctes(final: str, *needs: str) -> str:
     for n in needs:
         visit(n)
     if not order:
-        return final.strip()
+        return decimal_rounding(final.strip())
     parts = [f"{n} AS (\n{CTE[n][1].strip()}\n)" for n in order]
     body = final.strip()
     if body[:5].upper() == "WITH ":
         # the statement has its own CTEs: continue the same WITH list
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+        return decimal_rounding("WITH " + ",\n".join(parts) + ",\n" + body[5:])
+    return decimal_rounding("WITH " + ",\n".join(parts) + "\n" + body)

@@ -86,7 +86,7 @@ def posture_table(t: Tables, risk: DataFrame | None = None) -> DataFrame:
     total = F.greatest(F.col("monitored_count"), F.lit(1))
     rows = [F.struct(F.lit(label).alias("attention_state"), F.lit(order).alias("display_order"),
                      F.col(col).alias("product_count"),
-                     F.round(F.col(col) / total, 9).alias("share"))
+                     X.dround(F.col(col) / total, 9).alias("share"))
             for (label, order), col in zip(POSTURE_STATES, ["high_risk_count", "watchlist_count", "healthy_count"])]
     return (p.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
             .orderBy("display_order"))

@@ -177,8 +177,8 @@ def production_severity(t: Tables) -> DataFrame:
     """DQ14 — production gap, downtime and constrained days per plant and product."""
     return t.production.groupBy("plant_id", "product_id").agg(
         F.count(F.lit(1)).alias("production_days"),
-        F.round(F.avg(F.col("planned_quantity") - F.col("produced_quantity")), 2).alias("avg_production_gap"),
-        F.round(F.avg("downtime_hours"), 2).alias("avg_downtime_hours"),
+        X.dround(F.avg(F.col("planned_quantity") - F.col("produced_quantity")), 2).alias("avg_production_gap"),
+        X.dround(F.avg("downtime_hours"), 2).alias("avg_downtime_hours"),
         F.sum(X.iff(F.col("production_status") == "Constrained", 1, 0)).alias("constrained_days"))
 
 
@@ -209,7 +209,7 @@ def supplier_delay(t: Tables) -> DataFrame:
     r = t.supply_receipt.select("po_line_id", "receipt_date")
     return po.join(r, "po_line_id").groupBy("supplier_id").agg(
         F.count(F.lit(1)).alias("receipt_count"),
-        F.round(F.avg(X.days_between("promised_receipt_date", "receipt_date")), 2).alias("avg_receipt_delay_days"))
+        X.dround(F.avg(X.days_between("promised_receipt_date", "receipt_date")), 2).alias("avg_receipt_delay_days"))
 
 
 def inventory_pressure(t: Tables) -> DataFrame:

@@ -355,8 +355,8 @@ def _two_level_vs_row(t: Tables):
     per_line = r.groupBy("po_line_id", "supplier_id").agg(F.avg("delay").alias("line_mean"),
                                                           F.sum("delay").alias("s"), F.count(F.lit(1)).alias("n"))
     return per_line.groupBy("supplier_id").agg(
-        F.round(F.avg("line_mean"), 6).alias("mean_of_line_means"),
-        F.round(F.sum("s") / F.sum("n"), 6).alias("row_mean"))
+        X.dround(F.avg("line_mean"), 6).alias("mean_of_line_means"),
+        X.dround(F.sum("s") / F.sum("n"), 6).alias("row_mean"))
 
 
 register("agg14_two_level", _two_level_vs_row, """

@@ -81,7 +81,7 @@ METRICS: dict[str, Metric] = {m.name: m for m in [
        synonyms=("OTD rate", "on-time percentage", "delivery reliability"),
        comment="On-time over eligible (delivered) shipments."),
     _m("avg_delivery_delay_days", "shipment_performance",
-       lambda: F.round(X.avg_when("delivery_delay_days", F.col("delivery_eligible_flag")), X.RATIO_DIGITS),
+       lambda: X.dround(X.avg_when("delivery_delay_days", F.col("delivery_eligible_flag")), X.RATIO_DIGITS),
        synonyms=("average delay", "mean delay days", "average lateness")),
     _m("production_attainment", "production_performance",
        lambda: X.sum_ratio("produced_quantity", "planned_quantity"),

@@ -153,7 +153,7 @@ def receipt_summary(t: Tables) -> DataFrame:
         F.sum("received_quantity").alias("received_quantity"),
         F.sum("accepted_quantity").alias("accepted_quantity"),
         F.sum("rejected_quantity").alias("rejected_quantity"),
-        F.round(F.avg("avg_receipt_delay_days"), 2).alias("avg_receipt_delay_days"),
+        X.dround(F.avg("avg_receipt_delay_days"), 2).alias("avg_receipt_delay_days"),
         F.sum("on_time_receipts").alias("on_time_receipts"))
 
 
@@ -233,7 +233,7 @@ def risk_signals(t: Tables, fulfillment: DataFrame | None = None, shipments: Dat
     one = lambda c: F.coalesce(F.when(c, F.lit(1)).otherwise(F.lit(0)), F.lit(0))
     ffl, dfl, pfl = X.threshold_flag(fr, FULFILLMENT_CUT), X.threshold_flag(od, OTD_CUT), \
         X.threshold_flag(pa, ATTAINMENT_CUT)
-    r = lambda c: F.round(c, X.RATIO_DIGITS)
+    r = lambda c: X.dround(c, X.RATIO_DIGITS)
     return agg.select(
         "product_id", "product_name",
         r(fr).alias("fulfillment_rate"), "order_lines_with_gaps", "total_order_lines",
