@@ -42,14 +42,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # noqa: BLE001 — remote sessions have no SparkContext here
+        master = spark.conf.get("spark.master", "")
+    return str(master).startswith("local")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    A folder is only chosen here when the session names none (local tests); on a cluster the
-    setting must point at shared storage so checkpoints survive executor loss.
+    A folder is only chosen here when the session names none and runs in local mode (tests); on
+    a cluster the setting must point at shared storage so checkpoints survive executor loss, and
+    a missing setting is an error rather than a silent machine-local folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not _is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
+                               "(e.g. an HDFS or object-store folder) before checkpointing")
         import tempfile
         path = tempfile.mkdtemp(prefix="supplymetrics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -87,3 +87,26 @@ def test_run_batch_records_outcomes(small):
     out = {r.query_id: r for r in run_batch(small, ["vq01_fulfillment_by_segment", "vq14_exposed_and_constrained"]).collect()}
     assert out["vq01_fulfillment_by_segment"].status == "SUCCESS" and out["vq01_fulfillment_by_segment"].row_count == 5
     assert out["vq14_exposed_and_constrained"].status in ("SUCCESS", "NO_ROWS")
+
+
+def test_checkpoint_dir_required_on_cluster(spark):
+    import pytest
+    from supplymetrics.session import checkpoint_dir
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, key, value):
+            raise AssertionError("must not choose a folder on a cluster")
+
+    class _Ctx:
+        master = "yarn"
+
+    class _Cluster:
+        conf = _Conf()
+        sparkContext = _Ctx()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(_Cluster())
+    assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")   # local: kept as set
