@@ -8,6 +8,8 @@ Rules carried over from the modelled product:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,34 @@ NEAR_SAFETY_FACTOR = 1.25
 BOM_CHUNK = 4096       # parts per first-stage chunk of the critical-part list
 
 
+def surface(fn):
+    """Reuse a surface's lazy plan per ``Tables`` instance (one per session and directory).
+
+    Only the analysed plan (not data) is kept, so repeated queries skip re-analysing the same
+    joins on the driver; each call returns a new Dataset over it, planned with the session's
+    current settings. Calls with a Column or DataFrame argument are built fresh."""
+    @functools.wraps(fn)
+    def wrapper(t: Tables, *args, **kwargs):
+        if any(isinstance(a, (Column, DataFrame)) for a in (*args, *kwargs.values())):
+            return fn(t, *args, **kwargs)
+        memo = t.__dict__.setdefault("_surfaces", {})
+        key = (fn.__name__, args, tuple(sorted(kwargs.items())))
+        try:
+            df = memo.get(key)
+        except TypeError:  # unhashable argument
+            return fn(t, *args, **kwargs)
+        if df is None:
+            df = memo[key] = fn(t, *args, **kwargs)
+        # a new Dataset over the analysed plan, so physical planning follows the current config
+        return df.select("*")
+    return wrapper
+
+
 def _plant(t: Tables) -> DataFrame:
     return t.plant.select("plant_id", "plant_name", F.col("region").alias("plant_region"))
 
 
+@surface
 def customer_fulfillment(t: Tables) -> DataFrame:
     """SUR4 — one row per order line."""
     o = t.order_line
@@ -49,6 +75,7 @@ def customer_fulfillment(t: Tables) -> DataFrame:
         X.flag(fulfilled < ordered).alias("fulfillment_gap_flag"))
 
 
+@surface
 def shipment_performance(t: Tables) -> DataFrame:
     """SUR5 — one row per shipment."""
     s = t.shipment
@@ -71,6 +98,7 @@ def shipment_performance(t: Tables) -> DataFrame:
         X.flag(actual.isNotNull()).alias("delivery_eligible_flag"))
 
 
+@surface
 def critical_bom(t: Tables, watched_part: Column | int | None = None) -> DataFrame:
     """Critical BOM rows collapsed to one row per product (JN3 input): count, ordered list of
     'part (qty)', and exposure to the watched part. Two-stage (see ``listagg``)."""
@@ -89,6 +117,7 @@ def critical_bom(t: Tables, watched_part: Column | int | None = None) -> DataFra
     ).withColumnRenamed("listagg", "critical_parts")
 
 
+@surface
 def production_performance(t: Tables, watched_part: Column | int | None = None) -> DataFrame:
     """SUR3 — one row per plant × product × production date; BOM attributes pre-aggregated."""
     pr = t.production
@@ -110,6 +139,7 @@ def production_performance(t: Tables, watched_part: Column | int | None = None)
         "watched_part_qty_per_product")
 
 
+@surface
 def inventory_position(t: Tables) -> DataFrame:
     """SUR2 — one row per part × plant × snapshot date (semi-additive quantities)."""
     i = t.inventory
@@ -128,6 +158,7 @@ def inventory_position(t: Tables) -> DataFrame:
         .alias("inventory_risk_band"))
 
 
+@surface
 def po_summary(t: Tables) -> DataFrame:
     """SUR1a — PO lines per supplier × part."""
     return t.purchase_order_line.groupBy("supplier_id", "part_id").agg(
@@ -135,6 +166,7 @@ def po_summary(t: Tables) -> DataFrame:
         F.sum("ordered_quantity").alias("ordered_quantity"))
 
 
+@surface
 def receipt_summary(t: Tables) -> DataFrame:
     """SUR1b — receipts per PO line (delay vs the line's promise), then per supplier × part.
     The average delay is a mean of per-PO-line means (AGG14)."""
@@ -157,6 +189,7 @@ def receipt_summary(t: Tables) -> DataFrame:
         F.sum("on_time_receipts").alias("on_time_receipts"))
 
 
+@surface
 def quality_summary(t: Tables) -> DataFrame:
     """SUR1c — inspections per supplier × part."""
     return t.quality.groupBy("supplier_id", "part_id").agg(
@@ -172,6 +205,7 @@ def supply_risk_band(avg_delay: Column, defect_pct_raw: Column) -> Column:
                    ((d >= SUPPLY_MEDIUM) | (q >= SUPPLY_MEDIUM), "MEDIUM")], "LOW")
 
 
+@surface
 def supplier_performance(t: Tables) -> DataFrame:
     """SUR1 — one row per supplier × part sourcing relationship.
 
@@ -201,6 +235,7 @@ def supplier_performance(t: Tables) -> DataFrame:
         supply_risk_band(F.col("avg_receipt_delay_days"), defect_raw).alias("supply_risk_band"))
 
 
+@surface
 def risk_signals(t: Tables, fulfillment: DataFrame | None = None, shipments: DataFrame | None = None,
                  production: DataFrame | None = None) -> DataFrame:
     """SUR6 — one row per product: three independent signals and their co-occurrence count.
