@@ -73,3 +73,16 @@ def test_supplier_surface_joins_share_partitioning(spark):
     # one exchange per pre-aggregate on the composite key, none re-shuffling the join chain
     keyed = re.findall(r"Exchange hashpartitioning\(supplier_id#\d+L, part_id#\d+L", p)
     assert len(keyed) == 3, p
+
+
+def test_surface_plan_reused_as_fresh_dataset(spark):
+    from pyspark.sql import functions as F
+    from supplymetrics.plans import surfaces as SUR
+    from supplymetrics.sources.adapters import Tables
+    t = Tables.of(spark, SMALL)
+    a, b = SUR.supplier_performance(t), SUR.supplier_performance(t)
+    assert a is not b and a.columns == b.columns       # a new Dataset per call ...
+    assert ("supplier_performance", (), ()) in t._surfaces   # ... over one memoised plan
+    c = SUR.critical_bom(t, F.lit(1))                  # Column arguments are never memoised
+    assert not any(k[0] == "critical_bom" and k[1] and not isinstance(k[1][0], int) for k in t._surfaces)
+    assert c.columns == SUR.critical_bom(t).columns
