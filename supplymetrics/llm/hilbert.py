@@ -101,6 +101,11 @@ def _index_sql(n: int, bits: int, names: list[str]) -> str:
     return body + "[0]" * opened
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Hash of all columns of a row."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS,
            dimensions: Sequence[str] = STRING_DIMENSIONS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, curve_index, row_key, shard (0 to shards - 1), slot (gapless from 0).
@@ -109,7 +114,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS,
     """
     rows = cut(docs.select("doc_id", text_bytes(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32"),
                            F.xxhash64("text").alias("text_key"),
-                           F.xxhash64(*docs.columns).alias("row_key"),
+                           row_key(docs).alias("row_key"),
                            *[F.col(c).cast("string").alias(f"dim_{i}") for i, c in enumerate(dimensions)]))
     placed = rows.withColumn(f"cell_{len(dimensions)}", size_cell(F.col("size"), bits))
     for i in range(len(dimensions)):
@@ -142,6 +147,6 @@ def in_shards(docs: DataFrame, **settings) -> DataFrame:
     Rows equal in every column are interchangeable: each place of theirs gets the same row.
     """
     places = assign(docs, **settings).select("text_key", "row_key", F.struct("shard", "slot").alias("place"))
-    rows = docs.select(F.xxhash64("text").alias("text_key"), F.xxhash64(*docs.columns).alias("row_key"),
+    rows = docs.select(F.xxhash64("text").alias("text_key"), row_key(docs).alias("row_key"),
                        F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("doc"))
     return rows.dropDuplicates(["text_key", "row_key"]).join(places, ["text_key", "row_key"]).select("doc.*", "place.*")

@@ -1,3 +1,118 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The statements compute the results by other means where there are any: the mix ranks every quotient of every
+source, decontamination counts shared shingles of every pair that shares one.
+"""
+
+from __future__ import annotations
+
+from supplymetrics.llm import decontam, linededup, mixing, quality_rules, warc
+from supplymetrics.llm.common import SPACE_CHARS, UPPER, WORD
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+assert SPACE_CHARS == " \t\n\x0b\x0c\r"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+OP1 = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+         md5(concat_ws(':', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''), coalesce(md5(text), ''))) AS okey
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS s, {mixing.MAX_REPEAT} * sum(size)::BIGINT AS cap,
+         (row_number() OVER (ORDER BY source NULLS LAST))::BIGINT AS r,
+         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT ((SELECT sum(s) FROM sources) - coalesce((SELECT sum(b.cap) FROM sources b WHERE b.cap / b.w < a.cap / a.w), 0))
+         / (SELECT sum(b.w) FROM sources b WHERE b.cap / b.w >= a.cap / a.w) AS level FROM sources a),
+stopped AS (SELECT *, cap <= w * (SELECT max(level) FROM levels) AS is_stopped FROM sources),
+rest AS (SELECT sum(s) - coalesce(sum(cap) FILTER (is_stopped), 0) AS words, sum(w) FILTER (NOT is_stopped) AS weight FROM stopped),
+target AS (
+  SELECT source, s, cap, r, CASE WHEN is_stopped THEN cap::DOUBLE ELSE w::DOUBLE * words::DOUBLE / weight::DOUBLE END AS target
+  FROM stopped, rest),
+seats AS (SELECT round(sum(target) / {mixing.BLOCK_WORDS})::BIGINT AS n FROM target),
+quotients AS (
+  SELECT r, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, r, k) AS place
+  FROM (SELECT r, target, unnest(range(least(n, ceil(cap / {mixing.BLOCK_WORDS})::BIGINT))) AS k FROM target, seats)),
+quota AS (SELECT r, count(*) AS q FROM quotients, seats WHERE place <= n GROUP BY r),
+placed AS (
+  SELECT d.doc_id, d.size, t.s, t.target, least(coalesce(q.q, 0) * {mixing.BLOCK_WORDS}, t.cap) AS budget,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.okey, d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_word
+  FROM sized d JOIN target t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN quota q ON q.r = t.r)
+SELECT doc_id, size, s AS source_size, target,
+       ({" + ".join(f"greatest(0, least(size, budget - start_word - {e} * s))" for e in range(mixing.MAX_REPEAT))})::BIGINT AS taken
+FROM placed
+"""
+
+OP3 = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
+keyed AS (SELECT *, translate(trim(line, {_SPACES}), '{UPPER}', '{UPPER.lower()}') AS key FROM lines),
+common AS (SELECT key FROM keyed WHERE length(key) >= {linededup.MIN_CHARS} GROUP BY key
+           HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
+marked AS (SELECT k.*, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+OP5 = f"""
+WITH words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM words),
+seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM windows),
+repeated AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat FROM seen, (SELECT unnest([0, 1, 2]) AS o) WHERE n > 1 GROUP BY doc_id),
+split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM words),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
+own AS (SELECT *, regexp_extract_all(line, '{WORD}') AS ws, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth FROM lines),
+judged AS (
+  SELECT doc_id, len(ws) AS n, nth,
+         2 * len(list_filter(ws, lambda x: regexp_matches(x, {_quoted(quality_rules.NOISY_WORD)}))) > len(ws)
+         OR NOT regexp_matches(line, {_quoted(quality_rules.SENTENCE_END)}) OR regexp_matches(line, {_quoted(quality_rules.NAVIGATION)})
+         OR regexp_matches(lower(line), {_quoted(quality_rules.BOILERPLATE)}) AS lost
+  FROM own WHERE len(ws) > 0),
+by_line AS (SELECT doc_id, count(*) FILTER (nth > 1) AS dups, coalesce(sum(n) FILTER (NOT lost), 0) AS kept_words FROM judged GROUP BY doc_id),
+stats AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(length(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '{quality_rules.SYMBOLS.pattern}'))::BIGINT AS n_symbols,
+         coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(kept_words, 0) AS kept_words
+  FROM words w LEFT JOIN repeated USING (doc_id) LEFT JOIN by_line USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words)
+       AND kept_words >= {quality_rules.MIN_KEPT_SHARE} * n_words AS kept
+FROM stats
+"""
+
+OP9 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} AND page_id < last THEN last END AS refers_to
+FROM m
+"""
+
+
+def _shingled(table: str, key: str) -> str:
+    n = decontam.SHINGLE_WORDS
+    return f"""
+  SELECT DISTINCT {key}, array_to_string(ws[i:i + least({n}, len(ws)) - 1], ' ') AS shingle
+  FROM (SELECT {key}, ws, unnest(range(1, len(ws) - least({n}, len(ws)) + 2)) AS i
+        FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table}) WHERE len(ws) > 0)"""
+
+
+OP10 = f"""
+WITH d AS ({_shingled("documents", "doc_id")}), b AS ({_shingled("benchmark", "item_id")}),
+size AS (SELECT item_id, count(*)::BIGINT AS item_shingles FROM b GROUP BY item_id),
+met AS (SELECT doc_id, item_id, count(*)::BIGINT AS shared FROM d JOIN b USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment
+FROM met JOIN size USING (item_id) WHERE shared >= {decontam.THRESHOLD} * item_shingles - 1e-9
+"""
+
+SQL: dict[str, str] = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op5_quality_rules": OP5, "op9_warc": OP9, "op10_decontamination": OP10}

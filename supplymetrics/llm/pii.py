@@ -39,7 +39,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")  # in the order of the result
 SEEDS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})$"  # well-known formats: access key ids, 160-bit hexadecimal keys
 MIN_TOKEN = 8
 TOKEN = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{{{MIN_TOKEN},}}+"
-RANDOM_LOOK = r"^(?=.*[0-9].*[0-9])(?=.*[A-Za-z].*[A-Za-z])[A-Za-z0-9_-]+$"
+MIN_DIGITS = MIN_LETTERS = 2  # of a token that looks random
 BEFORE = 64
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.4
@@ -129,6 +129,11 @@ def lexical_patterns(before: Column) -> Column:
     return F.filter(named, lambda x: x.isNotNull())
 
 
+def looks_random(token: Column) -> Column:
+    digits, letters = (F.length(F.regexp_replace(token, c, "")) for c in ("[^0-9]", "[^A-Za-z]"))
+    return (digits >= MIN_DIGITS) & (letters >= MIN_LETTERS)
+
+
 def bootstrap(tokens: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
               max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Trusted patterns and known instances, learned from tokens (instance, before)."""
@@ -139,7 +144,7 @@ def bootstrap(tokens: DataFrame, min_support: int = MIN_SUPPORT, min_confidence:
         marked = graph.join(known.withColumn("known", F.lit(1)), "instance", "left")
         trusted = cut(marked.groupBy("pattern").agg(F.count("known").alias("support"), F.count(F.lit(1)).alias("all"))
                       .filter((F.col("support") >= min_support) & (F.col("support") >= min_confidence * F.col("all"))).select("pattern"))
-        fresh = graph.join(trusted, "pattern").filter(F.col("instance").rlike(RANDOM_LOOK)).select("instance")
+        fresh = graph.join(trusted, "pattern").filter(looks_random(F.col("instance"))).select("instance")
         known = cut(known.unionByName(fresh).distinct())
         before, size = size, known.count()
         if size == before:

@@ -27,12 +27,12 @@ MAX_REPEAT_PERCENT = 50
 MIN_KEPT_SHARE = 0.5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 # Line rules. A line fails if it
-ENDS_WELL = r"[.!?…:;。！？][\"'”’»)\]]*$"  # does not end like a sentence or a list head (punctuation)
+SENTENCE_END = r"[.!?…:;。！？][\"'”’»)\]]*(\s|$)"  # has no end of a sentence or list head in it (punctuation)
 NAVIGATION = r"[|»›•·].*[|»›•·]"  # has two or more menu separators (navigation)
 BOILERPLATE = (r"(all rights reserved|copyright|\(c\) [0-9]{4}|licensed under|terms of (use|service)|privacy policy"
                r"|cookie policy|accept cookies|sign up|log ?in|subscribe now|click here|lorem ipsum)")  # says so (boilerplate)
-NOISY_WORD = r"[#*$%&<>!]{2,}$"  # has most of its words end in symbol runs (punctuation)
-ENDS_WELL_RE, NAVIGATION_RE, BOILERPLATE_RE, NOISY_RE = (re.compile(p) for p in (ENDS_WELL, NAVIGATION, BOILERPLATE, NOISY_WORD))
+NOISY_WORD = r"[#*$%&<>!]{2}$"  # has most of its words end in symbol runs (punctuation)
+SENTENCE_RE, NAVIGATION_RE, BOILERPLATE_RE, NOISY_RE = (re.compile(p) for p in (SENTENCE_END, NAVIGATION, BOILERPLATE, NOISY_WORD))
 
 STATS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
          "n_lines long, n_lines_lost long, kept_words long")
@@ -40,7 +40,7 @@ STATS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def line_fails(line: str, words: list[str]) -> bool:
     return (2 * sum(1 for w in words if NOISY_RE.search(w)) > len(words)
-            or not ENDS_WELL_RE.search(words[-1])
+            or not SENTENCE_RE.search(line)
             or NAVIGATION_RE.search(line) is not None
             or BOILERPLATE_RE.search(line.lower()) is not None)
 

@@ -36,7 +36,8 @@ SAMPLE_CHARS = 30_000
 SEED = 4
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
-DIMENSIONS = 6
+DIMENSIONS = 4
+DECAY = 0.01  # of the n-gram vectors each step, against learning single documents by heart
 EPOCHS = 180
 RATE = 0.1
 MIN_DOCS = 4
@@ -129,6 +130,7 @@ def train(texts: list[str], labels: list[int], weights: list[float], epochs: int
             largest[k] = 0.999 * largest[k] + 0.001 * float((g * g).max())
             step_size = RATE * (1 - (step - 1) / epochs) / (math.sqrt(largest[k] / (1 - 0.999 ** step)) + 1e-12)
             state[k] -= step_size * momentum[k] / (1 - 0.9 ** step)
+        state["grams"] *= 1 - DECAY
     logit = state["layer"][:, 1] - state["layer"][:, 0]
     shares = np.zeros(BUCKETS, np.float32)
     shares[used] = state["grams"] @ logit
