@@ -7,7 +7,6 @@ Layers:
               semi-additive aggregates, data-quality primitives, ordering)
   plans/      curated surfaces, governed metrics, the semantic model, verified queries,
               dashboard aggregates and the data-quality job
-  streaming/  (intentionally empty: the modelled product has no streaming surface)
 """
 
 from supplymetrics.session import get_spark, checkpoint_dir

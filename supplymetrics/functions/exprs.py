@@ -121,14 +121,6 @@ def bucket(col, n: int) -> Column:
     return F.pmod(h, F.lit(n))
 
 
-def natural_key(*parts) -> Column:
-    """Composite natural key 'a-b-yyyyMMdd' (BLD4); date parts are formatted compactly."""
-    cols = []
-    for p in parts:
-        cols.append(_c(p).cast("string"))
-    return F.concat_ws("-", *cols)
-
-
 def yyyymmdd(d) -> Column:
     return F.date_format(_c(d), "yyyyMMdd")
 

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from supplymetrics.functions import exprs as X
-from pyspark.sql import types as T
-
 from supplymetrics.sources.schemas import conform
 
 
@@ -51,21 +48,22 @@ def apply_rate(df: DataFrame, rates: DataFrame, key: str, qty: str, rate: str =
     ``rates`` is a lookup keyed by ``key``; rows without a rate keep their quantity. The join
     is left to the planner (AQE broadcasts it when the measured lookup is small)."""
     r = rates.select(key, F.col(rate).alias("_rate"))
-    adjusted = F.greatest(F.lit(0.0), X.dround(F.col(qty) * (F.lit(1.0) - F.coalesce("_rate", F.lit(0.0))), 0))
+    # greatest() skips NULLs, so a missing quantity is kept missing explicitly
+    adjusted = F.when(F.col(qty).isNotNull(), F.greatest(
+        F.lit(0.0), X.dround(F.col(qty) * (F.lit(1.0) - F.coalesce("_rate", F.lit(0.0))), 0)))
     return df.join(r, key, "left").withColumn(out, adjusted).drop("_rate")
 
 
 def surrogate_key(df: DataFrame, order_by: Sequence[str], name: str, prefix: str = "",
                   width: int = 0, num_partitions: int | None = None) -> DataFrame:
-    """Dense, ordered surrogate key ``prefix + lpad(row_number, width)`` over a total order
-    (BLD3) without pulling all rows into one task.
+    """Dense, ordered surrogate key: ``prefix`` and the row number, zero-padded to ``width`` (longer
+    numbers keep all digits), over a total order (BLD3) without pulling all rows into one task.
 
     1. range-partition on the order and sort inside partitions;
     2. checkpoint to the shared checkpoint folder, so partition contents are fixed for the two
        passes below (a recomputed range shuffle could place rows differently);
-    3. count rows per partition (one small row per partition) and turn the counts into
-       starting offsets;
-    4. number rows inside each partition with an Arrow batch iterator and add the offset.
+    3. a row's position in its partition is the low part of ``monotonically_increasing_id``;
+    4. rows per partition (one small row per partition) give the starting offsets.
 
     ``order_by`` must be a total order (append a unique column on ties).
     """
@@ -73,26 +71,17 @@ def surrogate_key(df: DataFrame, order_by: Sequence[str], name: str, prefix: str
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     from supplymetrics.session import checkpoint_dir
     checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = (df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).checkpoint(eager=True)
+              .withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumns({"_pid": F.shiftright("_at", 33), "_pos": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # offsets: rows in all lower partitions; the window runs over one row per partition
     prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"))
-
-    def number(batches):
-        seen = 0
-        for pdf in batches:
-            k = len(pdf)
-            pdf.insert(0, "_pos", np.arange(seen + 1, seen + k + 1, dtype="int64"))
-            yield pdf
-            seen += k
-
-    schema = T.StructType([T.StructField("_pos", T.LongType(), False)] + ranged.schema.fields)
-    numbered = ranged.mapInPandas(number, schema)
-    rn = F.col("_off") + F.col("_pos")
-    key = F.concat(F.lit(prefix), F.lpad(rn.cast("string"), width, "0")) if width else \
-        (F.concat(F.lit(prefix), rn.cast("string")) if prefix else rn)
-    return (numbered.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, key).drop("_pid", "_pos", "_off"))
+    number = F.col("_off") + F.col("_pos") + 1
+    digits = number.cast("string")
+    if width:
+        digits = F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+    key = F.concat(F.lit(prefix), digits) if prefix or width else number
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, key).drop("_at", "_pid", "_pos", "_off"))

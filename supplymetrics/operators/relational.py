@@ -14,25 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 __all__ = [
-    "enrich", "preaggregate_then_join", "orphans", "reconcile", "duplicates", "distinct_on",
-    "universe", "report", "unpivot", "top_k", "extreme", "at_latest", "two_level",
+    "orphans", "reconcile", "duplicates",
+    "universe", "report", "unpivot", "top_k", "extreme", "at_latest",
     "semi_additive", "listagg", "combine_signals",
 ]
 
 
-def enrich(fact: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str]]],
-           how: str = "inner") -> DataFrame:
-    """Star join: the fact joined to each dimension on its key (JN1/JN14)."""
-    return reduce(lambda acc, d: acc.join(d[0], d[1], how), dims, fact)
-
-
-def preaggregate_then_join(fact: DataFrame, bridge: DataFrame, key: str | Sequence[str],
-                           aggs: Sequence[Column], how: str = "left") -> DataFrame:
-    """Collapse a many-to-many bridge to one row per key, then join (JN3) — no fan-out."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return fact.join(bridge.groupBy(*keys).agg(*aggs), keys, how)
-
-
 def orphans(child: DataFrame, parent: DataFrame, child_key: str | Sequence[str],
             parent_key: str | Sequence[str] | None = None) -> DataFrame:
     """Child rows whose (possibly composite) foreign key has no parent (JN7): a left-anti
@@ -62,11 +49,6 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             .filter(F.col("row_count") > 1))
 
 
-def distinct_on(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """GROUP BY without aggregates (AGG16)."""
-    return df.select(*cols).distinct()
-
-
 def universe(dfs: Sequence[DataFrame], cols: Sequence[str]) -> DataFrame:
     """UNION (distinct) of the same key columns from several tables (SET2)."""
     return reduce(DataFrame.unionByName, [d.select(*cols) for d in dfs]).distinct()
@@ -100,13 +82,6 @@ def at_latest(df: DataFrame, date_col: str) -> DataFrame:
     return df.filter(F.col(date_col) == df.select(F.max(date_col)).scalar())
 
 
-def two_level(df: DataFrame, inner_keys: Sequence[str], inner_aggs: Sequence[Column],
-              outer_keys: Sequence[str], outer_aggs: Sequence[Column]) -> DataFrame:
-    """Aggregate per inner grain, then aggregate the aggregates (AGG14). Note AVG of AVGs is
-    not the row mean."""
-    return df.groupBy(*inner_keys).agg(*inner_aggs).groupBy(*outer_keys).agg(*outer_aggs)
-
-
 def semi_additive(df: DataFrame, group_by: Sequence[str], date_col: str,
                   aggs: Mapping[str, Column]) -> DataFrame:
     """Semi-additive aggregate (SA1): additive over every dimension except ``date_col``.

@@ -242,76 +242,64 @@ SELECT i.inventory_snapshot_id, i.snapshot_date, i.part_id, p.part_name, p.part_
 FROM inventory_t i JOIN part_t p ON i.part_id = p.part_id JOIN plant_t pl ON i.plant_id = pl.plant_id""",
     ("inventory_t", "part_t", "plant_t"))
 
+# One grouped pass over a tagged union of purchase orders, receipts and inspections. The mean of the
+# per-line mean delays is the sum of delay / receipts of the line, over the number of lines.
 cte("supplier_performance", """
-WITH po AS (SELECT supplier_id, part_id, count(*) AS po_line_count, sum(ordered_quantity) AS ordered_quantity
-            FROM purchase_order_line_t GROUP BY supplier_id, part_id),
-rl AS (SELECT r.po_line_id, r.supplier_id, r.part_id, count(*) AS receipt_count,
-              sum(r.received_quantity) AS received_quantity, sum(r.accepted_quantity) AS accepted_quantity,
-              sum(r.rejected_quantity) AS rejected_quantity,
-              avg(r.receipt_date - pol.promised_receipt_date) AS avg_receipt_delay_days,
-              sum(CASE WHEN r.receipt_date <= pol.promised_receipt_date THEN 1 ELSE 0 END) AS on_time_receipts
-       FROM supply_receipt_t r JOIN purchase_order_line_t pol ON r.po_line_id = pol.po_line_id
-       GROUP BY r.po_line_id, r.supplier_id, r.part_id),
-ra AS (SELECT supplier_id, part_id, sum(receipt_count) AS receipt_count, sum(received_quantity) AS received_quantity,
-              sum(accepted_quantity) AS accepted_quantity, sum(rejected_quantity) AS rejected_quantity,
-              round(avg(avg_receipt_delay_days), 2) AS avg_receipt_delay_days, sum(on_time_receipts) AS on_time_receipts
-       FROM rl GROUP BY supplier_id, part_id),
-qa AS (SELECT supplier_id, part_id, sum(inspected_quantity) AS inspected_quantity,
-              sum(defective_quantity) AS defective_quantity FROM quality_t GROUP BY supplier_id, part_id)
-SELECT sp.supplier_id, s.supplier_name, s.supplier_region, s.supplier_tier, s.supplier_status,
-       sp.part_id, p.part_name, p.part_category, p.criticality, sp.preferred_supplier_flag, sp.allocation_percent,
-       CAST(COALESCE(po.po_line_count, 0) AS BIGINT) AS po_line_count,
-       COALESCE(po.ordered_quantity, 0.0) AS ordered_quantity,
-       CAST(COALESCE(ra.receipt_count, 0) AS BIGINT) AS receipt_count,
-       COALESCE(ra.received_quantity, 0.0) AS received_quantity,
-       COALESCE(ra.accepted_quantity, 0.0) AS accepted_quantity,
-       COALESCE(ra.rejected_quantity, 0.0) AS rejected_quantity,
-       ra.avg_receipt_delay_days,
-       round(100.0::DOUBLE * ra.on_time_receipts / NULLIF(ra.receipt_count, 0), 2) AS on_time_receipt_pct,
-       COALESCE(qa.inspected_quantity, 0.0) AS inspected_quantity,
-       COALESCE(qa.defective_quantity, 0.0) AS defective_quantity,
-       round(100.0::DOUBLE * qa.defective_quantity / NULLIF(qa.inspected_quantity, 0), 2) AS defect_rate_pct,
-       CASE WHEN COALESCE(ra.avg_receipt_delay_days, 0) >= 3
-              OR COALESCE(100.0::DOUBLE * qa.defective_quantity / NULLIF(qa.inspected_quantity, 0), 0) >= 3 THEN 'HIGH'
-            WHEN COALESCE(ra.avg_receipt_delay_days, 0) >= 1
-              OR COALESCE(100.0::DOUBLE * qa.defective_quantity / NULLIF(qa.inspected_quantity, 0), 0) >= 1 THEN 'MEDIUM'
-            ELSE 'LOW' END AS supply_risk_band
-FROM supplier_part_t sp JOIN supplier_t s ON sp.supplier_id = s.supplier_id JOIN part_t p ON sp.part_id = p.part_id
-LEFT JOIN po ON sp.supplier_id = po.supplier_id AND sp.part_id = po.part_id
-LEFT JOIN ra ON sp.supplier_id = ra.supplier_id AND sp.part_id = ra.part_id
-LEFT JOIN qa ON sp.supplier_id = qa.supplier_id AND sp.part_id = qa.part_id""",
+WITH moves AS (
+  SELECT supplier_id, part_id, 'order' AS kind, po_line_id AS line, ordered_quantity AS v1, 0.0 AS v2, 0.0 AS v3, 0.0 AS share, false AS in_time
+  FROM purchase_order_line_t
+  UNION ALL
+  SELECT r.supplier_id, r.part_id, 'receipt', r.po_line_id, r.received_quantity, r.accepted_quantity, r.rejected_quantity,
+         (r.receipt_date - l.promised_receipt_date)::DOUBLE / count(*) OVER (PARTITION BY r.po_line_id, r.supplier_id, r.part_id),
+         r.receipt_date <= l.promised_receipt_date
+  FROM supply_receipt_t r JOIN purchase_order_line_t l USING (po_line_id)
+  UNION ALL
+  SELECT supplier_id, part_id, 'inspection', NULL, inspected_quantity, defective_quantity, 0.0, 0.0, false FROM quality_t),
+card AS (
+  SELECT supplier_id, part_id,
+         count(*) FILTER (kind = 'order') AS orders, sum(v1) FILTER (kind = 'order') AS ordered,
+         count(*) FILTER (kind = 'receipt') AS receipts, sum(v1) FILTER (kind = 'receipt') AS received,
+         sum(v2) FILTER (kind = 'receipt') AS accepted, sum(v3) FILTER (kind = 'receipt') AS rejected,
+         round(sum(share) FILTER (kind = 'receipt') / count(DISTINCT line) FILTER (kind = 'receipt'), 2) AS delay,
+         count(*) FILTER (kind = 'receipt' AND in_time) AS in_time,
+         sum(v1) FILTER (kind = 'inspection') AS inspected, sum(v2) FILTER (kind = 'inspection') AS defective
+  FROM moves GROUP BY supplier_id, part_id),
+rated AS (SELECT *, greatest(ifnull(delay, 0), ifnull(100.0::DOUBLE * defective / NULLIF(inspected, 0), 0)) AS worst FROM card)
+SELECT supplier_id, supplier_name, supplier_region, supplier_tier, supplier_status, part_id, part_name, part_category, criticality,
+       preferred_supplier_flag, allocation_percent, ifnull(orders, 0)::BIGINT AS po_line_count, ifnull(ordered, 0.0) AS ordered_quantity,
+       ifnull(receipts, 0)::BIGINT AS receipt_count, ifnull(received, 0.0) AS received_quantity, ifnull(accepted, 0.0) AS accepted_quantity,
+       ifnull(rejected, 0.0) AS rejected_quantity, delay AS avg_receipt_delay_days,
+       round(100.0::DOUBLE * in_time / NULLIF(receipts, 0), 2) AS on_time_receipt_pct,
+       ifnull(inspected, 0.0) AS inspected_quantity, ifnull(defective, 0.0) AS defective_quantity,
+       round(100.0::DOUBLE * defective / NULLIF(inspected, 0), 2) AS defect_rate_pct,
+       ['LOW', 'MEDIUM', 'HIGH'][1 + (ifnull(worst, 0) >= 1)::INT + (ifnull(worst, 0) >= 3)::INT] AS supply_risk_band
+FROM supplier_part_t LEFT JOIN rated USING (supplier_id, part_id) JOIN supplier_t USING (supplier_id) JOIN part_t USING (part_id)""",
     ("purchase_order_line_t", "supply_receipt_t", "quality_t", "supplier_part_t", "supplier_t", "part_t"))
 
+# One filtered aggregate over a tagged union of the three surfaces: parts / wholes of each signal and a row flag.
 cte("product_risk_signals", """
-WITH pu AS (SELECT product_id, product_name FROM customer_fulfillment
-            UNION SELECT product_id, product_name FROM shipment_performance
-            UNION SELECT product_id, product_name FROM production_performance),
-f AS (SELECT product_id, sum(fulfilled_quantity) / NULLIF(sum(ordered_quantity), 0) AS fulfillment_rate,
-             count_if(fulfillment_gap_flag) AS order_lines_with_gaps, count(*) AS total_order_lines
-      FROM customer_fulfillment GROUP BY product_id),
-d AS (SELECT product_id, count_if(on_time_flag)::DOUBLE / NULLIF(count_if(delivery_eligible_flag), 0) AS on_time_delivery_rate,
-             count_if(delivery_eligible_flag) AS eligible_shipments
-      FROM shipment_performance GROUP BY product_id),
-p AS (SELECT product_id, sum(produced_quantity) / NULLIF(sum(planned_quantity), 0) AS production_attainment,
-             count_if(constraint_flag) AS constrained_days, count(*) AS total_production_days
-      FROM production_performance GROUP BY product_id)
-SELECT pu.product_id, pu.product_name,
-       round(f.fulfillment_rate, 9) AS fulfillment_rate,
-       CAST(COALESCE(f.order_lines_with_gaps, 0) AS BIGINT) AS order_lines_with_gaps,
-       CAST(COALESCE(f.total_order_lines, 0) AS BIGINT) AS total_order_lines,
-       CASE WHEN f.fulfillment_rate IS NULL THEN NULL ELSE f.fulfillment_rate < 0.90 END AS fulfillment_risk_flag,
-       round(d.on_time_delivery_rate, 9) AS on_time_delivery_rate,
-       CAST(COALESCE(d.eligible_shipments, 0) AS BIGINT) AS eligible_shipments,
-       CASE WHEN d.on_time_delivery_rate IS NULL THEN NULL ELSE d.on_time_delivery_rate < 0.85 END AS delivery_risk_flag,
-       round(p.production_attainment, 9) AS production_attainment,
-       CAST(COALESCE(p.constrained_days, 0) AS BIGINT) AS constrained_days,
-       CAST(COALESCE(p.total_production_days, 0) AS BIGINT) AS total_production_days,
-       CASE WHEN p.production_attainment IS NULL THEN NULL ELSE p.production_attainment < 0.90 END AS production_risk_flag,
-       CAST(COALESCE(CASE WHEN f.fulfillment_rate < 0.90 THEN 1 ELSE 0 END, 0)
-          + COALESCE(CASE WHEN d.on_time_delivery_rate < 0.85 THEN 1 ELSE 0 END, 0)
-          + COALESCE(CASE WHEN p.production_attainment < 0.90 THEN 1 ELSE 0 END, 0) AS INTEGER) AS risk_signal_count
-FROM pu LEFT JOIN f ON pu.product_id = f.product_id LEFT JOIN d ON pu.product_id = d.product_id
-LEFT JOIN p ON pu.product_id = p.product_id""",
+WITH evidence AS (
+  SELECT product_id, product_name, 'demand' AS kind, fulfilled_quantity AS part, ordered_quantity AS whole, fulfillment_gap_flag AS hit FROM customer_fulfillment
+  UNION ALL
+  SELECT product_id, product_name, 'delivery', on_time_flag::INT::DOUBLE, delivery_eligible_flag::INT::DOUBLE, delivery_eligible_flag FROM shipment_performance
+  UNION ALL
+  SELECT product_id, product_name, 'output', produced_quantity, planned_quantity, constraint_flag FROM production_performance),
+tally AS (
+  SELECT product_id, max(product_name) AS product_name,
+         sum(part) FILTER (kind = 'demand') / NULLIF(sum(whole) FILTER (kind = 'demand'), 0) AS demand_rate,
+         sum(part) FILTER (kind = 'delivery') / NULLIF(sum(whole) FILTER (kind = 'delivery'), 0) AS delivery_rate,
+         sum(part) FILTER (kind = 'output') / NULLIF(sum(whole) FILTER (kind = 'output'), 0) AS output_rate,
+         count(*) FILTER (kind = 'demand' AND hit) AS gaps, count(*) FILTER (kind = 'demand') AS demand_rows,
+         count(*) FILTER (kind = 'delivery' AND hit) AS delivered,
+         count(*) FILTER (kind = 'output' AND hit) AS constrained, count(*) FILTER (kind = 'output') AS output_rows
+  FROM evidence GROUP BY product_id),
+flagged AS (SELECT *, demand_rate < 0.90 AS low_demand, delivery_rate < 0.85 AS low_delivery, output_rate < 0.90 AS low_output FROM tally)
+SELECT product_id, product_name, round(demand_rate, 9) AS fulfillment_rate, gaps AS order_lines_with_gaps, demand_rows AS total_order_lines,
+       low_demand AS fulfillment_risk_flag, round(delivery_rate, 9) AS on_time_delivery_rate, delivered AS eligible_shipments,
+       low_delivery AS delivery_risk_flag, round(output_rate, 9) AS production_attainment, constrained AS constrained_days,
+       output_rows AS total_production_days, low_output AS production_risk_flag,
+       len(list_filter([low_demand, low_delivery, low_output], lambda x: x))::INTEGER AS risk_signal_count
+FROM flagged""",
     ("customer_fulfillment", "shipment_performance", "production_performance"))
 
 

@@ -187,6 +187,33 @@ SELECT customer_segment, round(sum(fulfilled_quantity) / NULLIF(sum(ordered_quan
        CAST(count_if(fulfillment_gap_flag) AS BIGINT) AS order_lines_with_fulfillment_gaps
 FROM customer_fulfillment WHERE customer_priority = 'Strategic' GROUP BY customer_segment""", "customer_fulfillment")
 
+register("sem_filter_foreign_dim",
+         lambda t: MODEL.query(t, ["plant_name"], ["fulfillment_rate"], where="year = 1998 and plant.region = 'ASIA'"),
+         """
+SELECT f.plant_name, round(sum(f.fulfilled_quantity) / NULLIF(sum(f.ordered_quantity), 0), 9) AS fulfillment_rate
+FROM customer_fulfillment f JOIN date_t d ON f.order_date = d.calendar_date JOIN plant_t p ON f.plant_id = p.plant_id
+WHERE d.year = 1998 AND p.region = 'ASIA' GROUP BY f.plant_name""", "customer_fulfillment", "date_t", "plant_t")
+
+register("sem_qualified_dim",
+         lambda t: MODEL.query(t, ["plant.plant_name", "product.product_family"], ["production_attainment"]),
+         """
+SELECT pl.plant_name, pr.product_family,
+       round(sum(x.produced_quantity) / NULLIF(sum(x.planned_quantity), 0), 9) AS production_attainment
+FROM production_performance x JOIN plant_t pl ON x.plant_id = pl.plant_id JOIN product_t pr ON x.product_id = pr.product_id
+GROUP BY pl.plant_name, pr.product_family""", "production_performance", "plant_t", "product_t")
+
+register("sem_dims_only",
+         lambda t: MODEL.query(t, ["customer_fulfillment.customer_segment", "customer_region"]),
+         "SELECT DISTINCT customer_segment, customer_region FROM customer_fulfillment", "customer_fulfillment")
+
+register("sem_fact_by_name",
+         lambda t: MODEL.query(t, ["tier"], ["rejection_rate"],
+                               aggregates={"received": ("sum", "qty received"), "defects": ("sum", "defects")}),
+         """
+SELECT supplier_tier, round(sum(rejected_quantity) / NULLIF(sum(received_quantity), 0), 9) AS rejection_rate,
+       sum(received_quantity) AS received, sum(defective_quantity) AS defects
+FROM supplier_performance GROUP BY supplier_tier""", "supplier_performance")
+
 register("sa_on_hand_latest",
          lambda t: MODEL.query(t, [], ["total_on_hand", "total_available", "parts_below_safety_stock"]),
          """

@@ -11,6 +11,7 @@ grain rules before building anything, then composes one DataFrame plan:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from supplymetrics.functions import exprs as X
 from supplymetrics.operators.relational import semi_additive
 from supplymetrics.plans import surfaces as SUR
+from supplymetrics.plans.vocabulary import DIMENSION_SYNONYMS, FACTS, TABLE_SYNONYMS
 from supplymetrics.sources.adapters import Tables
 
 
@@ -107,37 +109,32 @@ METRICS: dict[str, Metric] = {m.name: m for m in [
        synonyms=("weighted rejection rate", "material rejection rate")),
 ]}
 
-# Dimension synonyms (subset) -> qualified or bare column names.
-DIMENSION_SYNONYMS: dict[str, str] = {
-    "segment": "customer_segment", "market segment": "customer_segment",
-    "customer": "customer_name", "account name": "customer_name",
-    "carrier": "carrier_name", "transporter name": "carrier_name",
-    "shipping speed": "service_level", "delivery tier": "service_level",
-    "plant": "plant_name", "facility": "plant_name",
-    "product": "product_name", "family": "product_family",
-    "tier": "supplier_tier", "supplier": "supplier_name",
-    "priority": "customer_priority", "calendar month": "month",
+# Precomputed ratios may be shown or filtered, never aggregated (SEM11).
+_RATIOS = {
+    "customer_fulfillment": ("fulfillment_pct",),
+    "production_performance": ("production_attainment_pct",),
+    "inventory_position": ("available_to_safety_stock_pct",),
+    "supplier_performance": ("avg_receipt_delay_days", "on_time_receipt_pct", "defect_rate_pct"),
+    "product_risk_signals": ("fulfillment_rate", "on_time_delivery_rate", "production_attainment"),
 }
 
+
+def _t(name, build, key, fact, semi_additive_by=None):
+    return LogicalTable(name, build, key, fact, TABLE_SYNONYMS[name], _RATIOS.get(name, ()), semi_additive_by)
+
+
 TABLES: dict[str, LogicalTable] = {t.name: t for t in [
-    LogicalTable("customer_fulfillment", SUR.customer_fulfillment, ("order_line_id",), True,
-                 ("customer orders", "order fulfillment", "order lines")),
-    LogicalTable("shipment_performance", SUR.shipment_performance, ("shipment_id",), True,
-                 ("shipments", "deliveries", "OTD")),
-    LogicalTable("production_performance", SUR.production_performance, ("production_id",), True,
-                 ("production", "manufacturing")),
-    LogicalTable("inventory_position", SUR.inventory_position, ("inventory_snapshot_id",), True,
-                 ("inventory", "stock levels"), semi_additive_by="snapshot_date"),
-    LogicalTable("supplier_performance", SUR.supplier_performance, None, True,
-                 ("supplier scorecard", "vendor performance"),
-                 non_additive=("avg_receipt_delay_days", "on_time_receipt_pct", "defect_rate_pct")),
-    LogicalTable("product_risk_signals", SUR.risk_signals, ("product_id",), True,
-                 ("product risk", "risk signals")),
-    LogicalTable("date_dim", lambda t: t.date_dim, ("calendar_date",), False, ("calendar", "dates")),
-    LogicalTable("plant", lambda t: t.plant, ("plant_id",), False, ("plants", "facilities")),
-    LogicalTable("product", lambda t: t.product, ("product_id",), False, ("products", "items")),
-    LogicalTable("part", lambda t: t.part, ("part_id",), False, ("parts", "components")),
-    LogicalTable("carrier", lambda t: t.carrier, ("carrier_id",), False, ("carriers",)),
+    _t("customer_fulfillment", SUR.customer_fulfillment, ("order_line_id",), True),
+    _t("shipment_performance", SUR.shipment_performance, ("shipment_id",), True),
+    _t("production_performance", SUR.production_performance, ("production_id",), True),
+    _t("inventory_position", SUR.inventory_position, ("inventory_snapshot_id",), True, "snapshot_date"),
+    _t("supplier_performance", SUR.supplier_performance, None, True),
+    _t("product_risk_signals", SUR.risk_signals, ("product_id",), True),
+    _t("date_dim", lambda t: t.date_dim, ("calendar_date",), False),
+    _t("plant", lambda t: t.plant, ("plant_id",), False),
+    _t("product", lambda t: t.product, ("product_id",), False),
+    _t("part", lambda t: t.part, ("part_id",), False),
+    _t("carrier", lambda t: t.carrier, ("carrier_id",), False),
 ]}
 
 RELATIONSHIPS: tuple[Relationship, ...] = (
@@ -166,124 +163,196 @@ class SemanticModel:
     tables: dict[str, LogicalTable] = field(default_factory=lambda: dict(TABLES))
     relationships: tuple[Relationship, ...] = RELATIONSHIPS
     metrics: dict[str, Metric] = field(default_factory=lambda: dict(METRICS))
-    dimension_synonyms: dict[str, str] = field(default_factory=lambda: dict(DIMENSION_SYNONYMS))
+    facts: dict[str, tuple[str, tuple[str, ...]]] = field(default_factory=lambda: dict(FACTS))
+    dimension_synonyms: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(DIMENSION_SYNONYMS))
 
     # --- name resolution (SEM7, SEM13) ---------------------------------------------------
+    @staticmethod
+    def _says(key: str, name: str, synonyms: Sequence[str]) -> bool:
+        return key == name or key in (s.lower() for s in synonyms)
+
     def resolve_metric(self, name: str) -> Metric:
-        key = name.split(".")[-1].lower()
-        if key in self.metrics:
-            return self.metrics[key]
-        hits = [m for m in self.metrics.values() if key in (s.lower() for s in m.synonyms)]
+        """The metric of a name, a synonym or either qualified by the metric's own table."""
+        table, _, bare = name.lower().rpartition(".")
+        hits = [m for m in self.metrics.values() if m.name == bare] or \
+            [m for m in self.metrics.values() if self._says(bare, m.name, m.synonyms)]
+        if table:
+            wrong, hits = hits, [m for m in hits if m.table == table]
+            if wrong and not hits:
+                raise GrainError(f"{bare!r} is a metric of {wrong[0].table}, not of {table}")
         if len(hits) > 1:
             raise AmbiguousName(f"{name!r} names several metrics: {[m.name for m in hits]}")
         if not hits:
             raise KeyError(f"unknown metric {name!r}")
         return hits[0]
 
+    def _columns(self, key: str, within: Sequence[str] | None, synonyms: dict) -> list[str]:
+        """Qualified names whose name or synonym is ``key``, in the given tables."""
+        table, _, bare = key.rpartition(".")
+        return [q for q, syn in synonyms.items()
+                if (not table or q.startswith(table + ".")) and self._says(bare, q.split(".")[1], syn)
+                and (within is None or q.split(".")[0] in within)]
+
+    def _fact_names(self, key: str, within: Sequence[str] | None = None) -> list[str]:
+        return self._columns(key, within, {q: syn for q, (_, syn) in self.facts.items()})
+
     def resolve(self, name: str) -> tuple[str, str]:
-        """('metric', name) or ('dimension', column) for a name or synonym."""
+        """('metric' | 'fact' | 'dimension' | 'table', name) of a name or synonym.
+
+        A metric's own name is the metric; any other name with more than one meaning raises. Facts and
+        qualified dimensions come back as table.column, bare dimension columns as they are."""
         key = name.lower()
         if key in self.metrics:
             return "metric", key
         if "." in key:
-            return "dimension", key
-        metric_hits = [m.name for m in self.metrics.values() if key in (s.lower() for s in m.synonyms)]
-        dim = self.dimension_synonyms.get(key)
-        if metric_hits and dim:
-            raise AmbiguousName(f"{name!r} is both metric {metric_hits} and dimension {dim!r}")
-        if len(metric_hits) > 1:
-            raise AmbiguousName(f"{name!r} names several metrics: {metric_hits}")
-        if metric_hits:
-            return "metric", metric_hits[0]
-        return "dimension", dim or key
+            metrics = [m.name for m in self.metrics.values() if key == f"{m.table}.{m.name}"]
+            facts = self._fact_names(key)
+            return ("metric", metrics[0]) if metrics else ("fact", facts[0]) if facts else ("dimension", key)
+        found = [("metric", m.name) for m in self.metrics.values() if self._says(key, m.name, m.synonyms)]
+        found += [("fact", q) for q in self._fact_names(key)]
+        found += sorted({("dimension", q.split(".")[1]) for q in self._columns(key, None, self.dimension_synonyms)})
+        found = found or [("table", t.name) for t in self.tables.values() if self._says(key, t.name, t.synonyms)]
+        if len(found) > 1 and key not in {n for k, n in found if k == "dimension"}:
+            raise AmbiguousName(f"{name!r} may be {', '.join(f'{k} {n}' for k, n in found)}; qualify it")
+        return found[0] if found else ("dimension", key)
 
     # --- planning ------------------------------------------------------------------------
-    def _fact_for(self, metrics: Sequence[Metric], dimensions: Sequence[str]) -> str:
+    def _related(self, fact: str) -> dict[str, Relationship]:
+        return {r.right: r for r in self.relationships if r.left == fact}
+
+    def _base_for(self, t: Tables, metrics: Sequence[Metric], dimensions: Sequence[str]) -> str:
+        """The one table a request is about: that of its metrics, else that of its dimensions."""
         facts = {m.table for m in metrics}
+        named = []
         for d in dimensions:
-            if "." in d:
-                tbl = d.split(".")[0]
-                if tbl in UNMODELLED:
-                    raise GrainError(f"{tbl} is a many-to-many bridge outside the model (no BOM/sourcing fan-out)")
-                if tbl in self.tables and self.tables[tbl].fact:
-                    facts.add(tbl)
+            table = d.lower().split(".")[0] if "." in d else None
+            if table in UNMODELLED:
+                raise GrainError(f"{table} is a many-to-many bridge outside the model (no BOM/sourcing fan-out)")
+            if table is not None:
+                if table not in self.tables:
+                    raise GrainError(f"{table} is not a table of the model")
+                named.append(table)
+                if self.tables[table].fact:
+                    facts.add(table)
+        if not facts and not named and dimensions:
+            owners = [{n for n, x in self.tables.items() if self._own(t, n, d)} for d in dimensions]
+            common = set.intersection(*owners)
+            if len(common) != 1:
+                raise AmbiguousName(f"{list(dimensions)} are on {sorted(common) or 'no one table'}; qualify them")
+            return common.pop()
         if len(facts) > 1:
             raise GrainError(f"metrics/dimensions span several facts {sorted(facts)}; "
                              "facts are never joined to each other — query each fact alone")
-        if not facts:
-            raise GrainError("no fact table: name at least one metric or a qualified fact column")
-        return facts.pop()
-
-    def _related(self, fact: str) -> dict[str, Relationship]:
-        return {r.right: r for r in self.relationships if r.left == fact}
-
-    def plan(self, t: Tables, dimensions: Sequence[str], metrics: Sequence[str]):
-        ms = [self.resolve_metric(m) for m in metrics]
-        dims = [self.resolve(d)[1] for d in dimensions]
-        fact = self._fact_for(ms, dims)
-        base = self.tables[fact].build(t)
-        related = self._related(fact)
-        joins: dict[str, Relationship] = {}
-        cols: list[str] = []
-        for d in dims:
-            tbl, col = (d.split(".", 1) if "." in d else (None, d))
-            if tbl in (None, fact) and col in base.columns:
-                cols.append(col)
-                continue
-            if tbl is not None and tbl not in self.tables:
-                raise GrainError(f"{tbl} is not a table of the model")
-            owners = [tbl] if tbl else [n for n in related if col in self.tables[n].build(t).columns]
-            if not owners or owners[0] not in related:
-                raise GrainError(f"dimension {d!r} is not reachable from fact {fact!r}")
-            if len(owners) > 1:
-                raise AmbiguousName(f"{d!r} exists on {owners}; qualify it")
-            joins[owners[0]] = related[owners[0]]
-            cols.append(f"{owners[0]}.{col}")
-        return fact, base, joins, cols, ms
+        if facts:
+            return facts.pop()
+        if len(set(named)) == 1:
+            return named[0]
+        raise GrainError("no common table: name a metric or qualify the dimensions with one fact")
+
+    def _own(self, t: Tables, table: str, name: str) -> str | None:
+        """The column of a table that a bare name or synonym means, if any."""
+        key = name.lower()
+        if key in self.tables[table].build(t).columns:
+            return key
+        hits = self._columns(key, [table], self.dimension_synonyms) + self._fact_names(key, [table])
+        if len(hits) > 1:
+            raise AmbiguousName(f"{name!r} may be {hits}")
+        return hits[0].split(".")[1] if hits else None
+
+    def _locate(self, t: Tables, base: str, name: str) -> tuple[str, str]:
+        """(table, column) of a dimension as seen from the base table."""
+        related = self._related(base)
+        table, _, bare = name.rpartition(".")
+        table = table.lower()
+        if table in UNMODELLED:
+            raise GrainError(f"{table} is a many-to-many bridge outside the model (no BOM/sourcing fan-out)")
+        if table and table != base and table not in related:
+            raise GrainError(f"dimension {name!r} is not reachable from {base!r}")
+        for tables in ([table],) if table else ([base], list(related)):
+            hits = [(n, c) for n in tables if (c := self._own(t, n, bare))]
+            if len(hits) > 1:
+                raise AmbiguousName(f"{name!r} exists on {[n for n, _ in hits]}; qualify it")
+            if hits:
+                return hits[0]
+        raise GrainError(f"dimension {name!r} is not reachable from {base!r}")
+
+    def _filter(self, t: Tables, base: str, where: str, place) -> str:
+        """A text filter with every column that is not the base table's own replaced by where it is placed."""
+        own = set(self.tables[base].build(t).columns)
+
+        def replace(m: re.Match) -> str:
+            word = m.group(0)
+            if m.group("text") or word.lower() in own:
+                return word
+            try:
+                return place(*self._locate(t, base, word))
+            except GrainError:
+                if "." in word:
+                    raise
+                return word  # a function, keyword or literal
+
+        return re.sub(r"(?P<text>'[^']*')|\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?\b", replace, where)
 
     def query(self, t: Tables, dimensions: Sequence[str] = (), metrics: Sequence[str] = (),
               where: Column | str | None = None, order_by: Sequence[Column | str] | None = None,
               limit: int | None = None, aggregates: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-        """dims × metrics over one fact (SEM1).
-
-        ``aggregates`` adds ad-hoc fact aggregates {alias: (fn, column)}; non-additive columns
-        are refused (SEM11) and semi-additive ones get the snapshot rule (SEM9)."""
-        fact, df, joins, cols, ms = self.plan(t, dimensions, metrics)
-        spec = self.tables[fact]
-        names: list[str] = []
-        for tbl, rel in joins.items():
-            dim = self.tables[tbl].build(t)
-            keep = {c.split(".", 1)[1] for c in cols if c.startswith(tbl + ".")}
-            dim = dim.select(*[F.col(rc).alias(f"_k{i}") for i, rc in enumerate(rel.right_cols)],
-                             *[F.col(c).alias(f"{tbl}__{c}") for c in keep])
-            cond = [df[lc] == dim[f"_k{i}"] for i, lc in enumerate(rel.left_cols)]
-            df = df.join(dim, cond, "left").drop(*[f"_k{i}" for i in range(len(rel.right_cols))])
-        for c in cols:
-            if "." in c:
-                tbl, col = c.split(".", 1)
-                df = df.withColumnRenamed(f"{tbl}__{col}", col)
-                names.append(col)
-            else:
-                names.append(c)
+        """dims × metrics over one fact (SEM1); without metrics, the distinct dimension values.
+
+        A text ``where`` may use any dimension reachable from the fact, selected or not, by name, qualified
+        name or the fact's own columns; a Column filter sees the fact's columns and the selected ones.
+        ``aggregates`` adds ad-hoc fact aggregates {alias: (fn, fact name, synonym or column)}; non-additive
+        columns are refused (SEM11) and semi-additive ones get the snapshot rule (SEM9)."""
+        ms = [self.resolve_metric(m) for m in metrics]
+        base = self._base_for(t, ms, [*dimensions, *(c for _, c in (aggregates or {}).values() if "." in c)])
+        spec, related = self.tables[base], self._related(base)
+        needed: dict[str, list[str]] = {}
+
+        def place(table: str, col: str) -> str:
+            if table == base:
+                return col
+            if col not in needed.setdefault(table, []):
+                needed[table].append(col)
+            return f"{table}__{col}"
+
+        located = [self._locate(t, base, d) for d in dimensions]
+        picked = [place(*x) for x in located]
+        names = [c for _, c in located]
+        names = [c if names.count(c) == 1 or tbl == base else f"{tbl}_{c}" for (tbl, c) in located]
+        if isinstance(where, str):
+            where = F.expr(self._filter(t, base, where, place))
+        df = spec.build(t)
+        for table, cols in needed.items():
+            rel = related[table]
+            dim = self.tables[table].build(t)
+            dim = dim.select(*[F.col(rc).alias(f"{table}__key{i}") for i, rc in enumerate(rel.right_cols)],
+                             *[F.col(c).alias(f"{table}__{c}") for c in cols])
+            keys = [f"{table}__key{i}" for i in range(len(rel.right_cols))]
+            df = df.join(dim, [df[lc] == dim[k] for lc, k in zip(rel.left_cols, keys)], "left").drop(*keys)
         if where is not None:
-            df = df.filter(F.expr(where) if isinstance(where, str) else where)
+            df = df.filter(where)
+        groups = [F.col(p).alias(n) for p, n in zip(picked, names)]
         agg_exprs: dict[str, Column] = {m.name: m.expr() for m in ms}
-        for alias, (fn, col) in (aggregates or {}).items():
+        for alias, (fn, name) in (aggregates or {}).items():
+            table, col = self._locate(t, base, name)
+            if table != base:
+                raise GrainError(f"{name!r} is no fact of {base}")
             if col in spec.non_additive:
-                raise GrainError(f"{fact}.{col} is a pre-computed ratio; it may be shown or "
+                raise GrainError(f"{base}.{col} is a pre-computed ratio; it may be shown or "
                                  "filtered but not aggregated — use a governed metric")
             agg_exprs[alias] = getattr(F, fn)(col)
         semi = {m.non_additive_by for m in ms if m.non_additive_by}
         if aggregates and spec.semi_additive_by:
             semi.add(spec.semi_additive_by)
-        if semi:
+        if not agg_exprs:
+            out = df.select(*groups).distinct()
+        elif semi:
             if len(semi) > 1 or any(m.non_additive_by is None for m in ms):
                 raise GrainError("cannot mix additive and semi-additive measures in one query")
+            for p, n in zip(picked, names):
+                df = df.withColumn(n, F.col(p))
             out = semi_additive(df, names, semi.pop(), agg_exprs)
-        elif names:
-            out = df.groupBy(*names).agg(*[c.alias(n) for n, c in agg_exprs.items()])
         else:
-            out = df.agg(*[c.alias(n) for n, c in agg_exprs.items()])
+            out = df.groupBy(*groups).agg(*[c.alias(n) for n, c in agg_exprs.items()])
         if order_by:
             out = out.orderBy(*order_by)
         if limit is not None:

@@ -60,8 +60,8 @@ def customer_fulfillment(t: Tables) -> DataFrame:
     o = t.order_line
     c = t.customer.select("customer_id", "customer_name", "customer_segment", "customer_region",
                           "customer_priority")
-    p = t.product.select("product_id", "product_name", "product_family", "product_category")
-    df = o.join(c, "customer_id").join(p, "product_id").join(_plant(t), "plant_id")
+    df = t.with_product(o, "product_name", "product_family", "product_category")
+    df = df.join(c, "customer_id").join(_plant(t), "plant_id")
     ordered, fulfilled = F.col("ordered_quantity"), F.col("fulfilled_quantity")
     return df.select(
         "order_line_id", "order_id", "order_date", "promised_date",
@@ -81,9 +81,9 @@ def shipment_performance(t: Tables) -> DataFrame:
     s = t.shipment
     c = t.customer.select("customer_id", "customer_name", "customer_segment", "customer_region",
                           "customer_priority")
-    p = t.product.select("product_id", "product_name", "product_family")
     ca = t.carrier.select("carrier_id", "carrier_name", "service_level")
-    df = s.join(c, "customer_id").join(p, "product_id").join(_plant(t), "plant_id").join(ca, "carrier_id")
+    df = t.with_product(s, "product_name", "product_family")
+    df = df.join(c, "customer_id").join(_plant(t), "plant_id").join(ca, "carrier_id")
     actual, promised = F.col("actual_delivery_date"), F.col("promised_date")
     return df.select(
         "shipment_id", "order_line_id",
@@ -121,9 +121,9 @@ def critical_bom(t: Tables, watched_part: Column | int | None = None) -> DataFra
 def production_performance(t: Tables, watched_part: Column | int | None = None) -> DataFrame:
     """SUR3 — one row per plant × product × production date; BOM attributes pre-aggregated."""
     pr = t.production
-    p = t.product.select("product_id", "product_name", "product_family", "product_category")
     bom = critical_bom(t, watched_part)
-    df = pr.join(_plant(t), "plant_id").join(p, "product_id").join(bom, "product_id", "left")
+    df = t.with_product(pr, "product_name", "product_family", "product_category")
+    df = df.join(_plant(t), "plant_id").join(bom, "product_id", "left")
     planned, produced = F.col("planned_quantity"), F.col("produced_quantity")
     return df.select(
         "production_id", "production_date", "plant_id", "plant_name", "plant_region",
@@ -254,7 +254,8 @@ def risk_signals(t: Tables, fulfillment: DataFrame | None = None, shipments: Dat
         prd.select(*key, F.col("produced_quantity").alias("_prod"), F.col("planned_quantity").alias("_plan"),
                    F.col("constraint_flag").alias("_con"), F.lit(1).alias("_pd")),
     ]
-    agg = combine_signals(parts, key, [
+    agg = combine_signals(parts, ["product_id"], [
+        F.max("product_name").alias("product_name"),
         X.ratio(F.sum("_ful"), F.sum("_ord"), None).alias("fulfillment_rate"),
         F.count_if(F.col("_gap")).alias("order_lines_with_gaps"),
         F.count("_ol").alias("total_order_lines"),
@@ -265,7 +266,7 @@ def risk_signals(t: Tables, fulfillment: DataFrame | None = None, shipments: Dat
         F.count("_pd").alias("total_production_days"),
     ])
     fr, od, pa = F.col("fulfillment_rate"), F.col("on_time_delivery_rate"), F.col("production_attainment")
-    one = lambda c: F.coalesce(F.when(c, F.lit(1)).otherwise(F.lit(0)), F.lit(0))
+    one = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     ffl, dfl, pfl = X.threshold_flag(fr, FULFILLMENT_CUT), X.threshold_flag(od, OTD_CUT), \
         X.threshold_flag(pa, ATTAINMENT_CUT)
     r = lambda c: X.dround(c, X.RATIO_DIGITS)

@@ -6,10 +6,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from supplymetrics.functions import exprs as X
 from supplymetrics.operators.relational import at_latest
 from supplymetrics.plans import surfaces as SUR
 from supplymetrics.plans.semantic import MODEL
@@ -113,35 +112,23 @@ VERIFIED: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
-def run_batch(t: Tables, names=None, share_surfaces: bool = True):
+def run_batch(t: Tables, names=None) -> DataFrame:
     """DSH11: run a set of verified queries and record each outcome apart — SUCCESS with its
-    row count, NO_ROWS, or EXECUTION_FAILED with the error — as a small status DataFrame.
-
-    With ``share_surfaces`` the curated surfaces are persisted (memory, spilling to disk) for
-    the duration of the batch: every query rebuilds the same surface plan, and Spark's cache
-    manager serves identical plans from the persisted blocks, so each surface is computed once
-    per batch instead of once per query. Lost blocks are recomputed from lineage. Each query
-    is one Spark job; only the counts come back to the driver."""
-    from pyspark import StorageLevel
-    shared = []
-    if share_surfaces:
-        shared = [SUR.customer_fulfillment(t), SUR.shipment_performance(t),
-                  SUR.production_performance(t), SUR.inventory_position(t),
-                  SUR.supplier_performance(t), SUR.risk_signals(t)]
-        for df in shared:
-            df.persist(StorageLevel.MEMORY_AND_DISK)
+    row count, NO_ROWS, or EXECUTION_FAILED with the whole error — as a small status DataFrame.
+
+    Every query is written to the ``noop`` sink, so each output expression of each row is computed (a
+    count alone would let the optimiser drop them); the rows are counted on the way by an observation."""
     rows = []
-    try:
-        for name in (names or VERIFIED):
-            try:
-                n = VERIFIED[name](t).count()
-                rows.append((name, "SUCCESS" if n else "NO_ROWS", int(n), None))
-            except Exception as e:  # noqa: BLE001 — recorded, not raised
-                rows.append((name, "EXECUTION_FAILED", None, str(e).splitlines()[0][:500]))
-    finally:
-        for df in shared:
-            df.unpersist()
+    for name in (names or VERIFIED):
+        try:
+            seen = Observation()
+            df = VERIFIED[name](t).observe(seen, F.count(F.lit(1)).alias("n"))
+            df.write.format("noop").mode("overwrite").save()
+            n = seen.get["n"]
+            rows.append((name, "SUCCESS" if n else "NO_ROWS", int(n), None))
+        except Exception as e:  # noqa: BLE001 — recorded, not raised
+            rows.append((name, "EXECUTION_FAILED", None, str(e)))
     return t.spark.createDataFrame(rows, "query_id string, status string, row_count bigint, error string")
 
 
-__all__ = ["VERIFIED", "run_batch", "X"]
+__all__ = ["VERIFIED", "run_batch"]

@@ -38,7 +38,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 

@@ -30,11 +30,11 @@ CARRIERS = [
 ]
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-_INSTANCES: dict[tuple[int, str], "Tables"] = {}
 
 
 def line_key() -> Column:
-    """Line identifier: order-part-supplier (unique per line in the driver data)."""
+    """Line identifier: order-part-supplier. Lines that repeat it are one purchase-order line; as order
+    lines and shipments they are reported by the grain checks."""
     return F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"),
                        F.col("l_suppkey").cast("string"))
 
@@ -46,12 +46,6 @@ def product_key(brand, ptype) -> Column:
 class Tables:
     """Entity tables over one driver directory (``sf_dir``)."""
 
-    # Sources whose scans feed the fact tables, with the key they are spread on; see
-    # ``_parallel_scan``. The full line key (not the order key alone) keeps a hot order from
-    # landing in one partition, and is a subset of the PO-line grouping keys, so that
-    # aggregation needs no further shuffle.
-    FACT_SOURCES = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey")}
-
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
@@ -59,43 +53,20 @@ class Tables:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
-        """Shared instance per (session, directory): the lazy entity plans, file listings and
-        Parquet footers are resolved once and reused by every query."""
-        key = (id(spark), sf_dir.rstrip("/"))
-        t = _INSTANCES.get(key)
-        if t is None or t.spark is not spark:
-            t = _INSTANCES[key] = cls(spark, sf_dir)
-        return t
+        """Entity tables over the files that lie in the directory now. An instance keeps its file listings
+        and lazy plans, so queries that should share them share the instance."""
+        return cls(spark, sf_dir)
 
     # --- driver scans ------------------------------------------------------------------
     def read(self, name: str, *cols: str) -> DataFrame:
         df = self._scans.get(name)
         if df is None:
-            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            if name in self.FACT_SOURCES:
-                df = self._parallel_scan(df, self.FACT_SOURCES[name])
-            self._scans[name] = df
+            df = self._scans[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return df.select(*cols) if cols else df
 
-    def _parallel_scan(self, df: DataFrame, key: tuple[str, ...]) -> DataFrame:
-        """Scan-parallelism guard. Parquet splits only at row-group boundaries, so a source
-        stored as a few large row groups scans in a few tasks and everything pipelined after
-        the scan (broadcast joins, projections, partial aggregation) runs in those tasks. When
-        the scan yields fewer partitions than the session has cores, hash-spread it on its
-        row key (deterministic on retry, no sort needed); on large inputs (more splits than
-        cores) it is a no-op."""
-        try:
-            cores = self.spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 — no RDD view (e.g. a remote session): leave the scan as is
-            return df
-        if splits < cores:
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            return df.repartition(max(n, 1), *key)
-        return df
-
     def _lines(self, orders=False, part=False, supplier=False) -> DataFrame:
-        """lineitem with derived columns and only the requested parents joined."""
+        """lineitem with derived columns and only the requested parents joined. Lines without a parent
+        stay (their derived columns are NULL), so the integrity job can report them."""
         li = self.read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                        "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus",
                        "l_shipdate")
@@ -104,16 +75,16 @@ class Tables:
                              "line_id": line_key()})
         if part:
             p = self.read("part", "p_partkey", "p_brand", "p_type", "p_size")
-            li = (li.join(p, li.l_partkey == p.p_partkey)
+            li = (li.join(p, li.l_partkey == p.p_partkey, "left")
                   .withColumn("product_id", product_key(F.col("p_brand"), F.col("p_type"))))
         if supplier:
             s = self.read("supplier", "s_suppkey", "s_nationkey")
-            li = li.join(s, li.l_suppkey == s.s_suppkey).withColumn("plant_id", F.col("s_nationkey"))
+            li = li.join(s, li.l_suppkey == s.s_suppkey, "left").withColumn("plant_id", F.col("s_nationkey"))
         # orders last: at scale this is the sort-merge join, and its output stays
         # hash-partitioned by order key for the PO-line aggregation that follows
         if orders:
             o = self.read("orders", "o_orderkey", "o_custkey", "o_orderdate")
-            li = (li.join(o, li.l_orderkey == o.o_orderkey)
+            li = (li.join(o, li.l_orderkey == o.o_orderkey, "left")
                   .withColumn("order_date", F.to_date("o_orderdate")))
         return li
 
@@ -128,7 +99,7 @@ class Tables:
     @cached_property
     def supplier(self) -> DataFrame:
         s = self.read("supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-        df = s.join(self._nation_region, s.s_nationkey == F.col("n_nationkey")).select(
+        df = s.join(self._nation_region, s.s_nationkey == F.col("n_nationkey"), "left").select(
             F.col("s_suppkey").alias("supplier_id"),
             F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("supplier_code"),
             F.col("s_name").alias("supplier_name"),
@@ -179,7 +150,7 @@ class Tables:
     @cached_property
     def customer(self) -> DataFrame:
         c = self.read("customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-        df = c.join(self._nation_region, c.c_nationkey == F.col("n_nationkey")).select(
+        df = c.join(self._nation_region, c.c_nationkey == F.col("n_nationkey"), "left").select(
             F.col("c_custkey").alias("customer_id"),
             F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("customer_code"),
             F.col("c_name").alias("customer_name"),
@@ -209,7 +180,16 @@ class Tables:
     def date_dim(self) -> DataFrame:
         from supplymetrics.operators.builders import calendar
         lo, hi = self.date_bounds
-        return F.broadcast(calendar(self.spark, lo, hi))
+        return calendar(self.spark, lo, hi)  # as long as the data's dates, so not broadcast by hand
+
+    def with_product(self, df: DataFrame, *cols: str) -> DataFrame:
+        """The rows of ``df`` that have a product, with its attributes.
+
+        A product id spells its brand and type, so no join (and no shuffle on the few product ids)
+        is needed; a line without a part has no product id."""
+        brand, ptype = F.substring_index("product_id", "|", 1), F.substring_index("product_id", "|", -1)
+        values = {"product_name": F.concat_ws(" ", brand, ptype), "product_family": brand, "product_category": ptype}
+        return df.filter(F.col("product_id").isNotNull()).withColumns({c: values[c] for c in cols})
 
     # --- bridges -----------------------------------------------------------------------
     @cached_property
@@ -413,5 +393,8 @@ class FrameTables(Tables):
         if "date_dim" not in frames:
             self.__dict__.pop("date_dim", None)
 
+    def with_product(self, df: DataFrame, *cols: str) -> DataFrame:
+        return df.join(self.product.select("product_id", *cols), "product_id")
+
     def read(self, name: str, *cols: str) -> DataFrame:
         raise KeyError(f"FrameTables has no driver table {name!r}; supply the entity frames")

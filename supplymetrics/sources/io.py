@@ -7,8 +7,11 @@ behind, and a rebuild (overwrite) makes every load idempotent.
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from supplymetrics.sources.adapters import FrameTables, Tables
 from supplymetrics.sources.schemas import SCHEMAS
@@ -16,7 +19,7 @@ from supplymetrics.sources.schemas import SCHEMAS
 LAYERS = ("raw", "curated", "semantic")
 
 # Entity tables written partitioned by a date column, so date filters prune whole folders.
-PARTITION_BY = {"inventory": "snapshot_date"}
+PARTITION_BY = {"inventory": "snapshot_date", "production": "production_date"}
 
 
 def layers(root: str) -> dict[str, str]:
@@ -35,8 +38,10 @@ def table(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, name: str, data: list[tuple]) -> DataFrame:
-    """SRC4 — literal rows typed by the declared schema of ``name``."""
-    return spark.createDataFrame(data, SCHEMAS[name])
+    """SRC4 — literal rows typed by the declared schema of ``name``; dates may be ISO strings."""
+    dates = [isinstance(f.dataType, T.DateType) for f in SCHEMAS[name].fields]
+    typed = [tuple(dt.date.fromisoformat(v) if d and isinstance(v, str) else v for v, d in zip(row, dates, strict=True)) for row in data]
+    return spark.createDataFrame(typed, SCHEMAS[name])
 
 
 def row_source(spark: SparkSession, n: int) -> DataFrame:
@@ -46,6 +51,8 @@ def row_source(spark: SparkSession, n: int) -> DataFrame:
 
 def rebuild(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """SRC7 — full rebuild (overwrite). Idempotent: rerunning gives the same table."""
+    if partition_by:  # few files per folder; AQE splits the rows of a large folder over several tasks
+        df = df.hint("rebalance", partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -53,14 +60,19 @@ def rebuild(df: DataFrame, path: str, partition_by: str | None = None) -> None:
 
 
 def append(df: DataFrame, path: str) -> None:
-    """SRC6 — append rows; columns are matched by name against the existing table."""
-    spark = df.sparkSession
+    """SRC6 — append rows; the first write creates the table. Columns are matched by name, and a column
+    that is missing, unknown or of another type raises, so a folder never holds two schemas."""
     try:
-        existing = spark.read.parquet(path).columns
-        df = df.select(*existing)
-    except Exception:  # noqa: BLE001 — first write creates the table
-        pass
-    df.write.mode("append").parquet(path)
+        existing = df.sparkSession.read.parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        existing = df.schema
+    have, want = ({f.name: f.dataType for f in x.fields} for x in (df.schema, existing))
+    if have != want:
+        differ = sorted(c for c in {*have, *want} if have.get(c) != want.get(c))
+        raise ValueError(f"cannot append to {path}: columns {differ} differ")
+    df.select(*want).write.mode("append").parquet(path)
 
 
 def write_raw_layer(t: Tables, root: str, names=None) -> None:
@@ -92,9 +104,8 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
 
 
 def to_rows(df: DataFrame, limit: int = 1000):
-    """SRC10 — hand a final, small aggregate to the driver as pandas (bounded by ``limit``)."""
-    return df.limit(limit).toPandas()
-
-
-__all__ = ["layers", "table", "rows", "row_source", "rebuild", "append", "write_raw_layer",
-           "read_raw_layer", "register_surface", "materialise", "to_rows", "F"]
+    """SRC10 — hand a final, small aggregate to the driver as pandas; more than ``limit`` rows raise."""
+    out = df.limit(limit + 1).toPandas()
+    if len(out) > limit:
+        raise ValueError(f"the result has more than {limit} rows; aggregate it further or raise the limit")
+    return out

@@ -4,8 +4,10 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from supplymetrics.functions import exprs as X
 from supplymetrics.operators.builders import calendar, surrogate_key
 from supplymetrics.operators.relational import duplicates, listagg, semi_additive, top_k
@@ -110,3 +112,96 @@ def test_checkpoint_dir_required_on_cluster(spark):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(_Cluster())
     assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")   # local: kept as set
+
+
+def test_run_batch_records_an_output_expression_that_fails(small, monkeypatch):
+    from supplymetrics.plans import verified
+    bad = lambda t: t.plant.select(F.raise_error(F.lit("line one\nline two")).alias("x"))
+    monkeypatch.setitem(verified.VERIFIED, "bad", bad)
+    row = verified.run_batch(small, ["bad"]).collect()[0]
+    assert row.status == "EXECUTION_FAILED" and "line two" in row.error
+
+
+def test_to_rows_raises_past_its_bound(spark):
+    assert len(IO.to_rows(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError):
+        IO.to_rows(spark.range(6), 5)
+
+
+def test_append_refuses_another_schema(spark, tmp_path):
+    path = str(tmp_path / "t")
+    a = spark.createDataFrame([(1, "x")], "a int, b string")
+    IO.append(a, path)
+    IO.append(a.select("b", "a"), path)
+    assert spark.read.parquet(path).count() == 2
+    for bad in (spark.createDataFrame([(1, 2.0)], "a int, c double"), a.select("a"), a.withColumn("z", F.lit(1)), a.withColumn("a", F.lit("s"))):
+        with pytest.raises(ValueError):
+            IO.append(bad, path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_surrogate_keys_stay_unique_past_their_width(spark):
+    out = surrogate_key(spark.range(1200), ["id"], "sk", prefix="K", width=3, num_partitions=5).collect()
+    assert {r.sk for r in out} == {f"K{i:03d}" for i in range(1, 1201)}
+
+
+def test_missing_quantity_stays_missing(spark):
+    from supplymetrics.operators.builders import apply_rate
+    df = spark.createDataFrame([("a", None), ("a", 10.0), ("b", 7.0)], "k string, q double")
+    rates = spark.createDataFrame([("a", 0.2)], "k string, rate double")
+    assert [r.adjusted_quantity for r in apply_rate(df, rates, "k", "q").orderBy("k", F.col("q").asc_nulls_first()).collect()] == [None, 8.0, 7.0]
+
+
+def test_literal_rows_take_iso_dates(spark):
+    name = "order_line"
+    from supplymetrics.sources.schemas import SCHEMAS
+    row = tuple("2026-01-02" if f.dataType.typeName() == "date" else 1.0 if f.dataType.typeName() == "double"
+                else 1 if f.dataType.typeName() in ("long", "integer") else "x" for f in SCHEMAS[name].fields)
+    assert str(IO.rows(spark, name, [row]).first().order_date) == "2026-01-02"
+    assert [r.seq for r in IO.row_source(spark, 3).collect()] == [1, 2, 3]
+
+
+def test_views_and_materialised_copies(spark, tmp_path):
+    df = spark.range(4)
+    IO.register_surface("sm_four", df)
+    assert spark.sql("select count(*) c from sm_four").first().c == 4
+    assert IO.materialise(df, str(tmp_path / "m")).count() == 4
+
+
+@pytest.fixture(scope="module")
+def dirty(spark, tmp_path_factory):
+    """The small tables with five lines whose order, part and supplier do not exist."""
+    from supplymetrics.sources.adapters import DRIVER_TABLES, Tables
+    folder = tmp_path_factory.mktemp("dirty")
+    for name in DRIVER_TABLES:
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    lost = lines.limit(5).withColumns({c: F.col(c) + 10_000_000 for c in ("l_orderkey", "l_partkey", "l_suppkey")})
+    lost.write.mode("append").parquet(f"{folder}/lineitem.parquet")
+    return Tables.of(spark, str(folder))
+
+
+def test_planted_orphans_are_reported(dirty, small):
+    from supplymetrics.plans.quality import referential_integrity
+    clean = {r.check_name: r.orphan_count for r in referential_integrity(small).collect()}
+    found = {r.check_name: r.orphan_count for r in referential_integrity(dirty).collect()}
+    assert set(clean.values()) == {0}
+    planted = {"PO -> SUPPLIER", "PO -> PART", "PO -> PLANT", "ORDER -> CUSTOMER", "ORDER -> PRODUCT"}
+    assert {k for k, v in found.items() if v} == planted and {found[k] for k in planted} == {5}
+    assert dirty.order_line.count() == small.order_line.count() + 5
+
+
+def test_expected_counts_can_fail(small):
+    from supplymetrics.plans.quality import expected_counts
+    found = {r.check_name: r.status for r in expected_counts(small, {"plant": 25, "CUSTOMER": 1}).collect()}
+    assert found["PLANT"] == "PASS" and found["CUSTOMER"] == "FAIL"
+
+
+def test_new_files_are_seen(spark, tmp_path):
+    from supplymetrics.sources.adapters import Tables
+    path = f"{tmp_path}/nation.parquet"
+    rows = spark.read.parquet(f"{SMALL}/nation.parquet")
+    rows.write.parquet(path)
+    assert Tables.of(spark, str(tmp_path)).read("nation").count() == 25
+    rows.limit(2).write.mode("append").parquet(path)
+    assert Tables.of(spark, str(tmp_path)).read("nation").count() == 27

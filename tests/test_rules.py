@@ -36,16 +36,57 @@ def test_non_additive_ratio_not_aggregated(small):
 
 
 def test_synonyms(small):
-    assert MODEL.resolve("fill rate") == ("metric", "fulfillment_rate")
-    assert MODEL.resolve("OTD rate") == ("metric", "on_time_delivery_rate")
+    assert MODEL.resolve("order fill rate") == ("metric", "fulfillment_rate")
+    assert MODEL.resolve_metric("fill rate").name == "fulfillment_rate"
+    assert MODEL.resolve("stock levels") == ("table", "inventory_position")
+    assert MODEL.resolve("qty received") == ("fact", "supplier_performance.received_quantity")
+    assert MODEL.resolve("delivery reliability") == ("metric", "on_time_delivery_rate")
     assert MODEL.resolve("carrier") == ("dimension", "carrier_name")
     assert MODEL.resolve("service_level") == ("dimension", "service_level")
     with pytest.raises(KeyError):
         MODEL.resolve_metric("OTIF rate")
 
 
-def test_ambiguous_synonym():
-    from supplymetrics.plans.semantic import SemanticModel, DIMENSION_SYNONYMS
-    m = SemanticModel(dimension_synonyms={**DIMENSION_SYNONYMS, "fill rate": "customer_segment"})
+@pytest.mark.parametrize("name", ["fill rate", "average delay", "OTD rate", "ordered_quantity", "status", "qty ordered from"])
+def test_ambiguous_names(name):
+    if name == "qty ordered from":
+        assert MODEL.resolve("qty ordered from supplier") == ("fact", "supplier_performance.ordered_quantity")
+        return
     with pytest.raises(AmbiguousName):
-        m.resolve("fill rate")
+        MODEL.resolve(name)
+
+
+def test_bare_column_of_two_facts_is_ambiguous(small):
+    with pytest.raises(AmbiguousName):
+        MODEL.query(small, ["ordered_quantity"], [])
+
+
+@pytest.mark.parametrize("name", ["product_risk_signals.fulfillment_rate", "shipment_performance.fulfillment_rate"])
+def test_metric_of_another_table_refused(small, name):
+    with pytest.raises(GrainError):
+        MODEL.query(small, [], [name])
+
+
+@pytest.mark.parametrize("column", ["product_risk_signals.fulfillment_rate", "customer_fulfillment.fulfillment_pct",
+                                    "production_performance.production_attainment_pct", "inventory_position.available_to_safety_stock_pct"])
+def test_precomputed_ratios_not_aggregated(small, column):
+    with pytest.raises(GrainError):
+        MODEL.query(small, [], [], aggregates={"x": ("avg", column)})
+
+
+def test_facts_are_columns_of_their_surfaces(small):
+    assert len(MODEL.facts) == 29
+    for name in [*MODEL.facts, *MODEL.dimension_synonyms]:
+        table, column = name.split(".")
+        assert column in MODEL.tables[table].build(small).columns, name
+
+
+def test_filter_on_unreachable_dimension_refused(small):
+    with pytest.raises(GrainError):
+        MODEL.query(small, ["plant_name"], ["fulfillment_rate"], where="carrier.carrier_region = 'National'")
+    text = MODEL.query(small, ["plant_name"], ["fulfillment_rate"], where="customer_segment <> 'year carrier.carrier_region'")
+    assert text.count() == 10
+
+
+def test_dimension_table_alone(small):
+    assert MODEL.query(small, ["plant.city"]).count() == 25
