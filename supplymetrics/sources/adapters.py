@@ -29,6 +29,7 @@ CARRIERS = [
     ("CA04", "CA04", "Summit Express", "Express", "Regional"),
 ]
 
+_INSTANCES: dict[tuple[int, str], "Tables"] = {}
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -53,9 +54,28 @@ class Tables:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
-        """Entity tables over the files that lie in the directory now. An instance keeps its file listings
-        and lazy plans, so queries that should share them share the instance."""
-        return cls(spark, sf_dir)
+        """Entity tables over the files that lie in the directory now.
+
+        An instance keeps its file listings and lazy plans. The one made last for a directory is returned
+        again only while its files are the same, so a query never sees an old listing."""
+        key, state = (id(spark), sf_dir.rstrip("/")), cls._state(spark, sf_dir)
+        t = _INSTANCES.get(key)
+        if t is None or t.spark is not spark or t.state != state:
+            t = _INSTANCES[key] = cls(spark, sf_dir)
+            t.state = state
+        return t
+
+    @staticmethod
+    def _state(spark: SparkSession, sf_dir: str):
+        """Change time, files and bytes of every driver table, asked of the file system in one call each."""
+        jvm, out = spark._jvm, []
+        for name in DRIVER_TABLES:
+            path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            if fs.exists(path):
+                summary = fs.getContentSummary(path)
+                out.append((name, fs.getFileStatus(path).getModificationTime(), summary.getFileCount(), summary.getLength()))
+        return out
 
     # --- driver scans ------------------------------------------------------------------
     def read(self, name: str, *cols: str) -> DataFrame:
