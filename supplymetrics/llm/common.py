@@ -61,13 +61,22 @@ def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most about ``most`` rows (doc_id, label) of each of ``labels(doc_id, label)``'s values, spread evenly by a seeded hash.
+MOST_LABELS = 200
 
-    Only learnable ids enter; an id labelled twice has its largest label. The share to keep follows from counts over
-    all labels, so the sample is bounded at any size of the corpus.
+
+def labelled_sample(labels: DataFrame, most: int, seed: int) -> DataFrame:
+    """A bounded sample (doc_id, label, n_label) of ``labels(doc_id, label)``, spread evenly by a seeded hash.
+
+    About ``most`` rows of each value, and of at most 8 * ``most`` in all where there are more than eight values;
+    beyond ``MOST_LABELS`` values only the most frequent are learned. Only learnable ids enter; an id labelled twice has
+    its largest label. The share to keep follows from counts over all labels, so the bound holds at any size.
     """
-    usable = labels.filter(F.col("label").isNotNull() & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    share = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
+    usable = (labels.filter(F.col("label").isNotNull() & learnable(F.col("doc_id")))
+              .groupBy("doc_id").agg(F.max("label").alias("label")))
+    counts = (usable.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
+              .orderBy(F.desc("n_label"), "label").limit(MOST_LABELS).collect())
+    each = most if len(counts) <= 8 else 8 * most // len(counts)
+    kind = usable.schema["label"].dataType.simpleString()
+    share = labels.sparkSession.createDataFrame([tuple(r) for r in counts], f"label {kind}, n_label long")
     at = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return usable.join(F.broadcast(share), "label").filter(at * F.col("n_label") < most)
+    return usable.join(F.broadcast(share), "label").filter(at * F.col("n_label") < each)  # at most MOST_LABELS short rows

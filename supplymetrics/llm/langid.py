@@ -139,7 +139,7 @@ class Reader:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, seed: int = SEED) -> Profiles:
     """Learn from a bounded, seeded sample of the learnable documents with a language."""
-    chosen = labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("label")), sample, seed)
+    chosen = labelled_sample(docs.select("doc_id", F.col("lang").alias("label")), sample, seed)
     texts = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars)
     # at most about ``sample`` rows a language: bounded, so it may be broadcast and collected
     rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()

@@ -160,7 +160,7 @@ def score_text(text: str | None, memo: WordShares, bias: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
         seed: int = SEED) -> tuple[np.ndarray, float]:
     """Train on a bounded, seeded sample of ``labels(doc_id, toxic)`` joined with their texts."""
-    chosen = labelled_sample(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("label")), sample, seed)
+    chosen = labelled_sample(labels.select("doc_id", F.col("toxic").cast("int").alias("label")), sample, seed)
     # the sample has at most about ``sample`` rows a class: bounded, so it may be broadcast and collected
     texts = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars)
     rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
