@@ -76,10 +76,11 @@ def extreme(df: DataFrame, label: str, value: str, ascending: bool = True) -> Da
     return df.orderBy(v, F.col(label).asc()).limit(1)
 
 
-def at_latest(df: DataFrame, date_col: str) -> DataFrame:
-    """Rows at the latest value of ``date_col`` (PRJ12), via an uncorrelated scalar subquery
-    that is evaluated once."""
-    return df.filter(F.col(date_col) == df.select(F.max(date_col)).scalar())
+def at_latest(df: DataFrame, date_col: str, latest: Column) -> DataFrame:
+    """Rows at the latest date (PRJ12). ``latest`` is a scalar subquery over the narrowest source that
+    knows the date, so the surface itself is derived once, and only for that date: the filter is on a
+    grouping column, which the optimiser moves below the aggregation and its shuffles."""
+    return df.filter(F.col(date_col) == latest)
 
 
 def semi_additive(df: DataFrame, group_by: Sequence[str], date_col: str,

@@ -60,7 +60,7 @@ def inventory_trend(t: Tables, inv: DataFrame | None = None) -> DataFrame:
 
 def latest_exceptions(t: Tables) -> DataFrame:
     """DSH5 — distinct parts below safety stock at the latest snapshot (no row when none)."""
-    i = at_latest(SUR.inventory_position(t), "snapshot_date")
+    i = at_latest(SUR.inventory_position(t), "snapshot_date", t.latest_snapshot)
     return (i.filter(F.col("available_quantity") < F.col("safety_stock_quantity"))
             .groupBy("snapshot_date")
             .agg(F.count_distinct("part_id").alias("parts_below_safety_stock")))

@@ -49,7 +49,7 @@ def vq06_constrained_exposed(t: Tables) -> DataFrame:
 
 
 def vq07_below_safety_latest(t: Tables) -> DataFrame:
-    inv = at_latest(SUR.inventory_position(t), "snapshot_date")
+    inv = at_latest(SUR.inventory_position(t), "snapshot_date", t.latest_snapshot)
     return (inv.groupBy("plant_name")
             .agg(F.count_if(F.col("below_safety_stock_flag")).alias("parts_below_safety_stock"))
             .orderBy(F.col("parts_below_safety_stock").desc(), "plant_name"))
@@ -85,7 +85,7 @@ def vq14_exposed_and_constrained(t: Tables, month_start=None) -> DataFrame:
     latest production date)."""
     prd = SUR.production_performance(t)
     if month_start is None:
-        month_start = F.trunc(prd.select(F.max("production_date")).scalar(), "month")
+        month_start = F.trunc(t.latest_production, "month")
     m = month_start if not isinstance(month_start, str) else F.lit(month_start).cast("date")
     in_month = (F.col("production_date") >= m) & (F.col("production_date") <= F.last_day(m))
     return (prd.filter(in_month & F.col("watched_part_exposure_flag"))

@@ -247,6 +247,16 @@ class Tables:
         """Default watched part: the smallest critical part id (a scalar subquery)."""
         return self.part.filter(F.col("criticality") == "Critical").select(F.min("part_id")).scalar()
 
+    @property
+    def latest_production(self) -> Column:
+        """Latest production date: one column of one scan."""
+        return self.read("lineitem", "l_shipdate").select(F.max(F.to_date("l_shipdate"))).scalar()
+
+    @property
+    def latest_snapshot(self) -> Column:
+        """Latest inventory snapshot: the month end after the latest ship date."""
+        return F.last_day(self.latest_production)
+
     # --- facts -------------------------------------------------------------------------
     @cached_property
     def purchase_order_line(self) -> DataFrame:
@@ -413,6 +423,14 @@ class FrameTables(Tables):
         if "date_dim" not in frames:
             self.__dict__.pop("date_dim", None)
 
+    @property
+    def latest_production(self) -> Column:
+        return self.production.select(F.max("production_date")).scalar()
+
+    @property
+    def latest_snapshot(self) -> Column:
+        return self.inventory.select(F.max("snapshot_date")).scalar()
+
     def with_product(self, df: DataFrame, *cols: str) -> DataFrame:
         return df.join(self.product.select("product_id", *cols), "product_id")
 

@@ -109,3 +109,9 @@ def test_no_fact_is_shuffled_by_product(spark, no_broadcast, name):
     for x in rows:  # only pre-aggregated rows, or the production grain's few rows beside the part list, move by product
         below = lines[lines.index(x) + 1]
         assert "HashAggregate" in below or "ObjectHashAggregate" in below or "SortAggregate" in below or "production_date" in p, x
+
+
+def test_latest_snapshot_derives_the_surface_once(spark, no_broadcast):
+    p = plan(E.queries()["vq07_below_safety_latest"](spark, SMALL), "simple")
+    assert any("Filter" in x and "last_day(cast(l_shipdate" in x for x in p.splitlines()), p
+    assert len([x for x in p.splitlines() if "HashAggregate(keys=[l_partkey" in x]) == 2, p
