@@ -142,7 +142,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
     chosen = labelled_sample(docs.select("doc_id", F.col("lang").alias("label")), sample, seed)
     texts = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars)
     # at most about ``sample`` rows a language: bounded, so it may be broadcast and collected
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("label").alias("label")).collect()
     rows = sorted(rows, key=lambda r: r.doc_id)
     return Profiles([r.text for r in rows], [r.label for r in rows], seed=seed)
 

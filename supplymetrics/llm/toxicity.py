@@ -163,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     chosen = labelled_sample(labels.select("doc_id", F.col("toxic").cast("int").alias("label")), sample, seed)
     # the sample has at most about ``sample`` rows a class: bounded, so it may be broadcast and collected
     texts = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("label").alias("label"), F.max("n_label").alias("n_label")).collect()
     rows = sorted(rows, key=lambda r: r.doc_id)
     kept = Counter(r.label for r in rows)
     return train([r.text for r in rows], [int(r.label > 0) for r in rows], [r.n_label / kept[r.label] for r in rows], seed=seed)
