@@ -92,25 +92,27 @@ def train(texts: list[str], labels: list[int], weights: list[float], epochs: int
     n-grams that many documents share then learn faster than those of a few documents.
     """
     rng = np.random.default_rng(seed)
-    bags = [sorted(bag_of(t)) for t in texts]
-    seen = Counter(w for bag in bags for w in bag)
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= MIN_DOCS))}
+    number: dict[str, int] = {}  # of every word; bags are kept as arrays of numbers, a tenth of their words' memory
+    bags = [np.fromiter((number.setdefault(w, len(number)) for w in sorted(bag_of(t))), np.int32) for t in texts]
+    usual = np.bincount(np.concatenate(bags), minlength=len(number)) >= MIN_DOCS if number else np.zeros(0, bool)
+    vocabulary = [w for w, i in number.items() if usual[i]]
     y, weight = np.array(labels), np.array(weights, np.float32)
     rate = float((weight * y).sum() / max(weight.sum(), 1e-9)) if len(y) else 0.0
     if not vocabulary or len(set(labels)) < 2:
         edge = min(max(rate, 1e-6), 1 - 1e-6)
         return np.zeros(BUCKETS, np.float32), math.log(edge / (1 - edge))
 
-    doc, word, share = [], [], []
-    for d, bag in enumerate(bags):
-        for w in bag:
-            if w in vocabulary:
-                doc.append(d), word.append(vocabulary[w]), share.append(SCALE / (len(bag) + BLANKS))
-    docs = Sums(np.array(doc), np.array(word), np.array(share, np.float32), len(bags), len(vocabulary))
-    parts = [subwords(w) for w in vocabulary]
+    index = (np.cumsum(usual) - 1).astype(np.int32)
+    found = [index[bag[usual[bag]]] for bag in bags]
+    sizes = [len(f) for f in found]
+    share = np.repeat([SCALE / (len(bag) + BLANKS) for bag in bags], sizes).astype(np.float32)
+    docs = Sums(np.repeat(np.arange(len(bags), dtype=np.int32), sizes), np.concatenate(found), share, len(bags), len(vocabulary))
+    parts = [np.array(subwords(w), np.int32) for w in vocabulary]
     used, gram = np.unique(np.concatenate(parts), return_inverse=True)
-    of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    words = Sums(of, gram, np.repeat([1 / len(p) for p in parts], [len(p) for p in parts]).astype(np.float32), len(parts), len(used))
+    sizes = [len(p) for p in parts]
+    of = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    words = Sums(of, gram.astype(np.int32), np.repeat([1 / n for n in sizes], sizes).astype(np.float32), len(parts), len(used))
+    del number, bags, found, parts
 
     state = {"grams": rng.normal(0, 0.01, (len(used), dimensions)).astype(np.float32),
              "layer": rng.normal(0, 0.5, (dimensions, 2)).astype(np.float32),
