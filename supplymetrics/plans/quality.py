@@ -48,7 +48,7 @@ def expected_counts(t: Tables, expected: dict[str, int] | None = None) -> DataFr
 
 def row_counts(t: Tables) -> DataFrame:
     """DQ2 — row count of every entity table and curated surface."""
-    parts = [_count(t.table(n), n.upper()) for n in t.ENTITIES]
+    parts = [_count(t.columns(n, GRAIN[n][0]), n.upper()) for n in t.ENTITIES]
     surfaces = {"V_SUPPLIER_PERFORMANCE": SUR.supplier_performance(t),
                 "V_INVENTORY_POSITION": SUR.inventory_position(t),
                 "V_PRODUCTION_PERFORMANCE": SUR.production_performance(t),
@@ -81,7 +81,7 @@ def orphan_count(child: DataFrame, parent: DataFrame, child_key: str, parent_key
 
 def referential_integrity(t: Tables) -> DataFrame:
     """DQ3 — orphan foreign keys on the eight declared edges (left-anti joins)."""
-    parts = [orphan_count(t.table(c), t.table(p), ck, pk).select(F.lit(name).alias("check_name"), "orphan_count")
+    parts = [orphan_count(t.columns(c, ck), t.columns(p, pk), ck, pk).select(F.lit(name).alias("check_name"), "orphan_count")
              for name, c, ck, p, pk in EDGES]
     return report(parts).orderBy("check_name")
 
@@ -89,10 +89,10 @@ def referential_integrity(t: Tables) -> DataFrame:
 def grain_duplicates(t: Tables) -> DataFrame:
     """DQ4 — duplicate grain keys in raw facts and curated surfaces (groups occurring >1)."""
     checks = {
-        "INVENTORY_DUPLICATE_PART_PLANT_DATE": (t.inventory, GRAIN["inventory"]),
-        "PO_LINE_DUPLICATE_ID": (t.purchase_order_line, GRAIN["purchase_order_line"]),
-        "ORDER_LINE_DUPLICATE_ID": (t.order_line, GRAIN["order_line"]),
-        "SHIPMENT_DUPLICATE_ID": (t.shipment, GRAIN["shipment"]),
+        "INVENTORY_DUPLICATE_PART_PLANT_DATE": (t.columns("inventory", *GRAIN["inventory"]), GRAIN["inventory"]),
+        "PO_LINE_DUPLICATE_ID": (t.columns("purchase_order_line", *GRAIN["purchase_order_line"]), GRAIN["purchase_order_line"]),
+        "ORDER_LINE_DUPLICATE_ID": (t.columns("order_line", *GRAIN["order_line"]), GRAIN["order_line"]),
+        "SHIPMENT_DUPLICATE_ID": (t.columns("shipment", *GRAIN["shipment"]), GRAIN["shipment"]),
         "V_SUPPLIER_PERFORMANCE_GRAIN": (SUR.supplier_performance(t), GRAIN["supplier_performance"]),
         "V_INVENTORY_POSITION_GRAIN": (SUR.inventory_position(t), GRAIN["inventory_position"]),
         "V_PRODUCTION_PERFORMANCE_GRAIN": (SUR.production_performance(t), GRAIN["production_performance"]),
@@ -112,17 +112,19 @@ def rule(df: DataFrame, name: str, failing: Column) -> DataFrame:
 def value_rules(t: Tables) -> DataFrame:
     """DQ5-DQ9 — quantity balance, non-negative stock, fulfilled <= ordered, shipped <=
     fulfilled (cross-table, JN8), defective <= inspected."""
-    r = t.supply_receipt
-    sh = t.shipment.select("order_line_id", "shipped_quantity")
-    ol = t.order_line.select("order_line_id", "fulfilled_quantity")
+    r = t.columns("supply_receipt", "received_quantity", "accepted_quantity", "rejected_quantity")
+    sh = t.columns("shipment", "order_line_id", "shipped_quantity")
+    ol = t.columns("order_line", "order_line_id", "ordered_quantity", "fulfilled_quantity")
+    stock = t.columns("inventory", "available_quantity")
+    inspected = t.columns("quality", "defective_quantity", "inspected_quantity")
     checks = [
         rule(r, "RECEIPT_QUANTITY_BALANCE",
              F.col("received_quantity") != F.col("accepted_quantity") + F.col("rejected_quantity")),
-        rule(t.inventory, "NEGATIVE_INVENTORY_AVAILABLE", F.col("available_quantity") < 0),
-        rule(t.order_line, "ORDER_FULFILLED_GT_ORDERED", F.col("fulfilled_quantity") > F.col("ordered_quantity")),
+        rule(stock, "NEGATIVE_INVENTORY_AVAILABLE", F.col("available_quantity") < 0),
+        rule(ol, "ORDER_FULFILLED_GT_ORDERED", F.col("fulfilled_quantity") > F.col("ordered_quantity")),
         rule(sh.join(ol, "order_line_id"), "SHIPMENT_QTY_GT_ORDER_LINE_FULFILLED",
              F.col("shipped_quantity") > F.col("fulfilled_quantity")),
-        rule(t.quality, "QUALITY_DEFECT_GT_INSPECTED", F.col("defective_quantity") > F.col("inspected_quantity")),
+        rule(inspected, "QUALITY_DEFECT_GT_INSPECTED", F.col("defective_quantity") > F.col("inspected_quantity")),
     ]
     return report(checks).orderBy("check_name")
 
@@ -130,24 +132,24 @@ def value_rules(t: Tables) -> DataFrame:
 def reconciliation(t: Tables) -> DataFrame:
     """DQ10 — curated value equals raw value on the primary key (null-safe)."""
     pairs = [
-        ("V_INVENTORY_POSITION.AVAILABLE_QUANTITY", SUR.inventory_position(t), t.inventory,
+        ("V_INVENTORY_POSITION.AVAILABLE_QUANTITY", SUR.inventory_position(t), "inventory",
          "inventory_snapshot_id", "available_quantity"),
-        ("V_PRODUCTION_PERFORMANCE.PRODUCED_QUANTITY", SUR.production_performance(t), t.production,
+        ("V_PRODUCTION_PERFORMANCE.PRODUCED_QUANTITY", SUR.production_performance(t), "production",
          "production_id", "produced_quantity"),
-        ("V_CUSTOMER_FULFILLMENT.FULFILLED_QUANTITY", SUR.customer_fulfillment(t), t.order_line,
+        ("V_CUSTOMER_FULFILLMENT.FULFILLED_QUANTITY", SUR.customer_fulfillment(t), "order_line",
          "order_line_id", "fulfilled_quantity"),
-        ("V_SHIPMENT_PERFORMANCE.SHIPPED_QUANTITY", SUR.shipment_performance(t), t.shipment,
+        ("V_SHIPMENT_PERFORMANCE.SHIPPED_QUANTITY", SUR.shipment_performance(t), "shipment",
          "shipment_id", "shipped_quantity"),
     ]
-    return report([reconcile(c, r, k, col).select(F.lit(n).alias("check_name"), "rows_checked",
+    return report([reconcile(c, t.columns(r, k, col), k, col).select(F.lit(n).alias("check_name"), "rows_checked",
                                                   F.col("mismatches").alias("mismatch_rows"))
                    for n, c, r, k, col in pairs])
 
 
 def coverage(t: Tables) -> DataFrame:
     """DQ11 — distinct products with order lines, and of those, with shipments (JN11)."""
-    ol = t.order_line.select("order_line_id", "product_id")
-    sh = t.shipment.select(F.col("order_line_id"), F.col("product_id").alias("s_product_id"))
+    ol = t.columns("order_line", "order_line_id", "product_id")
+    sh = t.columns("shipment", "order_line_id", "product_id").withColumnRenamed("product_id", "s_product_id")
     j = ol.join(sh, "order_line_id", "left")
     return j.agg(F.count_distinct("product_id").alias("affected_order_products"),
                  F.count_distinct("s_product_id").alias("affected_shipment_products"))
@@ -156,16 +158,14 @@ def coverage(t: Tables) -> DataFrame:
 def labelled_counts(t: Tables) -> DataFrame:
     """DQ12 — labelled counts of the situations the model is built to surface, one pass per
     table (several ``count_if`` in a single aggregate)."""
-    pol = t.purchase_order_line
-    r = t.supply_receipt.join(pol.select("po_line_id", "promised_receipt_date"), "po_line_id")
     blocks = [
-        (pol, {"OPEN_PO_LINES": F.col("po_line_status") == "Open"}),
-        (r, {"LATE_RECEIPTS": F.col("receipt_date") > F.col("promised_receipt_date")}),
+        (t.columns("purchase_order_line", "po_line_status"), {"OPEN_PO_LINES": F.col("po_line_status") == "Open"}),
+        (t.promised_receipts, {"LATE_RECEIPTS": F.col("receipt_date") > F.col("promised_receipt_date")}),
         (t.inventory, {"INVENTORY_BELOW_SAFETY_STOCK": F.col("available_quantity") < F.col("safety_stock_quantity")}),
         (t.production, {"CONSTRAINED_PRODUCTION": F.col("production_status") == "Constrained"}),
-        (t.order_line, {"PARTIALLY_FULFILLED_ORDER_LINES": F.col("order_status") == "Partially Fulfilled",
+        (t.columns("order_line", "order_status"), {"PARTIALLY_FULFILLED_ORDER_LINES": F.col("order_status") == "Partially Fulfilled",
                         "OPEN_ORDER_LINES": F.col("order_status") == "Open"}),
-        (t.shipment, {"IN_TRANSIT_SHIPMENTS": F.col("shipment_status") == "In Transit",
+        (t.columns("shipment", "shipment_status", "actual_delivery_date", "promised_date"), {"IN_TRANSIT_SHIPMENTS": F.col("shipment_status") == "In Transit",
                       "LATE_DELIVERIES": F.col("actual_delivery_date") > F.col("promised_date")}),
     ]
     parts = []
@@ -179,10 +179,25 @@ def po_receipt_evidence(t: Tables) -> DataFrame:
     """DQ13 — every PO line with its receipts (if any) and the receipt delay (JN10)."""
     po = t.purchase_order_line.select("po_line_id", "supplier_id", "part_id", "plant_id",
                                       "order_date", "promised_receipt_date")
-    r = t.supply_receipt.select("receipt_id", "po_line_id", "receipt_date")
+    r = t.columns("supply_receipt", "receipt_id", "po_line_id", "receipt_date")
     return (po.join(r, "po_line_id", "left")
-            .withColumn("receipt_delay_days", X.days_between("promised_receipt_date", "receipt_date"))
-            .orderBy("order_date", "po_line_id", "receipt_id"))
+            .withColumn("receipt_delay_days", X.days_between("promised_receipt_date", "receipt_date")))
+
+
+def snapshot_series(t: Tables) -> DataFrame:
+    """DQ13 — available quantity against safety stock at every snapshot, with the breach marked."""
+    avail, safety = F.col("available_quantity"), F.col("safety_stock_quantity")
+    return t.inventory.select("part_id", "plant_id", "snapshot_date", "available_quantity", "safety_stock_quantity",
+                              X.flag(avail < safety).alias("below_safety_stock_flag"))
+
+
+def order_cohorts(t: Tables) -> DataFrame:
+    """DQ13 — every cohort of order lines (ids with the same text before the first dash): lines, quantities, open lines."""
+    ol = t.columns("order_line", "order_line_id", "ordered_quantity", "fulfilled_quantity", "order_status")
+    return ol.groupBy(F.substring_index("order_line_id", "-", 1).alias("cohort")).agg(
+        F.count(F.lit(1)).alias("order_lines"), F.sum("ordered_quantity").alias("ordered_quantity"),
+        F.sum("fulfilled_quantity").alias("fulfilled_quantity"),
+        F.count_if(F.col("order_status") != "Fulfilled").alias("lines_not_fulfilled"))
 
 
 def production_severity(t: Tables) -> DataFrame:
@@ -196,7 +211,8 @@ def production_severity(t: Tables) -> DataFrame:
 
 def fulfillment_profile(t: Tables) -> DataFrame:
     """DQ15 — fulfilment per plant and product from the raw order lines."""
-    return t.order_line.groupBy("plant_id", "product_id").agg(
+    ol = t.columns("order_line", "plant_id", "product_id", "ordered_quantity", "fulfilled_quantity")
+    return ol.groupBy("plant_id", "product_id").agg(
         F.count(F.lit(1)).alias("order_lines"),
         F.sum("ordered_quantity").alias("ordered_qty"),
         F.sum("fulfilled_quantity").alias("fulfilled_qty"),
@@ -208,7 +224,8 @@ def otd_profile(t: Tables) -> DataFrame:
     """DQ16 — on-time delivery per plant and product from raw shipments (no curated flags)."""
     a, p = F.col("actual_delivery_date"), F.col("promised_date")
     on_time = X.iff(a.isNotNull() & (a <= p), 1, 0)
-    return t.shipment.groupBy("plant_id", "product_id").agg(
+    sh = t.columns("shipment", "plant_id", "product_id", "shipped_quantity", "actual_delivery_date", "promised_date")
+    return sh.groupBy("plant_id", "product_id").agg(
         F.count(F.lit(1)).alias("shipment_count"),
         F.sum("shipped_quantity").alias("shipped_qty"),
         F.sum(on_time).alias("on_time_shipments"),
@@ -217,9 +234,7 @@ def otd_profile(t: Tables) -> DataFrame:
 
 def supplier_delay(t: Tables) -> DataFrame:
     """DQ17 — receipt delay per supplier as a plain row mean (compare AGG14)."""
-    po = t.purchase_order_line.select("po_line_id", "supplier_id", "promised_receipt_date")
-    r = t.supply_receipt.select("po_line_id", "receipt_date")
-    return po.join(r, "po_line_id").groupBy("supplier_id").agg(
+    return t.promised_receipts.groupBy("supplier_id").agg(
         F.count(F.lit(1)).alias("receipt_count"),
         X.dround(F.avg(X.days_between("promised_receipt_date", "receipt_date")), 2).alias("avg_receipt_delay_days"))
 

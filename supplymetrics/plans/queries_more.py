@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from supplymetrics.functions import exprs as X
@@ -10,7 +12,10 @@ from supplymetrics.operators.relational import duplicates, listagg, orphans, rec
 from supplymetrics.plans import dashboard as DSH
 from supplymetrics.plans import quality as DQ
 from supplymetrics.plans import surfaces as SUR
-from supplymetrics.plans.catalog import register
+from supplymetrics.plans.catalog import REGISTRY, register
+from supplymetrics.plans.verified import VERIFIED, run_batch
+from supplymetrics.session import checkpoint_dir
+from supplymetrics.sources import io as IO
 from supplymetrics.sources.adapters import Tables
 
 # --- dashboard -------------------------------------------------------------------------------
@@ -195,6 +200,15 @@ SELECT po.po_line_id, po.supplier_id, po.part_id, po.plant_id, po.order_date, po
 FROM purchase_order_line_t po LEFT JOIN supply_receipt_t r ON r.po_line_id = po.po_line_id""",
          "purchase_order_line_t", "supply_receipt_t")
 
+register("dq13_snapshot_series", DQ.snapshot_series, """
+SELECT part_id, plant_id, snapshot_date, available_quantity, safety_stock_quantity,
+       available_quantity < safety_stock_quantity AS below_safety_stock_flag FROM inventory_t""", "inventory_t")
+
+register("dq13_order_cohorts", DQ.order_cohorts, """
+SELECT split_part(order_line_id, '-', 1) AS cohort, count(*) AS order_lines, sum(ordered_quantity) AS ordered_quantity,
+       sum(fulfilled_quantity) AS fulfilled_quantity, CAST(count_if(order_status <> 'Fulfilled') AS BIGINT) AS lines_not_fulfilled
+FROM order_line_t GROUP BY 1""", "order_line_t")
+
 register("dq14_production_severity", DQ.production_severity, """
 SELECT plant_id, product_id, count(*) AS production_days,
        round(avg(planned_quantity - produced_quantity), 2) AS avg_production_gap,
@@ -247,7 +261,7 @@ register("bld1_calendar", lambda t: t.date_dim, "SELECT * FROM date_t", "date_t"
 
 
 def _po_keys(t: Tables):
-    po = t.purchase_order_line.select("po_line_id", "order_date", "supplier_id", "ordered_quantity")
+    po = t.columns("purchase_order_line", "po_line_id", "order_date", "supplier_id", "ordered_quantity")
     return surrogate_key(po, ["order_date", "po_line_id"], "po_seq_id", prefix="PO-", width=9)
 
 
@@ -256,7 +270,7 @@ SELECT po_line_id, order_date, supplier_id, ordered_quantity,
        'PO-' || lpad(CAST(row_number() OVER (ORDER BY order_date, po_line_id) AS VARCHAR), 9, '0') AS po_seq_id
 FROM purchase_order_line_t""", "purchase_order_line_t")
 
-register("bld5_bucket_counts", lambda t: t.order_line.groupBy(X.bucket(F.col("order_line_id"), 9).alias("bucket")).agg(
+register("bld5_bucket_counts", lambda t: t.columns("order_line", "order_line_id", "ordered_quantity").groupBy(X.bucket(F.col("order_line_id"), 9).alias("bucket")).agg(
     F.count(F.lit(1)).alias("order_lines"), F.sum("ordered_quantity").alias("ordered_quantity")), """
 SELECT CAST(('0x' || substr(md5(order_line_id), 1, 8)) AS BIGINT) % 9 AS bucket, count(*) AS order_lines,
        sum(ordered_quantity) AS ordered_quantity FROM order_line_t GROUP BY 1""", "order_line_t")
@@ -271,7 +285,7 @@ SELECT (['North', 'South', 'East', 'West'])[CAST(customer_id % 4 AS INTEGER) + 1
 
 # Order-size bands (inclusive bounds).
 SIZE_BANDS = [(0, 10, "XS"), (11, 25, "S"), (26, 40, "M"), (41, 50, "L")]
-register("bld7_banded", lambda t: t.order_line.groupBy(
+register("bld7_banded", lambda t: t.columns("order_line", "ordered_quantity", "fulfilled_quantity").groupBy(
     X.banded(F.col("ordered_quantity"), SIZE_BANDS, "XL").alias("size_band")).agg(
     F.count(F.lit(1)).alias("order_lines"), F.sum("fulfilled_quantity").alias("fulfilled_quantity")), """
 SELECT CASE WHEN ordered_quantity BETWEEN 0 AND 10 THEN 'XS' WHEN ordered_quantity BETWEEN 11 AND 25 THEN 'S'
@@ -317,7 +331,7 @@ register("jn03_critical_bom", lambda t: SUR.critical_bom(t), "SELECT * FROM crit
 
 register("jn07_uninspected_supplier_parts", lambda t: orphans(
     t.supplier_part.select("supplier_id", "part_id", "supplier_part_id"),
-    t.quality.select("supplier_id", "part_id"), ["supplier_id", "part_id"]), """
+    t.columns("quality", "supplier_id", "part_id"), ["supplier_id", "part_id"]), """
 SELECT sp.supplier_id, sp.part_id, sp.supplier_part_id FROM supplier_part_t sp
 WHERE NOT EXISTS (SELECT 1 FROM quality_t q WHERE q.supplier_id = sp.supplier_id AND q.part_id = sp.part_id)""",
          "supplier_part_t", "quality_t")
@@ -349,10 +363,8 @@ FROM (SELECT DISTINCT product_family, product_category FROM product_t) GROUP BY
 
 
 def _two_level_vs_row(t: Tables):
-    pol = t.purchase_order_line.select("po_line_id", "promised_receipt_date")
-    r = t.supply_receipt.join(pol, "po_line_id").withColumn(
-        "delay", X.days_between("promised_receipt_date", "receipt_date"))
-    per_line = r.groupBy("po_line_id", "supplier_id").agg(F.avg("delay").alias("line_mean"),
+    r = t.promised_receipts.withColumn("delay", X.days_between("promised_receipt_date", "receipt_date"))
+    per_line = r.groupBy("po_id", "po_line_id", "supplier_id").agg(F.avg("delay").alias("line_mean"),
                                                           F.sum("delay").alias("s"), F.count(F.lit(1)).alias("n"))
     return per_line.groupBy("supplier_id").agg(
         X.dround(F.avg("line_mean"), 6).alias("mean_of_line_means"),
@@ -383,3 +395,49 @@ register("win2_topk", lambda t: top_k(
     [F.col("unfulfilled_quantity").desc(), F.col("order_line_id").asc()], 100), """
 SELECT order_line_id, product_id, unfulfilled_quantity FROM customer_fulfillment
 ORDER BY unfulfilled_quantity DESC, order_line_id LIMIT 100""", "customer_fulfillment")
+
+
+# --- storage and hand-off ------------------------------------------------------------------------
+def _scratch(t: Tables) -> str:
+    """A new folder beside the checkpoints, which every executor reaches."""
+    return f"{checkpoint_dir(t.spark).rstrip('/')}/layers-{uuid.uuid4().hex}"
+
+
+def _appended(t: Tables):
+    root = _scratch(t)
+    path, even = f"{IO.layers(root)['raw']}/customer", F.col("customer_id") % 2 == 0
+    IO.append(t.customer.filter(even), path)
+    IO.append(t.customer.filter(~even), path)
+    return IO.table(t.spark, root, "raw", "customer")
+
+
+def _rebuilt(t: Tables):
+    root = _scratch(t)
+    IO.write_raw_layer(t, root, ["inventory"])
+    return IO.read_raw_layer(t.spark, root, ["inventory"]).inventory
+
+
+def _viewed(t: Tables):
+    IO.register_surface("v_inventory_position", SUR.inventory_position(t))
+    return t.spark.sql("SELECT inventory_risk_band, count(*) AS positions, sum(available_quantity) AS available_quantity "
+                       "FROM v_inventory_position GROUP BY inventory_risk_band")
+
+
+def _handed_off(t: Tables):
+    """A final aggregate through pandas and back, typed by its own schema."""
+    small = DSH.posture(t)
+    return t.spark.createDataFrame(IO.to_rows(small, 10), small.schema)
+
+
+register("src6_append", _appended, "SELECT * FROM customer_t", "customer_t")
+register("src7_rebuild_partitioned", _rebuilt, "SELECT * FROM inventory_t", "inventory_t")
+register("src8_view", _viewed, """
+SELECT inventory_risk_band, count(*) AS positions, sum(available_quantity) AS available_quantity
+FROM inventory_position GROUP BY inventory_risk_band""", "inventory_position")
+register("src9_materialise", lambda t: IO.materialise(SUR.quality_summary(t), f"{_scratch(t)}/quality"), """
+SELECT supplier_id, part_id, sum(inspected_quantity) AS inspected_quantity, sum(defective_quantity) AS defective_quantity
+FROM quality_t GROUP BY supplier_id, part_id""", "quality_t")
+register("src10_hand_off", _handed_off, REGISTRY["dsh06_posture"].sql)
+register("dsh11_batch", run_batch, "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS query_id, CASE WHEN count(*) > 0 THEN 'SUCCESS' ELSE 'NO_ROWS' END AS status, "
+    f"count(*) AS row_count, CAST(NULL AS VARCHAR) AS error FROM ({REGISTRY[name].sql})" for name in VERIFIED))

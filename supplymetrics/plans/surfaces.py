@@ -161,7 +161,7 @@ def inventory_position(t: Tables) -> DataFrame:
 @surface
 def po_summary(t: Tables) -> DataFrame:
     """SUR1a — PO lines per supplier × part."""
-    return t.purchase_order_line.groupBy("supplier_id", "part_id").agg(
+    return t.columns("purchase_order_line", "supplier_id", "part_id", "ordered_quantity").groupBy("supplier_id", "part_id").agg(
         F.count(F.lit(1)).alias("po_line_count"),
         F.sum("ordered_quantity").alias("ordered_quantity"))
 
@@ -169,11 +169,10 @@ def po_summary(t: Tables) -> DataFrame:
 @surface
 def receipt_summary(t: Tables) -> DataFrame:
     """SUR1b — receipts per PO line (delay vs the line's promise), then per supplier × part.
-    The average delay is a mean of per-PO-line means (AGG14)."""
-    pol = t.purchase_order_line.select("po_line_id", "promised_receipt_date")
-    r = t.supply_receipt.join(pol, "po_line_id")
+    The average delay is a mean of per-PO-line means (AGG14). Grouping starts with the order, by which
+    the receipts are already partitioned."""
     promised, rdate = F.col("promised_receipt_date"), F.col("receipt_date")
-    per_line = r.groupBy("po_line_id", "supplier_id", "part_id").agg(
+    per_line = t.promised_receipts.groupBy("po_id", "po_line_id", "supplier_id", "part_id").agg(
         F.count(F.lit(1)).alias("receipt_count"),
         F.sum("received_quantity").alias("received_quantity"),
         F.sum("accepted_quantity").alias("accepted_quantity"),
@@ -192,7 +191,8 @@ def receipt_summary(t: Tables) -> DataFrame:
 @surface
 def quality_summary(t: Tables) -> DataFrame:
     """SUR1c — inspections per supplier × part."""
-    return t.quality.groupBy("supplier_id", "part_id").agg(
+    q = t.columns("quality", "supplier_id", "part_id", "inspected_quantity", "defective_quantity")
+    return q.groupBy("supplier_id", "part_id").agg(
         F.sum("inspected_quantity").alias("inspected_quantity"),
         F.sum("defective_quantity").alias("defective_quantity"))
 

@@ -29,6 +29,16 @@ CARRIERS = [
     ("CA04", "CA04", "Summit Express", "Express", "Regional"),
 ]
 
+# Columns of the facts that come from a parent of the line; all others are the line's own.
+FROM_PARENTS = {
+    "purchase_order_line": {"orders": {"order_date", "promised_receipt_date"}, "supplier": {"plant_id"}},
+    "supply_receipt": {"orders": {"receipt_date"}, "supplier": {"plant_id"}},
+    "quality": {"supplier": {"plant_id"}},
+    "inventory": {"part": {"safety_stock_quantity"}},
+    "order_line": {"orders": {"customer_id", "order_date", "promised_date"}, "part": {"product_id"}, "supplier": {"plant_id"}},
+    "shipment": {"orders": {"customer_id"}, "part": {"product_id"}, "supplier": {"plant_id"}},
+}
+
 _INSTANCES: dict[tuple[int, str], "Tables"] = {}
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -86,7 +96,8 @@ class Tables:
 
     def _lines(self, orders=False, part=False, supplier=False) -> DataFrame:
         """lineitem with derived columns and only the requested parents joined. Lines without a parent
-        stay (their derived columns are NULL), so the integrity job can report them."""
+        stay (their derived columns are NULL), so the integrity job can report them. The columns of a
+        parent that is not asked for are NULL."""
         li = self.read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                        "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus",
                        "l_shipdate")
@@ -97,15 +108,21 @@ class Tables:
             p = self.read("part", "p_partkey", "p_brand", "p_type", "p_size")
             li = (li.join(p, li.l_partkey == p.p_partkey, "left")
                   .withColumn("product_id", product_key(F.col("p_brand"), F.col("p_type"))))
+        else:
+            li = li.withColumns({"product_id": F.lit(None).cast("string"), "p_size": F.lit(None).cast("int")})
         if supplier:
             s = self.read("supplier", "s_suppkey", "s_nationkey")
             li = li.join(s, li.l_suppkey == s.s_suppkey, "left").withColumn("plant_id", F.col("s_nationkey"))
+        else:
+            li = li.withColumn("plant_id", F.lit(None).cast("int"))
         # orders last: at scale this is the sort-merge join, and its output stays
         # hash-partitioned by order key for the PO-line aggregation that follows
         if orders:
             o = self.read("orders", "o_orderkey", "o_custkey", "o_orderdate")
             li = (li.join(o, li.l_orderkey == o.o_orderkey, "left")
                   .withColumn("order_date", F.to_date("o_orderdate")))
+        else:
+            li = li.withColumns({"o_custkey": F.lit(None).cast("long"), "order_date": F.lit(None).cast("date")})
         return li
 
     @cached_property
@@ -260,7 +277,10 @@ class Tables:
     # --- facts -------------------------------------------------------------------------
     @cached_property
     def purchase_order_line(self) -> DataFrame:
-        li = self._lines(orders=True, supplier=True)
+        return self._purchase_order_line()
+
+    def _purchase_order_line(self, orders=True, supplier=True) -> DataFrame:
+        li = self._lines(orders=orders, supplier=supplier)
         df = (li.groupBy("l_orderkey", "l_partkey", "l_suppkey", "plant_id", "order_date")
               .agg(F.sum("q").alias("ordered_quantity"),
                    F.max(F.col("l_extendedprice") / X.nullif_zero(F.col("q"))).alias("unit_cost"),
@@ -277,8 +297,20 @@ class Tables:
 
     @cached_property
     def supply_receipt(self) -> DataFrame:
+        return self._supply_receipt()
+
+    @property
+    def promised_receipts(self) -> DataFrame:
+        """Receipts with the order and the promise of their purchase-order line. Both follow from the
+        receipt's own order, so purchase-order lines are neither derived nor joined."""
+        return self._receipts(supplier=False).drop("plant_id")
+
+    def _supply_receipt(self, orders=True, supplier=True) -> DataFrame:
+        return conform(self._receipts(orders, supplier), "supply_receipt")
+
+    def _receipts(self, orders=True, supplier=True) -> DataFrame:
         """One receipt per finished line; lines 5-7 arrive in two receipts (split quantity)."""
-        li = self._lines(orders=True, supplier=True).filter(F.col("l_linestatus") == "F")
+        li = self._lines(orders=orders, supplier=supplier).filter(F.col("l_linestatus") == "F")
         ln, q = F.col("l_linenumber"), F.col("q")
         promised = F.date_add("order_date", 5)
         n = F.col("receipt_no")
@@ -286,7 +318,7 @@ class Tables:
             F.when(ln >= 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
         received = (F.when(n == 1, F.when(ln < 5, q).otherwise(X.floor_d(q / 2)))
                     .otherwise(q - X.floor_d(q / 2)))
-        df = (li.withColumn("received_quantity", received)
+        return (li.withColumn("received_quantity", received)
               .withColumn("rejected_quantity",
                           F.when(F.col("l_returnflag") == "R",
                                  X.floor_d(F.col("received_quantity") / 10)).otherwise(F.lit(0.0)))
@@ -301,12 +333,16 @@ class Tables:
                       "received_quantity",
                       (F.col("received_quantity") - F.col("rejected_quantity")).alias("accepted_quantity"),
                       "rejected_quantity",
-                      F.lit("Received").alias("receipt_status")))
-        return conform(df, "supply_receipt")
+                      F.lit("Received").alias("receipt_status"),
+                      F.col("l_orderkey").alias("po_id"),
+                      promised.alias("promised_receipt_date")))
 
     @cached_property
     def quality(self) -> DataFrame:
-        li = self._lines(supplier=True).filter(F.col("l_returnflag").isin("A", "R"))
+        return self._quality()
+
+    def _quality(self, supplier=True) -> DataFrame:
+        li = self._lines(supplier=supplier).filter(F.col("l_returnflag").isin("A", "R"))
         ln = F.col("l_linenumber")
         defective = F.when(F.col("l_returnflag") == "R", (ln % 3).cast("double")).otherwise(F.lit(0.0))
         df = li.select(
@@ -323,8 +359,11 @@ class Tables:
 
     @cached_property
     def inventory(self) -> DataFrame:
+        return self._inventory()
+
+    def _inventory(self, part=True) -> DataFrame:
         """Month-end snapshots per part and plant."""
-        li = self._lines(part=True, supplier=True).withColumn("snapshot_date", F.last_day("ship_date"))
+        li = self._lines(part=part, supplier=True).withColumn("snapshot_date", F.last_day("ship_date"))
         df = (li.groupBy(F.col("l_partkey").alias("part_id"), "plant_id", "snapshot_date")
               .agg(F.sum("q").alias("on_hand_quantity"),
                    F.sum(F.when(F.col("l_linestatus") == "O", X.floor_d(F.col("q") / 2))
@@ -354,16 +393,17 @@ class Tables:
                                       X.yyyymmdd("production_date"))))
         return conform(df, "production")
 
-    @cached_property
-    def _demand_lines(self) -> DataFrame:
-        li = self._lines(orders=True, part=True, supplier=True)
+    def _demand_lines(self, **parents) -> DataFrame:
         q = F.col("q")
-        return li.withColumn("fulfilled_quantity",
+        return self._lines(**parents).withColumn("fulfilled_quantity",
                              F.when(F.col("l_returnflag") == "R", X.floor_d(q * 7 / 10)).otherwise(q))
 
     @cached_property
     def order_line(self) -> DataFrame:
-        li = self._demand_lines
+        return self._order_line()
+
+    def _order_line(self, orders=True, part=True, supplier=True) -> DataFrame:
+        li = self._demand_lines(orders=orders, part=part, supplier=supplier)
         ful, q = F.col("fulfilled_quantity"), F.col("q")
         df = li.select(
             F.col("line_id").alias("order_line_id"),
@@ -378,7 +418,10 @@ class Tables:
 
     @cached_property
     def shipment(self) -> DataFrame:
-        li = self._demand_lines
+        return self._shipment()
+
+    def _shipment(self, orders=True, part=True, supplier=True) -> DataFrame:
+        li = self._demand_lines(orders=orders, part=part, supplier=supplier)
         undelivered = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")
         actual = F.when(~undelivered, F.date_add("ship_date", F.col("l_linenumber")))
         promised = F.date_add("ship_date", 6)
@@ -406,6 +449,13 @@ class Tables:
             raise KeyError(f"unknown entity table {name!r}")
         return getattr(self, name)
 
+    def columns(self, name: str, *cols: str) -> DataFrame:
+        """Columns of an entity table; a fact is joined only with the parents these columns come from."""
+        if name not in FROM_PARENTS:
+            return self.table(name).select(*cols)
+        needed = {parent: bool(got.intersection(cols)) for parent, got in FROM_PARENTS[name].items()}
+        return getattr(self, f"_{name}")(**needed).select(*cols)
+
 
 class FrameTables(Tables):
     """Entity tables supplied directly as DataFrames — a persisted raw layer read back, or a
@@ -423,6 +473,14 @@ class FrameTables(Tables):
         if "date_dim" not in frames:
             self.__dict__.pop("date_dim", None)
 
+    def columns(self, name: str, *cols: str) -> DataFrame:
+        return self.table(name).select(*cols)
+
+    @property
+    def promised_receipts(self) -> DataFrame:
+        po = self.purchase_order_line.select("po_line_id", "po_id", "promised_receipt_date")
+        return self.supply_receipt.join(po, "po_line_id").drop("plant_id")
+
     @property
     def latest_production(self) -> Column:
         return self.production.select(F.max("production_date")).scalar()
