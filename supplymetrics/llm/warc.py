@@ -11,8 +11,9 @@ record by its Content-Length, and verifies both digests; a record that is cut sh
 raises ``WarcError``.
 
 Scale: payloads are shuffled once, by page id; only ids and digests meet by digest, where a payload
-held by a third of all pages is one partial maximum per task and a join that AQE splits. Files hold at most
-``RECORDS_PER_FILE`` records. A lost executor costs its tasks: members depend on the page alone and files are committed.
+held by a third of all pages is one partial maximum per task and a join that AQE splits. A file is read by one task, so
+its size is bounded: files hold at most ``RECORDS_PER_FILE`` records, and a payload over ``LARGE_BYTES`` has a file of its own.
+A lost executor costs its tasks: members depend on the page alone and files are committed.
 
 Defined results: a null html is an empty payload; a null url is archived as the record's own URN; pages repeated with
 the same id and html are repeated records, all responses if theirs is the largest id; a null id is the smallest of all;
@@ -33,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplymetrics.llm.common import ship
+from supplymetrics.llm.common import cut, ship
 from supplymetrics.session import checkpoint_dir
 
 ship(__name__)
 
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 2000
+LARGE_BYTES = 1 << 19
 STEP = 1 << 16
 DATE = "2026-01-01T00:00:00Z"  # one date for all records, so that reruns write the same bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -129,21 +131,27 @@ def read_record(data: bytes | bytearray) -> tuple:
     return page_of(h["warc-record-id"]), h["warc-target-uri"], size, digest, h["warc-type"], refers
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, html, refers_to, revisit): what each page's record is."""
+def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """(again_id, again_digest, refers_to): the pages whose record refers to another one."""
     digest = F.sha1(F.col("html").cast("binary"))
     long = pages.filter(F.octet_length("html") >= min_bytes).select("page_id", digest.alias("digest"))
     kept = (long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
             .filter((F.col("n") > 1) & F.col("refers_to").isNotNull()).select("digest", "refers_to"))
-    again = (long.join(kept, "digest").filter(F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to")))
-             .select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to").distinct())
+    return (long.join(kept, "digest").filter(F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to")))
+            .select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to").distinct())
+
+
+def with_revisits(pages: DataFrame, again: DataFrame) -> DataFrame:
+    """(page_id, url, html, refers_to, revisit): what each page's record is."""
+    digest = F.sha1(F.col("html").cast("binary"))
     match = F.col("page_id").eqNullSafe(F.col("again_id")) & (digest == F.col("again_digest"))
     return pages.select("page_id", "url", "html").join(again, match, "left").select(
         "page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the pages as gzip members under ``path``."""
+def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE,
+                  large_bytes: int = LARGE_BYTES) -> None:
+    """Write the pages as gzip members under ``path``; payloads over ``large_bytes`` in files of one record."""
     @F.pandas_udf("binary")
     def build(ids: pd.Series, urls: pd.Series, pages_html: pd.Series, refers: pd.Series, revisit: pd.Series) -> pd.Series:
         number = [None if x is None else int(x) for x in ids]
@@ -151,10 +159,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
         return pd.Series([member(i, u, (t or "").encode("utf-8", "replace"), r, bool(v))
                           for i, u, t, r, v in zip(number, urls, pages_html, other, revisit)], dtype=object)
 
-    # ids travel as strings: a long column with nulls would become floating point in pandas
-    records = with_revisits(pages, min_bytes).select(
-        build(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "revisit").cast("string").alias("value"))
-    records.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    again = cut(revisits(pages, min_bytes))
+    large = F.coalesce(F.octet_length("html") > large_bytes, F.lit(False))
+    for rows, most, mode in ((pages.filter(~large), records_per_file, "errorifexists"), (pages.filter(large), 1, "append")):
+        # ids travel as strings: a long column with nulls would become floating point in pandas
+        records = with_revisits(rows, again).select(
+            build(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "revisit").cast("string").alias("value"))
+        records.write.mode(mode).option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -173,8 +184,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, RECORD)
 
 
-def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
+def round_trip(pages: DataFrame, **settings) -> DataFrame:
     """Archive the pages in the shared folder and read the archive back."""
     path = f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_archive(pages, path, min_bytes, records_per_file)
+    write_archive(pages, path, **settings)
     return read_archive(pages.sparkSession, path)

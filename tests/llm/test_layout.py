@@ -75,7 +75,7 @@ def test_archive_round_trip(spark, tmp_path):
     pages = [(1, "http://a/b c", big), (2, None, big), (9, "u", big), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""),
              (None, "u\r\nX: y", big), (7, "u", "x" * 300_000), (8, "u", "HTTP\r\n\r\nWARC/1.1\r\n\r\n" * 80), (9, "u", big)]
     df = spark.createDataFrame([(*p, "w", "d") for p in pages], PAGES)
-    warc.write_archive(df, str(tmp_path / "w"), records_per_file=3)
+    warc.write_archive(df, str(tmp_path / "w"), records_per_file=3, large_bytes=5000)
     rows = warc.read_archive(spark, str(tmp_path / "w")).collect()
     sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
     want = Counter((i, len((t or "").encode()), sha(t), "revisit" if t == big and i != 9 else "response", 9 if t == big and i != 9 else None) for i, _, t in pages)
@@ -83,6 +83,10 @@ def test_archive_round_trip(spark, tmp_path):
     files = [tmp_path / "w" / f for f in os.listdir(tmp_path / "w") if f.startswith("part")]
     inflated = b"".join(gzip.open(f).read() for f in files)  # any gzip reader skips the padding
     assert inflated.count(b"WARC/1.1\r\nWARC-Type: ") == len(pages)
+    held = [[warc.read_record(m)[0] for m in warc.members(f.read_bytes())] for f in files]
+    assert max(map(len, held)) <= 3 and [7] in held  # the large one has a file of its own
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        warc.write_archive(df, str(tmp_path / "w"))
 
 
 def test_reader_verifies():
