@@ -159,13 +159,15 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
         return pd.Series([member(i, u, (t or "").encode("utf-8", "replace"), r, bool(v))
                           for i, u, t, r, v in zip(number, urls, pages_html, other, revisit)], dtype=object)
 
-    again = cut(revisits(pages, min_bytes))
+    # no more tasks than full files, so that a small table over many partitions does not become many crumbs
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-pages.count() // records_per_file))
+    again = cut(revisits(pages, min_bytes).coalesce(tasks))
     large = F.coalesce(F.octet_length("html") > large_bytes, F.lit(False))
     for rows, most, mode in ((pages.filter(~large), records_per_file, "errorifexists"), (pages.filter(large), 1, "append")):
         # ids travel as strings: a long column with nulls would become floating point in pandas
         records = with_revisits(rows, again).select(
             build(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "revisit").cast("string").alias("value"))
-        records.write.mode(mode).option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
+        records.coalesce(tasks).write.mode(mode).option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
