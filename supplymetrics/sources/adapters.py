@@ -362,19 +362,22 @@ class Tables:
         return self._inventory()
 
     def _inventory(self, part=True) -> DataFrame:
-        """Month-end snapshots per part and plant."""
-        li = self._lines(part=part, supplier=True).withColumn("snapshot_date", F.last_day("ship_date"))
+        """Month-end snapshots per part and plant; the part is joined to the snapshots, not to the lines."""
+        li = self._lines(supplier=True).withColumn("snapshot_date", F.last_day("ship_date"))
         df = (li.groupBy(F.col("l_partkey").alias("part_id"), "plant_id", "snapshot_date")
               .agg(F.sum("q").alias("on_hand_quantity"),
                    F.sum(F.when(F.col("l_linestatus") == "O", X.floor_d(F.col("q") / 2))
-                         .otherwise(F.lit(0.0))).alias("reserved_quantity"),
-                   F.max("p_size").cast("double").alias("safety_stock_quantity"))
+                         .otherwise(F.lit(0.0))).alias("reserved_quantity"))
               .withColumn("available_quantity",
                           F.col("on_hand_quantity") - F.col("reserved_quantity"))
               .withColumn("inventory_snapshot_id",
                           F.concat_ws("-", F.col("part_id").cast("string"),
                                       F.col("plant_id").cast("string"), X.yyyymmdd("snapshot_date"))))
-        return conform(df, "inventory")
+        safety = F.lit(None)
+        if part:
+            p = self.read("part", "p_partkey", "p_size")
+            df, safety = df.join(p, df.part_id == p.p_partkey, "left"), F.col("p_size")
+        return conform(df.withColumn("safety_stock_quantity", safety.cast("double")), "inventory")
 
     @cached_property
     def production(self) -> DataFrame:

@@ -115,3 +115,40 @@ def test_latest_snapshot_derives_the_surface_once(spark, no_broadcast):
     p = plan(E.queries()["vq07_below_safety_latest"](spark, SMALL), "simple")
     assert any("Filter" in x and "last_day(cast(l_shipdate" in x for x in p.splitlines()), p
     assert len([x for x in p.splitlines() if "HashAggregate(keys=[l_partkey" in x]) == 2, p
+
+
+def exchanges(p):
+    return [x for x in p.splitlines() if "Exchange hashpartitioning" in x and "Reused" not in x]
+
+
+def test_facts_join_only_the_parents_asked_for(spark, no_broadcast):
+    from supplymetrics.sources.adapters import FROM_PARENTS, Tables
+    from supplymetrics.sources.schemas import SCHEMAS
+    t = Tables.of(spark, SMALL)
+    for name, parents in FROM_PARENTS.items():
+        own = [c for c in SCHEMAS[name].names if not any(c in got for got in parents.values())]
+        joins = plan(t.columns(name, *own), "simple").count("SortMergeJoin")
+        assert joins == (1 if name == "inventory" else 0), name  # a snapshot is kept per plant, which is the supplier's
+        for parent, got in parents.items():
+            assert plan(t.columns(name, *got), "simple").count("SortMergeJoin") > joins, (name, parent)
+        assert t.columns(name, *SCHEMAS[name].names).exceptAll(t.table(name)).isEmpty(), name
+
+
+def test_supplier_surface_derives_purchase_order_lines_once(spark, no_broadcast):
+    p = plan(E.queries()["sur1_supplier_performance"](spark, SMALL), "simple")
+    scans = [x for x in p.splitlines() if "FileScan parquet" in x]
+    assert len([x for x in scans if "l_suppkey" in x]) == 4 and len([x for x in scans if "o_orderdate" in x]) == 1, p
+    assert len(exchanges(p)) <= 12, len(exchanges(p))
+
+
+def test_part_is_joined_to_snapshots_not_to_lines(spark, no_broadcast):
+    import re
+    p = plan(E.queries()["sur2_inventory_position"](spark, SMALL), "simple")
+    assert not re.search(r"hashpartitioning\(l_partkey#\d+L, \d+\)", p), p
+    # the snapshots are shuffled once for both reads of the part dimension
+    assert len([x for x in exchanges(p) if re.search(r"\(part_id#\d+L, \d+\)", x)]) == 2, p
+
+
+def test_grain_checks_share_shuffles(spark, no_broadcast):
+    p = plan(E.queries()["dq04_grain_duplicates"](spark, SMALL), "simple")
+    assert len(exchanges(p)) <= 33 and p.count("ReusedExchange") >= 8, (len(exchanges(p)), p.count("ReusedExchange"))
