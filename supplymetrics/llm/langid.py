@@ -7,10 +7,10 @@ prototypes by cosine.
 
 Training reads a bounded sample (``SAMPLE`` learnable rows a language value, texts up to ``SAMPLE_CHARS``);
 prediction covers every document and its whole text. n-gram vectors are computed once per task and n-gram, and
-kept for up to ``KEPT_GRAMS`` of them. Documents are read once and not shuffled.
+kept for up to ``KEPT_GRAMS`` of them; letters of every script have vectors of their own, drawn when first met. Documents
+are read once and not shuffled.
 
-Defined results: letters are compared without case; all else is one space; letters outside the
-``ALPHABET`` most frequent of the sample share one vector; a text that is null or has no letter is ``und`` with score 0;
+Defined results: letters are compared without case; all else is one space; a text that is null or has no letter is ``und`` with score 0;
 without any learned language every text is ``und``; ties go to the first language in code point
 order; a null id is never learned from; lang, source and ids are not inputs; repeated rows score alike.
 """
@@ -18,7 +18,6 @@ order; a null id is never learned from; lang, source and ids are not inputs; rep
 from __future__ import annotations
 
 import sys
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +33,17 @@ SAMPLE = 500
 SAMPLE_CHARS = 20_000
 SEED = 6
 DIMENSIONS = 256
-ALPHABET = 94
+POINT_BITS = 21  # of a code point: three of them are the code of an n-gram
+STEP = 1 << 14
 UNKNOWN = "und"
 KEPT_GRAMS = 60_000
 
 
 class Profiles:
-    """Letter vectors and language prototypes."""
+    """Language prototypes, and what letter vectors follow from."""
 
     def __init__(self, texts: list[str], langs: list[str], dimensions: int = DIMENSIONS, seed: int = SEED):
-        letters = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        self.letters = sorted(sorted(letters), key=lambda c: -letters[c])[:ALPHABET]
-        points = [32, 0, *map(ord, self.letters)]  # symbols: 0 space, 1 any other letter, then the alphabet
-        vectors = np.stack([np.random.default_rng([seed, p]).choice(np.array([-1, 1], np.int8), dimensions) for p in points])
-        self.symbols = len(points)
-        self.turned = [np.roll(vectors, shift, axis=1) for shift in (2, 1, 0)]
+        self.dimensions, self.seed = dimensions, seed
         self.langs, self.prototypes = sorted(set(langs)), np.zeros((0, dimensions), np.float32)
         reader = Reader(self)
         if self.langs:
@@ -64,68 +59,75 @@ class Profiles:
 
 
 class Reader:
-    """Bundles texts; remembers the vectors of the n-grams it met first."""
+    """Bundles texts; remembers the vectors of the letters it met, and of the n-grams it met first."""
 
     def __init__(self, profiles: Profiles):
         self.p = profiles
-        table = np.zeros(sys.maxunicode + 1, np.uint8)  # symbol of every code point, 255: not known yet
-        table[:] = 255
-        for i, c in enumerate(profiles.letters):
-            table[ord(c)] = 2 + i
-            if len(c.upper()) == 1 and c.upper().lower() == c:
-                table[ord(c.upper())] = 2 + i
-        self.table = table
-        self.row = np.full(profiles.symbols ** 3, -1, np.int32)
-        self.kept = np.zeros((1024, profiles.turned[0].shape[1]), np.float32)
-        self.used = 0
+        self.table = np.full(sys.maxunicode + 1, -1, np.int32)  # symbol of every code point: 0 space, a lower-case letter itself, -1 not known yet
+        self.place = np.full(sys.maxunicode + 1, -1, np.int32)  # of a symbol's vectors
+        self.turned = [np.zeros((64, profiles.dimensions), np.int8) for _ in range(3)]
+        self.met = 0
+        self.row: dict[int, int] = {}  # of an n-gram's vector
+        self.kept = np.zeros((1024, profiles.dimensions), np.float32)
 
     def symbol(self, point: int) -> int:
         low = chr(point).lower()
-        if not low[0].isalpha():
-            return 0
-        known = self.table[ord(low[0])] if low[0] != chr(point) else 255
-        return int(known) if known != 255 else 1
+        return ord(low[0]) if low[0].isalpha() else 0
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Codes and counts of the n-grams of a text; None without a letter."""
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         s = self.table[points]
-        if (s == 255).any():
-            for x in np.unique(points[s == 255]).tolist():
+        if (s < 0).any():
+            for x in np.unique(points[s < 0]).tolist():
                 self.table[x] = self.symbol(x)
             s = self.table[points]
         if not s.any():
             return None
         s = s[(s > 0) | (np.concatenate(([1], s[:-1])) > 0)]  # runs of other characters are one space
         s = np.concatenate(([0][: int(s[0] > 0)], s, [0][: int(s[-1] > 0)])).astype(np.int64)
-        codes = (s[:-2] * self.p.symbols + s[1:-1]) * self.p.symbols + s[2:]
-        if len(codes) > 4 * len(self.row):  # a long text is counted in place instead of sorted
-            counts = np.bincount(codes, minlength=len(self.row))
-            found = np.flatnonzero(counts)
-            return found, counts[found]
+        codes = (s[:-2] << 2 * POINT_BITS) | (s[1:-1] << POINT_BITS) | s[2:]
         return np.unique(codes, return_counts=True)
 
+    def places(self, symbols: np.ndarray) -> np.ndarray:
+        """Where the vectors of the symbols stand; those not met before are drawn from their code points."""
+        at = self.place[symbols]
+        if (at < 0).any():
+            for x in np.unique(symbols[at < 0]).tolist():
+                if self.met == len(self.turned[0]):
+                    self.turned = [np.concatenate((t, np.zeros_like(t))) for t in self.turned]
+                v = np.random.default_rng([self.p.seed, x or 32]).choice(np.array([-1, 1], np.int8), self.p.dimensions)
+                for t, shift in zip(self.turned, (2, 1, 0)):
+                    t[self.met] = np.roll(v, shift)
+                self.place[x], self.met = self.met, self.met + 1
+            at = self.place[symbols]
+        return at
+
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        n, (a, b, c) = self.p.symbols, self.p.turned
-        return a[codes // (n * n)] * b[codes // n % n] * c[codes % n]
+        mask = (1 << POINT_BITS) - 1
+        at = [self.places(s) for s in (codes >> 2 * POINT_BITS, codes >> POINT_BITS & mask, codes & mask)]
+        a, b, c = self.turned
+        return a[at[0]] * b[at[1]] * c[at[2]]
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         found = self.grams(text) if text else None
         if found is None:
             return None
-        codes, counts = found
-        rows = self.row[codes]
-        new = codes[rows < 0][:KEPT_GRAMS - self.used]
-        if len(new):
-            while self.used + len(new) > len(self.kept):
-                self.kept = np.concatenate((self.kept, np.zeros_like(self.kept)))
-            self.kept[self.used:self.used + len(new)] = self.vectors(new)
-            self.row[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-            rows = self.row[codes]
-        out = counts[rows >= 0].astype(np.float32) @ self.kept[rows[rows >= 0]]
-        if (rows < 0).any():
-            out += counts[rows < 0].astype(np.float32) @ self.vectors(codes[rows < 0]).astype(np.float32)
+        out = np.zeros(self.p.dimensions, np.float32)
+        for i in range(0, len(found[0]), STEP):  # a long text of a large script has as many n-grams as letters
+            codes, counts = found[0][i:i + STEP], found[1][i:i + STEP].astype(np.float32)
+            rows = np.array([self.row.get(c, -1) for c in codes.tolist()], np.int64)
+            new = codes[rows < 0][:KEPT_GRAMS - len(self.row)]
+            if len(new):
+                used = len(self.row)
+                while used + len(new) > len(self.kept):
+                    self.kept = np.concatenate((self.kept, np.zeros_like(self.kept)))
+                self.kept[used:used + len(new)] = self.vectors(new)
+                self.row.update(zip(new.tolist(), range(used, used + len(new))))
+                rows[np.flatnonzero(rows < 0)[:len(new)]] = np.arange(used, used + len(new))
+            out += counts[rows >= 0] @ self.kept[rows[rows >= 0]]
+            if (rows < 0).any():
+                out += counts[rows < 0] @ self.vectors(codes[rows < 0]).astype(np.float32)
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:

@@ -85,6 +85,29 @@ def test_binding_keeps_order_and_case_does_not_matter():
     assert set(codes) == set(again[0]) and counts.sum() == 1_400_000
 
 
+def words_of(rng, letters, n=40):
+    return " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(n))
+
+
+def test_letters_of_every_script_have_their_own_vectors():
+    rng = random.Random(8)
+    frequent = [chr(c) for c in range(0x3B1, 0x600) if chr(c).isalpha() and chr(c).islower()][:120]  # over 94 letters
+    scripts = {"ka": [chr(0x10D0 + i) for i in range(30)], "am": [chr(0x1200 + i) for i in range(60)]}
+    texts, langs = [words_of(rng, frequent, 4000)], ["xx"]
+    vocabulary = {lang: words_of(rng, letters).split() for lang, letters in scripts.items()}
+    say = lambda lang: " ".join(rng.choices(vocabulary[lang], k=30))
+    for lang in scripts:
+        texts += [say(lang) for _ in range(5)]
+        langs += [lang] * 5
+    r = langid.Reader(langid.Profiles(texts, langs))
+    for lang in scripts:
+        assert {r.predict(say(lang))[0] for _ in range(20)} == {lang}
+    han = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(100_000))  # more n-grams than are kept
+    codes, counts = r.grams(han)
+    assert np.array_equal(r.bundle(han), langid.Reader(r.p).bundle(han)) and counts.sum() == len(han)
+    assert np.allclose(r.bundle(han), sum(counts[i:i + 999].astype(float) @ r.vectors(codes[i:i + 999]) for i in range(0, len(codes), 999)))
+
+
 def test_language_edges(spark, edge, none):
     rows = langid.identify(edge).select("doc.doc_id", "doc.text", "lang_pred", "score").collect()
     assert len(rows) == len(EDGE)
