@@ -62,21 +62,36 @@ def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 MOST_LABELS = 200
+PIECES = 8
 
 
-def labelled_sample(labels: DataFrame, most: int, seed: int) -> DataFrame:
-    """A bounded sample (doc_id, label, n_label) of ``labels(doc_id, label)``, spread evenly by a seeded hash.
+def labelled_sample(rows: DataFrame, most: int, chars: int, seed: int) -> DataFrame:
+    """A bounded sample (doc_id, label, n_label, long) of ``rows(doc_id, label, chars)``, spread evenly by a seeded hash.
 
-    About ``most`` rows of each value, and of at most 8 * ``most`` in all where there are more than eight values;
-    beyond ``MOST_LABELS`` values only the most frequent are learned. Only learnable ids enter; an id labelled twice has
-    its largest label. The share to keep follows from counts over all labels, so the bound holds at any size.
+    About ``most`` ids of each value, and 8 * ``most`` in all where there are more than eight of the ``MOST_LABELS`` values learned; ids without a text of at most ``chars``
+    characters (``long``) fill up a value that has too few others. Only learnable ids with a label and a text enter (each may stand in
+    rows of its own); an id labelled twice has its largest label. The shares follow from counts over all labels, so the
+    bound holds at any size.
     """
-    usable = (labels.filter(F.col("label").isNotNull() & learnable(F.col("doc_id")))
-              .groupBy("doc_id").agg(F.max("label").alias("label")))
-    counts = (usable.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
-              .orderBy(F.desc("n_label"), "label").limit(MOST_LABELS).collect())
-    each = most if len(counts) <= 8 else 8 * most // len(counts)
-    kind = usable.schema["label"].dataType.simpleString()
-    share = labels.sparkSession.createDataFrame([tuple(r) for r in counts], f"label {kind}, n_label long")
+    usable = cut(rows.filter(learnable(F.col("doc_id"))).groupBy("doc_id")
+                 .agg(F.max("label").alias("label"), (F.min("chars") > chars).alias("long")).dropna())
+    counts = cut(usable.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"), F.count(F.when(F.col("long"), 1)).alias("n_long"))
+                 .orderBy(F.desc("n_label"), "label").limit(MOST_LABELS))
+    values = counts.count()
+    most = most if values <= 8 else 8 * most // values
     at = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return usable.join(F.broadcast(share), "label").filter(at * F.col("n_label") < each)  # at most MOST_LABELS short rows
+    short = F.col("n_label") - F.col("n_long")
+    keep = F.when(F.col("long"), at * F.col("n_long") < most - short).otherwise(at * short < most)
+    return usable.join(small_side(counts), "label").filter(keep).select("doc_id", "label", "n_label", "long")
+
+
+def sampled_texts(texts: DataFrame, chosen: DataFrame, chars: int, seed: int) -> DataFrame:
+    """(doc_id, text, label, n_label) of the sample, one text of ``texts(doc_id, text)`` an id.
+
+    Of a text over ``chars`` characters, one seeded piece is read from each of ``PIECES`` equal parts, ``chars`` in all."""
+    part, width = F.floor(F.length("text") / PIECES).cast("int"), chars // PIECES
+    pieces = [F.substring(F.col("text"), (i * part + F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.lit(i)), part - width + 1) + 1).cast("int"),
+                          F.lit(width)) for i in range(PIECES)]
+    text = F.when(F.col("long"), F.concat_ws(" ", *pieces)).otherwise(F.col("text"))
+    return (texts.join(small_side(cut(chosen)), "doc_id").filter(F.col("long") | (F.length("text") <= chars))
+            .groupBy("doc_id").agg(F.min(text).alias("text"), F.max("label").alias("label"), F.max("n_label").alias("n_label")))

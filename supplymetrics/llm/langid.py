@@ -5,8 +5,8 @@ permuted letter vectors, rho^2(a) * rho(b) * c; a text is the bundle (sum) of it
 language's prototype is the bundle of its training texts, less the mean of all languages; texts are compared with the
 prototypes by cosine.
 
-Training reads a bounded sample (``SAMPLE`` learnable rows a language value, texts up to ``SAMPLE_CHARS``);
-prediction covers every document and its whole text. n-gram vectors are computed once per task and n-gram, and
+Training reads a bounded sample (``SAMPLE`` learnable rows a language value, texts up to ``SAMPLE_CHARS``, pieces of longer ones
+where a language has too few); prediction covers every document and its whole text. n-gram vectors are computed once per task and n-gram, and
 kept for up to ``KEPT_GRAMS`` of them; letters of every script have vectors of their own, drawn when first met. Documents
 are read once and not shuffled.
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplymetrics.llm.common import labelled_sample, ship
+from supplymetrics.llm.common import labelled_sample, sampled_texts, ship
 
 ship(__name__)
 
@@ -140,13 +140,11 @@ class Reader:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, seed: int = SEED) -> Profiles:
-    """Learn from a bounded, seeded sample of the learnable documents with a language."""
-    chosen = labelled_sample(docs.select("doc_id", F.col("lang").alias("label")), sample, seed)
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars)
-    # at most about ``sample`` rows a language: bounded, so it may be broadcast and collected
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
-        F.min("text").alias("text"), F.max("label").alias("label")).collect()
-    rows = sorted(rows, key=lambda r: r.doc_id)
+    """Learn from a bounded, seeded sample of the learnable documents of every language."""
+    texts = docs.select("doc_id", "text", "lang").filter(F.col("text").rlike(r"\p{L}"))
+    chosen = labelled_sample(texts.select("doc_id", F.col("lang").alias("label"), F.length("text").alias("chars")), sample, sample_chars, seed)
+    # about ``sample`` rows a language: bounded, so they may be collected
+    rows = sorted(sampled_texts(texts.select("doc_id", "text"), chosen, sample_chars, seed).collect(), key=lambda r: r.doc_id)
     return Profiles([r.text for r in rows], [r.label for r in rows], seed=seed)
 
 

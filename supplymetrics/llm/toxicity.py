@@ -5,8 +5,8 @@ distinct words and of ``BLANKS`` words with a zero vector (so that a few words a
 linear layer with a softmax gives the two class probabilities. Vectors and layer are trained together,
 so an unseen misspelling or inflection scores by the n-grams it shares.
 
-Training reads a bounded sample (``SAMPLE`` rows a class, texts up to ``SAMPLE_CHARS``) of the labelled rows; scoring
-covers every document and its whole text. Averaging and the layer are linear, so a word's share of the
+Training reads a bounded sample (``SAMPLE`` rows a class, texts up to ``SAMPLE_CHARS``, pieces of longer ones where a class has
+too few) of the labelled rows; scoring covers every document and its whole text. Averaging and the layer are linear, so a word's share of the
 logit is one number; workers remember it for the words met lately. Documents are read once and not shuffled.
 
 Defined results: words are runs of letters and digits, lower-cased, with a letter in them; a text without words (null, empty) scores the base rate of the sample; without labels of both classes every score is
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplymetrics.llm.common import labelled_sample, ship
+from supplymetrics.llm.common import labelled_sample, sampled_texts, ship
 
 ship(__name__)
 
@@ -162,14 +162,15 @@ def score_text(text: str | None, memo: WordShares, bias: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
         seed: int = SEED) -> tuple[np.ndarray, float]:
     """Train on a bounded, seeded sample of ``labels(doc_id, toxic)`` joined with their texts."""
-    chosen = labelled_sample(labels.select("doc_id", F.col("toxic").cast("int").alias("label")), sample, seed)
-    # the sample has at most about ``sample`` rows a class: bounded, so it may be broadcast and collected
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
-        F.min("text").alias("text"), F.max("label").alias("label"), F.max("n_label").alias("n_label")).collect()
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    # one row an id with its class, from the labels and the documents together
+    rows = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"), F.lit(None).cast("int").alias("chars")).unionByName(
+        texts.select("doc_id", F.lit(None).cast("int").alias("label"), F.length("text").alias("chars")))
+    # about ``sample`` rows in each of two classes: bounded, so they may be collected
+    rows = sampled_texts(texts, labelled_sample(rows, sample, sample_chars, seed), sample_chars, seed).collect()
     rows = sorted(rows, key=lambda r: r.doc_id)
     kept = Counter(r.label for r in rows)
-    return train([r.text for r in rows], [int(r.label > 0) for r in rows], [r.n_label / kept[r.label] for r in rows], seed=seed)
+    return train([r.text for r in rows], [r.label for r in rows], [r.n_label / kept[r.label] for r in rows], seed=seed)
 
 
 def score(text: Column, model) -> Column:

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from supplymetrics.llm import langid, queries, toxicity
+from supplymetrics.llm.common import labelled_sample, sampled_texts
 
 from .conftest import EDGE, documents
 
@@ -119,3 +120,35 @@ def test_language_edges(spark, edge, none):
     assert langid.identify(none).count() == 0
     unlabelled = documents(spark, [(1, "words", None, "a"), (2, None, None, None)])
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_classes_of_long_texts_keep_their_rows(spark):
+    rng = random.Random(4)
+    vocabulary = {"aa": words_of(rng, "abcdefg").split(), "zz": words_of(rng, "tuvwxyz").split()}
+    say = lambda lang, n: " ".join(rng.choices(vocabulary[lang], k=n))
+    rows = [(i, say("aa", 30), "aa", "s") for i in range(80)] + [(100 + i, say("zz", 7000), "zz", "s") for i in range(40)]
+    docs = documents(spark, rows)
+    assert min(len(r[1]) for r in rows[80:]) > toxicity.SAMPLE_CHARS > langid.SAMPLE_CHARS
+    found = langid.identify(docs).select("doc.lang", "lang_pred").collect()
+    assert all(r.lang == r.lang_pred for r in found)
+    labels = spark.createDataFrame([(r[0], 1, int(r[2] == "zz")) for r in rows], LABELS)
+    scored, p = toxicity.scored(docs, labels)
+    got = {r.doc_id: r.p for r in scored.select("doc_id", p.alias("p")).collect()}
+    assert min(got[i] for i in got if i >= 100) > max(got[i] for i in got if i < 100)
+    sizes = docs.select("doc_id", F.col("lang").alias("label"), F.length("text").alias("chars"))
+    learnable = lambda ids: {i for i in ids if zlib.crc32(str(i).encode()) % 4 != 2}
+    drawn = {r.doc_id for r in labelled_sample(sizes, 500, 20_000, 6).collect()}
+    assert drawn == learnable(r[0] for r in rows)
+    mixed = [(i, "x", 10 if i % 10 == 0 else 10**6) for i in range(4000)]  # 300 short ones do not fill the 2,000
+    drawn = labelled_sample(spark.createDataFrame(mixed, "doc_id long, label string, chars int"), 2000, 100, 6).collect()
+    assert {r.doc_id for r in drawn if not r.long} == learnable(range(0, 4000, 10)) and 1850 < len(drawn) < 2150
+
+
+def test_sampled_pieces_lie_in_their_texts(spark):
+    texts = {1: "".join(chr(0x4E00 + i) for i in range(1003)), 2: "short", 3: "y" * 81}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    chosen = rows.select("doc_id", F.lit("l").alias("label"), F.lit(3).alias("n_label"), (F.length("text") > 80).alias("long"))
+    got = {r.doc_id: r.text for r in sampled_texts(rows, chosen, 80, 1).collect()}
+    assert got[2] == "short" and got[3] == " ".join(["y" * 10] * 8)
+    pieces = got[1].split(" ")
+    assert [len(x) for x in pieces] == [10] * 8 and all(x in texts[1][i * 125:(i + 1) * 125] for i, x in enumerate(pieces))
