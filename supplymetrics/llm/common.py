@@ -61,24 +61,20 @@ def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-MOST_LABELS = 200
 PIECES = 8
 
 
 def labelled_sample(rows: DataFrame, most: int, chars: int, seed: int) -> DataFrame:
     """A bounded sample (doc_id, label, n_label, long) of ``rows(doc_id, label, chars)``, spread evenly by a seeded hash.
 
-    About ``most`` ids of each value, and 8 * ``most`` in all where there are more than eight of the ``MOST_LABELS`` values learned; ids without a text of at most ``chars``
+    About ``most`` ids of every label value, whatever the number of values; ids without a text of at most ``chars``
     characters (``long``) fill up a value that has too few others. Only learnable ids with a label and a text enter (each may stand in
     rows of its own); an id labelled twice has its largest label. The shares follow from counts over all labels, so the
     bound holds at any size.
     """
     usable = cut(rows.filter(learnable(F.col("doc_id"))).groupBy("doc_id")
                  .agg(F.max("label").alias("label"), (F.min("chars") > chars).alias("long")).dropna())
-    counts = cut(usable.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"), F.count(F.when(F.col("long"), 1)).alias("n_long"))
-                 .orderBy(F.desc("n_label"), "label").limit(MOST_LABELS))
-    values = counts.count()
-    most = most if values <= 8 else 8 * most // values
+    counts = cut(usable.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"), F.count(F.when(F.col("long"), 1)).alias("n_long")))
     at = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     short = F.col("n_label") - F.col("n_long")
     keep = F.when(F.col("long"), at * F.col("n_long") < most - short).otherwise(at * short < most)

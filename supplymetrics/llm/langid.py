@@ -5,8 +5,9 @@ permuted letter vectors, rho^2(a) * rho(b) * c; a text is the bundle (sum) of it
 language's prototype is the bundle of its training texts, less the mean of all languages; texts are compared with the
 prototypes by cosine.
 
-Training reads a bounded sample (``SAMPLE`` learnable rows a language value, texts up to ``SAMPLE_CHARS``, pieces of longer ones
-where a language has too few); prediction covers every document and its whole text. n-gram vectors are computed once per task and n-gram, and
+Training reads a bounded sample (about ``SAMPLE`` learnable rows of every language value, texts up to ``SAMPLE_CHARS``, pieces of
+longer ones where a language has too few); the sums per language are a Spark aggregate, and the driver holds one prototype
+(1 KB) a language. Prediction covers every document and its whole text. n-gram vectors are computed once per task and n-gram, and
 kept for up to ``KEPT_GRAMS`` of them; letters of every script have vectors of their own, drawn when first met. Documents
 are read once and not shuffled.
 
@@ -18,7 +19,7 @@ order; a null id is never learned from; lang, source and ids are not inputs; rep
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ SEED = 6
 DIMENSIONS = 256
 POINT_BITS = 21  # of a code point: three of them are the code of an n-gram
 STEP = 1 << 14
+UNIT = 1 << 32
 UNKNOWN = "und"
 KEPT_GRAMS = 60_000
 
@@ -42,20 +44,31 @@ KEPT_GRAMS = 60_000
 class Profiles:
     """Language prototypes, and what letter vectors follow from."""
 
-    def __init__(self, texts: list[str], langs: list[str], dimensions: int = DIMENSIONS, seed: int = SEED):
+    def __init__(self, texts: Sequence[str] = (), langs: Sequence[str] = (), dimensions: int = DIMENSIONS, seed: int = SEED):
         self.dimensions, self.seed = dimensions, seed
-        self.langs, self.prototypes = sorted(set(langs)), np.zeros((0, dimensions), np.float32)
-        reader = Reader(self)
+        self.langs, self.prototypes = [], np.zeros((0, dimensions), np.float32)
+        self.learn(sums_of(self, zip(texts, langs)))
+
+    def learn(self, sums: dict[str, np.ndarray]) -> Profiles:
+        """Prototypes from the sums of the languages' unit vectors."""
+        self.langs = sorted(sums)
         if self.langs:
-            sums = {lang: np.zeros(dimensions, np.float64) for lang in self.langs}
-            for text, lang in zip(texts, langs):
-                v = reader.bundle(text)
-                if v is not None:
-                    sums[lang] += v / max(np.linalg.norm(v), 1e-9)
-            units = np.stack([sums[k] / max(np.linalg.norm(sums[k]), 1e-9) for k in self.langs])
+            units = np.stack([sums[k] / max(np.linalg.norm(sums[k].astype(np.float64)), 1e-9) for k in self.langs])
             if len(units) > 1:
                 units = units - units.mean(axis=0)
             self.prototypes = (units / np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        return self
+
+
+def sums_of(profiles: Profiles, labelled: Iterable[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """Sums of the texts' unit vectors per language, in whole ``1 / UNIT``: no order of adding changes them."""
+    reader, sums = Reader(profiles), {}
+    for text, lang in labelled:
+        v = reader.bundle(text)
+        if v is not None:
+            unit = np.rint(v.astype(np.float64) / max(np.linalg.norm(v), 1e-9) * UNIT).astype(np.int64)
+            sums[lang] = sums[lang] + unit if lang in sums else unit
+    return sums
 
 
 class Reader:
@@ -143,9 +156,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
     """Learn from a bounded, seeded sample of the learnable documents of every language."""
     texts = docs.select("doc_id", "text", "lang").filter(F.col("text").rlike(r"\p{L}"))
     chosen = labelled_sample(texts.select("doc_id", F.col("lang").alias("label"), F.length("text").alias("chars")), sample, sample_chars, seed)
-    # about ``sample`` rows a language: bounded, so they may be collected
-    rows = sorted(sampled_texts(texts.select("doc_id", "text"), chosen, sample_chars, seed).collect(), key=lambda r: r.doc_id)
-    return Profiles([r.text for r in rows], [r.label for r in rows], seed=seed)
+    rows = sampled_texts(texts.select("doc_id", "text"), chosen, sample_chars, seed).select("text", "label")
+    profiles = Profiles(seed=seed)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = sums_of(profiles, (pair for rows in batches for pair in zip(rows["text"], rows["label"])))
+        if sums:
+            yield pd.DataFrame({"label": list(sums), "v": list(sums.values())})
+
+    parts = rows.mapInPandas(learn, "label string, v array<long>").select("label", F.posexplode("v").alias("i", "x"))
+    sums = parts.groupBy("label", "i").agg(F.sum("x").alias("x")).groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    # a prototype a language
+    return profiles.learn({r.label: np.array(r.v, np.int64) for r in sums.toLocalIterator()})
 
 
 def identify(docs: DataFrame, **settings) -> DataFrame:

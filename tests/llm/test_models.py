@@ -152,3 +152,18 @@ def test_sampled_pieces_lie_in_their_texts(spark):
     assert got[2] == "short" and got[3] == " ".join(["y" * 10] * 8)
     pieces = got[1].split(" ")
     assert [len(x) for x in pieces] == [10] * 8 and all(x in texts[1][i * 125:(i + 1) * 125] for i, x in enumerate(pieces))
+
+
+def test_every_language_is_learned_however_many(spark):
+    rng = random.Random(9)
+    vocabulary = {f"l{k:03}": words_of(rng, [chr(0x4E00 + 30 * k + i) for i in range(30)], 12).split() for k in range(260)}
+    rows = [(3 * k + i, " ".join(rng.choices(v, k=20)), lang, "s") for k, (lang, v) in enumerate(vocabulary.items()) for i in range(3)]
+    docs = documents(spark, rows)
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    p = langid.fit(docs)
+    assert p.langs == sorted(learned) and len(learned) > 250
+    reader = langid.Reader(p)
+    assert np.mean([reader.predict(r[1])[0] == r[2] for r in rows if r[2] in learned]) > .95
+    sizes = spark.range(20_000).selectExpr("id doc_id", "concat('l', id % 20) label", "10 chars")  # 1,000 rows of each of 20 values
+    drawn = labelled_sample(sizes, 500, 100, 6).groupBy("label").count().collect()
+    assert len(drawn) == 20 and all(400 < r["count"] < 600 for r in drawn)
