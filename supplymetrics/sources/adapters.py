@@ -264,15 +264,24 @@ class Tables:
         """Default watched part: the smallest critical part id (a scalar subquery)."""
         return self.part.filter(F.col("criticality") == "Critical").select(F.min("part_id")).scalar()
 
+    def _latest_ship_date(self, part: DataFrame) -> Column:
+        """Latest ship date of the lines that have one of the parts and a plant, as the surfaces' rows have."""
+        s = self.read("supplier", "s_suppkey", "s_nationkey")
+        s = s.join(self._nation_region, s.s_nationkey == F.col("n_nationkey"), "left_semi")
+        li = self.read("lineitem", "l_partkey", "l_suppkey", "l_shipdate")
+        li = li.join(part, li.l_partkey == part.p_partkey, "left_semi").join(s, li.l_suppkey == s.s_suppkey, "left_semi")
+        return li.select(F.max(F.to_date("l_shipdate"))).scalar()
+
     @property
     def latest_production(self) -> Column:
-        """Latest production date: one column of one scan."""
-        return self.read("lineitem", "l_shipdate").select(F.max(F.to_date("l_shipdate"))).scalar()
+        """Latest production date of a product and plant."""
+        p = self.read("part", "p_partkey", "p_brand", "p_type")
+        return self._latest_ship_date(p.filter(product_key(F.col("p_brand"), F.col("p_type")).isNotNull()).select("p_partkey"))
 
     @property
     def latest_snapshot(self) -> Column:
-        """Latest inventory snapshot: the month end after the latest ship date."""
-        return F.last_day(self.latest_production)
+        """Latest inventory snapshot of a part and plant: the month end after their latest ship date."""
+        return F.last_day(self._latest_ship_date(self.read("part", "p_partkey")))
 
     # --- facts -------------------------------------------------------------------------
     @cached_property
