@@ -4,14 +4,15 @@ Base kinds (email, ip, card, phone) are found by their fixed patterns. Secrets a
  * candidates are identifier-like tokens (at least ``MIN_TOKEN`` letters, digits, - or _, with a digit in them);
  * a candidate occurrence has lexical patterns: the text just before it at three grains (its last three pieces, the
    piece it is glued to, the assignment sign alone), if there is more to them than a space;
- * seed entities are tokens of well-known secret formats (``SEEDS``);
+ * seed entities are the base entities that pass their checks, and tokens of well-known secret formats (``SEEDS``);
  * every round scores the pattern-instance graph: a pattern is trusted if at least ``MIN_SUPPORT`` distinct known instances
-   occur in it and they are at least ``MIN_CONFIDENCE`` of all its distinct instances; the unknown instances of trusted patterns that look
-   random (letters and digits mixed) become known. Rounds end when nothing new is learned, at most ``MAX_ROUNDS``.
-Occurrences of known instances in trusted patterns, and all seeds, are added as spans of kind ``secret``
+   occur in it and they are at least ``MIN_CONFIDENCE`` of all its distinct instances; the unknown tokens of trusted patterns become
+   known if they have ``MIN_DIGITS`` digits (letters are not asked for: account and tax numbers have none). Rounds end when
+   nothing new is learned, so the trusted patterns follow from all known instances.
+Occurrences of known tokens in trusted patterns, and all seeds of known formats, are added as spans of kind ``secret``
 unless they overlap a base span. A base span that fails its check is dropped, never retried.
 
-Scale: one pass over the texts keeps only matches, gap lengths and 64 characters before candidates; everything
+Scale: one pass over the texts keeps only matches, gap lengths and 64 characters before candidates and base entities; everything
 after works on these narrow rows. A pattern holding a third of all occurrences is a partial aggregate of its distinct
 instances. Learned patterns and instances are joined, never collected; each round is cut by a checkpoint.
 
@@ -39,11 +40,11 @@ KINDS = ("email", "ip", "card", "phone", "secret")  # in the order of the result
 SEEDS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})$"  # well-known formats: access key ids, 160-bit hexadecimal keys
 MIN_TOKEN = 8
 TOKEN = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{{{MIN_TOKEN},}}+"
-MIN_DIGITS = MIN_LETTERS = 2  # of a token that looks random
+MIN_DIGITS = 2  # of a token that becomes known
 BEFORE = 64
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.4
-MAX_ROUNDS = 5
+MIN_CARD = 13
 
 
 def _found(text: Column, pattern: str, hint: Column) -> Column:
@@ -56,8 +57,19 @@ def _gaps(text: Column, pattern: str, matches: Column) -> Column:
     return F.when(F.size(matches) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
 
 
+def _pair_of(kind: str):
+    """Joins a gap and a match; 64 characters are kept before matches that can be entities."""
+    def pair(gap: Column, match: Column) -> Column:
+        before = F.right(gap, F.lit(BEFORE))
+        if kind == "card":  # any number matches
+            before = F.when(F.length(match) >= MIN_CARD, before).otherwise("")
+        return F.struct(F.length(gap).alias("gap"), match.alias("match"), before.alias("before"))
+
+    return pair
+
+
 def matched(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: doc_id, and per kind an array of (gap, match) in order of position; tokens also have ``before``."""
+    """One narrow row per document: doc_id, and per kind an array of (gap, match, before) in order of position."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digits = text.rlike("[0-9]")
     hints = {"email": F.contains(text, F.lit("@")), "ip": digits & text.rlike(r"[0-9]\.[0-9]"), "card": digits,
@@ -68,9 +80,7 @@ def matched(docs: DataFrame) -> DataFrame:
     arrays = []
     for k, p in {**PATTERNS, "token": TOKEN}.items():
         gaps = F.slice(_gaps(F.col("text"), p, F.col(k)), F.lit(1), F.size(k))
-        pair = (lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match"), F.right(g, F.lit(BEFORE)).alias("before"))) \
-            if k == "token" else (lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match"), F.lit("").alias("before")))
-        arrays.append(F.zip_with(gaps, F.col(k), pair).alias(k))
+        arrays.append(F.zip_with(gaps, F.col(k), _pair_of(k)).alias(k))
     return found.select("doc_id", *arrays)
 
 
@@ -91,7 +101,7 @@ def valid(kind: Column, match: Column) -> Column:
     byte = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     n = F.length(digits)
     return (F.when(kind == "ip", match.rlike(rf"^{byte}\.{byte}\.{byte}\.{byte}$"))
-            .when(kind == "card", n.between(13, 19) & F.when(n.between(13, 19), luhn(digits)))
+            .when(kind == "card", n.between(MIN_CARD, 19) & F.when(n.between(MIN_CARD, 19), luhn(digits)))
             .when(kind == "phone", n.between(9, 15)).otherwise(F.lit(True)))
 
 
@@ -129,32 +139,34 @@ def lexical_patterns(before: Column) -> Column:
     return F.filter(named, lambda x: x.isNotNull())
 
 
-def looks_random(token: Column) -> Column:
-    digits, letters = (F.length(F.regexp_replace(token, c, "")) for c in ("[^0-9]", "[^A-Za-z]"))
-    return (digits >= MIN_DIGITS) & (letters >= MIN_LETTERS)
-
-
-def bootstrap(tokens: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-              max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Trusted patterns and known instances, learned from tokens (instance, before)."""
-    graph = cut(tokens.select("instance", F.explode(lexical_patterns(F.col("before"))).alias("pattern")).distinct())
-    known = cut(tokens.filter(F.col("instance").rlike(SEEDS)).select("instance").distinct())
-    size = known.count()
-    for _ in range(max_rounds):
-        marked = graph.join(known.withColumn("known", F.lit(1)), "instance", "left")
-        trusted = cut(marked.groupBy("pattern").agg(F.count("known").alias("support"), F.count(F.lit(1)).alias("all"))
-                      .filter((F.col("support") >= min_support) & (F.col("support") >= min_confidence * F.col("all"))).select("pattern"))
-        fresh = graph.join(trusted, "pattern").filter(looks_random(F.col("instance"))).select("instance")
-        known = cut(known.unionByName(fresh).distinct())
+def trusted_patterns(graph: DataFrame, known: DataFrame, min_support: int, min_confidence: float) -> DataFrame:
+    """Patterns whose seeds and known instances are enough, and a large enough share of all their instances."""
+    marked = graph.join(known.withColumn("known", F.lit(True)), "instance", "left")
+    support = F.count(F.when(F.col("seed") | F.col("known"), 1))
+    return (marked.groupBy("pattern").agg(support.alias("support"), F.count(F.lit(1)).alias("all"))
+            .filter((F.col("support") >= min_support) & (F.col("support") >= min_confidence * F.col("all"))).select("pattern"))
+
+
+def bootstrap(entities: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns and known tokens besides the seeds, learned from entities (instance, before, base)."""
+    seed = F.col("base") | F.col("instance").rlike(SEEDS)
+    graph = cut(entities.select("instance", seed.alias("seed"), F.explode(lexical_patterns(F.col("before"))).alias("pattern"))
+                .groupBy("instance", "pattern").agg(F.max("seed").alias("seed")))
+    known, size = graph.select("instance").limit(0), 0
+    learnable = graph.filter(~F.col("seed") & (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= MIN_DIGITS)).select("instance", "pattern")
+    while True:  # the known instances only grow, so this ends
+        trusted = cut(trusted_patterns(graph, known, min_support, min_confidence))
+        known = cut(learnable.join(trusted, "pattern").select("instance").unionByName(known).distinct())
         before, size = size, known.count()
         if size == before:
-            break
-    return trusted, known
+            return trusted, known
 
 
-def secrets(tokens: DataFrame, **settings) -> DataFrame:
-    """(rid, start, end) of seeds, and of known instances where a trusted pattern stands before them."""
-    trusted, known = bootstrap(tokens, **settings)
+def secrets(tokens: DataFrame, base: DataFrame, **settings) -> DataFrame:
+    """(rid, start, end) of seeds among the tokens, and of known instances where a trusted pattern stands before them."""
+    entities = tokens.select("instance", "before", F.lit(False).alias("base")).unionByName(
+        base.select(F.col("match").alias("instance"), "before", F.lit(True).alias("base")))
+    trusted, known = bootstrap(entities, **settings)
     seeds = tokens.filter(F.col("instance").rlike(SEEDS)).select("rid", "start", "end")
     learned = (tokens.join(known, "instance").select("rid", "start", "end", F.explode(lexical_patterns(F.col("before"))).alias("pattern"))
                .join(trusted, "pattern").select("rid", "start", "end"))
@@ -172,7 +184,7 @@ def find_pii(docs: DataFrame, **settings) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, n_secret, base (listed base spans), spans (all, listed)."""
     rows = cut(matched(docs)).withColumn("rid", F.monotonically_increasing_id())
     found = cut(occurrences(rows))
-    added = secrets(cut(free_tokens(found)), **settings).select("rid", F.lit("secret").alias("kind"), "start", "end")
+    added = secrets(cut(free_tokens(found)), found.filter("kind <> 'token'"), **settings).select("rid", F.lit("secret").alias("kind"), "start", "end")
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     every = found.filter("kind <> 'token'").select("rid", "kind", "start", "end").unionByName(added)
     per_doc = every.groupBy("rid").agg(

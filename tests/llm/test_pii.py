@@ -76,6 +76,28 @@ def test_hot_pattern_of_few_instances_is_not_support(spark):
     assert {r.spans for r in found} == {"secret:7:47"}
 
 
+def listed(spark, texts):
+    found = pii.find_pii(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    return {texts[r.doc_id][int(a):int(b)] for r in found for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "secret"}
+
+
+def test_base_entities_seed_patterns_of_digits(spark):
+    hidden = ["123-45-6789", "987654321", "C01234567", "zq81xw20pl"]
+    texts = [f"you can contact u{i}@mail.org any day" for i in range(8)] + [f"you can contact {h} any day" for h in hidden]
+    assert listed(spark, texts + [f"some other words 2024-01-{i:02} here" for i in range(10, 30)]) == set(hidden)
+    assert listed(spark, texts[:3] + texts[8:]) == set()  # too few known instances
+
+
+def test_rounds_go_on_while_anything_is_learned(spark):
+    links = 9  # every context is known from the one before only
+    token = lambda k, i: f"q{k}w{i}e77r{k * 10 + i:04}"
+    texts = [f"link no 0x {'0123456789abcdef' * 2}0123456{i} end" for i in range(6)] + [f"link no 0x {token(0, i)} end" for i in range(6)]
+    for k in range(1, links):
+        texts += [f"link no {chr(97 + k)}x {token(k - 1, i)} end" for i in range(6)] + [f"link no {chr(97 + k)}x {token(k, i)} end" for i in range(6)]
+    found = listed(spark, texts)
+    assert {token(k, i) for k in range(links) for i in range(6)} <= found
+
+
 def test_edges(spark, edge, none):
     found = pii.find_pii(edge).collect()
     want = sorted((r[0] or 0, plain(r[1])) for r in EDGE)
