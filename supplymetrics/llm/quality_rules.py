@@ -1,11 +1,11 @@
 """Quality rules, line first: rules remove lines, then documents that lose too much text are rejected.
 
-Every line with a word is put to the punctuation, navigation and boilerplate rules; the words of failing
-lines are lost. A document is kept if it passes the base rules and keeps at least ``MIN_KEPT_SHARE`` of its words.
+Every line with a word is put to the punctuation, navigation and boilerplate rules; failing lines are removed, and
+``cleaned`` is the text of the lines that stay, as they are and in their order. A document is kept if it passes the base rules and keeps at least ``MIN_KEPT_SHARE`` of its words.
 Base statistics are those of the query contract. One task reads one text at a time; nothing is shuffled.
 
 Defined results: a null or empty text has no words and fails the base rules; lines without a word are
-neither counted nor lost; repeated rows are judged alike; an empty table gives an empty result; other columns
+neither counted nor lost (they stay in the text); the cleaned text of a null is null; repeated rows are judged alike; an empty table gives an empty result; other columns
 are carried.
 """
 
@@ -35,7 +35,7 @@ NOISY_WORD = r"[#*$%&<>!]{2}$"  # has most of its words end in symbol runs (punc
 SENTENCE_RE, NAVIGATION_RE, BOILERPLATE_RE, NOISY_RE = (re.compile(p) for p in (SENTENCE_END, NAVIGATION, BOILERPLATE, NOISY_WORD))
 
 STATS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-         "n_lines long, n_lines_lost long, kept_words long")
+         "n_lines long, n_lines_lost long, kept_words long, cleaned string")
 
 
 def line_fails(line: str, words: list[str]) -> bool:
@@ -66,9 +66,9 @@ def repeated_words(words: list[str]) -> int:
 
 def stats_of(text: str | None) -> tuple:
     """The fields of ``STATS`` of one text."""
-    text = text or ""
+    absent, text = text is None, text or ""
     words = ascii_words(text)
-    seen, duplicates, lines, lost, kept = set(), 0, 0, 0, 0
+    seen, duplicates, lines, lost, kept, stay = set(), 0, 0, 0, 0, []
     for line in text.split("\n"):
         own = ascii_words(line)
         if own:
@@ -77,9 +77,11 @@ def stats_of(text: str | None) -> tuple:
             seen.add(line)
             if line_fails(line, own):
                 lost += 1
-            else:
-                kept += len(own)
-    return (len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), duplicates, repeated_words(words), lines, lost, kept)
+                continue
+            kept += len(own)
+        stay.append(line)
+    return (len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), duplicates, repeated_words(words), lines, lost, kept,
+            None if absent else "\n".join(stay))
 
 
 def stats(text: Column) -> Column:
@@ -93,8 +95,14 @@ def stats(text: Column) -> Column:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: doc (the whole row as struct), the statistics, base_failed and kept."""
+    """One row per document: doc (the whole row as struct), the statistics, the cleaned text, base_failed and kept."""
     s = docs.select(F.struct("*").alias("doc"), stats(F.col("text")).alias("s")).select("doc", "s.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return s.withColumn("base_failed", failed).withColumn(
         "kept", ~failed & (F.col("kept_words") >= MIN_KEPT_SHARE * F.col("n_words")))
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with the cleaned text in place of the text. The columns are the input's."""
+    kept = judge(docs).filter("kept")
+    return kept.select(*[F.col("cleaned").alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -127,6 +127,23 @@ def test_quality_line_rules(spark):
     assert found == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True}
 
 
+def test_quality_removes_the_failing_lines(spark):
+    rng = random.Random(2)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    bad = ["home | about | contact", "all rights reserved.", "no end of a sentence", "a### b*** c$$$."]
+    lines = lambda: [rng.choice([fresh(9) + ".", fresh(30) + "! ", "", " \t", "é 1.\r", *bad]) for _ in range(rng.randint(0, 14))]
+    made = [(i, lines()) for i in range(200)]
+    want = {i: "\n".join(x for x in t if x not in bad) for i, t in made}
+    docs = documents(spark, [(i, "\n".join(t), "en", "s") for i, t in made] + [(900, None, "en", "s")], extra=True)
+    judged = quality_rules.judge(docs).select("doc.doc_id", "cleaned", "kept_words", "kept").collect()
+    assert {r.doc_id: r.cleaned for r in judged} == {**want, 900: None}
+    assert all(r.kept_words == len((r.cleaned or "").split()) for r in judged)
+    cleaned = quality_rules.clean(docs)
+    assert cleaned.columns == docs.columns
+    got = {r.doc_id: r.text for r in cleaned.collect()}
+    assert got == {r.doc_id: want[r.doc_id] for r in judged if r.kept} and 20 < len(got) < 200
+
+
 def test_quality_edges(spark, edge, none):
     found = quality_rules.judge(edge).select("doc.*", "n_words", "kept").collect()
     assert len(found) == len(EDGE)
