@@ -6,7 +6,7 @@ source, decontamination counts shared shingles of every pair that shares one.
 
 from __future__ import annotations
 
-from supplymetrics.llm import decontam, linededup, mixing, quality_rules, warc
+from supplymetrics.llm import audit, centroids, decontam, linededup, mixing, quality_rules, warc
 from supplymetrics.llm.common import SPACE_CHARS, UPPER, WORD
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -115,4 +115,72 @@ SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS contain
 FROM met JOIN size USING (item_id) WHERE shared >= {decontam.THRESHOLD} * item_shingles - 1e-9
 """
 
-SQL: dict[str, str] = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op5_quality_rules": OP5, "op9_warc": OP9, "op10_decontamination": OP10}
+
+
+def _rounds() -> str:
+    """One CTE pair per round: the vectors at their centroid, and the centroids after it."""
+    def at(r: int) -> str:
+        return f"""
+at{r} AS (
+  SELECT v.vec_id, v.v, arg_min(c.cluster, d * {centroids.CENTROIDS} + c.cluster) AS cluster, min(d) AS distance
+  FROM (SELECT v.vec_id, v.v, c.cluster, list_sum(list_transform(range(1, {centroids.COMPONENTS + 1}), lambda i: (v.v[i] - c.c[i]) * (v.v[i] - c.c[i])))::BIGINT AS d
+        FROM kept v, c{r} c) x JOIN kept v USING (vec_id) JOIN c{r} c USING (cluster) GROUP BY v.vec_id, v.v)"""
+
+    def after(r: int) -> str:
+        return f"""
+c{r + 1} AS (
+  SELECT c.cluster, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (
+    SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY i) AS c
+    FROM (SELECT cluster, i, sum(v[i])::BIGINT AS total, count(*)::BIGINT AS n FROM at{r}, (SELECT unnest(range(1, {centroids.COMPONENTS + 1})) AS i) GROUP BY cluster, i)
+    GROUP BY cluster) m USING (cluster))"""
+
+    return ",".join(at(r) + "," + after(r) for r in range(centroids.ROUNDS)) + "," + at(centroids.ROUNDS)
+
+
+OP11 = f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.COMPONENTS}),
+c0 AS (SELECT v AS c, row_number() OVER (ORDER BY sha256('{centroids.START_SEED}:' || vec_id::VARCHAR)) - 1 AS cluster FROM kept
+       QUALIFY cluster < {centroids.CENTROIDS}),{_rounds()}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM at{centroids.ROUNDS} JOIN c{centroids.ROUNDS} USING (cluster)
+"""
+
+_LETTERS = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f)"
+
+OP12 = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+said AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+words AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         list_filter([CASE WHEN len(ws) < {audit.MIN_WORDS} THEN 'A' END,
+                      CASE WHEN 100 * len(list_distinct(ws)) < {audit.MIN_DISTINCT_PERCENT} * len(ws) THEN 'B' END,
+                      CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {audit.MAX_UPPER_PERCENT} * length(text) THEN 'C' END,
+                      CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+                      CASE WHEN words.doc_id > first THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM words LEFT JOIN said USING (doc_id)),
+n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM d GROUP BY part, fails),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM {_LETTERS} a, {_LETTERS} b, {_LETTERS} c, {_LETTERS} d, {_LETTERS} e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS f FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+run AS (
+  SELECT part, filter_order, step, f, n, g, x, fails, list_contains(fails, f) AS failing,
+         len(list_filter(fails, lambda y: position(y IN filter_order) < step)) > 0 AS gone
+  FROM steps, n),
+counted AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = [f]), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (NOT gone AND failing), 0)::BIGINT AS good_lost,
+         coalesce(sum(x) FILTER (NOT gone AND failing), 0)::BIGINT AS toxic_lost
+  FROM run GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+SQL: dict[str, str] = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op5_quality_rules": OP5, "op9_warc": OP9, "op10_decontamination": OP10,
+                       "op11_centroid_clustering": OP11, "op12_filter_interaction_audit": OP12}

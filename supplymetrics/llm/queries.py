@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplymetrics.llm import decontam, hilbert, langid, linededup, mixing, pii, quality_rules, simhash, toxicity, warc
+from supplymetrics.llm import audit, centroids, decontam, hilbert, langid, linededup, mixing, pii, quality_rules, simhash, toxicity, warc
 from supplymetrics.llm.common import held_out, table
 from supplymetrics.llm.oracle import SQL
 
@@ -61,8 +61,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_simhash, op3_line_dedup, op4_toxicity, op5_quality_rules, op6_language_id, op7_pii,
-    op8_hilbert_sharding, op9_warc, op10_decontamination)}
+    op8_hilbert_sharding, op9_warc, op10_decontamination,
+    op11_centroid_clustering, op12_filter_interaction_audit)}
 
 __all__ = ["QUERIES", "SQL"]
