@@ -6,6 +6,7 @@ import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from supplymetrics.session import checkpoint_dir
@@ -61,6 +62,23 @@ def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def ranked(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows with their place from 0 (``rank``) in the order of ``keys``, kept in a checkpoint so that no retried task renumbers them.
+
+    Rows are range-partitioned and sorted; a place is that within the partition plus the rows of the partitions before it.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # row i of partition p has the id p * 2 ** 33 + i
+    ordered = cut(df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)).withColumn("_at", F.monotonically_increasing_id())
+    ordered = ordered.withColumn("_part", F.shiftright("_at", 33))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = cut(counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    # one row per task: broadcast is bounded by the number of partitions
+    placed = ordered.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return placed.select(*df.columns, "rank")
+
+
 PIECES = 8
 
 

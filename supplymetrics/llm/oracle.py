@@ -6,7 +6,7 @@ source, decontamination counts shared shingles of every pair that shares one.
 
 from __future__ import annotations
 
-from supplymetrics.llm import audit, centroids, decontam, linededup, mixing, quality_rules, warc
+from supplymetrics.llm import audit, centroids, decontam, epsilon_join, linededup, mixing, quality_rules, warc
 from supplymetrics.llm.common import SPACE_CHARS, UPPER, WORD
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -182,5 +182,20 @@ SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, uniq
 FROM counted
 """
 
+OP13 = f"""
+WITH RECURSIVE u AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= {epsilon_join.THRESHOLD}),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.other),
+low AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT x, count(*)::BIGINT AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM low LEFT JOIN degree ON degree.x = low.vec_id
+"""
+
 SQL: dict[str, str] = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op5_quality_rules": OP5, "op9_warc": OP9, "op10_decontamination": OP10,
-                       "op11_centroid_clustering": OP11, "op12_filter_interaction_audit": OP12}
+                       "op11_centroid_clustering": OP11, "op12_filter_interaction_audit": OP12,
+                       "op13_embedding_near_dedup": OP13}

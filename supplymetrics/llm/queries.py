@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplymetrics.llm import audit, centroids, decontam, hilbert, langid, linededup, mixing, pii, quality_rules, simhash, toxicity, warc
+from supplymetrics.llm import audit, centroids, decontam, epsilon_join, hilbert, langid, linededup, mixing, pii, quality_rules, simhash, toxicity, warc
 from supplymetrics.llm.common import held_out, table
 from supplymetrics.llm.oracle import SQL
 
@@ -70,9 +70,13 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_simhash, op3_line_dedup, op4_toxicity, op5_quality_rules, op6_language_id, op7_pii,
     op8_hilbert_sharding, op9_warc, op10_decontamination,
-    op11_centroid_clustering, op12_filter_interaction_audit)}
+    op11_centroid_clustering, op12_filter_interaction_audit, op13_embedding_near_dedup)}
 
 __all__ = ["QUERIES", "SQL"]
