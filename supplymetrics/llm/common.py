@@ -79,33 +79,28 @@ def ranked(df: DataFrame, *keys: str) -> DataFrame:
     return placed.select(*df.columns, "rank")
 
 
-PIECES = 8
+def running_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """The rows with ``name``: the sum of ``value`` over all rows before theirs in the order of ``key`` (nulls first), without a
+    window over all rows: sums run within the sorted partitions and start from the totals of the partitions before."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut(df.repartitionByRange(tasks, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first()))
+    ordered = ordered.withColumn("_part", F.spark_partition_id())
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = ordered.groupBy("_part").agg(F.sum(value).alias("_n"))
+    starts = cut(totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    within = W.partitionBy("_part").orderBy(F.col(key).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    # one row per task: broadcast is bounded by the number of partitions
+    placed = ordered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return placed.select(*df.columns, name)
 
 
-def labelled_sample(rows: DataFrame, most: int, chars: int, seed: int) -> DataFrame:
-    """A bounded sample (doc_id, label, n_label, long) of ``rows(doc_id, label, chars)``, spread evenly by a seeded hash.
+def drawn(doc_id: Column, n_label: Column, most: int, seed: int) -> Column:
+    """True for about ``most`` of the ``n_label`` ids of a label value, spread evenly by a seeded hash of the id."""
+    at = F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 30)) / float(1 << 30)
+    return at * n_label < most
 
-    About ``most`` ids of every label value, whatever the number of values; ids without a text of at most ``chars``
-    characters (``long``) fill up a value that has too few others. Only learnable ids with a label and a text enter (each may stand in
-    rows of its own); an id labelled twice has its largest label. The shares follow from counts over all labels, so the
-    bound holds at any size.
-    """
-    usable = cut(rows.filter(learnable(F.col("doc_id"))).groupBy("doc_id")
-                 .agg(F.max("label").alias("label"), (F.min("chars") > chars).alias("long")).dropna())
-    counts = cut(usable.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"), F.count(F.when(F.col("long"), 1)).alias("n_long")))
-    at = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    short = F.col("n_label") - F.col("n_long")
-    keep = F.when(F.col("long"), at * F.col("n_long") < most - short).otherwise(at * short < most)
-    return usable.join(small_side(counts), "label").filter(keep).select("doc_id", "label", "n_label", "long")
-
-
-def sampled_texts(texts: DataFrame, chosen: DataFrame, chars: int, seed: int) -> DataFrame:
-    """(doc_id, text, label, n_label) of the sample, one text of ``texts(doc_id, text)`` an id.
-
-    Of a text over ``chars`` characters, one seeded piece is read from each of ``PIECES`` equal parts, ``chars`` in all."""
-    part, width = F.floor(F.length("text") / PIECES).cast("int"), chars // PIECES
-    pieces = [F.substring(F.col("text"), (i * part + F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.lit(i)), part - width + 1) + 1).cast("int"),
-                          F.lit(width)) for i in range(PIECES)]
-    text = F.when(F.col("long"), F.concat_ws(" ", *pieces)).otherwise(F.col("text"))
-    return (texts.join(small_side(cut(chosen)), "doc_id").filter(F.col("long") | (F.length("text") <= chars))
-            .groupBy("doc_id").agg(F.min(text).alias("text"), F.max("label").alias("label"), F.max("n_label").alias("n_label")))
+
+def label_counts(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, label) of every learnable id with a label, and (label, n_label). An id labelled twice has its largest label."""
+    usable = cut(labels.filter(learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label")).dropna())
+    return usable, cut(usable.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")))

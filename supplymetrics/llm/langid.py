@@ -5,9 +5,9 @@ permuted letter vectors, rho^2(a) * rho(b) * c; a text is the bundle (sum) of it
 language's prototype is the bundle of its training texts, less the mean of all languages; texts are compared with the
 prototypes by cosine.
 
-Training reads a bounded sample (about ``SAMPLE`` learnable rows of every language value, texts up to ``SAMPLE_CHARS``, pieces of
-longer ones where a language has too few); the sums per language are a Spark aggregate, and the driver holds one prototype
-(1 KB) a language. Prediction covers every document and its whole text. n-gram vectors are computed once per task and n-gram, and
+Training reads a bounded sample (about ``SAMPLE`` learnable rows of every language value, whole texts of any length),
+drawn at the scan: a row is kept by a hash of its id and the number of ids of its language, so no other text is shuffled. The
+sums per language are a Spark aggregate, and the driver holds one prototype (1 KB) a language. Prediction covers every document and its whole text. n-gram vectors are computed once per task and n-gram, and
 kept for up to ``KEPT_GRAMS`` of them; letters of every script have vectors of their own, drawn when first met. Documents
 are read once and not shuffled.
 
@@ -26,12 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplymetrics.llm.common import labelled_sample, sampled_texts, ship
+from supplymetrics.llm.common import drawn, label_counts, learnable, ship, small_side
 
 ship(__name__)
 
 SAMPLE = 500
-SAMPLE_CHARS = 20_000
 SEED = 6
 DIMENSIONS = 256
 POINT_BITS = 21  # of a code point: three of them are the code of an n-gram
@@ -152,11 +151,17 @@ class Reader:
         return self.p.langs[best], float(min(max(cosine[best], 0.0), 1.0))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, seed: int = SEED) -> Profiles:
-    """Learn from a bounded, seeded sample of the learnable documents of every language."""
-    texts = docs.select("doc_id", "text", "lang").filter(F.col("text").rlike(r"\p{L}"))
-    chosen = labelled_sample(texts.select("doc_id", F.col("lang").alias("label"), F.length("text").alias("chars")), sample, sample_chars, seed)
-    rows = sampled_texts(texts.select("doc_id", "text"), chosen, sample_chars, seed).select("text", "label")
+def training_rows(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, text, label): a bounded, seeded sample of the learnable documents of every language, one text an id."""
+    texts = docs.select("doc_id", "text", F.col("lang").alias("label")).filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
+    _, counts = label_counts(texts.select("doc_id", "label"))
+    kept = texts.filter(learnable(F.col("doc_id"))).join(small_side(counts), "label").filter(drawn(F.col("doc_id"), F.col("n_label"), sample, seed))
+    return kept.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Profiles:
+    """Learn the prototypes of all languages from the training rows."""
+    rows = training_rows(docs, sample, seed).select("text", "label")
     profiles = Profiles(seed=seed)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,8 +5,9 @@ distinct words and of ``BLANKS`` words with a zero vector (so that a few words a
 linear layer with a softmax gives the two class probabilities. Vectors and layer are trained together,
 so an unseen misspelling or inflection scores by the n-grams it shares.
 
-Training reads a bounded sample (``SAMPLE`` rows a class, texts up to ``SAMPLE_CHARS``, pieces of longer ones where a class has
-too few) of the labelled rows; scoring covers every document and its whole text. Averaging and the layer are linear, so a word's share of the
+Training reads a bounded sample (``SAMPLE`` rows a class, whole texts of any length) of the labelled rows; tasks turn these texts into
+numbers of the words that at least ``MIN_DOCS`` of them hold, and the driver gets those numbers and the list of such words, never a
+text. Scoring covers every document and its whole text. Averaging and the layer are linear, so a word's share of the
 logit is one number; workers remember it for the words met lately. Documents are read once and not shuffled.
 
 Defined results: words are runs of letters and digits, lower-cased, with a letter in them; a text without words (null, empty) scores the base rate of the sample; without labels of both classes every score is
@@ -27,12 +28,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplymetrics.llm.common import labelled_sample, sampled_texts, ship
+from supplymetrics.llm.common import cut, drawn, label_counts, ship, small_side
 
 ship(__name__)
 
 SAMPLE = 2500
-SAMPLE_CHARS = 30_000
 SEED = 4
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -84,35 +84,44 @@ class Sums:
         return out
 
 
-def train(texts: list[str], labels: list[int], weights: list[float], epochs: int = EPOCHS,
-          dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: list[int], weights: list[float], **settings) -> tuple[np.ndarray, float]:
+    """``train_bags`` of a few texts at hand."""
+    bags = [bag_of(t) for t in texts]
+    counts = Counter(w for bag in bags for w in bag)
+    vocabulary = sorted(w for w, n in counts.items() if n >= MIN_DOCS)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    return train_bags(vocabulary, [numbered(bag, number) for bag in bags], [len(bag) for bag in bags], labels, weights, **settings)
+
+
+def numbered(bag: set[str], number: dict[str, int]) -> np.ndarray:
+    """Numbers of the words of a bag that have one, in order."""
+    return np.array(sorted(number[w] for w in bag if w in number), np.int32)
+
+
+def train_bags(vocabulary: list[str], found: list[np.ndarray], bag_sizes: list[int], labels: list[int], weights: list[float],
+               epochs: int = EPOCHS, dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """Logit share of every bucket, and the bias.
 
+    ``found`` holds per document the numbers of its words in the vocabulary, ``bag_sizes`` how many distinct words it has in all.
     Full-batch steps with momentum, each matrix scaled by its largest slope so far and the rate falling to zero:
     n-grams that many documents share then learn faster than those of a few documents.
     """
     rng = np.random.default_rng(seed)
-    number: dict[str, int] = {}  # of every word; bags are kept as arrays of numbers, a tenth of their words' memory
-    bags = [np.fromiter((number.setdefault(w, len(number)) for w in sorted(bag_of(t))), np.int32) for t in texts]
-    usual = np.bincount(np.concatenate(bags), minlength=len(number)) >= MIN_DOCS if number else np.zeros(0, bool)
-    vocabulary = [w for w, i in number.items() if usual[i]]
     y, weight = np.array(labels), np.array(weights, np.float32)
     rate = float((weight * y).sum() / max(weight.sum(), 1e-9)) if len(y) else 0.0
     if not vocabulary or len(set(labels)) < 2:
         edge = min(max(rate, 1e-6), 1 - 1e-6)
         return np.zeros(BUCKETS, np.float32), math.log(edge / (1 - edge))
 
-    index = (np.cumsum(usual) - 1).astype(np.int32)
-    found = [index[bag[usual[bag]]] for bag in bags]
     sizes = [len(f) for f in found]
-    share = np.repeat([SCALE / (len(bag) + BLANKS) for bag in bags], sizes).astype(np.float32)
-    docs = Sums(np.repeat(np.arange(len(bags), dtype=np.int32), sizes), np.concatenate(found), share, len(bags), len(vocabulary))
+    share = np.repeat([SCALE / (n + BLANKS) for n in bag_sizes], sizes).astype(np.float32)
+    docs = Sums(np.repeat(np.arange(len(found), dtype=np.int32), sizes), np.concatenate(found), share, len(found), len(vocabulary))
     parts = [np.array(subwords(w), np.int32) for w in vocabulary]
     used, gram = np.unique(np.concatenate(parts), return_inverse=True)
     sizes = [len(p) for p in parts]
     of = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     words = Sums(of, gram.astype(np.int32), np.repeat([1 / n for n in sizes], sizes).astype(np.float32), len(parts), len(used))
-    del number, bags, found, parts
+    del found, parts
 
     state = {"grams": rng.normal(0, 0.01, (len(used), dimensions)).astype(np.float32),
              "layer": rng.normal(0, 0.5, (dimensions, 2)).astype(np.float32),
@@ -159,18 +168,40 @@ def score_text(text: str | None, memo: WordShares, bias: float) -> float:
     return 1 / (1 + math.exp(-min(max(logit, -60.0), 60.0)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
-        seed: int = SEED) -> tuple[np.ndarray, float]:
-    """Train on a bounded, seeded sample of ``labels(doc_id, toxic)`` joined with their texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, text, label, n_label): a bounded, seeded sample of ``labels(doc_id, toxic)`` with their texts, one an id."""
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    # one row an id with its class, from the labels and the documents together
-    rows = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"), F.lit(None).cast("int").alias("chars")).unionByName(
-        texts.select("doc_id", F.lit(None).cast("int").alias("label"), F.length("text").alias("chars")))
-    # about ``sample`` rows in each of two classes: bounded, so they may be collected
-    rows = sampled_texts(texts, labelled_sample(rows, sample, sample_chars, seed), sample_chars, seed).collect()
+    # one row an id with its class, from the labels and the documents together: an id without a text is no row to learn from
+    said = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"), F.lit(None).cast("boolean").alias("here"))
+    both = said.unionByName(texts.select("doc_id", F.lit(None).cast("int").alias("label"), F.lit(True).alias("here")))
+    ids = both.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("here").alias("here")).filter("here").select("doc_id", "label")
+    usable, counts = label_counts(ids)
+    chosen = usable.join(small_side(counts), "label").filter(drawn(F.col("doc_id"), F.col("n_label"), sample, seed))
+    # about ``sample`` ids in each of two classes: bounded, so they are broadcast and no text is shuffled but the chosen
+    return texts.join(small_side(cut(chosen)), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("label").alias("label"), F.max("n_label").alias("n_label"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """Train on the training rows; their bags are made, counted and numbered in tasks."""
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(bag_of(t)) for t in texts], dtype=object)
+
+    bags = cut(training_rows(docs, labels, sample, seed).select("doc_id", "label", "n_label", words("text").alias("bag")))
+    counts = bags.select(F.explode("bag").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = sorted(r.word for r in counts.filter(F.col("n") >= MIN_DOCS).select("word").toLocalIterator())
+    number = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+
+    @F.pandas_udf("binary")
+    def numbers(found: pd.Series) -> pd.Series:
+        return pd.Series([numbered(bag, number.value).tobytes() for bag in found], dtype=object)
+
+    rows = bags.select("doc_id", "label", "n_label", F.size("bag").alias("n"), numbers("bag").alias("found")).collect()
     rows = sorted(rows, key=lambda r: r.doc_id)
     kept = Counter(r.label for r in rows)
-    return train([r.text for r in rows], [r.label for r in rows], [r.n_label / kept[r.label] for r in rows], seed=seed)
+    return train_bags(vocabulary, [np.frombuffer(r.found, np.int32) for r in rows], [r.n for r in rows], [r.label for r in rows],
+                      [r.n_label / kept[r.label] for r in rows], seed=seed)
 
 
 def score(text: Column, model) -> Column:

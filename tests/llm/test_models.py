@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from supplymetrics.llm import langid, queries, toxicity
-from supplymetrics.llm.common import labelled_sample, sampled_texts
+from supplymetrics.llm.common import drawn, label_counts
 
 from .conftest import EDGE, documents
 
@@ -122,36 +122,81 @@ def test_language_edges(spark, edge, none):
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
 
 
-def test_classes_of_long_texts_keep_their_rows(spark):
+def learnable(ids):
+    return {i for i in ids if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
+def test_texts_are_drawn_and_learned_whole_whatever_their_length(spark):
     rng = random.Random(4)
     vocabulary = {"aa": words_of(rng, "abcdefg").split(), "zz": words_of(rng, "tuvwxyz").split()}
     say = lambda lang, n: " ".join(rng.choices(vocabulary[lang], k=n))
+    # a class of long texts alone, and one of both where what tells it apart stands only in the long ones, at a different place each
     rows = [(i, say("aa", 30), "aa", "s") for i in range(80)] + [(100 + i, say("zz", 7000), "zz", "s") for i in range(40)]
     docs = documents(spark, rows)
-    assert min(len(r[1]) for r in rows[80:]) > toxicity.SAMPLE_CHARS > langid.SAMPLE_CHARS
+    assert min(len(r[1]) for r in rows[80:]) > 30_000
     found = langid.identify(docs).select("doc.lang", "lang_pred").collect()
     assert all(r.lang == r.lang_pred for r in found)
+    assert {r.doc_id: r.text for r in langid.training_rows(docs).collect()} == {r[0]: r[1] for r in rows if r[0] in learnable([r[0]])}
     labels = spark.createDataFrame([(r[0], 1, int(r[2] == "zz")) for r in rows], LABELS)
+    assert {r.doc_id: r.text for r in toxicity.training_rows(docs, labels).collect()} == {r[0]: r[1] for r in rows if r[0] in learnable([r[0]])}
     scored, p = toxicity.scored(docs, labels)
     got = {r.doc_id: r.p for r in scored.select("doc_id", p.alias("p")).collect()}
     assert min(got[i] for i in got if i >= 100) > max(got[i] for i in got if i < 100)
-    sizes = docs.select("doc_id", F.col("lang").alias("label"), F.length("text").alias("chars"))
-    learnable = lambda ids: {i for i in ids if zlib.crc32(str(i).encode()) % 4 != 2}
-    drawn = {r.doc_id for r in labelled_sample(sizes, 500, 20_000, 6).collect()}
-    assert drawn == learnable(r[0] for r in rows)
-    mixed = [(i, "x", 10 if i % 10 == 0 else 10**6) for i in range(4000)]  # 300 short ones do not fill the 2,000
-    drawn = labelled_sample(spark.createDataFrame(mixed, "doc_id long, label string, chars int"), 2000, 100, 6).collect()
-    assert {r.doc_id for r in drawn if not r.long} == learnable(range(0, 4000, 10)) and 1850 < len(drawn) < 2150
-
-
-def test_sampled_pieces_lie_in_their_texts(spark):
-    texts = {1: "".join(chr(0x4E00 + i) for i in range(1003)), 2: "short", 3: "y" * 81}
-    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    chosen = rows.select("doc_id", F.lit("l").alias("label"), F.lit(3).alias("n_label"), (F.length("text") > 80).alias("long"))
-    got = {r.doc_id: r.text for r in sampled_texts(rows, chosen, 80, 1).collect()}
-    assert got[2] == "short" and got[3] == " ".join(["y" * 10] * 8)
-    pieces = got[1].split(" ")
-    assert [len(x) for x in pieces] == [10] * 8 and all(x in texts[1][i * 125:(i + 1) * 125] for i, x in enumerate(pieces))
+    mixed = [(i, say("aa", 6000 if i % 10 == 0 else 5), "aa", "s") for i in range(4000)]
+    drawn_ids = {r.doc_id for r in langid.training_rows(documents(spark, mixed), 600).select("doc_id").collect()}
+    assert 500 < len(drawn_ids) < 700 and 35 < sum(i % 10 == 0 for i in drawn_ids) < 90  # long ones as often as others
+
+
+def test_brute_force_of_the_toxicity_fit(spark):
+    """The model fitted by tasks is that of the plain function on the sampled texts, and scores are its plain scores."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted(toxicity.training_rows(docs, labels).collect(), key=lambda r: r.doc_id)
+    toxic = {r.doc_id: int(r.toxic > 0) for r in labels.collect()}
+    assert {r.doc_id: r.label for r in rows} == {i: toxic[i] for i in learnable(toxic) & {r.doc_id for r in docs.filter("text is not null").collect()}}
+    sizes = {y: sum(r.label == y for r in rows) for y in (0, 1)}
+    shares, bias = toxicity.train([r.text for r in rows], [r.label for r in rows], [r.n_label / sizes[r.label] for r in rows])
+    fitted = toxicity.fit(docs, labels)
+    assert np.array_equal(fitted[0], shares) and fitted[1] == bias
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op4_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        bag = {w for w in set(toxicity.WORDS.findall((r.text or "").lower())) if not w.isdigit()}
+        mean = sum(float(shares[toxicity.subwords(w)].mean()) for w in bag) / (len(bag) + toxicity.BLANKS)
+        want = 1 / (1 + np.exp(-(bias + toxicity.SCALE * mean)))
+        assert abs(got[r.doc_id][0] - want) < 1e-9 and got[r.doc_id][1] == (got[r.doc_id][0] >= .3)
+
+
+def test_brute_force_of_the_language_profiles(spark):
+    """Prototypes and predictions against sums over every single n-gram."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = langid.training_rows(docs).collect()
+    assert {r.doc_id for r in rows} == learnable(r.doc_id for r in docs.filter("lang is not null and text rlike '\\\\p{L}'").collect())
+    letters = {}
+
+    def vector(ch):
+        if ch not in letters:
+            letters[ch] = np.random.default_rng([langid.SEED, ord(ch)]).choice(np.array([-1, 1], np.int8), langid.DIMENSIONS).astype(float)
+        return letters[ch]
+
+    def bundle(text):
+        low = "".join(c.lower()[0] if c.lower()[0].isalpha() else " " for c in text)
+        low = " " + " ".join(low.split()) + " "
+        out = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(low, low[1:], low[2:]):
+            out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+        return out / max(np.linalg.norm(out), 1e-9)
+
+    langs = sorted({r.label for r in rows})
+    sums = np.stack([sum(bundle(r.text) for r in rows if r.label == lang) for lang in langs])
+    units = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    units = units - units.mean(axis=0)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op6_language_id(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id] == ("und", 0.0)
+        elif len(r.text) < 30_000:
+            cosine = units @ bundle(r.text)
+            assert got[r.doc_id][0] == langs[int(np.argmax(cosine))] and abs(got[r.doc_id][1] - max(cosine.max(), 0)) < 1e-4
 
 
 def test_every_language_is_learned_however_many(spark):
@@ -164,6 +209,14 @@ def test_every_language_is_learned_however_many(spark):
     assert p.langs == sorted(learned) and len(learned) > 250
     reader = langid.Reader(p)
     assert np.mean([reader.predict(r[1])[0] == r[2] for r in rows if r[2] in learned]) > .95
-    sizes = spark.range(20_000).selectExpr("id doc_id", "concat('l', id % 20) label", "10 chars")  # 1,000 rows of each of 20 values
-    drawn = labelled_sample(sizes, 500, 100, 6).groupBy("label").count().collect()
-    assert len(drawn) == 20 and all(400 < r["count"] < 600 for r in drawn)
+    ids = spark.range(20_000).selectExpr("id doc_id", "concat('l', id % 20) label")  # 1,000 rows of each of 20 values
+    usable, counts = label_counts(ids)
+    chosen = usable.join(counts, "label").filter(drawn(F.col("doc_id"), F.col("n_label"), 500, 6)).groupBy("label").count().collect()
+    assert len(chosen) == 20 and all(400 < r["count"] < 600 for r in chosen)
+
+
+def test_only_drawn_texts_of_many_languages_are_shuffled(spark, capsys):
+    rows = [(k, f"text of language {chr(97 + k % 26)} number {k}", f"l{k % 300}", "s") for k in range(900)]
+    langid.training_rows(documents(spark, rows)).explain("formatted")
+    plan = capsys.readouterr().out.split("\n\n")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
