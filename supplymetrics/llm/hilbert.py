@@ -2,13 +2,14 @@
 
 Every document is a cell of a grid (source, language, size); cells are numbered along a Hilbert curve,
 documents are sorted by that number and cut into equal runs, so the files of a shard cover a compact box in
-all dimensions at once and can be pruned by each. Strings are quantised by the mass of rows before them
-in code point order, sizes by half powers of two, so neither depends on the order of arrival.
+all dimensions at once and can be pruned by each. Every dimension is quantised by the mass of rows before a value, strings
+in code point order, sizes in steps of a 64th of a power of two, so neither the order of arrival nor the range of sizes matters:
+books among short texts have cells of their own as far as they are a share of the rows.
 
 Scale: the sort is a range partitioning by (curve index, text hash, id), which spreads a hot
 cell over many tasks; ranks come from the counts of the sorted partitions, kept in a checkpoint so that
-a retried task cannot renumber them. Texts are read once and never shuffled. Windows run over one row per distinct
-value of a dimension and one row per partition.
+a retried task cannot renumber them. Texts are read once and never shuffled. The masses before a value come from
+running totals over range partitions; the one window over all rows of a table runs over a row per partition.
 
 Defined results: a null in a dimension is its own value, before all others; a null text has 1 byte of size and
 CRC 0; equal texts of a cell stand next to each other; rows repeated with the same id and text are
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from supplymetrics.llm.common import cut, small_side
+from supplymetrics.llm.common import cut, ranked, running_total, small_side
 
 SHARDS = 16
 BITS = 5
@@ -39,17 +40,17 @@ def text_crc32(text: Column) -> Column:
     return F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
 
 
-def size_cell(size: Column, bits: int) -> Column:
-    """Half powers of two, at most 2 ** bits - 1."""
-    return F.least(F.floor(2 * F.log2(size.cast("double"))), F.lit((1 << bits) - 1)).cast("int")
+def size_step(size: Column) -> Column:
+    """Sizes in steps of a 64th of a power of two, some 2,000 in all."""
+    return F.floor(64 * F.log2(size.cast("double"))).cast("int")
 
 
 def value_cells(rows: DataFrame, name: str, bits: int) -> DataFrame:
-    """(value, cell) of a string dimension: the share of rows before the middle of the value, in 2 ** bits steps."""
+    """(value, cell) of a dimension: the share of rows before the middle of the value, in 2 ** bits steps."""
     counts = rows.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    before = W.orderBy(F.col("value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    middle = F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("n") / 2
-    return counts.select("value", F.floor(middle / F.sum("n").over(W.partitionBy()) * (1 << bits)).cast("int").alias("cell"))
+    total = F.lit(rows.count())
+    return running_total(counts, "value", "n", "before").select(
+        "value", F.least(F.floor((F.col("before") + F.col("n") / 2) / total * (1 << bits)), F.lit((1 << bits) - 1)).cast("int").alias("cell"))
 
 
 def hilbert_index(axes: Sequence[Column], bits: int) -> Column:
@@ -115,29 +116,20 @@ def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS,
     rows = cut(docs.select("doc_id", text_bytes(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32"),
                            F.xxhash64("text").alias("text_key"),
                            row_key(docs).alias("row_key"),
-                           *[F.col(c).cast("string").alias(f"dim_{i}") for i, c in enumerate(dimensions)]))
-    placed = rows.withColumn(f"cell_{len(dimensions)}", size_cell(F.col("size"), bits))
-    for i in range(len(dimensions)):
+                           *[F.col(c).cast("string").alias(f"dim_{i}") for i, c in enumerate(dimensions)],
+                           size_step(text_bytes(F.col("text"))).alias(f"dim_{len(dimensions)}")))
+    placed = rows
+    for i in range(len(dimensions) + 1):
         cells = small_side(cut(value_cells(rows, f"dim_{i}", bits))).withColumnRenamed("cell", f"cell_{i}")
         placed = placed.join(cells, placed[f"dim_{i}"].eqNullSafe(cells["value"])).drop("value")
     axes = [F.col(f"cell_{i}") for i in range(len(dimensions) + 1)]
     keys = ["curve_index", "text_key", "doc_id", "row_key"]
     ordered = placed.select("doc_id", "size", "text_crc32", "text_key", "row_key", hilbert_index(axes, bits).alias("curve_index"))
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(ordered.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys))
-    # Row i of partition p has the id p * 2 ** 33 + i: the position within the partition is known without a window.
-    ordered = ordered.withColumn("at", F.monotonically_increasing_id())
-    part, pos = F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = cut(counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
-                               F.sum("n").over(W.partitionBy()).alias("total")))
-    # starts has one row per task, so its size is bounded by the number of partitions
-    ranked = ordered.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + pos)
+    ranked_rows = ranked(ordered, *keys).withColumn("total", F.lit(rows.count()))
     shard = F.expr(f"cast(rank * {shards} div total as int)")
     # shard s starts at the first rank r with floor(r * shards / total) = s
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return (ranked.withColumn("shard", shard)
+    return (ranked_rows.withColumn("shard", shard)
             .select("doc_id", "size", "text_crc32", "curve_index", "text_key", "row_key", "shard", (F.col("rank") - first).cast("long").alias("slot")))
 
 
