@@ -3,7 +3,9 @@
 Base kinds (email, ip, card, phone) are found by their fixed patterns. Secrets are found by bootstrapping:
  * candidates are identifier-like tokens (at least ``MIN_TOKEN`` letters, digits, - or _, with a digit in them);
  * a candidate occurrence has lexical patterns: the text just before it at three grains (its last three pieces, the
-   piece it is glued to, the assignment sign alone), if there is more to them than a space;
+   piece it is glued to, the assignment sign alone) and the two pieces after it, if there is more to them than a space. A piece
+   is a run without white space and is never cut: pieces that do not fit in ``CONTEXT`` characters give no pattern. An item of a list
+   (nothing but white space, commas and the like since the token before) has the text before its list;
  * seed entities are the base entities that pass their checks, and tokens of well-known secret formats (``SEEDS``);
  * every round scores the pattern-instance graph: a pattern is trusted if at least ``MIN_SUPPORT`` distinct known instances
    occur in it and they are at least ``MIN_CONFIDENCE`` of all its distinct instances; the unknown tokens of trusted patterns become
@@ -12,8 +14,8 @@ Base kinds (email, ip, card, phone) are found by their fixed patterns. Secrets a
 Occurrences of known tokens in trusted patterns, and all seeds of known formats, are added as spans of kind ``secret``
 unless they overlap a base span. A base span that fails its check is dropped, never retried.
 
-Scale: one pass over the texts keeps only matches, gap lengths and 64 characters before candidates and base entities; everything
-after works on these narrow rows. A pattern holding a third of all occurrences is a partial aggregate of its distinct
+Scale: one pass over the texts keeps only matches, gap lengths and ``CONTEXT`` characters around candidates and base entities;
+everything after works on these narrow rows. A pattern holding a third of all occurrences is a partial aggregate of its distinct
 instances. Learned patterns and instances are joined, never collected; each round is cut by a checkpoint.
 
 Defined results: a null or empty text has no spans; positions are code points, end exclusive; repeated rows get
@@ -41,7 +43,7 @@ SEEDS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})$"  # well-known formats: access key
 MIN_TOKEN = 8
 TOKEN = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{{{MIN_TOKEN},}}+"
 MIN_DIGITS = 2  # of a token that becomes known
-BEFORE = 64
+CONTEXT = 200
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.4
 MIN_CARD = 13
@@ -58,29 +60,32 @@ def _gaps(text: Column, pattern: str, matches: Column) -> Column:
 
 
 def _pair_of(kind: str):
-    """Joins a gap and a match; 64 characters are kept before matches that can be entities."""
-    def pair(gap: Column, match: Column) -> Column:
-        before = F.right(gap, F.lit(BEFORE))
+    """Joins a match with the gaps around it; of these, as much is kept as a context can hold."""
+    def pair(match: Column, gaps: Column) -> Column:
+        head, tail = F.left(gaps["after"], F.lit(CONTEXT)), F.right(gaps["gap"], F.lit(CONTEXT))
         if kind == "card":  # any number matches
-            before = F.when(F.length(match) >= MIN_CARD, before).otherwise("")
-        return F.struct(F.length(gap).alias("gap"), match.alias("match"), before.alias("before"))
+            head, tail = (F.when(F.length(match) >= MIN_CARD, x).otherwise("") for x in (head, tail))
+        return F.struct(F.length(gaps["gap"]).alias("gap"), match.alias("match"), tail.alias("tail"), head.alias("head"))
 
     return pair
 
 
 def matched(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: doc_id, and per kind an array of (gap, match, before) in order of position."""
+    """One narrow row per document: doc_id, and per kind an array of (gap, match, tail, head) in order of position.
+
+    ``gap`` is the length of the text since the match before, ``tail`` its end, ``head`` the beginning of the text up to the match after."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digits = text.rlike("[0-9]")
     hints = {"email": F.contains(text, F.lit("@")), "ip": digits & text.rlike(r"[0-9]\.[0-9]"), "card": digits,
              "phone": F.contains(text, F.lit("+"))}
     found = docs.select("doc_id", text.alias("text"),
                         *[_found(text, p, hints[k]).alias(k) for k, p in PATTERNS.items()], _found(text, TOKEN, digits).alias("token"))
-    # a match that starts a text has an empty gap before it; the last gap has no match and is cut off
+    # a match that starts a text has an empty gap before it, one that ends it an empty gap after it
     arrays = []
     for k, p in {**PATTERNS, "token": TOKEN}.items():
-        gaps = F.slice(_gaps(F.col("text"), p, F.col(k)), F.lit(1), F.size(k))
-        arrays.append(F.zip_with(gaps, F.col(k), _pair_of(k)).alias(k))
+        gaps = _gaps(F.col("text"), p, F.col(k))
+        around = F.zip_with(F.slice(gaps, F.lit(1), F.size(k)), F.slice(gaps, F.lit(2), F.size(k)), lambda x, y: F.struct(x.alias("gap"), y.alias("after")))
+        arrays.append(F.zip_with(F.col(k), around, _pair_of(k)).alias(k))
     return found.select("doc_id", *arrays)
 
 
@@ -106,15 +111,31 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(rid, kind, start, end, match, before) of every match that passes its check."""
+    """(rid, kind, start, end, match, before, after) of every match that passes its check.
+
+    ``before`` and ``after`` are the text around the match by position, with the matches next to it in their places; ``before`` starts
+    with a newline where it reaches the start of the text, ``after`` ends with one at its end."""
     tagged = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in (*PATTERNS, "token")])
     each = rows.select("rid", F.explode(tagged).alias("t")).select("rid", "t.kind", F.posexplode("t.found").alias("i", "f"))
-    before = W.partitionBy("rid", "kind").orderBy("i")
-    each = each.select("rid", "kind", "i", F.col("f.match").alias("match"), F.col("f.before").alias("before"),
-                       F.col("f.gap").alias("gap"), F.length("f.match").alias("n"))
-    end = F.sum(F.col("gap") + F.col("n")).over(before)
-    return (each.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).filter(valid(F.col("kind"), F.col("match")))
-            .select("rid", "kind", F.col("start").cast("long"), F.col("end").cast("long"), "match", "before"))
+    order = W.partitionBy("rid", "kind").orderBy("i")
+    each = each.select("rid", "kind", "i", "f.match", "f.tail", "f.head", "f.gap", F.length("f.match").alias("n"))
+    end = F.sum(F.col("gap") + F.col("n")).over(order)
+
+    def beside(name: str, by: int) -> Column:
+        cut_off = F.right(name, F.lit(CONTEXT)) if by > 0 else F.left(name, F.lit(CONTEXT))
+        edge = F.lit("\n") if name != "match" else F.lit("")
+        return F.coalesce((F.lag if by > 0 else F.lead)(cut_off, abs(by)).over(order), edge)
+
+    # three matches back and two ahead hold any three pieces before and two after, but for pieces of several tokens each
+    before = F.concat(beside("tail", 3), beside("match", 3), beside("tail", 2), beside("match", 2), beside("tail", 1), beside("match", 1), "tail")
+    before = F.concat(F.when(F.col("i") <= 3, F.lit("\n")).otherwise(F.lit("")), before)
+    after = F.concat("head", beside("match", -1), beside("head", -1), beside("match", -2), beside("head", -2))
+    listed = (F.col("kind") == "token") & (F.col("i") > 0) & F.col("tail").rlike(r"^[\s,;|]+$") & (F.length("tail") == F.col("gap"))
+    each = (each.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
+            .withColumn("own", F.when(~listed, F.right(before, F.lit(CONTEXT)))).withColumn("after", F.left(after, F.lit(CONTEXT)))
+            .withColumn("before", F.last("own", ignorenulls=True).over(order)))
+    return (each.filter(valid(F.col("kind"), F.col("match")))
+            .select("rid", "kind", F.col("start").cast("long"), F.col("end").cast("long"), "match", "before", "after"))
 
 
 def free_tokens(found: DataFrame) -> DataFrame:
@@ -125,17 +146,20 @@ def free_tokens(found: DataFrame) -> DataFrame:
     right = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
     return (found.withColumn("left", left).withColumn("right", right)
             .filter(~base & (F.coalesce("left", F.lit(0)) <= F.col("start")) & (F.col("right").isNull() | (F.col("right") >= F.col("end"))))
-            .select("rid", "start", "end", F.col("match").alias("instance"), "before"))
+            .select("rid", "start", "end", F.col("match").alias("instance"), "before", "after"))
+
 
+def lexical_patterns(before: Column, after: Column) -> Column:
+    """The distinct patterns of the text around a token, digits as 0; none of them is mere white space.
 
-def lexical_patterns(before: Column) -> Column:
-    """The distinct patterns of the text before a token, digits as 0; none of them is mere white space."""
-    before = F.regexp_replace(F.lower(before), "[0-9]", "0")
-    pieces = F.regexp_extract(before, r"(?<!\S)(\S+\s+\S+\s+\S*)$", 1)
-    glued = F.regexp_extract(before, r"(\S+)$", 1)
+    A piece counts only if it is whole: there is white space (or the newline that stands for the text's edge) at its outer end."""
+    before, after = (F.regexp_replace(F.lower(x), "[0-9]", "0") for x in (before, after))
+    pieces = F.regexp_extract(before, r"\s(\S+\s+\S+\s+\S*)$", 1)
+    glued = F.regexp_extract(before, r"\s(\S+)$", 1)
     sign = F.regexp_extract(before, r"([=:])\s*[\"'`(\[<]*\s*$", 1)
-    named = F.array(F.when(pieces != "", F.concat(F.lit("pieces "), pieces)), F.when(glued != "", F.concat(F.lit("glued "), glued)),
-                    F.when(sign != "", F.concat(F.lit("sign "), sign)))
+    following = F.regexp_extract(after, r"^([^\s\p{L}]*\s+\S+\s+\S+)\s", 1)
+    named = F.array(*[F.when(x != "", F.concat(F.lit(f"{name} "), x)) for name, x in
+                      (("pieces", pieces), ("glued", glued), ("sign", sign), ("following", following))])
     return F.filter(named, lambda x: x.isNotNull())
 
 
@@ -148,9 +172,9 @@ def trusted_patterns(graph: DataFrame, known: DataFrame, min_support: int, min_c
 
 
 def bootstrap(entities: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
-    """Trusted patterns and known tokens besides the seeds, learned from entities (instance, before, base)."""
+    """Trusted patterns and known tokens besides the seeds, learned from entities (instance, before, after, base)."""
     seed = F.col("base") | F.col("instance").rlike(SEEDS)
-    graph = cut(entities.select("instance", seed.alias("seed"), F.explode(lexical_patterns(F.col("before"))).alias("pattern"))
+    graph = cut(entities.select("instance", seed.alias("seed"), F.explode(lexical_patterns(F.col("before"), F.col("after"))).alias("pattern"))
                 .groupBy("instance", "pattern").agg(F.max("seed").alias("seed")))
     known, size = graph.select("instance").limit(0), 0
     learnable = graph.filter(~F.col("seed") & (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= MIN_DIGITS)).select("instance", "pattern")
@@ -164,11 +188,11 @@ def bootstrap(entities: DataFrame, min_support: int = MIN_SUPPORT, min_confidenc
 
 def secrets(tokens: DataFrame, base: DataFrame, **settings) -> DataFrame:
     """(rid, start, end) of seeds among the tokens, and of known instances where a trusted pattern stands before them."""
-    entities = tokens.select("instance", "before", F.lit(False).alias("base")).unionByName(
-        base.select(F.col("match").alias("instance"), "before", F.lit(True).alias("base")))
+    entities = tokens.select("instance", "before", "after", F.lit(False).alias("base")).unionByName(
+        base.select(F.col("match").alias("instance"), "before", "after", F.lit(True).alias("base")))
     trusted, known = bootstrap(entities, **settings)
     seeds = tokens.filter(F.col("instance").rlike(SEEDS)).select("rid", "start", "end")
-    learned = (tokens.join(known, "instance").select("rid", "start", "end", F.explode(lexical_patterns(F.col("before"))).alias("pattern"))
+    learned = (tokens.join(known, "instance").select("rid", "start", "end", F.explode(lexical_patterns(F.col("before"), F.col("after"))).alias("pattern"))
                .join(trusted, "pattern").select("rid", "start", "end"))
     return seeds.unionByName(learned).distinct()
 

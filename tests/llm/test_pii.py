@@ -88,6 +88,86 @@ def test_base_entities_seed_patterns_of_digits(spark):
     assert listed(spark, texts[:3] + texts[8:]) == set()  # too few known instances
 
 
+KEY = "0123456789abcdef" * 2 + "0123456"  # with a digit more it has the format of a seed
+KEYS = {KEY + c for c in "0123456789abcdef"}
+
+
+def test_items_of_a_list_share_the_text_before_it(spark):
+    texts = [f"api token = {k} and that is it" for k in sorted(KEYS)]
+    hidden = [(f"zz{i}12345678", f"yy{i}8765432{i}", f"xx{i}1111{i}") for i in range(4)]
+    texts += [f"some text api token = {a} {b}, {c}; end" for a, b, c in hidden] + ["api token = q1w2e3r4t5 unlike zz11223344 here"]
+    assert listed(spark, texts) - KEYS == {x for h in hidden for x in h} | {"q1w2e3r4t5"}
+
+
+def test_identifiers_named_on_their_right(spark):
+    texts = [f"{k} is the api token of {k[-1]}" for k in sorted(KEYS)]
+    hidden = [f"zz{i}12345678" for i in range(10)]
+    texts += [f"{chr(97 + i)} knows that {h} is the api token" for i, h in enumerate(hidden)] + [f"in aa{i}2345678 was no such thing" for i in range(20)]
+    assert listed(spark, texts) - KEYS == set(hidden)
+
+
+def test_context_reaches_over_tokens_and_never_cuts_a_piece(spark):
+    # the token before is a piece of the pattern, and pieces that are too long to be whole give none
+    texts = [f"user ab1234567 has {KEY}{i} now" for i in range(6)] + ["user ab1234567 has cd76543210 now"]
+    texts += [f"{'w' * 300} is {KEY}{i}" for i in range(6)] + [f"{'v' * 10}{'w' * 290} is ef76543210"]
+    assert listed(spark, texts) - {f"{KEY}{i}" for i in range(6)} == {"cd76543210"}
+
+
+def plain_added(texts, min_support=5, min_confidence=.4):
+    """The added spans by plain loops over the texts: (text number, start, end)."""
+    token = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}")
+    seeded = re.compile(r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})$")
+    entities = []  # (text, start, end, instance, patterns, base)
+    for k, t in enumerate(texts):
+        spans = [(m.start(), m.end()) for _, p, ok in BASE for m in re.finditer(p, t) if ok(m[0])]
+        list_before = None
+        last = 0
+        for m in token.finditer(t):
+            if not re.search("[0-9]", m[0]):
+                continue
+            gap = t[last:m.start()]
+            if not (last and re.fullmatch(r"[\s,;|]+", gap)):
+                list_before = "\n" + t[:m.start()]
+            last = m.end()
+            if not any(a < m.end() and m.start() < b for a, b in spans):
+                entities.append((k, m.start(), m.end(), m[0], patterns(list_before, t[m.end():] + "\n"), False))
+        entities += [(k, a, b, t[a:b], patterns("\n" + t[:a], t[b:] + "\n"), True) for a, b in spans]
+    seed = {(e[3], p) for e in entities for p in e[4] if e[5] or seeded.match(e[3])}
+    graph = {(e[3], p) for e in entities for p in e[4]}
+    known = set()
+    while True:
+        trusted = set()
+        for p in {p for _, p in graph}:
+            own = {i for i, q in graph if q == p}
+            support = sum((i, p) in seed or i in known for i in own)
+            if support >= min_support and support >= min_confidence * len(own):
+                trusted.add(p)
+        more = {i for i, p in graph if p in trusted and (i, p) not in seed and len(digits(i)) >= 2} | known
+        if more == known:
+            break
+        known = more
+    return sorted({(k, a, b) for k, a, b, i, ps, base in entities if not base and (seeded.match(i) or i in known and trusted & set(ps))})
+
+
+def patterns(before, after):
+    before, after = (re.sub("[0-9]", "0", x.lower()) for x in (before[-200:], after[:200]))
+    found = (("pieces", re.search(r"\s(\S+\s+\S+\s+\S*)\Z", before)), ("glued", re.search(r"\s(\S+)\Z", before)),
+             ("sign", re.search(r"([=:])\s*[\"'`(\[<]*\s*\Z", before)), ("following", re.match(r"([^\sa-z]*\s+\S+\s+\S+)\s", after)))
+    return [f"{name} {m[1]}" for name, m in found if m and m[1]]
+
+
+def test_added_spans_match_plain_loops(spark):
+    rng = random.Random(21)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    near = lambda: "".join(rng.choice("ghijkmnp0123456789") for _ in range(rng.randint(8, 14)))
+    parts = ["api token = ", "my key: ", "the ", "user ", " is the code ", ", ", " ", "\n", " id=\"", "\" ", "mail a@b.org ", "from 10.0.0.1 ", "word ", "; "]
+    texts = ["".join(rng.choice(parts) + (rng.choice([key, near, near])() if rng.random() < .6 else "") for _ in range(rng.randint(1, 8))) for _ in range(250)]
+    found = pii.find_pii(documents(spark, list(enumerate(texts)))).collect()
+    got = sorted((r.doc_id, int(a), int(b)) for r in found for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "secret")
+    want = plain_added(texts)
+    assert got == want and len(want) > 100
+
+
 def test_rounds_go_on_while_anything_is_learned(spark):
     links = 9  # every context is known from the one before only
     token = lambda k, i: f"q{k}w{i}e77r{k * 10 + i:04}"
