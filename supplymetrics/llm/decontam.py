@@ -134,14 +134,14 @@ class Index:
         return found
 
 
-def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[list]:
-    """The items (item_id, text) in bounded blocks, distinct, ordered by id."""
+def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list]:
+    """The items (item_id, text) in bounded blocks, distinct, ordered by id. The driver holds one block at a time."""
     items = items.select("item_id", "text").distinct()
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
     n = max(1, -(-int(words) // block_words))
     at = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [sorted(items.filter(at == b).collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
-            for b in range(n)]
+    for b in range(n):
+        yield sorted(items.filter(at == b).collect(), key=lambda r: (r.item_id is not None, str(r.item_id), r.text or ""))
 
 
 def match_column(text: Column, index) -> Column:
@@ -159,13 +159,14 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGL
                     threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, item_shingles, shared, containment."""
     spark, out = docs.sparkSession, None
+    id_type = benchmark.schema["item_id"].dataType.simpleString()
     for rows in blocks(benchmark, block_words):
         index = Index([r.text for r in rows], shingle, threshold)
         sent = spark.sparkContext.broadcast(index)
         # one short row per item of the block, so its size is bounded by block_words
         names = F.broadcast(spark.createDataFrame(
             [(i, r.item_id, len(index.items[i][1])) for i, r in enumerate(rows)],
-            "number long, item_id long, item_shingles long"))
+            f"number long, item_id {id_type}, item_shingles long"))
         found = docs.select("doc_id", F.explode(match_column(F.col("text"), sent)).alias("m"))
         found = found.select("doc_id", F.shiftright("m", 32).alias("number"), F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).alias("shared"))
         found = found.join(names, "number").select("doc_id", "item_id", "item_shingles", "shared",

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -150,3 +151,24 @@ def test_quality_edges(spark, edge, none):
     assert {(r.n_words, r.kept) for r in found if r.doc_id in (1, 2, 3, 12)} == {(0, False)}
     assert {r.n_words for r in found if r.doc_id == 5} == {len(re.findall(r"\S+", EDGE[6][1]))}
     assert quality_rules.judge(none).count() == 0
+
+
+def test_ids_of_any_type_and_one_block_on_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([("d1", "so it says: one two three four five six, and more"), ("d2", "seven eight nine ten eleven"), (None, "clean")], "doc_id string, text string")
+    bench = spark.createDataFrame([("a", "one two three four five six"), ("b", "Seven eight, nine ten eleven."), ("c", "never met anywhere at all"), (None, "")], "item_id string, text string")
+    alive, most, build = [0], [0], decontam.Index.__init__
+
+    def counted(self, *args):
+        build(self, *args)
+        alive[0] += 1
+        most[0] = max(most[0], alive[0])
+        weakref.finalize(self, lambda: alive.__setitem__(0, alive[0] - 1))
+
+    monkeypatch.setattr(decontam.Index, "__init__", counted)
+    parts = decontam.blocks(bench, 4)
+    assert iter(parts) is parts  # nothing is read before a block is asked for
+    found = decontam.contained_items(docs, bench, block_words=4)
+    assert dict(found.dtypes)["item_id"] == "string"
+    assert most[0] <= 2  # the one in use, and the one being built
+    monkeypatch.undo()
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contained_items(docs, bench, block_words=4).collect()) == [("d1", "a"), ("d2", "b")]
