@@ -4,12 +4,13 @@ The mix is a sequence of equal blocks of ``block`` words. Sainte-Laguë awards t
 sources one after the other, each to the highest quotient ``target / (2 k + 1)``; it is
 house-monotone, so cutting the award sequence at ``shards`` equal places gives every shard whole
 numbers of blocks per source. Each source's documents are put in a seeded order; its blocks are the
-consecutive runs of ``block`` words of that order, run through up to ``max_repeat`` times, and a quota
-of q takes the first q of them (the last block of the last round may be short).
+consecutive runs of ``block`` words of that order, run through up to ``max_repeat`` times (the last block of the last
+round may be short). The first shard takes as many of a source's blocks as its quota says, the next shard the following
+ones, and so on: the words of a document that each shard takes are returned, and ``taken`` is their sum.
 
-Scale: the only sorts are by (source, 12 bits of the seeded order key), so a source holding a third of
-all rows is spread over 4,096 groups; the start of each group comes from a sum per group. Windows
-without that key run over one row per source, and over 2 candidate blocks per source and shard.
+Scale: the only sorts are by (source, leading hex digits of the seeded order key), as many digits as make groups of
+about ``BUCKET_ROWS`` rows, so a source holding a third of all rows is spread over as many groups as it needs; the start of each group
+comes from a sum per group. Windows without that key run over one row per source, and over 2 candidate blocks per source and shard.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; size 0
 takes 0 words; an empty table gives an empty result; rows repeated with the same id and text share
@@ -19,6 +20,8 @@ their names. ``taken`` never exceeds ``max_repeat`` times the size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ BLOCK_WORDS = 16
 SHARDS = 8
 SEED = 20260101
 MAX_REPEAT = 3
-BUCKET_HEX_DIGITS = 3
+BUCKET_ROWS = 4096
 
 
 def order_key(seed: int) -> Column:
@@ -38,7 +41,12 @@ def order_key(seed: int) -> Column:
                              F.coalesce(F.md5(F.col("text")), F.lit(""))).cast("binary"))
 
 
-def sized(docs: DataFrame, seed: int = SEED, carry: bool = False) -> DataFrame:
+def bucket_digits(rows: int) -> int:
+    """Hex digits of the order key that split ``rows`` rows into groups of about BUCKET_ROWS, three at least."""
+    return max(3, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
+
+
+def sized(docs: DataFrame, seed: int = SEED, carry: bool = False, digits: int = 3) -> DataFrame:
     """(skey, source, bucket, okey, doc_id, size[, doc]): what the apportionment reads of each document.
 
     ``skey`` is the source with null made a value of its own; with ``carry`` the whole input row comes
@@ -48,7 +56,7 @@ def sized(docs: DataFrame, seed: int = SEED, carry: bool = False) -> DataFrame:
             F.col("source"), order_key(seed).alias("okey"), F.col("doc_id"), word_count(F.col("text")).alias("size")]
     if carry:
         cols.append(F.struct("*").alias("doc"))
-    return docs.select(*cols).withColumn("bucket", F.substring("okey", 1, BUCKET_HEX_DIGITS))
+    return docs.select(*cols).withColumn("bucket", F.substring("okey", 1, digits))
 
 
 def cycling_weights(sources: DataFrame) -> DataFrame:
@@ -117,12 +125,14 @@ def quotas(target: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS) ->
 
 def plan(parts: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS,
          max_repeat: int = MAX_REPEAT) -> tuple[DataFrame, DataFrame]:
-    """From sums per (skey, source, bucket): start of each bucket, and the sources with target and words to take."""
+    """From sums per (skey, source, bucket): start of each bucket, and the sources with target and shard bounds.
+
+    ``bounds`` holds where the words of each shard begin and end in the source's order: shard s takes bounds[s] to bounds[s + 1].
+    """
     src = targets(cycling_weights(parts.groupBy("source", "skey").agg(F.sum("words").alias("source_size"))), max_repeat)
-    quota = quotas(src, block, shards).groupBy("rank").agg(F.sum("quota").alias("quota"))
-    src = src.join(quota, "rank").select(
-        "skey", "source_size", "target",
-        F.least(F.col("quota") * block, F.col("cap")).cast("long").alias("budget"))
+    ends = quotas(src, block, shards).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", (F.col("first_block") + F.col("quota")).alias("upto")))).alias("ends"))
+    words = F.transform("ends", lambda e: F.least(e["upto"] * block, F.col("cap")).cast("long"))  # one entry per shard
+    src = src.join(ends, "rank").select("skey", "source_size", "target", F.concat(F.array(F.lit(0).cast("long")), words).alias("bounds"))
     order = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("words").over(order), F.lit(0))).select("skey", "bucket", "start")
     return starts.join(src, "skey"), src
@@ -130,20 +140,27 @@ def plan(parts: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS,
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED,
         max_repeat: int = MAX_REPEAT, carry: bool = False) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken[, doc].
+    """One row per document: doc_id, size, source_size, target, taken, shard_words[, doc].
 
-    A document at words [p, p + size) of its source's order is taken once for every round e whose
-    words [e * source_size + p, ...) lie below the source's budget; a block that ends inside it takes
-    the part before the cut.
+    A document at words [p, p + size) of its source's order stands there again at p + e * source_size in every round e. A shard
+    takes of it the words that lie in its run of the source's blocks; a block that ends inside it takes the part before the
+    cut. ``shard_words`` lists these words by shard, comma-joined.
     """
-    parts = cut(sized(docs, seed).groupBy("skey", "source", "bucket").agg(F.sum("size").alias("words")))
+    digits = bucket_digits(docs.count())
+    parts = cut(sized(docs, seed, digits=digits).groupBy("skey", "source", "bucket").agg(F.sum("size").alias("words")))
     starts, _ = plan(parts, block, shards, max_repeat)
-    rows = sized(docs, seed, carry).join(cut(starts), ["skey", "bucket"])
+    rows = sized(docs, seed, carry, digits).join(cut(starts), ["skey", "bucket"])
     before = W.partitionBy("skey", "bucket").orderBy("okey", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("at") - e * F.col("source_size")))
-                 for e in range(max_repeat)), F.lit(0).cast("long"))
-    out = ["doc_id", "size", "source_size", "target", taken.cast("long").alias("taken")]
+
+    def words(shard: int) -> Column:
+        low, high = F.col("bounds")[shard], F.col("bounds")[shard + 1]
+        return sum((F.greatest(F.lit(0), F.least(F.col("at") + e * F.col("source_size") + F.col("size"), high) - F.greatest(F.col("at") + e * F.col("source_size"), low))
+                    for e in range(max_repeat)), F.lit(0).cast("long"))
+
+    rows = rows.withColumn("shard_words", F.array(*[words(i) for i in range(shards)]))
+    taken = F.aggregate("shard_words", F.lit(0).cast("long"), lambda a, x: a + x)
+    out = ["doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(F.transform("shard_words", lambda x: x.cast("string")), ",").alias("shard_words")]
     return rows.select(*out, *(["doc"] if carry else []))
 
 

@@ -39,15 +39,19 @@ seats AS (SELECT round(sum(target) / {mixing.BLOCK_WORDS})::BIGINT AS n FROM tar
 quotients AS (
   SELECT r, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, r, k) AS place
   FROM (SELECT r, target, unnest(range(least(n, ceil(cap / {mixing.BLOCK_WORDS})::BIGINT))) AS k FROM target, seats)),
-quota AS (SELECT r, count(*) AS q FROM quotients, seats WHERE place <= n GROUP BY r),
+upto AS (
+  SELECT h, r, least(count(*) FILTER (place <= n * h // {mixing.SHARDS}) * {mixing.BLOCK_WORDS}, any_value(cap)) AS word
+  FROM quotients JOIN target USING (r), seats, (SELECT unnest(range({mixing.SHARDS + 1})) AS h) GROUP BY h, r),
+quota AS (SELECT r, list(word ORDER BY h) AS b FROM upto GROUP BY r),
 placed AS (
-  SELECT d.doc_id, d.size, t.s, t.target, least(coalesce(q.q, 0) * {mixing.BLOCK_WORDS}, t.cap) AS budget,
+  SELECT d.doc_id, d.size, t.s, t.target, coalesce(q.b, list_transform(range({mixing.SHARDS + 1}), lambda x: 0)) AS b,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.okey, d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_word
   FROM sized d JOIN target t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN quota q ON q.r = t.r)
-SELECT doc_id, size, s AS source_size, target,
-       ({" + ".join(f"greatest(0, least(size, budget - start_word - {e} * s))" for e in range(mixing.MAX_REPEAT))})::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, s AS source_size, target, list_sum(words)::BIGINT AS taken, array_to_string(words, ',') AS shard_words
+FROM (SELECT *, list_transform(range(1, {mixing.SHARDS + 1}), lambda k:
+        ({" + ".join(f"greatest(0, least(start_word + {e} * s + size, b[k + 1]) - greatest(start_word + {e} * s, b[k]))" for e in range(mixing.MAX_REPEAT))})::BIGINT) AS words
+      FROM placed)
 """
 
 OP3 = f"""

@@ -61,12 +61,23 @@ def test_targets_quotas_and_bounds(spark):
     seats = round(sum(target.values()) / mixing.BLOCK_WORDS)
     quota = plain_quotas(target, names, seats, most)
     of = {r[0]: r[3] for r in rows}
-    taken = defaultdict(int)
+    taken, by_shard = defaultdict(int), defaultdict(int)
     for r in got:
         s = of[r.doc_id]
         assert r.source_size == sizes[s] and abs(r.target - float(target[s])) < 1e-6
         assert 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
+        per_shard = [int(x) for x in r.shard_words.split(",")]
+        assert len(per_shard) == mixing.SHARDS and sum(per_shard) == r.taken
+        for k, n in enumerate(per_shard):
+            by_shard[s, k] += n
+    # every shard takes of every source the words of its quota, in whole blocks of the house's award sequence
+    upto = {(s, 0): 0 for s in names}
+    for k in range(1, mixing.SHARDS + 1):
+        house = plain_quotas(target, names, seats * k // mixing.SHARDS, most)
+        for s in names:
+            upto[s, k] = min(house[s] * mixing.BLOCK_WORDS, 3 * sizes[s])
+            assert by_shard[s, k - 1] == upto[s, k] - upto[s, k - 1]
     for s in names:
         assert taken[s] == min(quota[s] * mixing.BLOCK_WORDS, 3 * sizes[s])
         assert abs(taken[s] - target[s]) <= mixing.BLOCK_WORDS
@@ -112,3 +123,7 @@ def test_applied_mix_repeats_documents(spark):
     for r in mixing.mix(df).collect():
         assert copies[r.doc_id] == math.floor(r.taken / r.size + .5)
     assert max(copies.values()) == 3
+
+
+def test_groups_follow_the_number_of_rows():
+    assert [mixing.bucket_digits(n) for n in (0, 1, 10**6, 16**3 * 4096, 16**3 * 4096 + 1, 10**10)] == [3, 3, 3, 3, 4, 6]
