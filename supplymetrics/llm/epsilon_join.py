@@ -46,6 +46,7 @@ FINE = 16
 FIT_ROWS = 2048
 FIT_SEED = 13
 BLOCK_BYTES = 1 << 21
+LEAST_BLOCKS = 16  # of a sequence that has so many leaves, so that short ones spread over tasks too
 FAN_OUT = 8
 LEAF = 256
 SLACK = 1e-6  # far above the rounding of a distance, far below any eps in use
@@ -374,9 +375,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_bytes:
     basis = fit(classes, double)
     order = grid_order(F.col("dim"), F.col("vec"), basis, double, max(reach_of(threshold), 1e-3))
     placed = ranked(classes.withColumn("grid", order), "dim", "grid", "key")
-    starts = small_side(cut(placed.groupBy("dim").agg(F.min("rank").alias("start"))))
+    starts = small_side(cut(placed.groupBy("dim").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("length"))))
     width = 8 if double else 4
-    size = F.greatest(F.lit(LEAF), F.expr(f"cast({block_bytes} div (dim * {width}) as int)"))
+    size = F.greatest(F.lit(LEAF), F.least(F.expr(f"{block_bytes} div (dim * {width})"), F.ceil(F.col("length") / LEAST_BLOCKS))).cast("long")
     ordered = cut(placed.join(starts, "dim").select("dim", "rank", "key", "vec", "weight", "first_id", F.floor((F.col("rank") - F.col("start")) / size).alias("node")))
 
     counts, tied = join_sequence(ordered, basis, double, threshold)
