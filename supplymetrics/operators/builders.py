@@ -85,3 +85,21 @@ def surrogate_key(df: DataFrame, order_by: Sequence[str], name: str, prefix: str
     key = F.concat(F.lit(prefix), digits) if prefix or width else number
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(name, key).drop("_at", "_pid", "_pos", "_off"))
+
+
+def fill_months(df: DataFrame, keys: Sequence[str], date_col: str, until: Column) -> DataFrame:
+    """Monthly snapshots without gaps (BLD2): a row also stands for the months up to the next row of its key, the
+    last row of a key for those up to ``until``. Filled rows are dated at their month's end.
+
+    One window per key (at most a row a month) finds where a row's validity ends; its months are then exploded from the
+    row itself, so no product of entities and dates is built and nothing is joined back. Rows of one key and month
+    each keep their own, the last of them is carried on; a row after ``until`` or without a date stands for itself."""
+    d = F.col(date_col)
+    following = F.lead(d).over(Window.partitionBy(*keys).orderBy(date_col))
+    start = F.trunc(d, "month")
+    # the bounds are columns before they are exploded: a generator takes no subquery, and ``until`` may be one
+    stop = F.greatest(start, F.coalesce(F.add_months(F.trunc(following, "month"), -1), F.trunc(until, "month")))
+    bounded = df.withColumn("_stop", stop).withColumn("_next", F.add_months(start, 1))
+    months = F.when(F.col("_stop") >= F.col("_next"), F.sequence("_next", "_stop", F.expr("interval 1 month")))
+    each = F.explode(F.concat(F.array(F.lit(None).cast("date")), F.coalesce(months, F.array().cast("array<date>"))))
+    return bounded.withColumn("_month", each).withColumn(date_col, F.coalesce(F.last_day("_month"), d)).select(*df.columns)

@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 __all__ = [
-    "orphans", "reconcile", "duplicates",
+    "orphans", "reconcile", "compare_by_key", "duplicates", "duplicate_groups",
     "universe", "report", "unpivot", "top_k", "extreme", "at_latest",
-    "semi_additive", "listagg", "combine_signals",
+    "semi_additive", "listagg", "list_rows", "combine_signals",
 ]
 
 
@@ -35,12 +35,38 @@ def reconcile(curated: DataFrame, raw: DataFrame, key: str, column: str,
               raw_column: str | None = None) -> DataFrame:
     """Rows checked and mismatches of one column between two tables on their key (JN9).
 
-    Two NULLs count as equal (null-safe compare)."""
-    rc = raw_column or column
-    r = raw.select(F.col(key).alias("_k"), F.col(rc).alias("_raw"))
-    j = curated.select(F.col(key).alias("_k"), F.col(column).alias("_cur")).join(r, "_k")
-    return j.agg(F.count(F.lit(1)).alias("rows_checked"),
-                 F.count_if(~F.col("_cur").eqNullSafe(F.col("_raw"))).alias("mismatches"))
+    ``rows_checked`` are the curated rows whose key is in both tables, ``mismatches`` those of them whose key does not
+    hold the same values on both sides. Two NULLs count as equal, and keys may repeat."""
+    d = compare_by_key(curated, raw, [key], {"v": (column, raw_column or column)})
+    both = (F.col("left_rows") > 0) & (F.col("right_rows") > 0)
+    return d.agg(F.coalesce(F.sum(F.when(both, F.col("left_rows"))), F.lit(0)).alias("rows_checked"),
+                 F.coalesce(F.sum(F.when(both & ~F.col("same_v"), F.col("left_rows"))), F.lit(0)).alias("mismatches"))
+
+
+def compare_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Both sides' rows per key, and per name of ``columns`` (left column, right column) whether the key holds the same
+    values equally often on both (``same_<name>``), in any order.
+
+    The sides are stacked and grouped once: per key and column the count, the sum and the xor of the hashes of the
+    values form a digest of the multiset. No row of one side ever meets one of the other, so repeated keys do not fan out and a
+    key held by a third of the rows is a few numbers per task."""
+    def side(df: DataFrame, pick: int) -> DataFrame:
+        # the type of the column is hashed with its value: 1 and 1.0 differ unless the caller casts one of them
+        hashes = [F.xxhash64(F.col(c[pick]).isNull(), F.col(c[pick])).alias(f"_h_{n}") for n, c in columns.items()]
+        return df.select(*keys, F.lit(pick).alias("_side"), *hashes)
+
+    on = [F.col("_side") == i for i in (0, 1)]
+    digests = []
+    for n in columns:
+        h = F.col(f"_h_{n}")
+        for i in (0, 1):  # halves of the hash are summed apart, so that no sum overflows
+            digests += [F.struct(F.coalesce(F.sum(F.when(on[i], F.shiftright(h, 32))), F.lit(0)),
+                                 F.coalesce(F.sum(F.when(on[i], h.bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0)),
+                                 F.coalesce(F.bit_xor(F.when(on[i], h)), F.lit(0))).alias(f"_d{i}_{n}")]
+    grouped = side(left, 0).unionByName(side(right, 1)).groupBy(*keys).agg(
+        F.count_if(on[0]).alias("left_rows"), F.count_if(on[1]).alias("right_rows"), *digests)
+    same = F.col("left_rows") == F.col("right_rows")
+    return grouped.select(*keys, "left_rows", "right_rows", *[(same & (F.col(f"_d0_{n}") == F.col(f"_d1_{n}"))).alias(f"same_{n}") for n in columns])
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,6 +75,14 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             .filter(F.col("row_count") > 1))
 
 
+def duplicate_groups(df: DataFrame, keys: Sequence[str], checks: Mapping[str, Column]) -> DataFrame:
+    """Several grain checks of one derivation in one pass: (check_name, duplicate_groups), the keys that occur more than once
+    among the rows where a check's condition holds (AGG15)."""
+    per_key = df.groupBy(*keys).agg(*[F.count_if(rows).alias(name) for name, rows in checks.items()])
+    found = per_key.agg(*[F.count_if(F.col(f"`{name}`") > 1).alias(name) for name in checks])
+    return found.unpivot([], [f"`{name}`" for name in checks], "check_name", "duplicate_groups")
+
+
 def universe(dfs: Sequence[DataFrame], cols: Sequence[str]) -> DataFrame:
     """UNION (distinct) of the same key columns from several tables (SET2)."""
     return reduce(DataFrame.unionByName, [d.select(*cols) for d in dfs]).distinct()
@@ -123,6 +157,20 @@ def listagg(df: DataFrame, keys: Sequence[str], value: Column, order: Column, se
                                      *[getattr(F, fn)(n).alias(n) for n, _, fn in extra])
 
 
+def list_rows(df: DataFrame, keys: Sequence[str], value: Column, order: Column, chunk: Column, sep: str = ", ") -> DataFrame:
+    """Ordered list per key as rows (AGG13 for lists without a bound): keys, chunk, position (of the chunk's first item in the key's
+    list, from 1), items (their number) and ``part`` (the items joined).
+
+    ``chunk`` is a monotone function of ``order`` with a bounded number of rows, so no group grows with the list; a part's position is
+    the number of items in the key's chunks before it, from a window over one row per chunk. Joined in the order of their positions, the
+    parts of a key are its list."""
+    item = F.struct(order.alias("o"), value.cast("string").alias("v"))
+    parts = df.groupBy(*keys, chunk.alias("chunk")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["v"]), sep).alias("part"), F.count(F.lit(1)).alias("items"))
+    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*keys, "chunk", (F.coalesce(F.sum("items").over(before), F.lit(0)) + 1).alias("position"), "items", "part")
+
+
 def combine_signals(parts: Sequence[DataFrame], key: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """Aggregate several facts to a shared key in ONE pass (JN12): the row-level inputs of each
     fact are unioned (missing inputs NULL) and a single groupBy computes every signal. The

@@ -7,11 +7,13 @@ partial aggregation, so a report costs a handful of small jobs regardless of dat
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplymetrics.functions import exprs as X
-from supplymetrics.operators.relational import duplicates, orphans, reconcile, report
+from supplymetrics.operators.relational import duplicate_groups, duplicates, orphans, reconcile, report
 from supplymetrics.plans import surfaces as SUR
 from supplymetrics.sources.adapters import Tables
 from supplymetrics.sources.schemas import GRAIN
@@ -86,21 +88,57 @@ def referential_integrity(t: Tables) -> DataFrame:
     return report(parts).orderBy("check_name")
 
 
+def _has(df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """The rows left-joined to a parent's key, as often as the parent has it, with ``has_<key>``."""
+    p = parent.select(F.col(key).alias(f"_{key}"))
+    return df.join(p, F.col(key) == F.col(f"_{key}"), "left").withColumn(f"has_{key}", F.col(f"_{key}").isNotNull()).drop(f"_{key}")
+
+
 def grain_duplicates(t: Tables) -> DataFrame:
-    """DQ4 — duplicate grain keys in raw facts and curated surfaces (groups occurring >1)."""
-    checks = {
-        "INVENTORY_DUPLICATE_PART_PLANT_DATE": (t.columns("inventory", *GRAIN["inventory"]), GRAIN["inventory"]),
-        "PO_LINE_DUPLICATE_ID": (t.columns("purchase_order_line", *GRAIN["purchase_order_line"]), GRAIN["purchase_order_line"]),
-        "ORDER_LINE_DUPLICATE_ID": (t.columns("order_line", *GRAIN["order_line"]), GRAIN["order_line"]),
-        "SHIPMENT_DUPLICATE_ID": (t.columns("shipment", *GRAIN["shipment"]), GRAIN["shipment"]),
-        "V_SUPPLIER_PERFORMANCE_GRAIN": (SUR.supplier_performance(t), GRAIN["supplier_performance"]),
-        "V_INVENTORY_POSITION_GRAIN": (SUR.inventory_position(t), GRAIN["inventory_position"]),
-        "V_PRODUCTION_PERFORMANCE_GRAIN": (SUR.production_performance(t), GRAIN["production_performance"]),
-        "V_CUSTOMER_FULFILLMENT_GRAIN": (SUR.customer_fulfillment(t), GRAIN["customer_fulfillment"]),
-        "V_SHIPMENT_PERFORMANCE_GRAIN": (SUR.shipment_performance(t), GRAIN["shipment_performance"]),
-    }
-    return report([_count(duplicates(df.select(*keys), keys), name, "duplicate_groups")
-                   for name, (df, keys) in checks.items()])
+    """DQ4 — duplicate grain keys in raw facts and curated surfaces (groups occurring >1).
+
+    A fact and its surface are one derivation: the fact's rows with their parents outer-joined, counted per key once
+    over all rows and once over those the surface's inner joins keep. Order lines, shipments and purchase-order lines of the driver's
+    lines share theirs, so four scans of the lines serve the nine checks."""
+    every = F.lit(True)
+
+    def has_product(df: DataFrame) -> DataFrame:
+        if t.DERIVED:
+            return df.withColumn("has_product", F.col("product_id").isNotNull())
+        return _has(df, t.product, "product_id").withColumnRenamed("has_product_id", "has_product")
+
+    inventory = _has(_has(t.inventory.select(*GRAIN["inventory"]), t.part, "part_id"), t.plant, "plant_id")
+    production = has_product(_has(t.production.select(*GRAIN["production"]), t.plant, "plant_id"))
+    both = lambda *cols: functools.reduce(lambda a, b: a & b, map(F.col, cols))
+    reports = [
+        duplicate_groups(inventory, GRAIN["inventory"], {"INVENTORY_DUPLICATE_PART_PLANT_DATE": every,
+                                                         "V_INVENTORY_POSITION_GRAIN": both("has_part_id", "has_plant_id")}),
+        duplicate_groups(production, GRAIN["production"], {"V_PRODUCTION_PERFORMANCE_GRAIN": both("has_plant_id", "has_product")}),
+        _count(duplicates(SUR.supplier_performance(t).select(*GRAIN["supplier_performance"]), GRAIN["supplier_performance"]),
+               "V_SUPPLIER_PERFORMANCE_GRAIN", "duplicate_groups"),
+    ]
+    in_surface = both("has_plant_id", "has_customer_id", "has_product")
+    parents = lambda df: has_product(_has(_has(df, t.plant, "plant_id"), t.customer, "customer_id"))
+    if t.DERIVED:
+        lines = parents(t.demand())
+        # a purchase-order line is its key, plant and order date: two of one key differ in what is hashed here
+        other = F.xxhash64("plant_id", "order_date")
+        per_line = lines.groupBy("order_line_id").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(in_surface).alias("kept"), (F.min(other) != F.max(other)).alias("orders_differ"))
+        found = per_line.agg(F.count_if(F.col("n") > 1).alias("n"), F.count_if(F.col("kept") > 1).alias("kept"), F.count_if("orders_differ").alias("po"))
+        names = {"ORDER_LINE_DUPLICATE_ID": "n", "SHIPMENT_DUPLICATE_ID": "n", "V_CUSTOMER_FULFILLMENT_GRAIN": "kept",
+                 "V_SHIPMENT_PERFORMANCE_GRAIN": "kept", "PO_LINE_DUPLICATE_ID": "po"}
+        reports.append(found.select(*[F.col(c).alias(n) for n, c in names.items()]).unpivot([], list(names), "check_name", "duplicate_groups"))
+    else:
+        shipments = _has(t.shipment.select("shipment_id", "customer_id", "product_id", "plant_id", "carrier_id"), t.carrier, "carrier_id")
+        reports += [
+            duplicate_groups(parents(t.order_line.select("order_line_id", "customer_id", "product_id", "plant_id")), ["order_line_id"],
+                             {"ORDER_LINE_DUPLICATE_ID": every, "V_CUSTOMER_FULFILLMENT_GRAIN": in_surface}),
+            duplicate_groups(parents(shipments), ["shipment_id"],
+                             {"SHIPMENT_DUPLICATE_ID": every, "V_SHIPMENT_PERFORMANCE_GRAIN": in_surface & F.col("has_carrier_id")}),
+            _count(duplicates(t.purchase_order_line.select(*GRAIN["purchase_order_line"]), GRAIN["purchase_order_line"]), "PO_LINE_DUPLICATE_ID", "duplicate_groups"),
+        ]
+    return report(reports)
 
 
 def rule(df: DataFrame, name: str, failing: Column) -> DataFrame:
@@ -111,10 +149,15 @@ def rule(df: DataFrame, name: str, failing: Column) -> DataFrame:
 
 def value_rules(t: Tables) -> DataFrame:
     """DQ5-DQ9 — quantity balance, non-negative stock, fulfilled <= ordered, shipped <=
-    fulfilled (cross-table, JN8), defective <= inspected."""
+    fulfilled (cross-table, JN8), defective <= inspected.
+
+    The cross-table rule compares totals per order line: both tables are stacked and summed by the line's id, so
+    lines that repeat an id are checked together and never multiply."""
     r = t.columns("supply_receipt", "received_quantity", "accepted_quantity", "rejected_quantity")
     sh = t.columns("shipment", "order_line_id", "shipped_quantity")
     ol = t.columns("order_line", "order_line_id", "ordered_quantity", "fulfilled_quantity")
+    per_line = (sh.unionByName(ol.select("order_line_id", "fulfilled_quantity"), allowMissingColumns=True).groupBy("order_line_id")
+                .agg(F.sum("shipped_quantity").alias("shipped_quantity"), F.sum("fulfilled_quantity").alias("fulfilled_quantity")))
     stock = t.columns("inventory", "available_quantity")
     inspected = t.columns("quality", "defective_quantity", "inspected_quantity")
     checks = [
@@ -122,24 +165,25 @@ def value_rules(t: Tables) -> DataFrame:
              F.col("received_quantity") != F.col("accepted_quantity") + F.col("rejected_quantity")),
         rule(stock, "NEGATIVE_INVENTORY_AVAILABLE", F.col("available_quantity") < 0),
         rule(ol, "ORDER_FULFILLED_GT_ORDERED", F.col("fulfilled_quantity") > F.col("ordered_quantity")),
-        rule(sh.join(ol, "order_line_id"), "SHIPMENT_QTY_GT_ORDER_LINE_FULFILLED",
-             F.col("shipped_quantity") > F.col("fulfilled_quantity")),
+        rule(per_line, "SHIPMENT_QTY_GT_ORDER_LINE_FULFILLED", F.col("shipped_quantity") > F.col("fulfilled_quantity")),
         rule(inspected, "QUALITY_DEFECT_GT_INSPECTED", F.col("defective_quantity") > F.col("inspected_quantity")),
     ]
     return report(checks).orderBy("check_name")
 
 
 def reconciliation(t: Tables) -> DataFrame:
-    """DQ10 — curated value equals raw value on the primary key (null-safe)."""
+    """DQ10 — curated values equal raw values on the primary key (null-safe; repeated keys as multisets).
+
+    Each pair is compared by digests of both sides, stacked and grouped by the key once. The surfaces are built for the compared
+    columns alone."""
     pairs = [
-        ("V_INVENTORY_POSITION.AVAILABLE_QUANTITY", SUR.inventory_position(t), "inventory",
-         "inventory_snapshot_id", "available_quantity"),
-        ("V_PRODUCTION_PERFORMANCE.PRODUCED_QUANTITY", SUR.production_performance(t), "production",
-         "production_id", "produced_quantity"),
-        ("V_CUSTOMER_FULFILLMENT.FULFILLED_QUANTITY", SUR.customer_fulfillment(t), "order_line",
-         "order_line_id", "fulfilled_quantity"),
-        ("V_SHIPMENT_PERFORMANCE.SHIPPED_QUANTITY", SUR.shipment_performance(t), "shipment",
-         "shipment_id", "shipped_quantity"),
+        ("V_INVENTORY_POSITION.AVAILABLE_QUANTITY", SUR.inventory_position(t), "inventory", "inventory_snapshot_id", "available_quantity"),
+        ("V_PRODUCTION_PERFORMANCE.PRODUCED_QUANTITY", SUR.production_performance(t, columns=("production_id", "produced_quantity")),
+         "production", "production_id", "produced_quantity"),
+        ("V_CUSTOMER_FULFILLMENT.FULFILLED_QUANTITY", SUR.customer_fulfillment(t, columns=("order_line_id", "fulfilled_quantity")),
+         "order_line", "order_line_id", "fulfilled_quantity"),
+        ("V_SHIPMENT_PERFORMANCE.SHIPPED_QUANTITY", SUR.shipment_performance(t, columns=("shipment_id", "shipped_quantity")),
+         "shipment", "shipment_id", "shipped_quantity"),
     ]
     return report([reconcile(c, t.columns(r, k, col), k, col).select(F.lit(n).alias("check_name"), "rows_checked",
                                                   F.col("mismatches").alias("mismatch_rows"))
@@ -147,12 +191,19 @@ def reconciliation(t: Tables) -> DataFrame:
 
 
 def coverage(t: Tables) -> DataFrame:
-    """DQ11 — distinct products with order lines, and of those, with shipments (JN11)."""
-    ol = t.columns("order_line", "order_line_id", "product_id")
-    sh = t.columns("shipment", "order_line_id", "product_id").withColumnRenamed("product_id", "s_product_id")
-    j = ol.join(sh, "order_line_id", "left")
-    return j.agg(F.count_distinct("product_id").alias("affected_order_products"),
-                 F.count_distinct("s_product_id").alias("affected_shipment_products"))
+    """DQ11 — distinct products with order lines, and of those lines' shipments (JN11).
+
+    Order lines and shipments are stacked and grouped by the line's id and the product, so repeated ids do not multiply."""
+    ol = t.columns("order_line", "order_line_id", "product_id").withColumn("s_product_id", F.lit(None).cast("string")).withColumn("ordered", F.lit(True))
+    sh = t.columns("shipment", "order_line_id", "product_id").select(
+        "order_line_id", F.lit(None).cast("string").alias("product_id"), F.col("product_id").alias("s_product_id"), F.lit(False).alias("ordered"))
+    lines = ol.unionByName(sh).groupBy("order_line_id").agg(
+        F.collect_set("product_id").alias("products"), F.collect_set("s_product_id").alias("shipped"), F.max("ordered").alias("ordered"))
+    found = lines.filter("ordered").select(F.explode(F.concat(
+        F.transform("products", lambda p: F.struct(p.alias("product_id"), F.lit(False).alias("s"))),
+        F.transform("shipped", lambda p: F.struct(p.alias("product_id"), F.lit(True).alias("s"))))).alias("p")).select("p.*")
+    return found.agg(F.count_distinct(F.when(~F.col("s"), F.col("product_id"))).alias("affected_order_products"),
+                     F.count_distinct(F.when(F.col("s"), F.col("product_id"))).alias("affected_shipment_products"))
 
 
 def labelled_counts(t: Tables) -> DataFrame:
@@ -163,11 +214,13 @@ def labelled_counts(t: Tables) -> DataFrame:
         (t.promised_receipts, {"LATE_RECEIPTS": F.col("receipt_date") > F.col("promised_receipt_date")}),
         (t.inventory, {"INVENTORY_BELOW_SAFETY_STOCK": F.col("available_quantity") < F.col("safety_stock_quantity")}),
         (t.production, {"CONSTRAINED_PRODUCTION": F.col("production_status") == "Constrained"}),
-        (t.columns("order_line", "order_status"), {"PARTIALLY_FULFILLED_ORDER_LINES": F.col("order_status") == "Partially Fulfilled",
-                        "OPEN_ORDER_LINES": F.col("order_status") == "Open"}),
-        (t.columns("shipment", "shipment_status", "actual_delivery_date", "promised_date"), {"IN_TRANSIT_SHIPMENTS": F.col("shipment_status") == "In Transit",
-                      "LATE_DELIVERIES": F.col("actual_delivery_date") > F.col("promised_date")}),
     ]
+    of_orders = {"PARTIALLY_FULFILLED_ORDER_LINES": F.col("order_status") == "Partially Fulfilled", "OPEN_ORDER_LINES": F.col("order_status") == "Open"}
+    of_shipments = {"IN_TRANSIT_SHIPMENTS": F.col("shipment_status") == "In Transit", "LATE_DELIVERIES": F.col("actual_delivery_date") > F.col("promised_date")}
+    if t.DERIVED:  # both come from the same line and need no parent
+        blocks.append((t.demand(orders=False, part=False, supplier=False), of_orders | of_shipments))
+    else:
+        blocks += [(t.order_line, of_orders), (t.shipment, of_shipments)]
     parts = []
     for df, preds in blocks:
         wide = df.agg(*[F.count_if(p).alias(n) for n, p in preds.items()])

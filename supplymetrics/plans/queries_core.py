@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from supplymetrics.plans import surfaces as SUR
 from supplymetrics.plans import verified as VQ
 from supplymetrics.plans.catalog import register
-from supplymetrics.plans.semantic import MODEL
+from supplymetrics.plans.semantic import DENSE_MODEL, MODEL
 
 R9 = "round({}, 9)"
 
@@ -194,6 +194,53 @@ SELECT f.plant_name, round(sum(f.fulfilled_quantity) / NULLIF(sum(f.ordered_quan
 FROM customer_fulfillment f JOIN date_t d ON f.order_date = d.calendar_date JOIN plant_t p ON f.plant_id = p.plant_id
 WHERE d.year = 1998 AND p.region = 'ASIA' GROUP BY f.plant_name""", "customer_fulfillment", "date_t", "plant_t")
 
+register("sem_filter_functions",
+         lambda t: MODEL.query(t, ["segment"], ["fill rate"], aggregates={"missing": ("sum", "backorder quantity")},
+                               where="year(order_date) = 1998 and month(`promise date`) between 2 and 11 and order_date >= date '1998-03-01' "
+                                     "and `market segment` <> \"BUILDING\" and plant.region in ('ASIA', 'EUROPE', 'year') "
+                                     "and case when is_weekend then quarter > 1 else `day_name` <> 'Mon' end"),
+         """
+SELECT f.customer_segment, round(sum(f.fulfilled_quantity) / NULLIF(sum(f.ordered_quantity), 0), 9) AS fulfillment_rate,
+       sum(f.unfulfilled_quantity) AS missing
+FROM customer_fulfillment f JOIN date_t d ON f.order_date = d.calendar_date JOIN plant_t p ON f.plant_id = p.plant_id
+WHERE d.year = 1998 AND month(f.promised_date) BETWEEN 2 AND 11 AND f.order_date >= DATE '1998-03-01' AND f.customer_segment <> 'BUILDING'
+  AND p.region IN ('ASIA', 'EUROPE', 'year') AND CASE WHEN d.is_weekend THEN d.quarter > 1 ELSE d.day_name <> 'Mon' END
+GROUP BY f.customer_segment""", "customer_fulfillment", "date_t", "plant_t")
+
+register("sem_rollup_levels",
+         lambda t: MODEL.query(t, [*MODEL.levels("calendar.quarter"), *MODEL.levels("family"), "product.product_family"], ["attainment rate"]),
+         """
+SELECT d.year, d.quarter, pr.product_family, round(sum(x.produced_quantity) / NULLIF(sum(x.planned_quantity), 0), 9) AS production_attainment
+FROM production_performance x JOIN date_t d ON x.production_date = d.calendar_date JOIN product_t pr ON x.product_id = pr.product_id
+GROUP BY d.year, d.quarter, pr.product_family""", "production_performance", "date_t", "product_t")
+
+# An as-of join against every month end: another way to the balances that the window and the exploded months give.
+_DENSE = """
+dense AS (
+  SELECT s.part_id, s.plant_id, m.snapshot_date, i.on_hand_quantity, i.reserved_quantity, i.available_quantity, i.safety_stock_quantity
+  FROM (SELECT part_id, plant_id, min(snapshot_date) AS since FROM inventory_position GROUP BY part_id, plant_id) s
+  JOIN (SELECT DISTINCT last_day(calendar_date) AS snapshot_date FROM date_t) m
+    ON m.snapshot_date BETWEEN s.since AND (SELECT max(snapshot_date) FROM inventory_position)
+  ASOF JOIN inventory_position i ON i.part_id = s.part_id AND i.plant_id = s.plant_id AND i.snapshot_date <= m.snapshot_date)"""
+
+register("bld2_dense_snapshots",
+         lambda t: SUR.inventory_position(t, dense=True).groupBy("snapshot_date", "plant_region").agg(
+             F.count(F.lit(1)).alias("positions"), F.sum("on_hand_quantity").alias("on_hand"), F.sum("available_quantity").alias("available"),
+             F.count_if(F.col("below_safety_stock_flag")).alias("below_safety_stock")),
+         f"""
+WITH {_DENSE.strip()}
+SELECT d.snapshot_date, p.region AS plant_region, count(*) AS positions, sum(on_hand_quantity) AS on_hand, sum(available_quantity) AS available,
+       CAST(count_if(available_quantity < safety_stock_quantity) AS BIGINT) AS below_safety_stock
+FROM dense d JOIN plant_t p ON d.plant_id = p.plant_id GROUP BY d.snapshot_date, p.region""", "inventory_position", "date_t", "plant_t")
+
+register("sa_on_hand_latest_dense",
+         lambda t: DENSE_MODEL.query(t, ["plant_name"], ["total_on_hand", "parts_below_safety_stock"]),
+         f"""
+WITH {_DENSE.strip()}
+SELECT p.plant_name, sum(on_hand_quantity) AS total_on_hand, CAST(count_if(available_quantity < safety_stock_quantity) AS BIGINT) AS parts_below_safety_stock
+FROM dense d JOIN plant_t p ON d.plant_id = p.plant_id WHERE d.snapshot_date = (SELECT max(snapshot_date) FROM dense) GROUP BY p.plant_name""",
+         "inventory_position", "date_t", "plant_t")
+
 register("sem_qualified_dim",
          lambda t: MODEL.query(t, ["plant.plant_name", "product.product_family"], ["production_attainment"]),
          """

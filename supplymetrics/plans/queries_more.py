@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from supplymetrics.functions import exprs as X
 from supplymetrics.operators.builders import apply_rate, sample_mod, surrogate_key
-from supplymetrics.operators.relational import duplicates, listagg, orphans, reconcile, top_k, universe
+from supplymetrics.operators.relational import duplicates, listagg, orphans, reconcile, report, top_k, universe
 from supplymetrics.plans import dashboard as DSH
 from supplymetrics.plans import quality as DQ
 from supplymetrics.plans import surfaces as SUR
@@ -17,6 +17,7 @@ from supplymetrics.plans.verified import VERIFIED, run_batch
 from supplymetrics.session import checkpoint_dir
 from supplymetrics.sources import io as IO
 from supplymetrics.sources.adapters import Tables
+from supplymetrics.sources.schemas import null_counts, required
 
 # --- dashboard -------------------------------------------------------------------------------
 register("dsh01_risk_table", DSH.risk_table, "SELECT * FROM product_risk_signals ORDER BY risk_signal_count DESC",
@@ -163,8 +164,9 @@ SELECT 'RECEIPT_QUANTITY_BALANCE' AS check_name,
        CAST(count_if(received_quantity <> accepted_quantity + rejected_quantity) AS BIGINT) AS failure_count FROM supply_receipt_t
 UNION ALL SELECT 'NEGATIVE_INVENTORY_AVAILABLE', CAST(count_if(available_quantity < 0) AS BIGINT) FROM inventory_t
 UNION ALL SELECT 'ORDER_FULFILLED_GT_ORDERED', CAST(count_if(fulfilled_quantity > ordered_quantity) AS BIGINT) FROM order_line_t
-UNION ALL SELECT 'SHIPMENT_QTY_GT_ORDER_LINE_FULFILLED', CAST(count_if(sh.shipped_quantity > o.fulfilled_quantity) AS BIGINT)
-          FROM shipment_t sh JOIN order_line_t o ON o.order_line_id = sh.order_line_id
+UNION ALL SELECT 'SHIPMENT_QTY_GT_ORDER_LINE_FULFILLED', CAST(count_if(sh.shipped > o.fulfilled) AS BIGINT)
+          FROM (SELECT order_line_id, sum(shipped_quantity) AS shipped FROM shipment_t GROUP BY order_line_id) sh
+          JOIN (SELECT order_line_id, sum(fulfilled_quantity) AS fulfilled FROM order_line_t GROUP BY order_line_id) o USING (order_line_id)
 UNION ALL SELECT 'QUALITY_DEFECT_GT_INSPECTED', CAST(count_if(defective_quantity > inspected_quantity) AS BIGINT) FROM quality_t
 ORDER BY check_name""", "supply_receipt_t", "inventory_t", "order_line_t", "shipment_t", "quality_t")
 
@@ -173,9 +175,11 @@ _REC = [("V_INVENTORY_POSITION.AVAILABLE_QUANTITY", "inventory_position", "inven
         ("V_CUSTOMER_FULFILLMENT.FULFILLED_QUANTITY", "customer_fulfillment", "order_line_t", "order_line_id", "fulfilled_quantity"),
         ("V_SHIPMENT_PERFORMANCE.SHIPPED_QUANTITY", "shipment_performance", "shipment_t", "shipment_id", "shipped_quantity")]
 register("dq10_reconciliation", DQ.reconciliation,
-         "\nUNION ALL\n".join(f"SELECT '{n}' AS check_name, count(*) AS rows_checked, "
-                              f"CAST(count_if(c.{col} IS DISTINCT FROM r.{col}) AS BIGINT) AS mismatch_rows "
-                              f"FROM {cur} c JOIN {raw} r ON c.{k} = r.{k}" for n, cur, raw, k, col in _REC),
+         "\nUNION ALL\n".join(f"SELECT '{n}' AS check_name, CAST(sum(n) AS BIGINT) AS rows_checked, "
+                              f"CAST(coalesce(sum(n) FILTER (c.vals IS DISTINCT FROM r.vals), 0) AS BIGINT) AS mismatch_rows "
+                              f"FROM (SELECT {k}, count(*) AS n, list({col} ORDER BY {col}) AS vals FROM {cur} GROUP BY {k}) c "
+                              f"JOIN (SELECT {k}, list({col} ORDER BY {col}) AS vals FROM {raw} GROUP BY {k}) r USING ({k})"
+                              for n, cur, raw, k, col in _REC),
          *[x for _, c, r, _, _ in _REC for x in (c, r)])
 
 register("dq11_coverage", DQ.coverage, """
@@ -411,6 +415,26 @@ def _appended(t: Tables):
     return IO.table(t.spark, root, "raw", "customer")
 
 
+def _batches(t: Tables):
+    """Two batches, the first of them loaded twice."""
+    root = _scratch(t)
+    path, even = f"{IO.layers(root)['raw']}/customer", F.col("customer_id") % 2 == 0
+    for batch, rows in (("even", even), ("odd", ~even), ("even", even)):
+        IO.append(t.customer.filter(rows), path, batch)
+    return IO.table(t.spark, root, "raw", "customer")
+
+
+def _refreshed(t: Tables):
+    """A reader of the first version, one of the second, and one that is content with what is there."""
+    path, whole = f"{_scratch(t)}/quality", SUR.quality_summary(t)
+    first = IO.materialise(whole.filter("defective_quantity > 0"), path)
+    second = IO.materialise(whole, path)
+    third = IO.materialise(whole.limit(0), path, max_age=3600)
+    count = lambda df, who: df.agg(F.count(F.lit(1)).alias("supplier_parts"), F.sum("defective_quantity").alias("defective_quantity")).select(
+        F.lit(who).alias("reader"), "supplier_parts", "defective_quantity")
+    return count(first, "first").unionByName(count(second, "second")).unionByName(count(third, "third"))
+
+
 def _rebuilt(t: Tables):
     root = _scratch(t)
     IO.write_raw_layer(t, root, ["inventory"])
@@ -430,6 +454,7 @@ def _handed_off(t: Tables):
 
 
 register("src6_append", _appended, "SELECT * FROM customer_t", "customer_t")
+register("src6_append_batches", _batches, "SELECT * FROM customer_t", "customer_t")
 register("src7_rebuild_partitioned", _rebuilt, "SELECT * FROM inventory_t", "inventory_t")
 register("src8_view", _viewed, """
 SELECT inventory_risk_band, count(*) AS positions, sum(available_quantity) AS available_quantity
@@ -437,6 +462,37 @@ FROM inventory_position GROUP BY inventory_risk_band""", "inventory_position")
 register("src9_materialise", lambda t: IO.materialise(SUR.quality_summary(t), f"{_scratch(t)}/quality"), """
 SELECT supplier_id, part_id, sum(inspected_quantity) AS inspected_quantity, sum(defective_quantity) AS defective_quantity
 FROM quality_t GROUP BY supplier_id, part_id""", "quality_t")
+register("src9_refresh", _refreshed, """
+WITH q AS (SELECT supplier_id, part_id, sum(defective_quantity) AS d FROM quality_t GROUP BY supplier_id, part_id)
+SELECT 'first' AS reader, count(*) AS supplier_parts, sum(d) AS defective_quantity FROM q WHERE d > 0
+UNION ALL SELECT 'second', count(*), sum(d) FROM q UNION ALL SELECT 'third', count(*), sum(d) FROM q""", "quality_t")
+register("src2_required_values", lambda t: report([null_counts(t.columns(n, *required(n)), n) for n in t.ENTITIES]), "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS table_name, '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS nulls FROM {cte}"
+    for n, cte in zip(Tables.ENTITIES, _ENTITY_CTES) for c in required(n)), *_ENTITY_CTES)
+register("jn14_integrity", lambda t: t.integrity(), "\nUNION ALL\n".join(f"""
+SELECT '{edge}' AS edge, count(*) AS child_rows, CAST(count_if(n IS NULL) AS BIGINT) AS orphans, CAST(count_if(n > 1) AS BIGINT) AS multiplied,
+       CAST(count_if(good < n) AS BIGINT) AS incomplete
+FROM {child} c LEFT JOIN (SELECT {pk}, count(*) AS n, count_if({good}) AS good FROM {parent} GROUP BY {pk}) p ON c.{ck} = p.{pk}"""
+    for edge, child, ck, parent, pk, good in (
+        ("part", "lineitem", "l_partkey", "part", "p_partkey", "p_brand IS NOT NULL AND p_type IS NOT NULL"),
+        ("supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey", "s_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)"),
+        ("orders", "lineitem", "l_orderkey", "orders", "o_orderkey", "true"), ("customer", "orders", "o_custkey", "customer", "c_custkey", "true"))))
+register("agg13_part_rows", SUR.critical_part_rows, f"""
+SELECT product_id, chunk, CAST(sum(items) OVER (PARTITION BY product_id ORDER BY chunk) - items + 1 AS BIGINT) AS position, items, part
+FROM (SELECT product_id, part_id // {SUR.LIST_CHUNK} AS chunk, count(*) AS items,
+             string_agg(CAST(part_id AS VARCHAR) || ' (' || CAST(quantity_per_product AS VARCHAR) || ')', ', ' ORDER BY part_id) AS part
+      FROM product_part_t WHERE critical_part_flag GROUP BY product_id, part_id // {SUR.LIST_CHUNK})""", "product_part_t")
+
+
+def _changed(t: Tables):
+    """Inventory against a copy in which a hundredth of the parts' balances were changed, both stacked twice: keys repeat on both sides."""
+    raw = t.inventory.select("inventory_snapshot_id", "part_id", "on_hand_quantity")
+    other = raw.withColumn("on_hand_quantity", F.col("on_hand_quantity") + F.when(F.col("part_id") % 100 == 0, 1.0).otherwise(0.0))
+    return reconcile(raw.unionByName(raw), other.unionByName(raw), "inventory_snapshot_id", "on_hand_quantity")
+
+
+register("jn09_reconcile_repeats", _changed, """
+SELECT CAST(2 * count(*) AS BIGINT) AS rows_checked, CAST(2 * count_if(part_id % 100 = 0) AS BIGINT) AS mismatches FROM inventory_t""", "inventory_t")
 register("src10_hand_off", _handed_off, REGISTRY["dsh06_posture"].sql)
 register("dsh11_batch", run_batch, "\nUNION ALL\n".join(
     f"SELECT '{name}' AS query_id, CASE WHEN count(*) > 0 THEN 'SUCCESS' ELSE 'NO_ROWS' END AS status, "

@@ -11,17 +11,16 @@ grain rules before building anything, then composes one DataFrame plan:
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplymetrics.functions import exprs as X
 from supplymetrics.operators.relational import semi_additive
 from supplymetrics.plans import surfaces as SUR
-from supplymetrics.plans.vocabulary import DIMENSION_SYNONYMS, FACTS, TABLE_SYNONYMS
+from supplymetrics.plans.vocabulary import DIMENSION_SYNONYMS, DIMENSIONS, FACTS, HIERARCHIES, TABLE_SYNONYMS
 from supplymetrics.sources.adapters import Tables
 
 
@@ -43,6 +42,13 @@ class LogicalTable:
     synonyms: tuple[str, ...] = ()
     non_additive: tuple[str, ...] = ()      # SEM11: shown or filtered, never aggregated
     semi_additive_by: str | None = None     # SEM9: never summed across this column
+    columns: tuple[str, ...] = ()           # of a surface that can be built for the columns asked for
+
+    def frame(self, t: Tables, asked: set[str] | None) -> DataFrame:
+        """The table with at least the columns asked for (all, if that is not known)."""
+        if asked is None or not self.columns:
+            return self.build(t)
+        return self.build(t, columns=tuple(c for c in self.columns if c in asked))
 
 
 @dataclass(frozen=True)
@@ -59,52 +65,53 @@ class Metric:
     name: str
     table: str
     expr: Callable[[], Column]
+    uses: tuple[str, ...] = ()              # columns of its table that the expression reads
     non_additive_by: str | None = None
     synonyms: tuple[str, ...] = ()
     comment: str = ""
 
 
-def _m(name, table, expr, non_additive_by=None, synonyms=(), comment=""):
-    return Metric(name, table, expr, non_additive_by, tuple(synonyms), comment)
+def _m(name, table, uses, expr, non_additive_by=None, synonyms=(), comment=""):
+    return Metric(name, table, expr, tuple(uses.split()), non_additive_by, tuple(synonyms), comment)
 
 
 # Metric synonyms of the modelled product ('OTIF rate' dropped: quantity-in-full
 # is not tested by the metric).
 METRICS: dict[str, Metric] = {m.name: m for m in [
-    _m("fulfillment_rate", "customer_fulfillment",
+    _m("fulfillment_rate", "customer_fulfillment", "fulfilled_quantity ordered_quantity",
        lambda: X.sum_ratio("fulfilled_quantity", "ordered_quantity"),
        synonyms=("fill rate", "order fill rate", "fulfillment percentage", "service level"),
        comment="Ratio of fulfilled to ordered quantity."),
-    _m("order_lines_with_fulfillment_gaps", "customer_fulfillment",
+    _m("order_lines_with_fulfillment_gaps", "customer_fulfillment", "fulfillment_gap_flag",
        lambda: F.count_if(F.col("fulfillment_gap_flag")),
        synonyms=("gap count", "unfulfilled order lines", "backorder count")),
-    _m("on_time_delivery_rate", "shipment_performance",
+    _m("on_time_delivery_rate", "shipment_performance", "on_time_flag delivery_eligible_flag",
        lambda: X.count_ratio(F.col("on_time_flag"), F.col("delivery_eligible_flag")),
        synonyms=("OTD rate", "on-time percentage", "delivery reliability"),
        comment="On-time over eligible (delivered) shipments."),
-    _m("avg_delivery_delay_days", "shipment_performance",
+    _m("avg_delivery_delay_days", "shipment_performance", "delivery_delay_days delivery_eligible_flag",
        lambda: X.dround(X.avg_when("delivery_delay_days", F.col("delivery_eligible_flag")), X.RATIO_DIGITS),
        synonyms=("average delay", "mean delay days", "average lateness")),
-    _m("production_attainment", "production_performance",
+    _m("production_attainment", "production_performance", "produced_quantity planned_quantity",
        lambda: X.sum_ratio("produced_quantity", "planned_quantity"),
        synonyms=("attainment rate", "plan achievement", "production yield", "schedule adherence")),
-    _m("constrained_production_days", "production_performance",
+    _m("constrained_production_days", "production_performance", "constraint_flag",
        lambda: F.count_if(F.col("constraint_flag")),
        synonyms=("constraint count", "days constrained", "constrained days")),
-    _m("exposed_production_days", "production_performance",
+    _m("exposed_production_days", "production_performance", "watched_part_exposure_flag",
        lambda: F.count_if(F.col("watched_part_exposure_flag")),
        synonyms=("exposure count", "dependent days")),
-    _m("total_on_hand", "inventory_position", lambda: F.sum("on_hand_quantity"), "snapshot_date",
+    _m("total_on_hand", "inventory_position", "on_hand_quantity", lambda: F.sum("on_hand_quantity"), "snapshot_date",
        synonyms=("total inventory on hand", "aggregate on hand", "total stock", "inventory on hand")),
-    _m("total_available", "inventory_position", lambda: F.sum("available_quantity"), "snapshot_date",
+    _m("total_available", "inventory_position", "available_quantity", lambda: F.sum("available_quantity"), "snapshot_date",
        synonyms=("total available stock", "aggregate available", "available inventory")),
-    _m("parts_below_safety_stock", "inventory_position",
+    _m("parts_below_safety_stock", "inventory_position", "below_safety_stock_flag",
        lambda: F.count_if(F.col("below_safety_stock_flag")), "snapshot_date",
        synonyms=("understocked parts", "parts at risk", "safety stock breaches")),
-    _m("defect_rate", "supplier_performance",
+    _m("defect_rate", "supplier_performance", "defective_quantity inspected_quantity",
        lambda: X.sum_ratio("defective_quantity", "inspected_quantity"),
        synonyms=("quality defect rate", "weighted defect rate", "inspection failure rate")),
-    _m("rejection_rate", "supplier_performance",
+    _m("rejection_rate", "supplier_performance", "rejected_quantity received_quantity",
        lambda: X.sum_ratio("rejected_quantity", "received_quantity"),
        synonyms=("weighted rejection rate", "material rejection rate")),
 ]}
@@ -119,14 +126,14 @@ _RATIOS = {
 }
 
 
-def _t(name, build, key, fact, semi_additive_by=None):
-    return LogicalTable(name, build, key, fact, TABLE_SYNONYMS[name], _RATIOS.get(name, ()), semi_additive_by)
+def _t(name, build, key, fact, semi_additive_by=None, columns=()):
+    return LogicalTable(name, build, key, fact, TABLE_SYNONYMS[name], _RATIOS.get(name, ()), semi_additive_by, columns)
 
 
 TABLES: dict[str, LogicalTable] = {t.name: t for t in [
-    _t("customer_fulfillment", SUR.customer_fulfillment, ("order_line_id",), True),
-    _t("shipment_performance", SUR.shipment_performance, ("shipment_id",), True),
-    _t("production_performance", SUR.production_performance, ("production_id",), True),
+    _t("customer_fulfillment", SUR.customer_fulfillment, ("order_line_id",), True, columns=SUR.FULFILLMENT),
+    _t("shipment_performance", SUR.shipment_performance, ("shipment_id",), True, columns=SUR.SHIPMENT),
+    _t("production_performance", SUR.production_performance, ("production_id",), True, columns=SUR.PRODUCTION),
     _t("inventory_position", SUR.inventory_position, ("inventory_snapshot_id",), True, "snapshot_date"),
     _t("supplier_performance", SUR.supplier_performance, None, True),
     _t("product_risk_signals", SUR.risk_signals, ("product_id",), True),
@@ -158,12 +165,26 @@ RELATIONSHIPS: tuple[Relationship, ...] = (
 UNMODELLED = ("product_part", "supplier_part")
 
 
+def column_names(spark: SparkSession, text: str) -> list[tuple[int, int, list[str]]]:
+    """The column names of an SQL expression, as (first character, last character, parts), from the tree of Spark's parser."""
+    found, todo = [], [spark._jsparkSession.sessionState().sqlParser().parseExpression(text)]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "UnresolvedAttribute":
+            at, parts = node.origin(), node.nameParts()
+            found.append((at.startIndex().get(), at.stopIndex().get(), [parts.apply(i) for i in range(parts.size())]))
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return sorted(found)
+
+
 @dataclass
 class SemanticModel:
     tables: dict[str, LogicalTable] = field(default_factory=lambda: dict(TABLES))
     relationships: tuple[Relationship, ...] = RELATIONSHIPS
     metrics: dict[str, Metric] = field(default_factory=lambda: dict(METRICS))
-    facts: dict[str, tuple[str, tuple[str, ...]]] = field(default_factory=lambda: dict(FACTS))
+    facts: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(FACTS))
+    dimensions: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(DIMENSIONS))
     dimension_synonyms: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(DIMENSION_SYNONYMS))
 
     # --- name resolution (SEM7, SEM13) ---------------------------------------------------
@@ -194,7 +215,7 @@ class SemanticModel:
                 and (within is None or q.split(".")[0] in within)]
 
     def _fact_names(self, key: str, within: Sequence[str] | None = None) -> list[str]:
-        return self._columns(key, within, {q: syn for q, (_, syn) in self.facts.items()})
+        return self._columns(key, within, self.facts)
 
     def resolve(self, name: str) -> tuple[str, str]:
         """('metric' | 'fact' | 'dimension' | 'table', name) of a name or synonym.
@@ -250,9 +271,9 @@ class SemanticModel:
         raise GrainError("no common table: name a metric or qualify the dimensions with one fact")
 
     def _own(self, t: Tables, table: str, name: str) -> str | None:
-        """The column of a table that a bare name or synonym means, if any."""
+        """The declared dimension or fact of a table that a bare name or synonym means, if any."""
         key = name.lower()
-        if key in self.tables[table].build(t).columns:
+        if key in self.dimensions[table] or f"{table}.{key}" in self.facts or key in self.tables[table].non_additive:
             return key
         hits = self._columns(key, [table], self.dimension_synonyms) + self._fact_names(key, [table])
         if len(hits) > 1:
@@ -276,53 +297,113 @@ class SemanticModel:
                 return hits[0]
         raise GrainError(f"dimension {name!r} is not reachable from {base!r}")
 
-    def _filter(self, t: Tables, base: str, where: str, place) -> str:
-        """A text filter with every column that is not the base table's own replaced by where it is placed."""
-        own = set(self.tables[base].build(t).columns)
-
-        def replace(m: re.Match) -> str:
-            word = m.group(0)
-            if m.group("text") or word.lower() in own:
-                return word
+    def _filter(self, t: Tables, base: str, where: str, place, asked: set[str]) -> str:
+        """A text filter with every name that is not a column of the base table replaced by the column it is placed in.
+        The base table's columns that it reads are added to ``asked``.
+
+        Which words are names is told by Spark's own parser: functions, keywords, typed literals, lambda variables and
+        texts in either kind of quotes are none. A synonym of several words stands in backquotes."""
+        own = {c.lower() for c in self.tables[base].build(t).columns}
+        out, done = [], 0
+        for start, stop, parts in column_names(t.spark, where):
+            if len(parts) == 1 and parts[0].lower() in own:
+                asked.add(parts[0].lower())
+                continue
             try:
-                return place(*self._locate(t, base, word))
+                column = place(*self._locate(t, base, ".".join(parts)))
             except GrainError:
-                if "." in word:
+                if len(parts) > 1:
                     raise
-                return word  # a function, keyword or literal
-
-        return re.sub(r"(?P<text>'[^']*')|\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?\b", replace, where)
+                continue  # left to Spark, which knows words such as current_date and reports the others
+            out += [where[done:start], f"`{column}`"]
+            done = stop + 1
+        return "".join([*out, where[done:]])
+
+    def levels(self, level: str) -> list[str]:
+        """The dimensions of a level of a hierarchy (``quarter``, or ``calendar.quarter``), for ``query``."""
+        name, _, key = level.lower().rpartition(".")
+        found = [(table, cols) for h, (table, steps) in HIERARCHIES.items() for step, cols in steps if step == key and name in ("", h)]
+        if len(found) != 1:
+            raise KeyError(f"unknown level {level!r}") if not found else AmbiguousName(f"{level!r} is a level of several hierarchies")
+        return [f"{found[0][0]}.{c}" for c in found[0][1]]
+
+    def describe(self, t: Tables) -> DataFrame:
+        """The model as rows: kind, table, name, data type, synonyms, hierarchies and the rule that governs an element."""
+        rows = []
+        for name, spec in self.tables.items():
+            types = dict(spec.build(t).dtypes)
+            rows.append(("table", name, name, None, list(spec.synonyms), [], f"one row per {', '.join(spec.primary_key)}" if spec.primary_key else None))
+            for d in self.dimensions[name]:
+                ups = [f"{h}.{step}" for h, (table, steps) in HIERARCHIES.items() if table == name for step, cols in steps if cols[-1] == d]
+                rows.append(("dimension", name, d, types[d], list(self.dimension_synonyms.get(f"{name}.{d}", ())), ups,
+                             "never aggregated" if d in spec.non_additive else None))
+        for q, synonyms in self.facts.items():
+            table, col = q.split(".")
+            spec = self.tables[table]
+            rule = "never aggregated" if col in spec.non_additive else f"never summed across {spec.semi_additive_by}" if spec.semi_additive_by else None
+            rows.append(("fact", table, col, dict(spec.build(t).dtypes)[col], list(synonyms), [], rule))
+        for m in self.metrics.values():
+            rows.append(("metric", m.table, m.name, None, list(m.synonyms), [], f"never summed across {m.non_additive_by}" if m.non_additive_by else None))
+        return t.spark.createDataFrame(rows, "kind string, table string, name string, data_type string, synonyms array<string>, "
+                                             "hierarchies array<string>, rule string")
+
+    def _check_unique(self, t: Tables, table: str) -> None:
+        """Refuse a relationship whose right side repeats its key: the join would multiply the fact's rows (JN14)."""
+        keys = self.tables[table].primary_key
+        if not t.is_unique(table, keys):
+            raise GrainError(f"{table} repeats its key {', '.join(keys)}: joining it would multiply rows of the fact")
 
     def query(self, t: Tables, dimensions: Sequence[str] = (), metrics: Sequence[str] = (),
               where: Column | str | None = None, order_by: Sequence[Column | str] | None = None,
               limit: int | None = None, aggregates: dict[str, tuple[str, str]] | None = None) -> DataFrame:
         """dims × metrics over one fact (SEM1); without metrics, the distinct dimension values.
 
-        A text ``where`` may use any dimension reachable from the fact, selected or not, by name, qualified
-        name or the fact's own columns; a Column filter sees the fact's columns and the selected ones.
-        ``aggregates`` adds ad-hoc fact aggregates {alias: (fn, fact name, synonym or column)}; non-additive
-        columns are refused (SEM11) and semi-additive ones get the snapshot rule (SEM9)."""
+        A text ``where`` is any SQL predicate over the dimensions reachable from the fact, selected or not, by name,
+        qualified name or synonym (in backquotes if it has several words), and the fact's own columns; a Column filter
+        sees the fact's columns and the selected ones. ``aggregates`` adds ad-hoc aggregates of declared facts {alias: (fn, fact
+        name or synonym)}; non-additive columns are refused (SEM11) and semi-additive ones get the snapshot rule (SEM9)."""
         ms = [self.resolve_metric(m) for m in metrics]
         base = self._base_for(t, ms, [*dimensions, *(c for _, c in (aggregates or {}).values() if "." in c)])
         spec, related = self.tables[base], self._related(base)
         needed: dict[str, list[str]] = {}
+        asked: set[str] | None = {c for m in ms for c in m.uses} | {m.non_additive_by for m in ms if m.non_additive_by}
 
         def place(table: str, col: str) -> str:
             if table == base:
+                asked.add(col)
                 return col
+            asked.update(related[table].left_cols)
             if col not in needed.setdefault(table, []):
                 needed[table].append(col)
             return f"{table}__{col}"
 
-        located = [self._locate(t, base, d) for d in dimensions]
+        located = list(dict.fromkeys(self._locate(t, base, d) for d in dimensions))  # a dimension named twice is one
         picked = [place(*x) for x in located]
         names = [c for _, c in located]
         names = [c if names.count(c) == 1 or tbl == base else f"{tbl}_{c}" for (tbl, c) in located]
         if isinstance(where, str):
-            where = F.expr(self._filter(t, base, where, place))
-        df = spec.build(t)
+            where = F.expr(self._filter(t, base, where, place, asked))
+        elif where is not None:
+            asked = None  # a Column may read anything
+        sums = {}
+        for alias, (fn, name) in (aggregates or {}).items():
+            table, col = self._locate(t, base, name)
+            if table != base:
+                raise GrainError(f"{name!r} is no fact of {base}")
+            if col in spec.non_additive:
+                raise GrainError(f"{base}.{col} is a pre-computed ratio; it may be shown or "
+                                 "filtered but not aggregated — use a governed metric")
+            if f"{base}.{col}" not in self.facts:
+                raise GrainError(f"{base}.{col} is no fact of the model, so it is not aggregated")
+            sums[alias] = getattr(F, fn)(col)
+            if asked is not None:
+                asked.add(col)
+        if aggregates and spec.semi_additive_by and asked is not None:
+            asked.add(spec.semi_additive_by)
+        df = spec.frame(t, asked)
         for table, cols in needed.items():
             rel = related[table]
+            self._check_unique(t, table)
             dim = self.tables[table].build(t)
             dim = dim.select(*[F.col(rc).alias(f"{table}__key{i}") for i, rc in enumerate(rel.right_cols)],
                              *[F.col(c).alias(f"{table}__{c}") for c in cols])
@@ -332,14 +413,7 @@ class SemanticModel:
             df = df.filter(where)
         groups = [F.col(p).alias(n) for p, n in zip(picked, names)]
         agg_exprs: dict[str, Column] = {m.name: m.expr() for m in ms}
-        for alias, (fn, name) in (aggregates or {}).items():
-            table, col = self._locate(t, base, name)
-            if table != base:
-                raise GrainError(f"{name!r} is no fact of {base}")
-            if col in spec.non_additive:
-                raise GrainError(f"{base}.{col} is a pre-computed ratio; it may be shown or "
-                                 "filtered but not aggregated — use a governed metric")
-            agg_exprs[alias] = getattr(F, fn)(col)
+        agg_exprs |= sums
         semi = {m.non_additive_by for m in ms if m.non_additive_by}
         if aggregates and spec.semi_additive_by:
             semi.add(spec.semi_additive_by)
@@ -361,3 +435,7 @@ class SemanticModel:
 
 
 MODEL = SemanticModel()
+
+# The same model over gap-filled snapshots: a part that did not move in a month still has its balance in it.
+DENSE_MODEL = SemanticModel(tables=TABLES | {
+    "inventory_position": _t("inventory_position", lambda t: SUR.inventory_position(t, dense=True), ("inventory_snapshot_id",), True, "snapshot_date")})

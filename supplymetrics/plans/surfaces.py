@@ -9,12 +9,13 @@ Rules carried over from the modelled product:
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplymetrics.functions import exprs as X
-from supplymetrics.operators.relational import combine_signals, listagg
+from supplymetrics.operators.relational import combine_signals, list_rows, listagg
 from supplymetrics.sources.adapters import Tables
 
 # Risk thresholds (strict "<" comparisons) and band cut-offs of the model.
@@ -54,48 +55,61 @@ def _plant(t: Tables) -> DataFrame:
     return t.plant.select("plant_id", "plant_name", F.col("region").alias("plant_region"))
 
 
+CUSTOMER = ("customer_id", "customer_name", "customer_segment", "customer_region", "customer_priority")
+PRODUCT = ("product_id", "product_name", "product_family", "product_category")
+PLANT = ("plant_id", "plant_name", "plant_region")
+
+
+def _joined(t: Tables, fact: str, own: Sequence[str], want: set[str], *edges_of_demand: str) -> DataFrame:
+    """Rows of a fact that have a product, a plant and, where ``edges_of_demand`` are named, a customer, with the wanted attributes.
+
+    A parent is joined if one of its columns is wanted, or if nothing proves that it is there (``Tables.prove``)."""
+    customer = bool(edges_of_demand) and (bool(want & set(CUSTOMER)) or not t.proven(*edges_of_demand))
+    product = bool(want & set(PRODUCT)) or not t.proven("part")
+    plant = bool(want & set(PLANT)) or not t.proven("supplier")
+    keys = ["customer_id"] * customer + ["product_id"] * product + ["plant_id"] * plant
+    df = t.columns(fact, *dict.fromkeys([*own, *keys]))
+    if product:
+        df = t.with_product(df, *[c for c in PRODUCT[1:] if c in want])
+    if customer:
+        df = df.join(t.customer.select("customer_id", *[c for c in CUSTOMER[1:] if c in want]), "customer_id")
+    if plant:
+        df = df.join(_plant(t), "plant_id")
+    return df
+
+
+FULFILLMENT = ("order_line_id", "order_id", "order_date", "promised_date", *CUSTOMER, *PRODUCT, *PLANT, "ordered_quantity",
+               "fulfilled_quantity", "unfulfilled_quantity", "fulfillment_pct", "order_status", "fulfillment_gap_flag")
+
+
 @surface
-def customer_fulfillment(t: Tables) -> DataFrame:
-    """SUR4 — one row per order line."""
-    o = t.order_line
-    c = t.customer.select("customer_id", "customer_name", "customer_segment", "customer_region",
-                          "customer_priority")
-    df = t.with_product(o, "product_name", "product_family", "product_category")
-    df = df.join(c, "customer_id").join(_plant(t), "plant_id")
+def customer_fulfillment(t: Tables, columns: tuple[str, ...] = FULFILLMENT) -> DataFrame:
+    """SUR4 — one row per order line, with the columns asked for."""
+    want = set(columns)
     ordered, fulfilled = F.col("ordered_quantity"), F.col("fulfilled_quantity")
-    return df.select(
-        "order_line_id", "order_id", "order_date", "promised_date",
-        "customer_id", "customer_name", "customer_segment", "customer_region", "customer_priority",
-        "product_id", "product_name", "product_family", "product_category",
-        "plant_id", "plant_name", "plant_region",
-        "ordered_quantity", "fulfilled_quantity",
-        X.gap(ordered, fulfilled).alias("unfulfilled_quantity"),
-        X.pct(fulfilled, ordered).alias("fulfillment_pct"),
-        "order_status",
-        X.flag(fulfilled < ordered).alias("fulfillment_gap_flag"))
+    own = [c for c in ("order_line_id", "order_id", "order_date", "promised_date", "order_status") if c in want]
+    df = _joined(t, "order_line", [*own, "ordered_quantity", "fulfilled_quantity"], want, "orders", "customer")
+    made = {"unfulfilled_quantity": X.gap(ordered, fulfilled), "fulfillment_pct": X.pct(fulfilled, ordered),
+            "fulfillment_gap_flag": X.flag(fulfilled < ordered)}
+    return df.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
+
+
+SHIPMENT = ("shipment_id", "order_line_id", *CUSTOMER, *PRODUCT[:3], *PLANT, "carrier_id", "carrier_name", "service_level", "ship_date",
+            "promised_date", "actual_delivery_date", "shipped_quantity", "shipment_status", "delay_reason", "delivery_delay_days",
+            "on_time_flag", "delivery_eligible_flag")
 
 
 @surface
-def shipment_performance(t: Tables) -> DataFrame:
-    """SUR5 — one row per shipment."""
-    s = t.shipment
-    c = t.customer.select("customer_id", "customer_name", "customer_segment", "customer_region",
-                          "customer_priority")
-    ca = t.carrier.select("carrier_id", "carrier_name", "service_level")
-    df = t.with_product(s, "product_name", "product_family")
-    df = df.join(c, "customer_id").join(_plant(t), "plant_id").join(ca, "carrier_id")
+def shipment_performance(t: Tables, columns: tuple[str, ...] = SHIPMENT) -> DataFrame:
+    """SUR5 — one row per shipment, with the columns asked for."""
+    want = set(columns)
+    own = [c for c in ("shipment_id", "order_line_id", "ship_date", "shipped_quantity", "shipment_status", "delay_reason") if c in want]
+    df = _joined(t, "shipment", [*own, "carrier_id", "promised_date", "actual_delivery_date"], want, "orders", "customer")
+    df = df.join(t.carrier.select("carrier_id", "carrier_name", "service_level"), "carrier_id")
     actual, promised = F.col("actual_delivery_date"), F.col("promised_date")
-    return df.select(
-        "shipment_id", "order_line_id",
-        "customer_id", "customer_name", "customer_segment", "customer_region", "customer_priority",
-        "product_id", "product_name", "product_family",
-        "plant_id", "plant_name", "plant_region",
-        "carrier_id", "carrier_name", "service_level",
-        "ship_date", "promised_date", "actual_delivery_date", "shipped_quantity",
-        "shipment_status", "delay_reason",
-        F.when(actual.isNotNull(), X.days_between(promised, actual)).alias("delivery_delay_days"),
-        X.flag(actual.isNotNull() & (actual <= promised)).alias("on_time_flag"),
-        X.flag(actual.isNotNull()).alias("delivery_eligible_flag"))
+    made = {"delivery_delay_days": F.when(actual.isNotNull(), X.days_between(promised, actual)),
+            "on_time_flag": X.flag(actual.isNotNull() & (actual <= promised)), "delivery_eligible_flag": X.flag(actual.isNotNull())}
+    return df.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
 
 
 @surface
@@ -117,32 +131,48 @@ def critical_bom(t: Tables, watched_part: Column | int | None = None) -> DataFra
     ).withColumnRenamed("listagg", "critical_parts")
 
 
+LIST_CHUNK = 64        # parts per row of the list that is returned as rows
+
+
+def critical_part_rows(t: Tables) -> DataFrame:
+    """The critical parts of every product as rows of at most LIST_CHUNK ids' width: product_id, chunk, position, items, part.
+
+    ``critical_bom`` gives the whole list of a product as one string, which grows with the parts; these rows do not."""
+    item = F.concat(F.col("part_id").cast("string"), F.lit(" ("), F.col("quantity_per_product").cast("string"), F.lit(")"))
+    return list_rows(t.product_part.filter(F.col("critical_part_flag")), ["product_id"], item, F.col("part_id"),
+                     F.floor(F.col("part_id") / LIST_CHUNK))
+
+
+BOM = ("critical_part_count", "critical_parts", "watched_part_exposure_flag", "watched_part_qty_per_product")
+PRODUCTION = ("production_id", "production_date", *PLANT, *PRODUCT, "planned_quantity", "produced_quantity", "production_gap_quantity",
+              "production_attainment_pct", "downtime_hours", "production_status", "constraint_flag", *BOM)
+
+
 @surface
-def production_performance(t: Tables, watched_part: Column | int | None = None) -> DataFrame:
-    """SUR3 — one row per plant × product × production date; BOM attributes pre-aggregated."""
-    pr = t.production
-    bom = critical_bom(t, watched_part)
-    df = t.with_product(pr, "product_name", "product_family", "product_category")
-    df = df.join(_plant(t), "plant_id").join(bom, "product_id", "left")
+def production_performance(t: Tables, watched_part: Column | int | None = None, columns: tuple[str, ...] = PRODUCTION) -> DataFrame:
+    """SUR3 — one row per plant × product × production date; BOM attributes pre-aggregated, joined if asked for.
+
+    A production row is a group of lines by plant and product, so both are always derived."""
+    want = set(columns)
+    df = t.with_product(t.production, *[c for c in PRODUCT[1:] if c in want])
+    if want & set(PLANT) or not t.proven("supplier"):
+        df = df.join(_plant(t), "plant_id")
+    if want & set(BOM):
+        df = df.join(critical_bom(t, watched_part), "product_id", "left")
     planned, produced = F.col("planned_quantity"), F.col("produced_quantity")
-    return df.select(
-        "production_id", "production_date", "plant_id", "plant_name", "plant_region",
-        "product_id", "product_name", "product_family", "product_category",
-        "planned_quantity", "produced_quantity",
-        X.gap(planned, produced).alias("production_gap_quantity"),
-        X.pct(produced, planned).alias("production_attainment_pct"),
-        "downtime_hours", "production_status",
-        X.flag(F.col("production_status") == "Constrained").alias("constraint_flag"),
-        F.coalesce(F.col("critical_part_count"), F.lit(0)).alias("critical_part_count"),
-        "critical_parts",
-        F.coalesce(F.col("watched_part_exposure_flag"), F.lit(False)).alias("watched_part_exposure_flag"),
-        "watched_part_qty_per_product")
+    made = {"production_gap_quantity": X.gap(planned, produced), "production_attainment_pct": X.pct(produced, planned),
+            "constraint_flag": X.flag(F.col("production_status") == "Constrained"),
+            "critical_part_count": F.coalesce(F.col("critical_part_count"), F.lit(0)) if want & set(BOM) else None,
+            "watched_part_exposure_flag": F.coalesce(F.col("watched_part_exposure_flag"), F.lit(False)) if want & set(BOM) else None}
+    return df.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
 
 
 @surface
-def inventory_position(t: Tables) -> DataFrame:
-    """SUR2 — one row per part × plant × snapshot date (semi-additive quantities)."""
-    i = t.inventory
+def inventory_position(t: Tables, dense: bool = False) -> DataFrame:
+    """SUR2 — one row per part × plant × snapshot date (semi-additive quantities).
+
+    ``dense`` fills the months without movements with the last balance (BLD2)."""
+    i = t.dense_inventory if dense else t.inventory
     p = t.part.select("part_id", "part_name", "part_category", "criticality")
     df = i.join(p, "part_id").join(_plant(t), "plant_id")
     avail, safety = F.col("available_quantity"), F.col("safety_stock_quantity")
@@ -235,36 +265,71 @@ def supplier_performance(t: Tables) -> DataFrame:
         supply_risk_band(F.col("avg_receipt_delay_days"), defect_raw).alias("supply_risk_band"))
 
 
-@surface
-def risk_signals(t: Tables, fulfillment: DataFrame | None = None, shipments: DataFrame | None = None,
-                 production: DataFrame | None = None) -> DataFrame:
-    """SUR6 — one row per product: three independent signals and their co-occurrence count.
-
-    One pass: the row-level inputs of the three surfaces are unioned and aggregated by product
-    together (``combine_signals``), so there are three scans and one shuffle instead of a
-    product universe plus three left joins."""
-    ful = customer_fulfillment(t) if fulfillment is None else fulfillment
-    shp = shipment_performance(t) if shipments is None else shipments
-    prd = production_performance(t) if production is None else production
+def _signals_of_surfaces(ful: DataFrame, shp: DataFrame, prd: DataFrame) -> DataFrame:
+    """Signals per product of three surfaces that may come from anywhere: three inputs, one shuffle."""
     key = ["product_id", "product_name"]
-    parts = [
+    return _signals([
         ful.select(*key, F.col("fulfilled_quantity").alias("_ful"), F.col("ordered_quantity").alias("_ord"),
-                   F.col("fulfillment_gap_flag").alias("_gap"), F.lit(1).alias("_ol")),
-        shp.select(*key, F.col("on_time_flag").alias("_ot"), F.col("delivery_eligible_flag").alias("_el")),
+                   F.col("fulfillment_gap_flag").cast("long").alias("_gap"), F.lit(1).cast("long").alias("_ol")),
+        shp.select(*key, F.col("on_time_flag").cast("long").alias("_ot"), F.col("delivery_eligible_flag").cast("long").alias("_el")),
+        prd.select(*key, F.col("produced_quantity").alias("_prod"), F.col("planned_quantity").alias("_plan"),
+                   F.col("constraint_flag").cast("long").alias("_con"), F.lit(1).cast("long").alias("_pd")),
+    ])
+
+
+def _signals_of_lines(t: Tables) -> DataFrame:
+    """Signals per product from the lines themselves, of which all three surfaces are made.
+
+    Order lines and shipments are the same rows, so they are derived once. Where the edges of the lines are proven, production
+    is too: one derivation, grouped by product, plant and day, holds every signal."""
+    key = ["product_id", "product_name"]
+    if t.proven("part", "supplier", "orders", "customer"):
+        days = t.with_product(t.daily_lines(), "product_name")
+        short = F.col("produced_quantity") < F.col("ordered_quantity")
+        return _signals([days.select(
+            *key, F.col("fulfilled_quantity").alias("_ful"), F.col("ordered_quantity").alias("_ord"), F.col("gap_lines").alias("_gap"),
+            F.col("order_lines").alias("_ol"), F.col("on_time_shipments").alias("_ot"), F.col("eligible_shipments").alias("_el"),
+            F.col("produced_quantity").alias("_prod"), F.col("ordered_quantity").alias("_plan"), X.flag(short).cast("long").alias("_con"),
+            F.lit(1).cast("long").alias("_pd"))])
+    lines = t.with_product(t.demand(), "product_name").join(t.customer.select("customer_id"), "customer_id").join(_plant(t), "plant_id")
+    actual, promised = F.col("actual_delivery_date"), F.col("promised_date")
+    prd = production_performance(t, columns=("product_id", "product_name", "produced_quantity", "planned_quantity", "constraint_flag"))
+    return _signals([
+        lines.select(*key, F.col("fulfilled_quantity").alias("_ful"), F.col("ordered_quantity").alias("_ord"),
+                     X.flag(F.col("fulfilled_quantity") < F.col("ordered_quantity")).cast("long").alias("_gap"), F.lit(1).cast("long").alias("_ol"),
+                     X.flag(actual.isNotNull() & (actual <= promised)).cast("long").alias("_ot"), X.flag(actual.isNotNull()).cast("long").alias("_el")),
         prd.select(*key, F.col("produced_quantity").alias("_prod"), F.col("planned_quantity").alias("_plan"),
-                   F.col("constraint_flag").alias("_con"), F.lit(1).alias("_pd")),
-    ]
-    agg = combine_signals(parts, ["product_id"], [
+                   F.col("constraint_flag").cast("long").alias("_con"), F.lit(1).cast("long").alias("_pd")),
+    ])
+
+
+def _signals(parts: Sequence[DataFrame]) -> DataFrame:
+    """Rates and counts per product in one aggregate over the union of ``parts``; an input that a part lacks is NULL."""
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return combine_signals(parts, ["product_id"], [
         F.max("product_name").alias("product_name"),
         X.ratio(F.sum("_ful"), F.sum("_ord"), None).alias("fulfillment_rate"),
-        F.count_if(F.col("_gap")).alias("order_lines_with_gaps"),
-        F.count("_ol").alias("total_order_lines"),
-        X.ratio(F.count_if(F.col("_ot")), F.count_if(F.col("_el")), None).alias("on_time_delivery_rate"),
-        F.count_if(F.col("_el")).alias("eligible_shipments"),
+        count("_gap").alias("order_lines_with_gaps"), count("_ol").alias("total_order_lines"),
+        X.ratio(F.sum("_ot"), F.sum("_el"), None).alias("on_time_delivery_rate"),
+        count("_el").alias("eligible_shipments"),
         X.ratio(F.sum("_prod"), F.sum("_plan"), None).alias("production_attainment"),
-        F.count_if(F.col("_con")).alias("constrained_days"),
-        F.count("_pd").alias("total_production_days"),
+        count("_con").alias("constrained_days"), count("_pd").alias("total_production_days"),
     ])
+
+
+@surface
+def risk_signals(t: Tables, fulfillment: DataFrame | None = None, shipments: DataFrame | None = None,
+                 production: DataFrame | None = None) -> DataFrame:
+    """SUR6 — one row per product: three independent signals and their co-occurrence count.
+
+    One pass: the inputs of the three surfaces are aggregated by product together (``combine_signals``) instead of joining
+    a product universe to three aggregates. Where the surfaces come from the lines, they are derived together, too."""
+    if fulfillment is None and shipments is None and production is None and t.DERIVED:
+        agg = _signals_of_lines(t)
+    else:
+        agg = _signals_of_surfaces(customer_fulfillment(t) if fulfillment is None else fulfillment,
+                                   shipment_performance(t) if shipments is None else shipments,
+                                   production_performance(t) if production is None else production)
     fr, od, pa = F.col("fulfillment_rate"), F.col("on_time_delivery_rate"), F.col("production_attainment")
     one = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     ffl, dfl, pfl = X.threshold_flag(fr, FULFILLMENT_CUT), X.threshold_flag(od, OTD_CUT), \

@@ -13,6 +13,7 @@ when the measured side is small and handling skewed keys in sort-merge joins.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,8 @@ def product_key(brand, ptype) -> Column:
 class Tables:
     """Entity tables over one driver directory (``sf_dir``)."""
 
+    DERIVED = True  # facts come from the driver's lines, so several can share one derivation
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
@@ -266,9 +269,11 @@ class Tables:
 
     def _latest_ship_date(self, part: DataFrame) -> Column:
         """Latest ship date of the lines that have one of the parts and a plant, as the surfaces' rows have."""
+        li = self.read("lineitem", "l_partkey", "l_suppkey", "l_shipdate")
+        if self.proven("part", "supplier"):
+            return li.select(F.max(F.to_date("l_shipdate"))).scalar()
         s = self.read("supplier", "s_suppkey", "s_nationkey")
         s = s.join(self._nation_region, s.s_nationkey == F.col("n_nationkey"), "left_semi")
-        li = self.read("lineitem", "l_partkey", "l_suppkey", "l_shipdate")
         li = li.join(part, li.l_partkey == part.p_partkey, "left_semi").join(s, li.l_suppkey == s.s_suppkey, "left_semi")
         return li.select(F.max(F.to_date("l_shipdate"))).scalar()
 
@@ -388,15 +393,23 @@ class Tables:
             df, safety = df.join(p, df.part_id == p.p_partkey, "left"), F.col("p_size")
         return conform(df.withColumn("safety_stock_quantity", safety.cast("double")), "inventory")
 
+    @cached_property
+    def dense_inventory(self) -> DataFrame:
+        """Inventory with a snapshot of every part and plant at every month end from its first movement to the latest
+        snapshot: a month without movements carries the balance of the one before."""
+        from supplymetrics.operators.builders import fill_months
+        own = self.inventory.withColumn("_dated", F.col("snapshot_date"))
+        dense = fill_months(own, ["part_id", "plant_id"], "snapshot_date", self.latest_snapshot)
+        carried = F.concat_ws("-", "inventory_snapshot_id", X.yyyymmdd("snapshot_date"))
+        return conform(dense.withColumn("inventory_snapshot_id", F.when(F.col("snapshot_date") == F.col("_dated"), F.col("inventory_snapshot_id"))
+                                        .otherwise(carried)), "inventory")
+
     @cached_property
     def production(self) -> DataFrame:
         li = self._lines(part=True, supplier=True)
-        hit = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")
         df = (li.groupBy("plant_id", "product_id", F.col("ship_date").alias("production_date"))
-              .agg(F.sum("q").alias("planned_quantity"),
-                   F.sum(F.when(hit, X.floor_d(F.col("q") * 4 / 10)).otherwise(F.col("q")))
-                   .alias("produced_quantity"),
-                   F.count_if(hit).cast("double").alias("downtime_hours"))
+              .agg(F.sum("q").alias("planned_quantity"), F.sum(self._produced()).alias("produced_quantity"),
+                   F.count_if(self._hit()).cast("double").alias("downtime_hours"))
               .withColumn("production_status",
                           X.iff(F.col("produced_quantity") < F.col("planned_quantity"),
                                 "Constrained", "Normal"))
@@ -405,6 +418,55 @@ class Tables:
                                       X.yyyymmdd("production_date"))))
         return conform(df, "production")
 
+    def demand(self, orders=True, part=True, supplier=True) -> DataFrame:
+        """Order lines and their shipments side by side: both come from the same line, so it is derived once."""
+        li = self._demand_lines(orders=orders, part=part, supplier=supplier)
+        return li.select(
+            F.col("line_id").alias("order_line_id"), "l_orderkey", "l_partkey", "l_suppkey", "order_date",
+            F.col("o_custkey").alias("customer_id"), "product_id", "plant_id", "ship_date",
+            F.col("q").alias("ordered_quantity"), "fulfilled_quantity",
+            F.date_add("ship_date", 6).alias("promised_date"), self._delivered().alias("actual_delivery_date"),
+            self._order_status().alias("order_status"), self._shipment_status().alias("shipment_status"))
+
+    @staticmethod
+    def _order_status() -> Column:
+        ful = F.col("fulfilled_quantity")
+        return X.band([(ful <= 0, "Open"), (ful < F.col("q"), "Partially Fulfilled")], "Fulfilled")
+
+    @staticmethod
+    def _shipment_status() -> Column:
+        return X.iff(Tables._in_transit(), "In Transit", "Delivered")
+
+    @staticmethod
+    def _delivered() -> Column:
+        """Actual delivery date of a line; none while it is in transit."""
+        return F.when(~Tables._in_transit(), F.date_add("ship_date", F.col("l_linenumber")))
+
+    @staticmethod
+    def _in_transit() -> Column:
+        return (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")
+
+    @staticmethod
+    def _produced() -> Column:
+        """Produced quantity of a line: finished and accepted ones were cut to four tenths."""
+        return F.when(Tables._hit(), X.floor_d(F.col("q") * 4 / 10)).otherwise(F.col("q"))
+
+    @staticmethod
+    def _hit() -> Column:
+        return (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")
+
+    def daily_lines(self) -> DataFrame:
+        """Demand, deliveries and production of a product by plant and day, from one derivation of the lines.
+
+        Every line counts, so this equals the three facts only where the edges of the lines are proven."""
+        actual, promised = self._delivered(), F.date_add("ship_date", 6)
+        li = self._demand_lines(part=True, supplier=True)
+        return li.groupBy("product_id", "plant_id", "ship_date").agg(
+            F.sum("q").alias("ordered_quantity"), F.sum("fulfilled_quantity").alias("fulfilled_quantity"),
+            F.count_if(F.col("fulfilled_quantity") < F.col("q")).alias("gap_lines"), F.count(F.lit(1)).alias("order_lines"),
+            F.count_if(actual.isNotNull()).alias("eligible_shipments"), F.count_if(actual <= promised).alias("on_time_shipments"),
+            F.sum(self._produced()).alias("produced_quantity"))
+
     def _demand_lines(self, **parents) -> DataFrame:
         q = F.col("q")
         return self._lines(**parents).withColumn("fulfilled_quantity",
@@ -416,16 +478,13 @@ class Tables:
 
     def _order_line(self, orders=True, part=True, supplier=True) -> DataFrame:
         li = self._demand_lines(orders=orders, part=part, supplier=supplier)
-        ful, q = F.col("fulfilled_quantity"), F.col("q")
         df = li.select(
             F.col("line_id").alias("order_line_id"),
             F.col("l_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
             "product_id", "plant_id", "order_date",
             F.date_add("order_date", 10).alias("promised_date"),
-            q.alias("ordered_quantity"), ful.alias("fulfilled_quantity"),
-            X.band([(ful <= 0, "Open"), (ful < q, "Partially Fulfilled")], "Fulfilled")
-            .alias("order_status"))
+            F.col("q").alias("ordered_quantity"), "fulfilled_quantity", self._order_status().alias("order_status"))
         return conform(df, "order_line")
 
     @cached_property
@@ -434,9 +493,7 @@ class Tables:
 
     def _shipment(self, orders=True, part=True, supplier=True) -> DataFrame:
         li = self._demand_lines(orders=orders, part=part, supplier=supplier)
-        undelivered = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")
-        actual = F.when(~undelivered, F.date_add("ship_date", F.col("l_linenumber")))
-        promised = F.date_add("ship_date", 6)
+        actual, promised = self._delivered(), F.date_add("ship_date", 6)
         df = li.select(
             F.col("line_id").alias("shipment_id"),
             F.col("line_id").alias("order_line_id"),
@@ -447,10 +504,65 @@ class Tables:
             promised.alias("promised_date"),
             actual.alias("actual_delivery_date"),
             F.col("fulfilled_quantity").alias("shipped_quantity"),
-            X.iff(undelivered, "In Transit", "Delivered").alias("shipment_status"),
+            self._shipment_status().alias("shipment_status"),
             F.when(actual > promised, F.lit("Carrier delay")).alias("delay_reason"))
         return conform(df, "shipment")
 
+    # --- integrity -----------------------------------------------------------------------
+    UNIQUE_BY_CONSTRUCTION = ("date_dim", "product", "carrier")  # exploded days, groups, literal rows
+
+    def is_unique(self, name: str, keys: Sequence[str]) -> bool:
+        """Whether no key of a table repeats; asked of the data once per instance, that is, per state of the files."""
+        if name in self.UNIQUE_BY_CONSTRUCTION:
+            return True
+        proven = self.__dict__.setdefault("_unique", {})
+        if (name, *keys) not in proven:
+            counts = self.columns(name, *keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+            proven[name, *keys] = counts.filter(F.col("n") > 1).isEmpty()
+        return proven[name, *keys]
+
+    # Edges of the line facts: child and its key, parent and its key, and what a parent row must have to count.
+    EDGES = {
+        "part": ("lineitem", "l_partkey", "part", "p_partkey", "p_brand is not null and p_type is not null", ("p_brand", "p_type")),
+        "supplier": ("lineitem", "l_suppkey", "supplier", "s_suppkey", "plant_id is not null", ("s_nationkey",)),
+        "orders": ("lineitem", "l_orderkey", "orders", "o_orderkey", "true", ()),
+        "customer": ("orders", "o_custkey", "customer", "c_custkey", "true", ()),
+    }
+
+    def integrity(self) -> DataFrame:
+        """One row per edge: child rows, those without a parent (``orphans``), with several (``multiplied``), and with one that
+        lacks what the surfaces join on (``incomplete``).
+
+        Children are counted per key and parents per key before they meet, so neither a hot key nor a repeated parent fans out."""
+        out = None
+        for edge, (child, ck, parent, pk, complete, cols) in self.EDGES.items():
+            rows = self.read(parent, pk, *cols)
+            if parent == "supplier":
+                rows = rows.join(self._nation_region, F.col("s_nationkey") == F.col("n_nationkey"), "left").withColumn("plant_id", F.col("n_nationkey"))
+            parents = rows.groupBy(pk).agg(F.count(F.lit(1)).alias("_copies"), F.count_if(F.expr(complete)).alias("_complete"))
+            keys = self.read(child, ck).groupBy(ck).agg(F.count(F.lit(1)).alias("_n"))
+            met = keys.join(parents, F.col(ck) == F.col(pk), "left")
+            lost, several = F.col("_copies").isNull(), F.col("_copies") > 1
+            total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0)).cast("long")
+            report = met.agg(total(F.lit(True)).alias("child_rows"), total(lost).alias("orphans"), total(several).alias("multiplied"),
+                             total(~lost & (F.col("_complete") < F.col("_copies"))).alias("incomplete"))
+            report = report.select(F.lit(edge).alias("edge"), "child_rows", "orphans", "multiplied", "incomplete")
+            out = report if out is None else out.unionByName(report)
+        return out
+
+    def prove(self) -> dict[str, bool]:
+        """Check every edge once and remember which hold. From then on (while the files stay as they are) plans leave out the
+        joins that would only confirm a parent; without a proof they keep them."""
+        if "_proof" not in self.__dict__:
+            self._proof = {r.edge: not (r.orphans or r.multiplied or r.incomplete) for r in self.integrity().collect()}
+            for memo in ("_surfaces", "_unique"):
+                self.__dict__.pop(memo, None)
+        return self._proof
+
+    def proven(self, *edges: str) -> bool:
+        """Whether a proof was made and each of these edges held: every child has exactly one complete parent."""
+        return all(self.__dict__.get("_proof", {}).get(e, False) for e in edges)
+
     # --- access by name ----------------------------------------------------------------
     ENTITIES = ("supplier", "part", "product", "plant", "customer", "carrier", "date_dim",
                 "supplier_part", "product_part", "purchase_order_line", "supply_receipt",
@@ -473,6 +585,9 @@ class FrameTables(Tables):
     """Entity tables supplied directly as DataFrames — a persisted raw layer read back, or a
     hand-built fixture. Only the given entities exist; the rest raise when used."""
 
+    DERIVED = False
+    UNIQUE_BY_CONSTRUCTION = ()
+
     def __init__(self, spark: SparkSession, frames: dict[str, DataFrame], watched_part=None):
         super().__init__(spark, "<frames>")
         for name, df in frames.items():
@@ -488,6 +603,9 @@ class FrameTables(Tables):
     def columns(self, name: str, *cols: str) -> DataFrame:
         return self.table(name).select(*cols)
 
+    def prove(self) -> dict[str, bool]:
+        return {}  # given frames are joined as they are
+
     @property
     def promised_receipts(self) -> DataFrame:
         po = self.purchase_order_line.select("po_line_id", "po_id", "promised_receipt_date")

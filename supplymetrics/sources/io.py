@@ -8,13 +8,16 @@ behind, and a rebuild (overwrite) makes every load idempotent.
 from __future__ import annotations
 
 import datetime as dt
+import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supplymetrics.sources.adapters import FrameTables, Tables
-from supplymetrics.sources.schemas import SCHEMAS
+from supplymetrics.sources.schemas import SCHEMAS, enforce
 
 LAYERS = ("raw", "curated", "semantic")
 
@@ -34,7 +37,7 @@ def table(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:
     reader = spark.read
     if layer == "raw" and name in SCHEMAS and name not in PARTITION_BY:
         reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(path)
+    return reader.parquet(path).drop(BATCH)
 
 
 def rows(spark: SparkSession, name: str, data: list[tuple]) -> DataFrame:
@@ -59,28 +62,46 @@ def rebuild(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     w.parquet(path)
 
 
-def append(df: DataFrame, path: str) -> None:
+BATCH = "batch_id"
+
+
+def append(df: DataFrame, path: str, batch: str | None = None) -> None:
     """SRC6 — append rows; the first write creates the table. Columns are matched by name, and a column
-    that is missing, unknown or of another type raises, so a folder never holds two schemas."""
+    that is missing, unknown or of another type raises, so a folder never holds two schemas.
+
+    With a ``batch`` id the load can be repeated: a batch is a folder of its own that Spark's committer replaces as a whole, so
+    the same batch written again, after a failure or by a second scheduler, gives its rows once. A table takes either
+    batches or bare appends, never both."""
+    spark = df.sparkSession
     try:
-        existing = df.sparkSession.read.parquet(path).schema
+        existing = spark.read.parquet(path).schema
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        existing = df.schema
-    have, want = ({f.name: f.dataType for f in x.fields} for x in (df.schema, existing))
+        existing = None
+    if existing is not None and (BATCH in existing.names) != (batch is not None):
+        raise ValueError(f"{path} is loaded {'in batches' if batch is None else 'without batches'}; the two do not mix")
+    have = {f.name: f.dataType for f in df.schema.fields}
+    want = have if existing is None else {f.name: f.dataType for f in existing.fields if f.name != BATCH}
     if have != want:
         differ = sorted(c for c in {*have, *want} if have.get(c) != want.get(c))
         raise ValueError(f"cannot append to {path}: columns {differ} differ")
-    df.select(*want).write.mode("append").parquet(path)
+    if batch is None:
+        df.select(*want).write.mode("append").parquet(path)
+    else:
+        (df.select(*want, F.lit(str(batch)).alias(BATCH)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(BATCH).parquet(path))
 
 
-def write_raw_layer(t: Tables, root: str, names=None) -> None:
+def write_raw_layer(t: Tables, root: str, names=None, strict: bool = False) -> None:
     """Materialise the entity tables once (SRC7) so later jobs read them instead of
-    re-deriving them; executor loss during a later job then only re-reads Parquet."""
+    re-deriving them; executor loss during a later job then only re-reads Parquet.
+
+    ``strict`` refuses a row that lacks a value its schema demands; without it such rows stay visible to the integrity job."""
     raw = layers(root)["raw"]
     for name in names or Tables.ENTITIES:
-        rebuild(t.table(name), f"{raw}/{name}", PARTITION_BY.get(name))
+        df = t.table(name)
+        rebuild(enforce(df, name) if strict else df, f"{raw}/{name}", PARTITION_BY.get(name))
 
 
 def read_raw_layer(spark: SparkSession, root: str, names=None) -> FrameTables:
@@ -95,12 +116,50 @@ def register_surface(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, path: str) -> DataFrame:
-    """SRC9 — refreshable result: overwrite a Parquet copy and return a scan of it. Between
-    jobs this replaces a time-based cache; the copy lives on shared storage and survives
-    executor loss, unlike an in-memory cache."""
-    rebuild(df, path)
-    return df.sparkSession.read.parquet(path)
+def _versions(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Folder and time of commit (ms) of every complete version under ``path``, the oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for entry in fs.listStatus(root) if fs.exists(root) else []:
+        done = hadoop.Path(entry.getPath(), "_SUCCESS")  # written last by Spark's committer
+        if entry.isDirectory() and entry.getPath().getName().startswith("version-") and fs.exists(done):
+            found.append((entry.getPath().toString(), fs.getFileStatus(done).getModificationTime()))
+    return sorted(found)
+
+
+def current(spark: SparkSession, path: str, max_age: float | None = None) -> DataFrame | None:
+    """The newest complete version of a materialised result, if there is one (not older than ``max_age`` seconds). The scan
+    stays on that version whatever is materialised later."""
+    versions = _versions(spark, path)
+    if not versions or (max_age is not None and time.time() - versions[-1][1] / 1000 > max_age):
+        return None
+    return spark.read.parquet(versions[-1][0])
+
+
+def materialise(df: DataFrame, path: str, max_age: float | None = None) -> DataFrame:
+    """SRC9 — refreshable result: a scan of its newest version, written anew unless one of at most ``max_age`` seconds exists.
+
+    Every refresh is a folder of its own, complete when Spark's commit marker is there, so readers see the old version or
+    the new one, and scans that they hold keep theirs until ``prune``. Between jobs this replaces a time-based cache; the copies
+    lie on shared storage and survive executor loss."""
+    spark = df.sparkSession
+    kept = None if max_age is None else current(spark, path, max_age)
+    if kept is not None:
+        return kept
+    version = f"{path.rstrip('/')}/version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(version)
+    return spark.read.parquet(version)
+
+
+def prune(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete all but the newest ``keep`` versions; scans of the deleted ones fail from then on. Returns how many went."""
+    old = _versions(spark, path)[:-keep] if keep else _versions(spark, path)
+    for folder, _ in old:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(old)
 
 
 def to_rows(df: DataFrame, limit: int = 1000):

@@ -108,6 +108,32 @@ GRAIN: dict[str, tuple[str, ...]] = {
 }
 
 
+# Keys are declared in the metadata of their fields: place in the table's grain, counted from 1.
+for _table, _schema in SCHEMAS.items():
+    for _place, _key in enumerate(GRAIN[_table], 1):
+        _schema[_key].metadata["key"] = _place
+
+TABLE_COMMENTS = {name: f"One row per {' and '.join(GRAIN[name])}." for name in SCHEMAS}
+
+
+def required(name: str) -> list[str]:
+    """Columns of a table that must not be NULL."""
+    return [f.name for f in SCHEMAS[name].fields if not f.nullable]
+
+
+def enforce(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a table, refusing any with a NULL where the schema allows none: the action that meets it fails with the table and
+    column named. The check is an expression on the column, so it adds no pass."""
+    checked = {c: F.coalesce(F.col(c), F.raise_error(F.lit(f"{name}.{c} is NULL but declared NOT NULL")).cast(SCHEMAS[name][c].dataType)) for c in required(name)}
+    return df.select([checked[f.name].alias(f.name, metadata=f.metadata) if f.name in checked else F.col(f.name) for f in SCHEMAS[name].fields])
+
+
+def null_counts(df: DataFrame, name: str) -> DataFrame:
+    """(table_name, column_name, nulls) of the columns that must not be NULL, in one pass."""
+    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required(name)])
+    return wide.unpivot([], required(name), "column_name", "nulls").select(F.lit(name).alias("table_name"), "column_name", "nulls")
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Project ``df`` onto the declared schema of ``name`` (order, types, column comments)."""
     schema = SCHEMAS[name]
