@@ -28,13 +28,13 @@ def risk_table(t: Tables, risk: DataFrame | None = None) -> DataFrame:
 
 def network_fulfillment_pct(t: Tables) -> DataFrame:
     """DSH2 — one row."""
-    f = SUR.customer_fulfillment(t)
+    f = SUR.customer_fulfillment(t, columns=("fulfilled_quantity", "ordered_quantity"))
     return f.agg(X.kpi_pct(X.fdiv(F.sum("fulfilled_quantity"), F.sum("ordered_quantity"))).alias("fulfillment_pct"))
 
 
 def network_otd_pct(t: Tables) -> DataFrame:
     """DSH3 — one row."""
-    s = SUR.shipment_performance(t)
+    s = SUR.shipment_performance(t, columns=("on_time_flag", "delivery_eligible_flag"))
     return s.agg(X.kpi_pct(X.fdiv(F.count_if(F.col("on_time_flag")),
                                   F.count_if(F.col("delivery_eligible_flag")))).alias("otd_pct"))
 
@@ -51,7 +51,7 @@ def kpi_bands(t: Tables) -> DataFrame:
 
 def inventory_trend(t: Tables, inv: DataFrame | None = None) -> DataFrame:
     """DSH4 — available and safety stock per snapshot date."""
-    i = SUR.inventory_position(t) if inv is None else inv
+    i = SUR.inventory_position(t, columns=("snapshot_date", "available_quantity", "safety_stock_quantity")) if inv is None else inv
     return (i.groupBy("snapshot_date")
             .agg(F.sum("available_quantity").alias("available_inventory"),
                  F.sum("safety_stock_quantity").alias("safety_stock_level"))

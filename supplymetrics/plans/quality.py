@@ -177,7 +177,8 @@ def reconciliation(t: Tables) -> DataFrame:
     Each pair is compared by digests of both sides, stacked and grouped by the key once. The surfaces are built for the compared
     columns alone."""
     pairs = [
-        ("V_INVENTORY_POSITION.AVAILABLE_QUANTITY", SUR.inventory_position(t), "inventory", "inventory_snapshot_id", "available_quantity"),
+        ("V_INVENTORY_POSITION.AVAILABLE_QUANTITY", SUR.inventory_position(t, columns=("inventory_snapshot_id", "available_quantity")),
+         "inventory", "inventory_snapshot_id", "available_quantity"),
         ("V_PRODUCTION_PERFORMANCE.PRODUCED_QUANTITY", SUR.production_performance(t, columns=("production_id", "produced_quantity")),
          "production", "production_id", "produced_quantity"),
         ("V_CUSTOMER_FULFILLMENT.FULFILLED_QUANTITY", SUR.customer_fulfillment(t, columns=("order_line_id", "fulfilled_quantity")),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from supplymetrics.operators.relational import report
 from supplymetrics.plans import surfaces as SUR
 from supplymetrics.plans import verified as VQ
 from supplymetrics.plans.catalog import register
-from supplymetrics.plans.semantic import DENSE_MODEL, MODEL
+from supplymetrics.plans.semantic import DENSE_MODEL, MODEL, AmbiguousName, GrainError
 
 R9 = "round({}, 9)"
 
@@ -214,6 +215,37 @@ SELECT d.year, d.quarter, pr.product_family, round(sum(x.produced_quantity) / NU
 FROM production_performance x JOIN date_t d ON x.production_date = d.calendar_date JOIN product_t pr ON x.product_id = pr.product_id
 GROUP BY d.year, d.quarter, pr.product_family""", "production_performance", "date_t", "product_t")
 
+def _refusals(t: Tables):
+    """What the model answers to requests that its rules settle: a refusal by its kind, or the value asked for."""
+    ordered = lambda table: {"aggregates": {"value": ("sum", f"{table}.ordered_quantity")}}
+    asked = [
+        ("inventory beside production", {"metrics": ["total_on_hand", "production_attainment"]}),
+        ("suppliers beside shipments", {"metrics": ["defect_rate", "on_time_delivery_rate"]}),
+        ("production by a bill of materials", {"dimensions": ["product_part.part_id"], "metrics": ["production_attainment"]}),
+        ("sum of a ratio", {"aggregates": {"value": ("sum", "supplier_performance.defect_rate_pct")}}),
+        ("sum of a key", {"aggregates": {"value": ("sum", "inventory_position.part_id")}}),
+        ("a name of two tables", {"dimensions": ["ordered_quantity"]}),
+        ("ordered by customers", ordered("customer_fulfillment")),
+        ("ordered from suppliers", ordered("supplier_performance")),
+    ]
+    rows = []
+    for request, parts in asked:
+        try:
+            rows.append(MODEL.query(t, **parts).select(F.lit(request).alias("request"), F.lit("ANSWERED").alias("status"), F.col("value")))
+        except (GrainError, AmbiguousName) as e:
+            status = "REFUSED" if isinstance(e, GrainError) else "AMBIGUOUS"
+            rows.append(t.spark.range(1).select(F.lit(request).alias("request"), F.lit(status).alias("status"), F.lit(None).cast("double").alias("value")))
+    return report(rows)
+
+
+register("sem_refusals", _refusals, """
+SELECT unnest(['inventory beside production', 'suppliers beside shipments', 'production by a bill of materials', 'sum of a ratio', 'sum of a key']) AS request,
+       'REFUSED' AS status, CAST(NULL AS DOUBLE) AS value
+UNION ALL SELECT 'a name of two tables', 'AMBIGUOUS', NULL
+UNION ALL SELECT 'ordered by customers', 'ANSWERED', sum(ordered_quantity) FROM customer_fulfillment
+UNION ALL SELECT 'ordered from suppliers', 'ANSWERED', sum(ordered_quantity) FROM supplier_performance""",
+         "customer_fulfillment", "supplier_performance")
+
 # An as-of join against every month end: another way to the balances that the window and the exploded months give.
 _DENSE = """
 dense AS (

@@ -16,7 +16,7 @@ from supplymetrics.plans.catalog import REGISTRY, register
 from supplymetrics.plans.verified import VERIFIED, run_batch
 from supplymetrics.session import checkpoint_dir
 from supplymetrics.sources import io as IO
-from supplymetrics.sources.adapters import Tables
+from supplymetrics.sources.adapters import CARRIERS, Tables
 from supplymetrics.sources.schemas import null_counts, required
 
 # --- dashboard -------------------------------------------------------------------------------
@@ -454,6 +454,21 @@ def _handed_off(t: Tables):
 
 
 register("src6_append", _appended, "SELECT * FROM customer_t", "customer_t")
+register("src4_literal_rows", lambda t: IO.rows(t.spark, "carrier", CARRIERS).join(
+    t.columns("shipment", "carrier_id").groupBy("carrier_id").agg(F.count(F.lit(1)).alias("shipments")), "carrier_id", "left"), """
+SELECT c.*, n.shipments FROM carrier_t c LEFT JOIN (SELECT carrier_id, count(*) AS shipments FROM shipment_t GROUP BY carrier_id) n USING (carrier_id)""",
+         "carrier_t", "shipment_t")
+register("src5_row_source", lambda t: IO.row_source(t.spark, 9).join(
+    t.read("lineitem", "l_linenumber").groupBy(F.col("l_linenumber").alias("seq")).agg(F.count(F.lit(1)).alias("lines")), "seq", "left").select(
+    "seq", F.coalesce("lines", F.lit(0)).alias("lines")), """
+SELECT seq, count(l_linenumber) AS lines FROM (SELECT unnest(range(1, 10)) AS seq) s LEFT JOIN lineitem ON l_linenumber = seq GROUP BY seq""")
+register("prj8_order_cohort", lambda t: DQ.order_cohort(t, "1"), """
+SELECT order_line_id, customer_id, product_id, plant_id, promised_date, ordered_quantity, fulfilled_quantity, order_status
+FROM order_line_t WHERE order_line_id LIKE '1%'""", "order_line_t")
+register("fn3_nested_bands", lambda t: t.part.select("part_id", X.banded("standard_cost", [(0, 1000, "LOW"), (1000.01, 1400, "MID")], X.banded(
+    F.length("part_name"), [(0, 20, "HIGH, SHORT NAME")], "HIGH")).alias("band")), """
+SELECT part_id, CASE WHEN standard_cost BETWEEN 0 AND 1000 THEN 'LOW' WHEN standard_cost BETWEEN 1000.01 AND 1400 THEN 'MID'
+       ELSE CASE WHEN length(part_name) BETWEEN 0 AND 20 THEN 'HIGH, SHORT NAME' ELSE 'HIGH' END END AS band FROM part_t""", "part_t")
 register("src6_append_batches", _batches, "SELECT * FROM customer_t", "customer_t")
 register("src7_rebuild_partitioned", _rebuilt, "SELECT * FROM inventory_t", "inventory_t")
 register("src8_view", _viewed, """

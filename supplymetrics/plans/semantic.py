@@ -134,7 +134,7 @@ TABLES: dict[str, LogicalTable] = {t.name: t for t in [
     _t("customer_fulfillment", SUR.customer_fulfillment, ("order_line_id",), True, columns=SUR.FULFILLMENT),
     _t("shipment_performance", SUR.shipment_performance, ("shipment_id",), True, columns=SUR.SHIPMENT),
     _t("production_performance", SUR.production_performance, ("production_id",), True, columns=SUR.PRODUCTION),
-    _t("inventory_position", SUR.inventory_position, ("inventory_snapshot_id",), True, "snapshot_date"),
+    _t("inventory_position", SUR.inventory_position, ("inventory_snapshot_id",), True, "snapshot_date", SUR.INVENTORY),
     _t("supplier_performance", SUR.supplier_performance, None, True),
     _t("product_risk_signals", SUR.risk_signals, ("product_id",), True),
     _t("date_dim", lambda t: t.date_dim, ("calendar_date",), False),
@@ -438,4 +438,5 @@ MODEL = SemanticModel()
 
 # The same model over gap-filled snapshots: a part that did not move in a month still has its balance in it.
 DENSE_MODEL = SemanticModel(tables=TABLES | {
-    "inventory_position": _t("inventory_position", lambda t: SUR.inventory_position(t, dense=True), ("inventory_snapshot_id",), True, "snapshot_date")})
+    "inventory_position": _t("inventory_position", lambda t, **asked: SUR.inventory_position(t, dense=True, **asked), ("inventory_snapshot_id",), True,
+                             "snapshot_date", SUR.INVENTORY)})

@@ -167,25 +167,31 @@ def production_performance(t: Tables, watched_part: Column | int | None = None,
     return df.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
 
 
+PART = ("part_id", "part_name", "part_category", "criticality")
+INVENTORY = ("inventory_snapshot_id", "snapshot_date", *PART, *PLANT, "on_hand_quantity", "reserved_quantity", "available_quantity",
+             "safety_stock_quantity", "safety_stock_gap", "available_to_safety_stock_pct", "below_safety_stock_flag", "inventory_risk_band")
+
+
 @surface
-def inventory_position(t: Tables, dense: bool = False) -> DataFrame:
-    """SUR2 — one row per part × plant × snapshot date (semi-additive quantities).
+def inventory_position(t: Tables, dense: bool = False, columns: tuple[str, ...] = INVENTORY) -> DataFrame:
+    """SUR2 — one row per part × plant × snapshot date (semi-additive quantities), with the columns asked for.
 
     ``dense`` fills the months without movements with the last balance (BLD2)."""
-    i = t.dense_inventory if dense else t.inventory
-    p = t.part.select("part_id", "part_name", "part_category", "criticality")
-    df = i.join(p, "part_id").join(_plant(t), "plant_id")
+    want = set(columns)
     avail, safety = F.col("available_quantity"), F.col("safety_stock_quantity")
-    return df.select(
-        "inventory_snapshot_id", "snapshot_date", "part_id", "part_name", "part_category",
-        "criticality", "plant_id", "plant_name", "plant_region",
-        "on_hand_quantity", "reserved_quantity", "available_quantity", "safety_stock_quantity",
-        X.gap(avail, safety).alias("safety_stock_gap"),
-        X.pct(avail, safety).alias("available_to_safety_stock_pct"),
-        X.flag(avail < safety).alias("below_safety_stock_flag"),
-        X.band([(avail <= 0, "STOCKOUT"), (avail < safety, "BELOW_SAFETY_STOCK"),
-                (avail < safety * NEAR_SAFETY_FACTOR, "NEAR_SAFETY_STOCK")], "HEALTHY")
-        .alias("inventory_risk_band"))
+    made = {"safety_stock_gap": X.gap(avail, safety), "available_to_safety_stock_pct": X.pct(avail, safety),
+            "below_safety_stock_flag": X.flag(avail < safety),
+            "inventory_risk_band": X.band([(avail <= 0, "STOCKOUT"), (avail < safety, "BELOW_SAFETY_STOCK"),
+                                           (avail < safety * NEAR_SAFETY_FACTOR, "NEAR_SAFETY_STOCK")], "HEALTHY")}
+    compared = ["available_quantity", "safety_stock_quantity"] if want & set(made) else []
+    own = [c for c in ("inventory_snapshot_id", "snapshot_date", "on_hand_quantity", "reserved_quantity", "available_quantity", "safety_stock_quantity") if c in want]
+    own = [*dict.fromkeys([*own, *compared, "part_id", "plant_id"])]
+    df = t.dense_inventory.select(*own) if dense else t.columns("inventory", *own)
+    if want & set(PART) or not t.proven("part"):
+        df = df.join(t.part.select("part_id", *[c for c in PART[1:] if c in want]), "part_id")
+    if want & set(PLANT) or not t.proven("supplier"):
+        df = df.join(_plant(t), "plant_id")
+    return df.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
 
 
 @surface

@@ -41,7 +41,7 @@ def vq05_attainment_by_plant(t: Tables) -> DataFrame:
 
 
 def vq06_constrained_exposed(t: Tables) -> DataFrame:
-    prd = SUR.production_performance(t).filter(F.col("watched_part_exposure_flag"))
+    prd = SUR.production_performance(t, columns=("product_name", "constraint_flag", "watched_part_exposure_flag")).filter(F.col("watched_part_exposure_flag"))
     return (prd.groupBy("product_name")
             .agg(F.count_if(F.col("constraint_flag")).alias("constrained_production_days"),
                  F.count(F.lit(1)).alias("total_production_days"))
@@ -49,7 +49,7 @@ def vq06_constrained_exposed(t: Tables) -> DataFrame:
 
 
 def vq07_below_safety_latest(t: Tables) -> DataFrame:
-    inv = at_latest(SUR.inventory_position(t), "snapshot_date", t.latest_snapshot)
+    inv = at_latest(SUR.inventory_position(t, columns=("snapshot_date", "plant_name", "below_safety_stock_flag")), "snapshot_date", t.latest_snapshot)
     return (inv.groupBy("plant_name")
             .agg(F.count_if(F.col("below_safety_stock_flag")).alias("parts_below_safety_stock"))
             .orderBy(F.col("parts_below_safety_stock").desc(), "plant_name"))
@@ -83,7 +83,7 @@ def vq13_multi_signal_products(t: Tables) -> DataFrame:
 def vq14_exposed_and_constrained(t: Tables, month_start=None) -> DataFrame:
     """Exposed products with constrained days inside one month (default: the month of the
     latest production date)."""
-    prd = SUR.production_performance(t)
+    prd = SUR.production_performance(t, columns=("product_name", "production_date", "constraint_flag", "watched_part_exposure_flag"))
     if month_start is None:
         month_start = F.trunc(t.latest_production, "month")
     m = month_start if not isinstance(month_start, str) else F.lit(month_start).cast("date")
