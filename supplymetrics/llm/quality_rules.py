@@ -29,8 +29,18 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 # Line rules. A line fails if it
 SENTENCE_END = r"[.!?…:;。！？][\"'”’»)\]]*(\s|$)"  # has no end of a sentence or list head in it (punctuation)
 NAVIGATION = r"[|»›•·].*[|»›•·]"  # has two or more menu separators (navigation)
-BOILERPLATE = (r"(all rights reserved|copyright|\(c\) [0-9]{4}|licensed under|terms of (use|service)|privacy policy"
-               r"|cookie policy|accept cookies|sign up|log ?in|subscribe now|click here|lorem ipsum)")  # says so (boilerplate)
+# has a phrase of legal or site boilerplate, in lower case, by language (boilerplate)
+PHRASES = {
+    "en": (r"all rights reserved", r"copyright", r"\(c\) [0-9]{4}", r"licensed under", r"terms of (use|service)", r"privacy policy", r"cookie policy",
+           r"accept cookies", r"sign up", r"log ?in", r"subscribe now", r"click here", r"lorem ipsum"),
+    "de": (r"alle rechte vorbehalten", r"nutzungsbedingungen", r"allgemeine geschäftsbedingungen", r"datenschutzerklärung", r"cookies akzeptieren",
+           r"jetzt anmelden", r"jetzt abonnieren", r"hier klicken"),
+    "fr": (r"tous droits réservés", r"conditions (générales )?d['’]utilisation", r"politique de confidentialité", r"accepter les cookies",
+           r"abonnez-vous", r"cliquez ici", r"mentions légales"),
+    "es": (r"todos los derechos reservados", r"condiciones de uso", r"términos y condiciones", r"política de privacidad", r"aceptar (las )?cookies",
+           r"suscríbete", r"haga clic aquí", r"aviso legal"),
+}
+BOILERPLATE = "(" + "|".join(p for phrases in PHRASES.values() for p in phrases) + ")"
 NOISY_WORD = r"[#*$%&<>!]{2}$"  # has most of its words end in symbol runs (punctuation)
 SENTENCE_RE, NAVIGATION_RE, BOILERPLATE_RE, NOISY_RE = (re.compile(p) for p in (SENTENCE_END, NAVIGATION, BOILERPLATE, NOISY_WORD))
 

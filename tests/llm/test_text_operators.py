@@ -131,7 +131,7 @@ def test_quality_line_rules(spark):
 def test_quality_removes_the_failing_lines(spark):
     rng = random.Random(2)
     fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-    bad = ["home | about | contact", "all rights reserved.", "no end of a sentence", "a### b*** c$$$."]
+    bad = ["home | about | contact", "all rights reserved.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Vea las condiciones de uso.", "no end of a sentence", "a### b*** c$$$."]
     lines = lambda: [rng.choice([fresh(9) + ".", fresh(30) + "! ", "", " \t", "é 1.\r", *bad]) for _ in range(rng.randint(0, 14))]
     made = [(i, lines()) for i in range(200)]
     want = {i: "\n".join(x for x in t if x not in bad) for i, t in made}
