@@ -27,7 +27,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -46,32 +46,32 @@ STEP = 1 << 16
 DATE = "2026-01-01T00:00:00Z"  # one date for all records, so that reruns write the same bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 class WarcError(ValueError):
     """An archive that breaks its framing or its digests."""
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: str | None) -> str:
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
 
 
-def page_of(name: str) -> int | None:
-    value = name.removeprefix("<urn:page:").removesuffix(">")
-    return None if value == "none" else int(value)
+def page_of(name: str) -> str | None:
+    value = name.removeprefix("<urn:page").removesuffix(">")
+    return unquote(value[1:]) if value else None
 
 
 def head(lines: Iterable[str]) -> bytes:
     return "\r\n".join(lines).encode() + END
 
 
-def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def member(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
     """One record as a gzip member."""
     digest = hashlib.sha1(payload).hexdigest()
     http = head(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"])
     block = http if revisit else http + payload
-    uri = f"urn:page:{page_id}" if url is None else quote(url, safe="/:?#[]@!$&'()*+,;=%~")
+    uri = record_id(page_id)[1:-1] if url is None else quote(url, safe="/:?#[]@!$&'()*+,;=%~")
     kind = ["WARC-Type: revisit", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {PROFILE}"] if revisit else ["WARC-Type: response"]
     warc = head(["WARC/1.1", *kind, f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}",
                  f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}",
@@ -154,26 +154,24 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
     """Write the pages as gzip members under ``path``; payloads over ``large_bytes`` in files of one record."""
     @F.pandas_udf("binary")
     def build(ids: pd.Series, urls: pd.Series, pages_html: pd.Series, refers: pd.Series, revisit: pd.Series) -> pd.Series:
-        number = [None if x is None else int(x) for x in ids]
-        other = [None if x is None else int(x) for x in refers]
         return pd.Series([member(i, u, (t or "").encode("utf-8", "replace"), r, bool(v))
-                          for i, u, t, r, v in zip(number, urls, pages_html, other, revisit)], dtype=object)
+                          for i, u, t, r, v in zip(ids, urls, pages_html, refers, revisit)], dtype=object)
 
     # no more tasks than full files, so that a small table over many partitions does not become many crumbs
     tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-pages.count() // records_per_file))
     again = cut(revisits(pages, min_bytes).coalesce(tasks))
     large = F.coalesce(F.octet_length("html") > large_bytes, F.lit(False))
     for rows, most, mode in ((pages.filter(~large), records_per_file, "errorifexists"), (pages.filter(large), 1, "append")):
-        # ids travel as strings: a long column with nulls would become floating point in pandas
+        # ids of any type travel as strings
         records = with_revisits(rows, again).select(
             build(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "revisit").cast("string").alias("value"))
         records.coalesce(tasks).write.mode(mode).option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """One row per record under ``path``: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-              ("record_type", pa.string()), ("refers_to", pa.int64())]
+    fields = [("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+              ("record_type", pa.string()), ("refers_to", pa.string())]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,11 +181,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*found), fields)],
                                                      names=[n for n, _ in fields])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, RECORD)
+    records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, RECORD)
+    return records.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, **settings) -> DataFrame:
     """Archive the pages in the shared folder and read the archive back."""
     path = f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archive(pages, path, **settings)
-    return read_archive(pages.sparkSession, path)
+    return read_archive(pages.sparkSession, path, pages.schema["page_id"].dataType.simpleString())
