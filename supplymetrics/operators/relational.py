@@ -76,9 +76,11 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, keys: Sequence[str], checks: Mapping[str, Column]) -> DataFrame:
-    """Several grain checks of one derivation in one pass: (check_name, duplicate_groups), the keys that occur more than once
-    among the rows where a check's condition holds (AGG15)."""
-    per_key = df.groupBy(*keys).agg(*[F.count_if(rows).alias(name) for name, rows in checks.items()])
+    """Several grain checks of one derivation in one pass: (check_name, duplicate_groups), the keys that occur more than once (AGG15).
+
+    A check is the number of times that a row occurs in the table checked: 1 for the derivation itself, the product of its parents'
+    copies for a join of it with them."""
+    per_key = df.groupBy(*keys).agg(*[F.sum(times).alias(name) for name, times in checks.items()])
     found = per_key.agg(*[F.count_if(F.col(f"`{name}`") > 1).alias(name) for name in checks])
     return found.unpivot([], [f"`{name}`" for name in checks], "check_name", "duplicate_groups")
 

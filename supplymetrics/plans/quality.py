@@ -88,54 +88,57 @@ def referential_integrity(t: Tables) -> DataFrame:
     return report(parts).orderBy("check_name")
 
 
-def _has(df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """The rows left-joined to a parent's key, as often as the parent has it, with ``has_<key>``."""
-    p = parent.select(F.col(key).alias(f"_{key}"))
-    return df.join(p, F.col(key) == F.col(f"_{key}"), "left").withColumn(f"has_{key}", F.col(f"_{key}").isNotNull()).drop(f"_{key}")
+def _copies(df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """The rows with ``n_<key>``: how often the parent has their key. Parents are counted per key first, so no row is multiplied."""
+    p = parent.groupBy(F.col(key).alias(f"_{key}")).agg(F.count(F.lit(1)).alias(f"n_{key}"))
+    return df.join(p, F.col(key) == F.col(f"_{key}"), "left").withColumn(f"n_{key}", F.coalesce(f"n_{key}", F.lit(0))).drop(f"_{key}")
 
 
 def grain_duplicates(t: Tables) -> DataFrame:
     """DQ4 — duplicate grain keys in raw facts and curated surfaces (groups occurring >1).
 
-    A fact and its surface are one derivation: the fact's rows with their parents outer-joined, counted per key once
-    over all rows and once over those the surface's inner joins keep. Order lines, shipments and purchase-order lines of the driver's
-    lines share theirs, so four scans of the lines serve the nine checks."""
-    every = F.lit(True)
+    A fact and its surface are one derivation: the fact's rows with the number of copies that each parent has, summed per key once as
+    rows and once as what the surface's inner joins make of them. Order lines, shipments and purchase-order lines of the
+    driver's lines share theirs, so four scans of the lines serve the nine checks."""
+    one = F.lit(1)
 
-    def has_product(df: DataFrame) -> DataFrame:
-        if t.DERIVED:
-            return df.withColumn("has_product", F.col("product_id").isNotNull())
-        return _has(df, t.product, "product_id").withColumnRenamed("has_product_id", "has_product")
+    def with_product(df: DataFrame) -> DataFrame:
+        if t.DERIVED:  # the id spells the product
+            return df.withColumn("n_product_id", F.col("product_id").isNotNull().cast("long"))
+        return _copies(df, t.product, "product_id")
 
-    inventory = _has(_has(t.inventory.select(*GRAIN["inventory"]), t.part, "part_id"), t.plant, "plant_id")
-    production = has_product(_has(t.production.select(*GRAIN["production"]), t.plant, "plant_id"))
-    both = lambda *cols: functools.reduce(lambda a, b: a & b, map(F.col, cols))
+    def with_parents(df: DataFrame) -> DataFrame:
+        return with_product(_copies(_copies(df, t.plant, "plant_id"), t.customer, "customer_id"))
+
+    def joined(*keys: str) -> Column:
+        return functools.reduce(lambda a, b: a * b, [F.col(f"n_{k}") for k in keys])
+
+    inventory = _copies(_copies(t.inventory.select(*GRAIN["inventory"]), t.part, "part_id"), t.plant, "plant_id")
+    production = with_product(_copies(t.production.select(*GRAIN["production"]), t.plant, "plant_id"))
     reports = [
-        duplicate_groups(inventory, GRAIN["inventory"], {"INVENTORY_DUPLICATE_PART_PLANT_DATE": every,
-                                                         "V_INVENTORY_POSITION_GRAIN": both("has_part_id", "has_plant_id")}),
-        duplicate_groups(production, GRAIN["production"], {"V_PRODUCTION_PERFORMANCE_GRAIN": both("has_plant_id", "has_product")}),
+        duplicate_groups(inventory, GRAIN["inventory"], {"INVENTORY_DUPLICATE_PART_PLANT_DATE": one,
+                                                         "V_INVENTORY_POSITION_GRAIN": joined("part_id", "plant_id")}),
+        duplicate_groups(production, GRAIN["production"], {"V_PRODUCTION_PERFORMANCE_GRAIN": joined("plant_id", "product_id")}),
         _count(duplicates(SUR.supplier_performance(t).select(*GRAIN["supplier_performance"]), GRAIN["supplier_performance"]),
                "V_SUPPLIER_PERFORMANCE_GRAIN", "duplicate_groups"),
     ]
-    in_surface = both("has_plant_id", "has_customer_id", "has_product")
-    parents = lambda df: has_product(_has(_has(df, t.plant, "plant_id"), t.customer, "customer_id"))
+    in_surface = joined("plant_id", "customer_id", "product_id")
     if t.DERIVED:
-        lines = parents(t.demand())
+        lines = with_parents(t.demand())
         # a purchase-order line is its key, plant and order date: two of one key differ in what is hashed here
         other = F.xxhash64("plant_id", "order_date")
-        per_line = lines.groupBy("order_line_id").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(in_surface).alias("kept"), (F.min(other) != F.max(other)).alias("orders_differ"))
+        per_line = lines.groupBy("order_line_id").agg(F.count(one).alias("n"), F.sum(in_surface).alias("kept"), (F.min(other) != F.max(other)).alias("orders_differ"))
         found = per_line.agg(F.count_if(F.col("n") > 1).alias("n"), F.count_if(F.col("kept") > 1).alias("kept"), F.count_if("orders_differ").alias("po"))
         names = {"ORDER_LINE_DUPLICATE_ID": "n", "SHIPMENT_DUPLICATE_ID": "n", "V_CUSTOMER_FULFILLMENT_GRAIN": "kept",
                  "V_SHIPMENT_PERFORMANCE_GRAIN": "kept", "PO_LINE_DUPLICATE_ID": "po"}
         reports.append(found.select(*[F.col(c).alias(n) for n, c in names.items()]).unpivot([], list(names), "check_name", "duplicate_groups"))
     else:
-        shipments = _has(t.shipment.select("shipment_id", "customer_id", "product_id", "plant_id", "carrier_id"), t.carrier, "carrier_id")
+        shipments = _copies(t.shipment.select("shipment_id", "customer_id", "product_id", "plant_id", "carrier_id"), t.carrier, "carrier_id")
         reports += [
-            duplicate_groups(parents(t.order_line.select("order_line_id", "customer_id", "product_id", "plant_id")), ["order_line_id"],
-                             {"ORDER_LINE_DUPLICATE_ID": every, "V_CUSTOMER_FULFILLMENT_GRAIN": in_surface}),
-            duplicate_groups(parents(shipments), ["shipment_id"],
-                             {"SHIPMENT_DUPLICATE_ID": every, "V_SHIPMENT_PERFORMANCE_GRAIN": in_surface & F.col("has_carrier_id")}),
+            duplicate_groups(with_parents(t.order_line.select("order_line_id", "customer_id", "product_id", "plant_id")), ["order_line_id"],
+                             {"ORDER_LINE_DUPLICATE_ID": one, "V_CUSTOMER_FULFILLMENT_GRAIN": in_surface}),
+            duplicate_groups(with_parents(shipments), ["shipment_id"],
+                             {"SHIPMENT_DUPLICATE_ID": one, "V_SHIPMENT_PERFORMANCE_GRAIN": in_surface * F.col("n_carrier_id")}),
             _count(duplicates(t.purchase_order_line.select(*GRAIN["purchase_order_line"]), GRAIN["purchase_order_line"]), "PO_LINE_DUPLICATE_ID", "duplicate_groups"),
         ]
     return report(reports)

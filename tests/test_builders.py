@@ -336,6 +336,11 @@ def test_data_quality_job_counts_planted_faults(spark, small):
     got = {r.check_name: r.duplicate_groups for r in DQ.grain_duplicates(faulty).collect()}
     changed = {k: got[k] - base[k] for k in got if got[k] != base[k]}
     assert changed == {"ORDER_LINE_DUPLICATE_ID": 1, "V_CUSTOMER_FULFILLMENT_GRAIN": 1, "INVENTORY_DUPLICATE_PART_PLANT_DATE": 1, "V_INVENTORY_POSITION_GRAIN": 1}
+    # a plant that is there twice doubles rows of the surfaces, not of the facts
+    twice = FrameTables(spark, frames | {"plant": frames["plant"].unionByName(frames["plant"])})
+    got = {r.check_name: r.duplicate_groups for r in DQ.grain_duplicates(twice).collect()}
+    assert all(got[k] == base[k] for k in base if not k.startswith("V_") or "SUPPLIER" in k)
+    assert got["V_INVENTORY_POSITION_GRAIN"] == frames["inventory"].select("part_id", "plant_id", "snapshot_date").distinct().count()
     # a shipment of more than its line, and coverage without it
     more = frames["shipment"].join(ship.select("shipment_id"), "shipment_id", "left_anti").unionByName(
         ship.withColumn("shipped_quantity", F.lit(1e6)).select(*frames["shipment"].columns))
