@@ -53,8 +53,8 @@ class WarcError(ValueError):
     """An archive that breaks its framing or its digests."""
 
 
-def record_id(page_id: str | None) -> str:
-    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+def record_id(page_id: str | int | None) -> str:
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
 def page_of(name: str) -> str | None:
@@ -66,7 +66,7 @@ def head(lines: Iterable[str]) -> bytes:
     return "\r\n".join(lines).encode() + END
 
 
-def member(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
+def member(page_id: str | int | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
     """One record as a gzip member."""
     digest = hashlib.sha1(payload).hexdigest()
     http = head(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"])
