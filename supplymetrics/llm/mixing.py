@@ -33,6 +33,7 @@ SHARDS = 8
 SEED = 20260101
 MAX_REPEAT = 3
 BUCKET_ROWS = 4096
+PLAN_ROWS = 65536
 
 
 def order_key(seed: int) -> Column:
@@ -46,6 +47,14 @@ def bucket_digits(rows: int) -> int:
     return max(3, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
 
 
+def plan_tasks(rows: int) -> int:
+    """Tasks, and so checkpoint files, that sums of ``rows`` rows are kept in: one per PLAN_ROWS rows, eight at least.
+
+    Sums per group are few and short; a file for every shuffle partition would be empty or hold a few rows.
+    """
+    return max(8, math.ceil(rows / PLAN_ROWS))
+
+
 def sized(docs: DataFrame, seed: int = SEED, carry: bool = False, digits: int = 3) -> DataFrame:
     """(skey, source, bucket, okey, doc_id, size[, doc]): what the apportionment reads of each document.
 
@@ -146,10 +155,11 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: i
     takes of it the words that lie in its run of the source's blocks; a block that ends inside it takes the part before the
     cut. ``shard_words`` lists these words by shard, comma-joined.
     """
-    digits = bucket_digits(docs.count())
-    parts = cut(sized(docs, seed, digits=digits).groupBy("skey", "source", "bucket").agg(F.sum("size").alias("words")))
+    n = docs.count()
+    digits, tasks = bucket_digits(n), plan_tasks(n)
+    parts = cut(sized(docs, seed, digits=digits).groupBy("skey", "source", "bucket").agg(F.sum("size").alias("words")).coalesce(tasks))
     starts, _ = plan(parts, block, shards, max_repeat)
-    rows = sized(docs, seed, carry, digits).join(cut(starts), ["skey", "bucket"])
+    rows = sized(docs, seed, carry, digits).join(cut(starts.coalesce(tasks)), ["skey", "bucket"])
     before = W.partitionBy("skey", "bucket").orderBy("okey", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
 

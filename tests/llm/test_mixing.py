@@ -8,6 +8,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from supplymetrics.llm import mixing
+from supplymetrics.llm.common import cut
 
 from .conftest import EDGE, documents
 
@@ -127,3 +128,27 @@ def test_applied_mix_repeats_documents(spark):
 
 def test_groups_follow_the_number_of_rows():
     assert [mixing.bucket_digits(n) for n in (0, 1, 10**6, 16**3 * 4096, 16**3 * 4096 + 1, 10**10)] == [3, 3, 3, 3, 4, 6]
+
+
+def test_plan_is_kept_in_few_files(spark, monkeypatch):
+    """The sums of a small table don't take a checkpoint file for every shuffle partition."""
+    files = []
+
+    def counted(df):
+        kept = cut(df)
+        files.append(kept.rdd.getNumPartitions())
+        return kept
+
+    df = documents(spark, sample(spark))
+    expected = {(r.doc_id, r.taken, r.shard_words) for r in mixing.mix(df).collect()}
+    monkeypatch.setattr(mixing, "cut", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {(r.doc_id, r.taken, r.shard_words) for r in mixing.mix(df).collect()} == expected
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) == 2 and max(files) <= 8
+    assert [mixing.plan_tasks(n) for n in (0, 10**5, 10**7, 10**9)] == [8, 8, 153, 15259]
